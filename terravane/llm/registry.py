@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, quality_classifier, quality_rules, substring_dedup
+from . import decontamination, jaccard_join, language_id, piece_sampling, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_sentencepiece_sampling": piece_sampling.op3_sentencepiece_sampling,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
