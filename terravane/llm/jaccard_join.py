@@ -8,8 +8,8 @@ partner size needs; linked sets list one subset both. Heavy sets: the hash range
 linked pair can have differing shingles, so a linked pair agrees on a whole block; the inverted lists are kept by
 (size class, block, block content) and scanned. The boundary is where listing subsets costs more rows than blocks do.
 
-Sets that meet in a list make a family (components of star edges, not of pairs). Families are cut into blocks of at most
-BLOCK sets in order of size; each pair of blocks with compatible sizes is one unit of work, in which all
+Sets that meet in a list make a family (components of star edges, not of pairs); a large family that is only strung together
+by chance lists is split into these lists. Families and lists are cut into blocks of at most BLOCK sets in order of size; each pair of blocks with compatible sizes is one unit of work, in which all
 intersections are counted exactly by matrix products, and which gives a forest of its links. Equal sets take part once.
 
 So no pairs within a group are emitted, no group is held by one task (blocks are), and every link between different sets
@@ -200,8 +200,24 @@ def _verified(batches):
 
 def _shingled(batches):
     for batch, found in texts(batches):
-        cols = [batch.column(batch.schema.get_field_index(c)) for c in ("label", "block", "fp", "pairs")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array([shingles(t).tobytes() for t in found], pa.binary())], names=["label", "block", "fp", "pairs", "s"])
+        cols = [batch.column(batch.schema.get_field_index(c)) for c in ("fp", "pairs")]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array([shingles(t).tobytes() for t in found], pa.binary())], names=["fp", "pairs", "s"])
+
+
+def _units(members: DataFrame, met: DataFrame) -> DataFrame:
+    """(label, fp, doc_id, n): what is to be compared with what, families or, if that is less work, single lists of a family.
+
+    A family of up to BLOCK sets is one unit. A larger one, which chance lists may have strung together, is split into its
+    different lists when these need fewer copies of sets than its blocks would; a pair that links shares a list.
+    """
+    large = members.groupBy("label").agg(F.count("*").alias("g")).where(F.col("g") > BLOCK)
+    listed = met.select("key", "fp").join(members.join(large, "label"), "fp")
+    lists = listed.groupBy("label", "key").agg(F.bit_xor(F.xxhash64("fp")).alias("x"), F.count("*").alias("c"), F.first("g").alias("g"))
+    lists = lists.groupBy("label", "x", "c").agg(F.min("key").alias("key"), F.first("g").alias("g"))
+    split = lists.groupBy("label").agg(F.sum(F.col("c") * F.ceil(F.col("c") / BLOCK)).alias("cost"), F.first("g").alias("g")).where("4 * cost < g * ceil(g / %d)" % BLOCK).select("label")
+    of_lists = listed.join(lists.join(split, "label").select("label", "key"), ["label", "key"]).select(F.xxhash64("label", "key").alias("label"), "fp", "doc_id", "n")
+    whole = members.join(split, "label", "left_anti").select("label", "fp", "doc_id", "n")
+    return whole.union(of_lists)
 
 
 def jaccard_components(documents: DataFrame) -> DataFrame:
@@ -212,21 +228,21 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     sets = scratch.keep(docs.mapInArrow(_sets, "doc_id long, n long, fp long"))
 
     lists = docs.select("text").mapInArrow(_lists, "key long, fp long")
-    stars = lists.select("fp", F.min("fp").over(Window.partitionBy("key")).alias("m")).where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b"))
-    families = components(stars, scratch)
+    by_key = Window.partitionBy("key")
+    met = scratch.keep(lists.select("key", "fp", F.min("fp").over(by_key).alias("m"), F.max("fp").over(by_key).alias("x")).where("m < x").select("key", "fp", "m").distinct())
+    families = components(met.where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b")), scratch)
     families = families.union(families.select("label", "label").distinct()).toDF("fp", "label")
+    members = scratch.keep(sets.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")).join(families, "fp"))
 
-    ranked = Window.partitionBy("label").orderBy("n", "fp")
-    members = scratch.keep(
-        sets.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")).join(families, "fp").withColumn("block", F.floor((F.row_number().over(ranked) - 1) / BLOCK).cast("int"))
-    )
-    spans = members.groupBy("label", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    units = scratch.keep(_units(members, met).withColumn("block", F.floor((F.row_number().over(Window.partitionBy("label").orderBy("n", "fp")) - 1) / BLOCK).cast("int")))
+    spans = units.groupBy("label", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     first, second = spans.select("label", F.col("block").alias("bi"), "hi"), spans.select("label", F.col("block").alias("bj"), "lo")
-    units = first.join(second, "label").where("bi <= bj and 20 * hi >= 17 * lo").select("label", "bi", "bj", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("block"))
-    units = units.groupBy("label", "block").agg(F.collect_list(F.struct("bi", "bj")).alias("pairs"))
+    pairs = first.join(second, "label").where("bi <= bj and 20 * hi >= 17 * lo").select("label", "bi", "bj", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("block"))
+    pairs = pairs.groupBy("label", "block").agg(F.collect_list(F.struct("label", "block", "bi", "bj")).alias("pairs"))
+    wanted = units.join(pairs, ["label", "block"]).groupBy("doc_id", "fp").agg(F.flatten(F.collect_list("pairs")).alias("pairs"))
 
-    work = members.join(units, ["label", "block"]).select("doc_id", "label", "block", "fp", "pairs").join(docs, "doc_id").select("label", "block", "fp", "pairs", "text").mapInArrow(_shingled, "label long, block int, fp long, pairs array<struct<bi:int,bj:int>>, s binary")
-    work = work.select("label", F.explode("pairs").alias("p"), "block", "fp", "s").select("label", "p.bi", "p.bj", "block", "fp", "s")
+    work = wanted.join(docs, "doc_id").select("fp", "pairs", "text").mapInArrow(_shingled, "fp long, pairs array<struct<label:bigint,block:int,bi:int,bj:int>>, s binary")
+    work = work.select(F.explode("pairs").alias("p"), "fp", "s").select("p.label", "p.bi", "p.bj", "p.block", "fp", "s")
     links = work.repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj", "block", "fp").mapInArrow(_verified, "a long, b long")
 
     found = components(links, scratch).select(F.col("node").alias("fp"), "label")
