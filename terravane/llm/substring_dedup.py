@@ -117,6 +117,11 @@ def _verdicts(batches):
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_text, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
 
+def _by_document(replies: DataFrame) -> DataFrame:
+    """Sends replies to their documents as plain rows, sorted first, as neighbours with the same doc_id compress."""
+    return replies.sortWithinPartitions("doc_id").repartition("doc_id")
+
+
 def substring_dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (kept words joined by one space) of every document."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -132,9 +137,11 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
     base = docs.join(copies, "doc_id", "left")
     own = base.where("copy is null and doc_id is not null").select("doc_id", "text")
     anchors = own.mapInArrow(_distinct_anchors, "h long, doc_id long")
-    repeated = anchors.select("h", "doc_id", F.count("*").over(Window.partitionBy("h")).alias("n")).where("n > 1").groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
+    repeated = anchors.select("h", "doc_id", F.count("*").over(Window.partitionBy("h")).alias("n")).where("n > 1").select("doc_id", "h")
+    repeated = _by_document(repeated).groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
     found = own.join(repeated, "doc_id", "left").select("doc_id", "text", "hs").mapInArrow(_distinct_windows, "h long, c int, doc_id long, place int")
-    late = found.select("doc_id", "place", F.min("doc_id").over(Window.partitionBy("h", "c")).alias("owner")).where("owner < doc_id").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    late = found.select("doc_id", "place", F.min("doc_id").over(Window.partitionBy("h", "c")).alias("owner")).where("owner < doc_id").select("doc_id", "place")
+    late = _by_document(late).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     return base.join(late, "doc_id", "left").select("doc_id", "text", "copy", "places").mapInArrow(_verdicts, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
