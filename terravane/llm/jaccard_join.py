@@ -8,9 +8,10 @@ partner size needs; linked sets list one subset both. Heavy sets: the hash range
 linked pair can have differing shingles, so a linked pair agrees on a whole block; the inverted lists are kept by
 (size class, block, block content) and scanned. The boundary is where listing subsets costs more rows than blocks do.
 
-Sets that meet in a list make a family (components of star edges, not of pairs); a large family that is only strung together
-by chance lists is split into these lists. Families and lists are cut into blocks of at most BLOCK sets in order of size; each pair of blocks with compatible sizes is one unit of work, in which all
-intersections are counted exactly by matrix products, and which gives a forest of its links. Equal sets take part once.
+Sets that meet in two or more lists make a family (components of star edges, not of pairs); lists within one family need no more
+work, and each different list across families is compared itself. Families and lists are cut into blocks of at most BLOCK sets in
+order of size; each pair of blocks with compatible sizes is one unit of work, in which all intersections are counted exactly by matrix
+products, and which gives a forest of its links. Equal sets take part once.
 
 So no pairs within a group are emitted, no group is held by one task (blocks are), and every link between different sets
 is tested. Sets are told apart by 64-bit hashes of shingles and of whole sets; n different sets have a chance
@@ -205,19 +206,16 @@ def _shingled(batches):
 
 
 def _units(members: DataFrame, met: DataFrame) -> DataFrame:
-    """(label, fp, doc_id, n): what is to be compared with what, families or, if that is less work, single lists of a family.
+    """(label, fp, doc_id, n): what is to be compared with what, each family and each different list across families.
 
-    A family of up to BLOCK sets is one unit. A larger one, which chance lists may have strung together, is split into its
-    different lists when these need fewer copies of sets than its blocks would; a pair that links shares a list.
+    Two sets that link share a list; that list lies within one family, or is a unit itself.
     """
-    large = members.groupBy("label").agg(F.count("*").alias("g")).where(F.col("g") > BLOCK)
-    listed = met.select("key", "fp").join(members.join(large, "label"), "fp")
-    lists = listed.groupBy("label", "key").agg(F.bit_xor(F.xxhash64("fp")).alias("x"), F.count("*").alias("c"), F.first("g").alias("g"))
-    lists = lists.groupBy("label", "x", "c").agg(F.min("key").alias("key"), F.first("g").alias("g"))
-    split = lists.groupBy("label").agg(F.sum(F.col("c") * F.ceil(F.col("c") / BLOCK)).alias("cost"), F.first("g").alias("g")).where("4 * cost < g * ceil(g / %d)" % BLOCK).select("label")
-    of_lists = listed.join(lists.join(split, "label").select("label", "key"), ["label", "key"]).select(F.xxhash64("label", "key").alias("label"), "fp", "doc_id", "n")
-    whole = members.join(split, "label", "left_anti").select("label", "fp", "doc_id", "n")
-    return whole.union(of_lists)
+    listed = met.select("key", "fp").join(members, "fp")
+    across = listed.groupBy("key").agg(F.bit_xor(F.xxhash64("fp")).alias("x"), F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    across = across.groupBy("x", "c").agg(F.min("key").alias("key")).select("key")
+    of_lists = listed.join(across, "key").select(F.xxhash64("key").alias("label"), "fp", "doc_id", "n")
+    families = members.groupBy("label").count().where("count > 1").select("label")
+    return members.join(families, "label").select("label", "fp", "doc_id", "n").union(of_lists)
 
 
 def jaccard_components(documents: DataFrame) -> DataFrame:
@@ -230,9 +228,10 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     lists = docs.select("text").mapInArrow(_lists, "key long, fp long")
     by_key = Window.partitionBy("key")
     met = scratch.keep(lists.select("key", "fp", F.min("fp").over(by_key).alias("m"), F.max("fp").over(by_key).alias("x")).where("m < x").select("key", "fp", "m").distinct())
-    families = components(met.where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b")), scratch)
-    families = families.union(families.select("label", "label").distinct()).toDF("fp", "label")
-    members = scratch.keep(sets.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")).join(families, "fp"))
+    often = met.where("fp <> m").groupBy("fp", "m").count().where("count > 1")
+    families = components(often.select(F.col("fp").alias("a"), F.col("m").alias("b")), scratch).toDF("fp", "label")
+    members = sets.join(met.select("fp").distinct(), "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    members = scratch.keep(members.join(families, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
 
     units = scratch.keep(_units(members, met).withColumn("block", F.floor((F.row_number().over(Window.partitionBy("label").orderBy("n", "fp")) - 1) / BLOCK).cast("int")))
     spans = units.groupBy("label", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
