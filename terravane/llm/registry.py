@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_id, piece_sampling, quality_classifier, quality_rules, substring_dedup
+from . import decontamination, jaccard_join, language_id, line_dedup, piece_sampling, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -10,7 +10,8 @@ QUERIES = {
     "op3_sentencepiece_sampling": piece_sampling.op3_sentencepiece_sampling,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
-ORACLES = {"op10_quality_rules": quality_rules.ORACLE}
+ORACLES = {"op7_line_dedup": line_dedup.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
