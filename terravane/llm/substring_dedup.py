@@ -15,7 +15,7 @@ The shuffles carry hashes and places; one shuffle of texts by document is used t
 gathered: groups are counted with sorted windows that spill. A document's own lists are as long as its text.
 
 Null and empty texts have no words. doc_id should be unique and not null; rows with a null doc_id are
-returned with nothing removed, and rows that share a doc_id count as one document of each text. Other columns are ignored.
+returned and lose only what they repeat themselves, and rows that share a doc_id count as one document of each text. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -124,25 +124,27 @@ def _by_document(replies: DataFrame) -> DataFrame:
 
 def substring_dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (kept words joined by one space) of every document."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = every.where("doc_id is not null")  # stated once, so that all three uses share one shuffle of the texts
     same = Window.partitionBy("a", "b")
     copies = (
-        docs.where("doc_id is not null")
-        .select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("second"), F.col("text"), F.char_length("text")).alias("b"))
+        docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("second"), F.col("text"), F.char_length("text")).alias("b"))
         .select("doc_id", F.min("doc_id").over(same).alias("owner"))
         .where("owner < doc_id")
         .select("doc_id", F.lit(True).alias("copy"))
         .distinct()
     )
     base = docs.join(copies, "doc_id", "left")
-    own = base.where("copy is null and doc_id is not null").select("doc_id", "text")
+    own = base.where("copy is null").select("doc_id", "text")
     anchors = own.mapInArrow(_distinct_anchors, "h long, doc_id long")
     repeated = anchors.select("h", "doc_id", F.count("*").over(Window.partitionBy("h")).alias("n")).where("n > 1").select("doc_id", "h")
     repeated = _by_document(repeated).groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
     found = own.join(repeated, "doc_id", "left").select("doc_id", "text", "hs").mapInArrow(_distinct_windows, "h long, c int, doc_id long, place int")
     late = found.select("doc_id", "place", F.min("doc_id").over(Window.partitionBy("h", "c")).alias("owner")).where("owner < doc_id").select("doc_id", "place")
     late = _by_document(late).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    return base.join(late, "doc_id", "left").select("doc_id", "text", "copy", "places").mapInArrow(_verdicts, "doc_id long, n_words long, n_removed long, kept_text string")
+    judged = base.join(late, "doc_id", "left").select("doc_id", "text", "copy", "places")
+    without_id = every.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("boolean").alias("copy"), F.lit(None).cast("array<int>").alias("places"))
+    return judged.union(without_id).mapInArrow(_verdicts, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
