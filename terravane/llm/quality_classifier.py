@@ -150,6 +150,16 @@ def classify(documents: DataFrame, model: Model, keys: tuple[str, ...] = ("doc_i
     return documents.select(*keys, "text").mapInArrow(predict, schema)
 
 
+def accepted(documents: DataFrame, model: Model, least: float = ACCEPT) -> DataFrame:
+    """The documents, with all their columns, whose score is at least `least`."""
+
+    def keep(batches):
+        for batch, found in texts(batches):
+            yield batch.filter(pa.array(model.scores([features(t) for t in found]) >= least))
+
+    return documents.mapInArrow(keep, documents.schema)
+
+
 def held_out() -> "F.Column":
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 

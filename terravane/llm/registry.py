@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_id, line_dedup, piece_sampling, quality_classifier, quality_rules, substring_dedup
+from . import decontamination, jaccard_join, language_id, line_dedup, lm_scoring, piece_sampling, quality_classifier, quality_rules, substring_dedup, token_counts
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_sentencepiece_sampling": piece_sampling.op3_sentencepiece_sampling,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_lm_scoring": lm_scoring.op8_lm_scoring,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
