@@ -20,9 +20,9 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +37,7 @@ UNITS = frozenset(
     b"minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros mile miles foot feet inch inches".split()
 )
 EDGE = b".,;:!?\"'()[]{}<>*#$&|"
+DIGITS = frozenset(b"%c" % c for c in b"+-$0123456789")
 NUMBER = re.compile(rb"[+-]?[$]?\d[\d.,/:]*%?")
 PLACEHOLDERS = {"number": U(0x1111111111111111), "name": U(0x2222222222222222), "unit": U(0x3333333333333333)}
 SLOTS = np.array(sorted(PLACEHOLDERS.values()), U)
@@ -51,14 +52,15 @@ class Template(dict):
 
     def __missing__(self, word: bytes) -> int:
         bare = word.strip(EDGE)
-        if NUMBER.fullmatch(bare):
+        head = bare[:1]
+        if head in DIGITS and NUMBER.fullmatch(bare):
             h = PLACEHOLDERS["number"]
-        elif bare.lower() in UNITS:
+        elif (low := bare.lower()) in UNITS:
             h = PLACEHOLDERS["unit"]
-        elif bare[:1].isupper() or (len(bare) > 1 and bare[0] == 0xC3 and 0x80 <= bare[1] <= 0x9E):
+        elif low[:1] != head or (head == b"\xc3" and b"\x80" <= bare[1:2] <= b"\x9e"):
             h = PLACEHOLDERS["name"]
         else:
-            h = pd.util.hash_array(np.array([bare.decode("utf-8", "replace").lower()], object), categorize=False)[0]
+            h = int.from_bytes(blake2b(low, digest_size=8).digest(), "little")
         if len(self) >= self.most:
             self.clear()
         self[word] = out = int(h)
