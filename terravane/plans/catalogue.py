@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import scalar_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
