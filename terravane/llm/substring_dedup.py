@@ -124,7 +124,9 @@ def _by_document(replies: DataFrame) -> DataFrame:
 
 def substring_dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (kept words joined by one space) of every document."""
-    every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    every = documents.select("doc_id", "text")  # an alias here would give the shuffle of texts two forms
+    if dict(every.dtypes)["doc_id"] != "bigint":
+        every = every.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = every.where("doc_id is not null")  # stated once, so that all three uses share one shuffle of the texts
     same = Window.partitionBy("a", "b")
     copies = (
