@@ -65,15 +65,17 @@ class Scratch:
 def texts(batches: Iterator[pa.RecordBatch], most: int = 4 << 20, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
     """Parts of Arrow batches with their whole texts as UTF-8 bytes (None for null), of about `most` bytes each."""
     for batch in batches:
-        found = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
-        start = held = 0
-        for i, t in enumerate(found):
-            held += len(t) if t is not None else 0
+        at = batch.schema.get_field_index(text)
+        start, found, held = 0, [], 0
+        for low in range(0, batch.num_rows, 64):
+            some = batch.column(at).slice(low, 64).cast(pa.binary()).to_pylist()
+            found += some
+            held += sum(len(t) for t in some if t is not None)
             if held >= most:
-                yield batch.slice(start, i + 1 - start), found[start : i + 1]
-                start, held = i + 1, 0
-        if start < len(found):
-            yield batch.slice(start), found[start:]
+                yield batch.slice(start, len(found)), found
+                start, found, held = start + len(found), [], 0
+        if found:
+            yield batch.slice(start), found
 
 
 def numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:

@@ -28,6 +28,10 @@ from .common import WORD, Scratch, table
 
 EDITS = 2
 LEAST = 20
+#: Copies from which a line counts as frequent, and how many such lines at most are sent to all tasks.
+FREQUENT, MOST_FREQUENT = 100, 10_000
+#: Longs of the bitmap.
+WORDS = 1 << 18
 #: Letters whose counts are compared, as many as fit into a long at five bits each.
 LETTERS = "aeinorstuldc"
 
@@ -43,18 +47,23 @@ def _choices(edits: int) -> list[tuple[int, int, int]]:
     return [(d, i, j) for d in range(edits + 1) for i in range(1, edits + 2) for j in range(max(1 - i, d - (edits + 1 - i)), min(i - 1, d + (edits + 1 - i)) + 1)]
 
 
-def _keys(line: Column, edits: int = EDITS) -> Column:
-    """Array of (key, own): hashes of possible segments; own for the line's own ones."""
-    n, parts, out = F.char_length(line), edits + 1, []
+def _keyed(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(key, id, own): hashes of possible segments of lines (id, line); own for the line's own ones.
+
+    Lengths and cuts are columns of their own, so that each is computed once for a line.
+    """
+    parts = edits + 1
+    cuts = lines.select("id", "line", F.char_length("line").alias("n"))
+    for d in range(edits + 1):
+        cuts = cuts.withColumns({f"q{d}": F.expr(f"(n - {d}) div {parts}").cast("int"), f"r{d}": F.expr(f"{parts} - (n - {d}) % {parts}").cast("int")})
+    out = []
     for d, i, j in _choices(edits):
-        size = n - d
-        short, extra = F.floor(size / parts).cast("int"), size % parts
-        longer_before = F.greatest(F.lit(i - 1) - (F.lit(parts) - extra), F.lit(0))
-        start = short * (i - 1) + longer_before + 1 + j
-        length = short + F.when(F.lit(i) > F.lit(parts) - extra, 1).otherwise(0)
-        fits = (start >= 1) & (start + length - 1 <= n)
-        out.append(F.struct(F.when(fits, F.xxhash64(F.lit(i), size, F.substring(line, start, length))).alias("key"), F.lit(d == 0 and j == 0).alias("own"), F.lit(d).alias("shorter")))
-    return F.array(*out)
+        q, whole = F.col(f"q{d}"), F.col(f"r{d}")  # segments after the first `whole` ones are longer by one
+        start = q * (i - 1) + F.greatest(F.lit(i - 1) - whole, F.lit(0)) + (1 + j)
+        length = q + F.when(whole < i, 1).otherwise(0)
+        fits = (start >= 1) & (start + length - 1 <= F.col("n"))
+        out.append(F.struct(F.when(fits, F.xxhash64(F.lit(i), F.col("n") - d, F.substring("line", start, length))).alias("key"), F.lit(d == 0 and j == 0).alias("own")))
+    return cuts.select("id", F.explode(F.array(*out)).alias("k")).select(F.col("k.key").alias("key"), "id", F.col("k.own").alias("own")).where("key is not null")
 
 
 def _letters(line: Column) -> Column:
@@ -73,15 +82,24 @@ def _letters_apart(a: str, b: str) -> str:
 
 def near_lines(lines: DataFrame, scratch: Scratch, edits: int = EDITS) -> DataFrame:
     """(id, id2) of the texts within `edits` edits of one that is first met earlier."""
-    keyed = lines.select("id", F.explode(_keys(F.col("line"), edits)).alias("k")).select(F.col("k.key").alias("key"), "id", F.col("k.own").alias("own"), F.col("k.shorter").alias("shorter")).where("key is not null").distinct()
+    copies = lines.select("id", "doc_id", "pos").groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    frequent = copies.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "id").limit(MOST_FREQUENT).select("id", "first")
+    # of the most frequent lines, whose number is bounded, the first alone gives hashes; of others all do, which changes no result
+    once = lines.join(F.broadcast(frequent), "id", "left").where("first is null or first = struct(doc_id, pos)").select("id", "line")
     of_key = Window.partitionBy("key")
-    shared = scratch.keep(keyed.select("key", "id", "own", "shorter", F.min("id").over(of_key).alias("lo"), F.max("id").over(of_key).alias("hi")).where("lo < hi").select("key", "id", "own", "shorter"))
-    met = lines.join(shared.select("id").distinct(), "id").groupBy("id", "id2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.min("line").alias("line"))
+    shared = _keyed(once, edits).select("key", "id", "own", F.min("id").over(of_key).alias("lo"), F.max("id").over(of_key).alias("hi")).where("lo < hi")
+    shared = scratch.keep(shared.select("key", "id", "own").distinct())
+
+    # a bitmap of fixed size keeps most other lines out of the shuffle of texts; the join is exact whatever it lets through
+    word = F.expr(f"id & {WORDS - 1}")
+    bitmap = shared.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(id, 58) as int))")).alias("bits"))
+    likely = lines.withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.expr("shiftright(bits, cast(shiftrightunsigned(id, 58) as int)) & 1") == 1).select("id", "id2", "doc_id", "pos", "line")
+    met = likely.join(shared.select("id").distinct(), "id").groupBy("id", "id2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.min("line").alias("line"))
     met = scratch.keep(met.select("id", "id2", "first", "line", F.char_length("line").alias("n"), _letters(F.col("line")).alias("letters")))
 
     short = shared.where("own").join(met, "id").select("key", F.col("id2").alias("a"), F.col("n").alias("an"), F.col("letters").alias("al"))
-    long = shared.join(met, "id").select("key", F.col("id2").alias("b"), F.col("n").alias("bn"), F.col("letters").alias("bl"), "shorter")
-    near = f"bn - an = shorter and (shorter > 0 or a < b) and {_letters_apart('al', 'bl')} <= {2 * edits}"
+    long = shared.join(met, "id").select("key", F.col("id2").alias("b"), F.col("n").alias("bn"), F.col("letters").alias("bl"))
+    near = f"bn - an between 0 and {edits} and (bn > an or a < b) and {_letters_apart('al', 'bl')} <= {2 * edits}"
     pairs = short.join(long, "key").where(near).select("a", "b").distinct()
     of_a, of_b = (met.select(F.col("id2").alias(c), F.col("id").alias(f"{c}_id"), F.col("first").alias(f"{c}_first"), F.col("line").alias(f"{c}_line")) for c in "ab")
     found = pairs.join(of_a, "a").join(of_b, "b").where(F.levenshtein("a_line", "b_line", edits) >= 0)
