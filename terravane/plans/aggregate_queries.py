@@ -65,7 +65,7 @@ def _(w):
     return w.gedge.join(F.broadcast(w.dim), "kind").groupBy(F.col("src").alias("node")).agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
 
 
-@query("a11_majority_class", "SELECT bx, q.by, arg_max(cls, n * 100 - cls) AS majority FROM (SELECT ix // 4 AS bx, iy // 4 AS "by", cls, count(*) AS n FROM ras GROUP BY 1, 2, 3) q GROUP BY bx, q.by")
+@query("a11_majority_class", "SELECT bx, by_ AS by, arg_max(cls, n * 100 - cls) AS majority FROM (SELECT ix // 4 AS bx, iy // 4 AS by_, cls, count(*) AS n FROM ras GROUP BY 1, 2, 3) q GROUP BY bx, by_")
 def _(w):
     return A.majority(w.ras.selectExpr("ix div 4 as bx", "iy div 4 as by", "cls"), ["bx", "by"], "cls")
 
@@ -228,10 +228,10 @@ def _(w):
     return w.table("customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.coalesce("n_name", F.lit("nowhere")).alias("place"))
 
 
-@query("j14_semi_join", "SELECT eid FROM gedge WHERE src IN (SELECT src FROM gedge WHERE kind = 0)")
+@query("j14_semi_join", "SELECT eid FROM gedge WHERE dst IN (SELECT dst FROM gedge WHERE len > 90)")
 def _(w):
-    touched = w.gedge.where("kind = 0").select("src").distinct()
-    return w.gedge.join(touched, "src", "left_semi").select("eid")
+    touched = w.gedge.where("len > 90").select("dst").distinct()
+    return w.gedge.join(touched, "dst", "left_semi").select("eid")
 
 
 @query("v13_facet_totals", "SELECT type, count(*) AS n, round(sum(len) * 2.5 / 1000, 3) AS km FROM gedge JOIN dim USING (kind) GROUP BY type")

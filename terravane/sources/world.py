@@ -67,7 +67,7 @@ class World:
     @functools.cached_property
     def spans(self) -> DataFrame:
         """Ten intervals of seq for each user; some touch or overlap, some are near."""
-        return self.pts.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(9))).cast("long").alias("k")).selectExpr("user_id", "k", "10 * k as s0", "10 * k + (k * 7 + user_id) % 14 as s1")
+        return self.pts.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("k")).selectExpr("user_id", "k", "10 * k as s0", "10 * k + (k * 7 + user_id) % 14 as s1")
 
     @functools.cached_property
     def dim(self) -> DataFrame:
