@@ -62,8 +62,9 @@ def _keyed(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         start = q * (i - 1) + F.greatest(F.lit(i - 1) - whole, F.lit(0)) + (1 + j)
         length = q + F.when(whole < i, 1).otherwise(0)
         fits = (start >= 1) & (start + length - 1 <= F.col("n"))
-        out.append(F.struct(F.when(fits, F.xxhash64(F.lit(i), F.col("n") - d, F.substring("line", start, length))).alias("key"), F.lit(d == 0 and j == 0).alias("own")))
-    return cuts.select("id", F.explode(F.array(*out)).alias("k")).select(F.col("k.key").alias("key"), "id", F.col("k.own").alias("own")).where("key is not null")
+        out.append(F.when(fits, F.xxhash64(F.lit(i), F.col("n") - d, F.substring("line", start, length))))
+    own = [k for k, (d, _, j) in enumerate(_choices(edits)) if d == 0 and j == 0]
+    return cuts.select("id", F.posexplode(F.array(*out)).alias("k", "key")).where("key is not null").select("key", "id", F.col("k").isin(own).alias("own"))
 
 
 def _letters(line: Column) -> Column:
@@ -80,10 +81,9 @@ def _letters_apart(a: str, b: str) -> str:
     return " + ".join(one)
 
 
-def near_lines(lines: DataFrame, scratch: Scratch, edits: int = EDITS) -> DataFrame:
-    """(id, id2) of the texts within `edits` edits of one that is first met earlier."""
-    copies = lines.select("id", "doc_id", "pos").groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
-    frequent = copies.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "id").limit(MOST_FREQUENT).select("id", "first")
+def near_lines(lines: DataFrame, copies: DataFrame, scratch: Scratch, edits: int = EDITS) -> DataFrame:
+    """(id, id2) of the texts within `edits` edits of one that is first met earlier; copies: id, id2, n, first of each text."""
+    frequent = copies.groupBy("id").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "id").limit(MOST_FREQUENT).select("id", "first")
     # of the most frequent lines, whose number is bounded, the first alone gives hashes; of others all do, which changes no result
     once = lines.join(F.broadcast(frequent), "id", "left").where("first is null or first = struct(doc_id, pos)").select("id", "line")
     of_key = Window.partitionBy("key")
@@ -111,9 +111,10 @@ def removed_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id and the sorted numbers (from 0) of its lines that go, for documents that lose any."""
     scratch = Scratch(documents.sparkSession, "lines")
     lines = numbered(documents)
-    near = near_lines(lines, scratch, edits).withColumn("near", F.lit(True))
     marks = lines.select("doc_id", "pos", "id", "id2")
-    texts = marks.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).join(near, ["id", "id2"], "left").where("n > 1 or near")
+    copies = scratch.keep(marks.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")))
+    near = near_lines(lines, copies, scratch, edits).withColumn("near", F.lit(True))
+    texts = copies.join(near, ["id", "id2"], "left").where("n > 1 or near")
     gone = marks.join(texts, ["id", "id2"]).where("near or first <> struct(doc_id, pos)").select("doc_id", "pos")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
