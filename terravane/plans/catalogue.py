@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregate_queries, graph_queries, raster_queries, scalar_queries, sequence_queries, spatial_queries  # noqa: F401
+from . import aggregate_queries, graph_queries, placement_queries, raster_queries, rule_queries, scalar_queries, sequence_queries, spatial_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
