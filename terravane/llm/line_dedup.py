@@ -32,8 +32,8 @@ LEAST = 20
 FREQUENT, MOST_FREQUENT = 100, 10_000
 #: Longs of the bitmap.
 WORDS = 1 << 18
-#: Letters whose counts are compared, as many as fit into a long at five bits each.
-LETTERS = "aeinorstuldc"
+#: Letters whose counts are compared, five bits each in a long.
+LETTERS = "aeinrt"
 
 
 def numbered(documents: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def removed_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id and the sorted numbers (from 0) of its lines that go, for documents that lose any."""
     scratch = Scratch(documents.sparkSession, "lines")
     lines = numbered(documents)
-    marks = lines.select("doc_id", "pos", "id", "id2")
+    marks = scratch.keep(lines.select("doc_id", "pos", "id", "id2"))
     copies = scratch.keep(marks.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")))
     near = near_lines(lines, copies, scratch, edits).withColumn("near", F.lit(True))
     texts = copies.join(near, ["id", "id2"], "left").where("n > 1 or near")
