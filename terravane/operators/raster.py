@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 
 from .graph import components, cut
 
-ROW, COLUMN = Window.partitionBy("iy").orderBy("ix"), Window.partitionBy("ix").orderBy("iy")
+
+
+def rows():
+    return Window.partitionBy("iy").orderBy("ix")
+
+
+def columns():
+    return Window.partitionBy("ix").orderBy("iy")
+
+
 FOUR = ((1, 0), (-1, 0), (0, 1), (0, -1))
 EIGHT = tuple((i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)
 
@@ -21,8 +30,8 @@ def cascade(masks: list[tuple[str, Column]]) -> Column:
 
 def separable(cells: DataFrame, value: str, out: str, radius: int, f: Callable[[Column], Column]) -> DataFrame:
     """A window function over 2 radius + 1 cells along rows, then along columns: box sums, maxima, minima."""
-    once = cells.withColumn(out, f(F.col(value)).over(ROW.rowsBetween(-radius, radius)))
-    return once.withColumn(out, f(F.col(out)).over(COLUMN.rowsBetween(-radius, radius)))
+    once = cells.withColumn(out, f(F.col(value)).over(rows().rowsBetween(-radius, radius)))
+    return once.withColumn(out, f(F.col(out)).over(columns().rowsBetween(-radius, radius)))
 
 
 def blur(cells: DataFrame, value: str, out: str, radius: int) -> DataFrame:
@@ -56,7 +65,7 @@ def closed(cells: DataFrame, value: str, out: str, radius: int) -> DataFrame:
 def gradient(cells: DataFrame, value: str, size: float = 1.0) -> DataFrame:
     """Adds gx, gy: central differences, one-sided at the rim."""
     out = cells
-    for w, name in ((ROW, "gx"), (COLUMN, "gy")):
+    for w, name in ((rows(), "gx"), (columns(), "gy")):
         a, b, v = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
         out = out.withColumn(name, F.when(a.isNull(), (b - v) / size).when(b.isNull(), (v - a) / size).otherwise((b - a) / (2.0 * size)))
     return out
@@ -107,12 +116,12 @@ def fill_holes(cells: DataFrame, mask: str, nx: int, ny: int, smaller: int | Non
 
 def distance_transform(cells: DataFrame, mask: str, reach: int) -> DataFrame:
     """Adds d2, the squared distance to the nearest set cell if within reach, by columns and then by rows."""
-    up, down = COLUMN.rowsBetween(Window.unboundedPreceding, 0), COLUMN.rowsBetween(0, Window.unboundedFollowing)
+    up, down = columns().rowsBetween(Window.unboundedPreceding, 0), columns().rowsBetween(0, Window.unboundedFollowing)
     at = F.when(F.col(mask), F.col("iy"))
     col = cells.withColumn("_d", F.least(F.col("iy") - F.max(at).over(up), F.min(at).over(down) - F.col("iy")))
     best = F.lit(None).cast("long")
     for k in range(-reach, reach + 1):
-        v = F.lag("_d", -k).over(ROW) if k else F.col("_d")
+        v = F.lag("_d", -k).over(rows()) if k else F.col("_d")
         best = F.least(best, F.when(v <= reach, v * v + k * k))
     return col.withColumn("d2", F.when(best <= reach * reach, best)).drop("_d")
 
@@ -158,5 +167,5 @@ def lit_height(cells: DataFrame, value: str, out: str, fall: float, steps: int)
     now = cells.withColumn(out, F.col(value).cast("double"))
     for k in range(steps):
         length = 1 << k
-        now = now.withColumn(out, F.greatest(F.col(out), F.lag(out, length).over(ROW) - length * fall))
+        now = now.withColumn(out, F.greatest(F.col(out), F.lag(out, length).over(rows()) - length * fall))
     return now

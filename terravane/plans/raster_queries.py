@@ -129,7 +129,7 @@ _D2 = "d AS (SELECT ix, iy, abs(v - 2 * lag(v) OVER r + lag(v, 2) OVER r) AS d2
 
 @query("r22_seams", f", {_D2} SELECT ix, iy, d2 FROM d WHERE ix % 10 = 0 AND d2 > (SELECT greatest(1.2 * quantile_cont(d2, 0.95), 3) FROM d)")
 def _(w):
-    d = w.ras.select("ix", "iy", F.abs(F.col("v") - 2 * F.lag("v").over(A.ROW) + F.lag("v", 2).over(A.ROW)).alias("d2"))
+    d = w.ras.select("ix", "iy", F.abs(F.col("v") - 2 * F.lag("v").over(A.rows()) + F.lag("v", 2).over(A.rows())).alias("d2"))
     limit = d.agg(F.greatest(F.percentile("d2", 0.95) * 1.2, F.lit(3.0)).alias("lim"))
     return d.where("ix % 10 = 0").crossJoin(F.broadcast(limit)).where("d2 > lim").select("ix", "iy", "d2")
 

@@ -142,7 +142,7 @@ def _(w):
 
 @query("q13_surface_step", f", s AS (SELECT ix, iy, abs(v - lag(v) OVER (PARTITION BY iy ORDER BY ix)) AS d FROM ras) {_out('surface_step', 'warn', 'ix', 'iy', chr(39) + 'step ' + chr(39) + ' || CAST(d AS VARCHAR)', 'iy * 100 + ix')} FROM s WHERE d > 120 AND NOT (ix BETWEEN 40 AND 60 AND iy BETWEEN 10 AND 30)")
 def _(w):
-    s = w.ras.withColumn("d", F.abs(F.col("v") - F.lag("v").over(A.ROW)))
+    s = w.ras.withColumn("d", F.abs(F.col("v") - F.lag("v").over(A.rows())))
     return U.issues(s, "surface_step", "warn", F.col("iy") * 100 + F.col("ix"), F.concat(L("step "), _s("d")), "ix", "iy", "d > 120 and not (ix between 40 and 60 and iy between 10 and 30)")
 
 
@@ -176,7 +176,7 @@ def _(w):
 
 @query("q18_seam", f", d AS (SELECT ix, iy, abs(v - 2 * lag(v) OVER r + lag(v, 2) OVER r) AS d2 FROM ras WINDOW r AS (PARTITION BY iy ORDER BY ix)) {_out('seam', 'error', 'ix', 'iy', chr(39) + 'jump ' + chr(39) + ' || CAST(d2 AS VARCHAR)', 'iy * 100 + ix')} FROM d WHERE ix % 10 = 0 AND d2 > (SELECT greatest(quantile_cont(d2, 0.9), 3) FROM d)")
 def _(w):
-    d = w.ras.select("ix", "iy", F.abs(F.col("v") - 2 * F.lag("v").over(A.ROW) + F.lag("v", 2).over(A.ROW)).alias("d2"))
+    d = w.ras.select("ix", "iy", F.abs(F.col("v") - 2 * F.lag("v").over(A.rows()) + F.lag("v", 2).over(A.rows())).alias("d2"))
     lim = F.broadcast(d.agg(F.greatest(F.percentile("d2", 0.9), L(3.0)).alias("lim")))
     return U.issues(d.crossJoin(lim), "seam", "error", F.col("iy") * 100 + F.col("ix"), F.concat(L("jump "), _s("d2")), "ix", "iy", "ix % 10 = 0 and d2 > lim")
 

@@ -166,10 +166,10 @@ def _(w):
 
 @query("w33_predictor_residual", "SELECT ix, iy, v - (coalesce(lag(v) OVER r, 0) + coalesce(lag(v) OVER c, 0) - coalesce(lag(l) OVER c, 0)) AS e FROM (SELECT *, lag(v) OVER (PARTITION BY iy ORDER BY ix) AS l FROM ras) WINDOW r AS (PARTITION BY iy ORDER BY ix), c AS (PARTITION BY ix ORDER BY iy)")
 def _(w):
-    from ..operators.raster import COLUMN, ROW
+    from ..operators.raster import columns, rows
 
-    left = w.ras.withColumn("l", F.coalesce(F.lag("v").over(ROW), F.lit(0)))
-    up = left.withColumns({"u": F.coalesce(F.lag("v").over(COLUMN), F.lit(0)), "ul": F.coalesce(F.lag("l").over(COLUMN), F.lit(0))})
+    left = w.ras.withColumn("l", F.coalesce(F.lag("v").over(rows()), F.lit(0)))
+    up = left.withColumns({"u": F.coalesce(F.lag("v").over(columns()), F.lit(0)), "ul": F.coalesce(F.lag("l").over(columns()), F.lit(0))})
     return up.select("ix", "iy", (F.col("v") - (F.col("l") + F.col("u") - F.col("ul"))).alias("e"))
 
 
