@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.llm import decontamination, jaccard_join, line_dedup, piece_sampling, quality_classifier
-from terravane.llm.common import Scratch, table
+from terravane.llm.common import Scratch, fresh, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the smallest doc_id stays."""
     found = jaccard_join.jaccard_components(docs)
-    copies = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
+    copy = fresh(docs, "copy_of")
+    copies = found.where("component_id <> doc_id").select(F.col("doc_id").alias(copy)).distinct()
+    return docs.join(copies, F.col("doc_id") == F.col(copy), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

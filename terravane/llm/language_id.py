@@ -86,6 +86,8 @@ def train(rows: list[tuple[str, int, np.ndarray, np.ndarray]], alpha: float = 0.
     df = np.zeros(size)
     for r in rows:
         df[r[2]] += 1
+    if not rows:
+        return Model([], np.ones(size, np.float32), np.zeros((size, 0), np.float32), np.zeros(0, np.float32))
     model = Model(names, np.log((1 + len(rows)) / (1 + df)).astype(np.float32) + np.float32(1), np.zeros((size, k), np.float32), np.zeros(k, np.float32))
     fit = [r for i, r in enumerate(rows) if i % 5 or len(rows) < 10]
     rest = [r for i, r in enumerate(rows) if not i % 5] if len(rows) >= 10 else rows

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, table
+from .common import WORD, Scratch, fresh, table
 
 EDITS = 2
 LEAST = 20
@@ -121,12 +121,13 @@ def removed_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
 
 def line_dedup(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     """The documents with all their columns, text without the lines that go; documents that lose all of their words go."""
-    gone = removed_lines(documents, edits).select(F.col("doc_id").alias("_doc"), "gone")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    joined = documents.join(gone, documents["doc_id"] == gone["_doc"], "left")
-    out = joined.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)).where(F.col("gone").isNull() | F.col("text").rlike(WORD))
+    key, out_ = fresh(documents, "line_doc"), fresh(documents, "line_gone")
+    lost = removed_lines(documents, edits).select(F.col("doc_id").alias(key), F.col("gone").alias(out_))
+    none = F.col(out_).isNull()
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(out_, i)), "\n")
+    out = documents.join(lost, F.col("doc_id") == F.col(key), "left").withColumn("text", F.when(none, F.col("text")).otherwise(kept)).where(none | F.col("text").rlike(WORD))
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(documents.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(none, F.col("n_chars")).otherwise(F.char_length("text").cast(documents.schema["n_chars"].dataType)))
     return out.select(*documents.columns)
 
 

@@ -1,0 +1,350 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy, and on hard cases: nulls in any column,
+empty and very long texts, ties and repeated rows, empty tables, extra columns with clashing names.
+"""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from terravane.llm import (
+    common, decontamination, jaccard_join, language_id, line_dedup, lm_scoring, piece_sampling, quality_classifier, quality_rules, registry, substring_dedup, token_counts,
+)
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Clashes with names that the operators use for themselves.
+CLASHING = ["h", "key", "fp", "label", "pos", "id", "gone", "score", "owner", "copy", "hs", "k", "block", "place", "target", "held_out", "_doc", "_t"]
+
+
+def invented(rng, n, words=400):
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 6))) for _ in range(words)]
+    return [" ".join(rng.choice(vocabulary) for _ in range(n)) for _ in range(1)][0]
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Small documents with exact copies, near copies, repeated passages and lines, and hard cases."""
+    rng = random.Random(5)
+    base = [invented(rng, rng.randint(3, 120)) for _ in range(40)]
+    passage = invented(rng, 45)
+    out = list(base)
+    for t in base[:12]:
+        w = t.split()
+        for _ in range(2):
+            v = list(w)
+            if len(v) > 6:
+                v[rng.randrange(len(v))] = "edited"
+            out.append(" ".join(v))
+    out += base[:6] + [base[20] + "\n" + passage, passage + "\t" + base[21], passage + " " + passage]
+    out += [None, "", "   \n\t ", "x", "x", "one two three", "one two three", "é ñ ▁ 🤦🏼", "a\x0bb\x0cc d", "same " * 3000, " ".join(f"w{i}" for i in range(4000))]
+    return [(3 * i + 1, t, None if i % 7 == 0 else "en", None if i % 5 == 0 else "s", None) for i, t in enumerate(out)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    df = spark.createDataFrame(corpus, SCHEMA)
+    return df.withColumns({c: F.lit(None).cast("string") for c in CLASHING}).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def test_words_agree():
+    t = " a\x0bb\x0cc\td\re\nf\x1cg\x85h i  "
+    assert t.encode().split() == [w.encode() for w in "a b c d e f\x1cg\x85h i".replace(" ", "|").split("|")]
+
+
+def test_substring_dedup(docs, none, corpus):
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in substring_dedup.substring_dedup(docs).collect()}
+    want = substring_dedup.brute_force([(r[0], r[1]) for r in corpus])
+    assert got == want and sum(v[1] for v in want.values()) > 100
+    assert substring_dedup.substring_dedup(none).count() == 0
+
+
+def test_substring_dedup_null_ids(spark):
+    df = spark.createDataFrame([(None, "a " * 30), (1, None)], "doc_id long, text string")
+    assert sorted((r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(df).collect()) == [(0, 0), (30, 29)]
+
+
+def test_cover_meets_every_difference():
+    cover = set(substring_dedup.COVER)
+    for i, j in itertools.product(range(substring_dedup.PERIOD), repeat=2):
+        assert any((i + k) % substring_dedup.PERIOD in cover and (j + k) % substring_dedup.PERIOD in cover for k in range(substring_dedup.PERIOD))
+
+
+def test_jaccard_components(docs, none, corpus):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
+    want = jaccard_join.brute_force([(r[0], r[1]) for r in corpus])
+    assert got == want and sum(k != c for k, (_, c) in want.items()) > 10
+    assert jaccard_join.jaccard_components(none).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 90), st.integers(0, 12), st.integers(0, 12), st.integers(0, 10**6))
+def test_linked_sets_share_a_signature(n, a_only, b_only, seed):
+    rng = np.random.default_rng(seed)
+    pool = rng.integers(0, 2**64, n + a_only + b_only, dtype=np.uint64)
+    a, b = np.unique(pool[: n + a_only]), np.unique(np.concatenate([pool[:n], pool[n + a_only :]]))
+    inter = len(np.intersect1d(a, b))
+    if 100 * inter >= 85 * (len(a) + len(b) - inter):
+        x, y = (set(np.concatenate(jaccard_join._signatures(s)).tolist()) for s in (a, b))
+        assert x & y
+
+
+def test_large_families_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(30):
+        w = list(base)
+        for k in rng.sample(range(60), rng.randint(0, 2)):
+            w[k] = f"e{i}_{k}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == jaccard_join.brute_force(rows)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def lines_brute(rows):
+    first, gone = {}, collections.defaultdict(set)
+    lines = [(d, i, x) for d, t in rows if t is not None for i, x in enumerate(t.split("\n")) if len(x) >= line_dedup.LEAST and x.encode().split()]
+    for d, i, x in sorted(lines):
+        first.setdefault(x, (d, i))
+    near = {x for x in first for y in first if first[y] < first[x] and abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2}
+    for d, i, x in lines:
+        if x in near or first[x] != (d, i):
+            gone[d].add(i)
+    return {d: sorted(g) for d, g in gone.items()}
+
+
+def test_line_dedup(spark, none, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FREQUENT", 3)
+    rng = random.Random(9)
+    rows = []
+    for d in range(30):
+        lines = []
+        for _ in range(4):
+            x = f"{rng.choice('abc') * rng.randint(18, 22)} common line {rng.choice('xyz')}"
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(x))
+                x = rng.choice([x[:k] + "#" + x[k:], x[:k] + x[k + 1 :], x[:k] + "é" + x[k + 1 :]])
+            lines.append(x)
+        rows.append((d, "\n".join([*lines, "short", "  ", lines[0]])))
+    rows += [(100, None), (101, ""), (102, "z" * 5000), (103, "z" * 5001)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(None).cast("string") for c in CLASHING})
+    got = {r.doc_id: r.gone for r in line_dedup.removed_lines(df).collect()}
+    assert got == lines_brute(rows) and len(got) > 20
+    kept = {r.doc_id: r.text for r in line_dedup.line_dedup(df).collect()}
+    for d, t in rows:
+        left = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in got.get(d, ()))
+        if d in got and not left.split():
+            assert d not in kept
+        else:
+            assert kept[d] == left
+    assert line_dedup.line_dedup(none).count() == 0 and line_dedup.removed_lines(none).count() == 0
+
+
+def test_quality_rules(docs, none, corpus):
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    for d, t, *_ in corpus:
+        w = (t or "").encode().split()
+        c = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        covered = {i + k for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        lines = [x for x in (t or "").split("\n") if x.encode().split()]
+        assert (got[d].n_words, got[d].n_repeat_words, got[d].n_dup_lines) == (len(w), len(covered), len(lines) - len(set(lines)))
+        assert got[d].base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
+        assert not (got[d].kept and got[d].base_failed)
+    assert quality_rules.quality_rules(none).count() == 0
+
+
+def test_language_identification(spark, docs, none):
+    rng = random.Random(1)
+    words = {"aa": ["alpha", "arra", "abba", "atta"], "bb": ["bobo", "brubu", "blob", "bubb"], "cc": ["cíc", "cecé", "ccic", "ciel"]}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(12)), k) for i in range(150) for k in [sorted(words)[i % 3]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df.where("doc_id % 5 <> 0"), 40)
+    got = language_id.identify(df.where("doc_id % 5 = 0").select("doc_id", "text", "lang"), model, ("doc_id", "lang")).collect()
+    assert all(r.lang_pred == r.lang and 0 <= r.score <= 1 for r in got)
+    assert (model.weights == 0).mean() > 0.9
+    hard = {r.doc_id: r for r in language_id.identify(spark.createDataFrame([(1, None), (2, ""), (3, "123 !"), (4, "x" * 100_000), (5, "𐐀")], "doc_id long, text string"), model).collect()}
+    assert [hard[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and hard[4].lang_pred != "und" and hard[5].lang_pred != "und"
+    assert language_id.identify(docs, language_id.fit(none)).where("lang_pred <> 'und'").count() == 0
+    assert language_id.identify(none, model).count() == 0
+
+
+def test_quality_classifier(spark, docs, none):
+    rng = random.Random(4)
+    good = [" ".join(rng.choice(["the", "of", "house", "river", "stone"]) for _ in range(60)) for _ in range(60)]
+    bad = [" ".join(rng.choice(["BUY!!", "$$$", "***", "NOW!!"]) for _ in range(60)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(good + bad)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(0, 120, 2)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.fit(df, labels, 25)
+    got = {r.doc_id: r for r in quality_classifier.classify(df, model).collect()}
+    assert all(got[i].predicted == int(i < 60) for i in range(1, 120, 2))
+    out = quality_classifier.classify(docs, model).collect()
+    assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out)
+    assert quality_classifier.accepted(df, model).count() == 60 and quality_classifier.accepted(none, model).count() == 0
+    untrained = quality_classifier.fit(none, labels.limit(0))
+    assert {r.score for r in quality_classifier.classify(df, untrained).collect()} == {0.5}
+
+
+def test_votes_are_exact_products():
+    rng = np.random.default_rng(0)
+    v = quality_classifier.unit(rng.normal(size=(50, 6)).astype(np.float32))
+    m = quality_classifier.Model(None, None, v, (rng.random(50) < 0.5).astype(float), 7, 0.5)
+    q = quality_classifier.unit(rng.normal(size=(20, 6)).astype(np.float32))
+    for x, s in zip(q, m.vote(q)):
+        near = sorted(range(50), key=lambda i: -float(x @ v[i]))[:7]
+        w = [max(float(x @ v[i]), 1e-6) ** 4 for i in near]
+        assert abs(s - sum(a * m.labels[i] for a, i in zip(w, near)) / sum(w)) < 1e-4
+
+
+def test_pieces_round_trip_and_repeat(docs, none, corpus):
+    first = piece_sampling.sample_pieces(docs)
+    a, b = ({r.doc_id: r.ids for r in df.collect()} for df in (first, piece_sampling.sample_pieces(docs.repartition(1))))
+    assert a == b
+    back = {r.doc_id: r.text for r in piece_sampling.decode_pieces(first).collect()}
+    assert back == {r[0]: r[1] for r in corpus}
+    assert piece_sampling.piece_digests(docs).where("not lossless").count() == 0
+    assert piece_sampling.sample_pieces(none).count() == 0
+
+
+def test_piece_chances():
+    raw = piece_sampling.read_pieces(piece_sampling.MODEL)
+    p = piece_sampling.Pieces(raw, 1.0)
+    known = {t: i for i, (t, _, kind) in enumerate(raw) if kind == 0}
+
+    def ways(s):
+        if not s:
+            yield ()
+        for n in range(1, len(s) + 1):
+            if s[:n] in known:
+                yield from ((known[s[:n]], *rest) for rest in ways(s[n:]))
+
+    weight = {w: math.exp(p.weight[list(w)].sum()) for w in ways("▁stone")}
+    n = 20_000
+    seen = collections.Counter(tuple(x.tolist()) for x in piece_sampling.encode([b"stone"] * n, np.arange(n), p, 7))
+    assert set(seen) <= set(weight)
+    for w, v in weight.items():
+        share = v / sum(weight.values())
+        assert abs(seen[w] / n - share) < 5 * math.sqrt(share / n) + 1e-3
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=40)), min_size=1, max_size=5))
+def test_any_text_round_trips(found):
+    p = piece_sampling._loaded(tuple(piece_sampling.read_pieces(piece_sampling.MODEL)), 1.0)
+    raw = [None if t is None else t.encode("utf-8", "ignore") for t in found]
+    for t, ids in zip(raw, piece_sampling.encode(raw, np.arange(len(raw)), p, 1)):
+        assert (ids is None) == (t is None) and (t is None or p.decode(ids) == t)
+
+
+QUESTION = "A train leaves the old station at 9 and travels 240 km toward the far coast while Anna counts 17 red boats near the quiet harbour"
+
+
+def test_decontamination(spark, docs, none):
+    bench = spark.createDataFrame([(1, QUESTION), (2, None), (3, "too short"), (1, QUESTION), (None, "null id has no row at all in the result set")], "item_id long, text string")
+    filler = "grey clouds were moving slowly over the wide valley and nobody said a word "
+    changed = QUESTION.replace("9", "11").replace("240", "310").replace("Anna", "Boris").replace("17", "5")
+    rows = [(1, filler + QUESTION + " " + filler), (2, filler + changed), (3, filler * 5), (4, None), (5, ""), (6, filler + " ".join(QUESTION.split()[:7])), (7, (filler * 300) + changed)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.verbatim) for r in decontamination.contaminated_pairs(df, bench).collect())
+    assert got == [(1, 1, True), (2, 1, False), (7, 1, False)]
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.contaminated_pairs(df, bench, block=10).collect()) == [(1, 1), (2, 1), (7, 1)]
+    assert sorted(r.doc_id for r in decontamination.decontaminate(df, bench).collect()) == [3, 4, 5, 6]
+    assert decontamination.contaminated_pairs(docs, bench.limit(0)).count() == 0 and decontamination.contaminated_pairs(none, bench).count() == 0
+    assert decontamination.decontaminate(docs, bench).count() == docs.count()
+
+
+def test_slots_must_be_consistent():
+    item = "move 5 crates then add 7 crates then take 5 crates and leave 7 crates for later use today"
+    index = decontamination.build([(1, item)], 8, 5, 5, 1000)[0]
+    t = decontamination.Template()
+
+    def covered(text):
+        w = text.encode().split()
+        return decontamination.leaks(w, t.of(w), index, 0.0, 99)[0][1]
+
+    assert covered(item.replace("5", "50").replace("7", "70")) == len(item.split())
+    assert covered(item.replace("take 5", "take 9")) == len(item.split()) - 1
+
+
+def test_token_rollups(spark, docs, none, tmp_path):
+    ledger = token_counts.Ledger(spark, f"file://{tmp_path}/ledger")
+    assert ledger.totals().count() == 0
+    row = "op string, source string, lang string, tokenizer string, n_tokens long, old_n_tokens long"
+    put = lambda *rows: spark.createDataFrame(list(rows), row)
+    first = put(("insert", "a", "en", "v1", 10, None), ("insert", "a", "en", "v1", 5, None), ("insert", None, None, "v1", None, None))
+    assert ledger.commit("1", first) and not ledger.commit("1", first)
+    assert ledger.commit("2", put(("delete", "a", "en", "v1", 5, None), ("revise", "a", "en", "v1", 12, 10), ("insert", "a", "en", "v2", 9, None)))
+    assert sorted(map(tuple, ledger.totals().collect()), key=str) == sorted([("a", "en", "v1", 1, 12), ("a", "en", "v2", 1, 9), (None, None, "v1", 1, 0)], key=str)
+    with pytest.raises(Exception, match="unknown op"):
+        ledger.commit("3", put(("upsert", "a", "en", "v1", 1, None)))
+    assert ledger.batches() == ["1", "2"]
+    assert ledger.commit("4", put(("delete", "a", "en", "v2", 9, None))) and ledger.totals().where("tokenizer = 'v2'").count() == 0
+    enc = token_counts._encoding(open(token_counts.RANKS, "rb").read())
+    got = token_counts.counted(docs).agg(F.sum("n_tokens"), F.count("*")).first()
+    assert tuple(got) == (sum(len(enc.encode_ordinary(r.text)) for r in docs.select("text").collect() if r.text), docs.count())
+    assert token_counts.counted(none).count() == 0
+
+
+def test_lm_scores(spark, docs, none, corpus):
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, None), (7, 1, 1), (10, 0, 0), (None, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    size = 30
+    models = lm_scoring.fit(docs, labels, size)
+    words = collections.Counter(w for r in corpus if r[1] for w in r[1].encode().split())
+    assert models.words == [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:size]]
+    k = size + lm_scoring.CLASSES + 1
+    ids = lm_scoring.Ids(models.words)
+    sums = np.zeros((2, k, k))
+    for d, t, *_ in corpus:
+        before = ids.start
+        for w in (t or "").encode().split():
+            sums[:, before, ids[w]] += [d in (1, 4), 1]
+            before = ids[w]
+    assert np.allclose(models.target, lm_scoring.smoothed(sums[0].ravel(), k)) and np.allclose(models.background, lm_scoring.smoothed(sums[1].ravel(), k))
+    assert np.allclose(np.exp(-models.background.reshape(k, k).astype(float)).sum(1), 1, atol=1e-3)
+    got = {r.doc_id: r for r in lm_scoring.score(docs, models).collect()}
+    for d, t, *_ in corpus:
+        c = ids.cells(t.encode().split()) if t else []
+        assert got[d].n_tokens == len(c)
+        assert got[d].score is None if not len(c) else abs(got[d].score - (models.target[c] - models.background[c]).mean()) < 1e-5
+    assert lm_scoring.score(none, models).count() == 0 and lm_scoring.score(docs, lm_scoring.fit(none, labels.limit(0))).count() == docs.count()
+
+
+def test_held_out_folds(spark):
+    rows = [(i,) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long")
+    got = {r.doc_id: r.h for r in df.select("doc_id", quality_classifier.held_out().alias("h")).collect()}
+    assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(50)}
+
+
+def test_component_loop(spark):
+    e = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(5, 5)], "a long, b long")
+    got = common.components(e, common.Scratch(spark, "test"))
+    assert {r.node for r in got.collect()} == set(range(1, 41)) and {r.label for r in got.collect()} == {0}
+
+
+def test_registry_is_whole():
+    assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert set(registry.ORACLES) <= set(registry.QUERIES)
