@@ -32,8 +32,8 @@ LEAST = 20
 FREQUENT, MOST_FREQUENT = 100, 10_000
 #: Longs of the bitmap.
 WORDS = 1 << 18
-#: Letters whose counts are compared, five bits each in a long.
-LETTERS = "aeinrt"
+#: Groups of letters whose counts are compared, five bits each in a long.
+LETTERS = ("e", "a", "i", "n", "t", "s", "r", "o", "hw", "dl", "cum", "bgpvfykqjxz")
 
 
 def numbered(documents: DataFrame) -> DataFrame:
@@ -53,32 +53,27 @@ def _keyed(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     Lengths and cuts are columns of their own, so that each is computed once for a line.
     """
     parts = edits + 1
-    cuts = lines.select("id", "line", F.char_length("line").alias("n"))
-    for d in range(edits + 1):
-        cuts = cuts.withColumns({f"q{d}": F.expr(f"(n - {d}) div {parts}").cast("int"), f"r{d}": F.expr(f"{parts} - (n - {d}) % {parts}").cast("int")})
-    out = []
-    for d, i, j in _choices(edits):
-        q, whole = F.col(f"q{d}"), F.col(f"r{d}")  # segments after the first `whole` ones are longer by one
-        start = q * (i - 1) + F.greatest(F.lit(i - 1) - whole, F.lit(0)) + (1 + j)
-        length = q + F.when(whole < i, 1).otherwise(0)
-        fits = (start >= 1) & (start + length - 1 <= F.col("n"))
-        out.append(F.when(fits, F.xxhash64(F.lit(i), F.col("n") - d, F.substring("line", start, length))))
-    own = [k for k, (d, _, j) in enumerate(_choices(edits)) if d == 0 and j == 0]
-    return cuts.select("id", F.posexplode(F.array(*out)).alias("k", "key")).where("key is not null").select("key", "id", F.col("k").isin(own).alias("own"))
+    codes = {100 * d + 10 * i + j + 5: d == 0 and j == 0 for d, i, j in _choices(edits)}
+    made = lines.select("id", "line", F.char_length("line").alias("n"), F.explode(F.array(*map(F.lit, codes))).alias("c"))
+    made = made.selectExpr("id", "line", "n", "c", "c div 10 % 10 as i", "n - c div 100 as size").selectExpr("id", "line", "n", "c", "i", "size", f"size div {parts} as q", f"{parts} - size % {parts} as whole")
+    # segments after the first `whole` ones are longer by one
+    made = made.selectExpr("id", "line", "n", "c", "i", "size", "cast(q * (i - 1) + greatest(i - 1 - whole, 0) + c % 10 - 4 as int) as start", "cast(q + if(whole < i, 1, 0) as int) as length")
+    made = made.where("start >= 1 and start + length - 1 <= n")
+    own = [c for c, o in codes.items() if o]
+    return made.select(F.xxhash64("i", "size", F.substring("line", F.col("start"), F.col("length"))).alias("key"), "id", F.col("c").isin(own).alias("own"))
 
 
 def _letters(line: Column) -> Column:
-    """Counts of LETTERS modulo 32, packed."""
+    """Counts of each of LETTERS modulo 32, packed."""
     n, out = F.char_length(line), F.lit(0).cast("long")
-    for k, c in enumerate(LETTERS):
-        out = out.bitwiseOR(F.shiftleft((n - F.char_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(31)), 5 * k))
+    for k, group in enumerate(LETTERS):
+        out = out.bitwiseOR(F.shiftleft((n - F.char_length(F.translate(line, group, ""))).cast("long").bitwiseAND(F.lit(31)), 5 * k))
     return out
 
 
 def _letters_apart(a: str, b: str) -> str:
     """SQL for the sum of differences of packed counts; an edit adds at most two."""
-    one = [f"abs(pmod((shiftright({a}, {5 * k}) & 31) - (shiftright({b}, {5 * k}) & 31) + 16, 32) - 16)" for k in range(len(LETTERS))]
-    return " + ".join(one)
+    return " + ".join(f"abs(pmod((shiftright({a}, {5 * k}) & 31) - (shiftright({b}, {5 * k}) & 31) + 16, 32) - 16)" for k in range(len(LETTERS)))
 
 
 def near_lines(lines: DataFrame, copies: DataFrame, scratch: Scratch, edits: int = EDITS) -> DataFrame:
