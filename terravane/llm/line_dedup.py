@@ -8,7 +8,7 @@ that the lengths and the number of edits allow, so:
    (the multi-match-aware choice: 12 of them for two edits), each with the segment's number and length of line.
 2. Hashes that only one text has are dropped; only their lines are read again. Two lines that share a hash and whose counts of some
    letters differ by no more than the edits allow are candidates.
-3. Candidates are verified by an edit distance computed in a band of 2 * EDITS + 1 diagonals.
+3. Candidates are verified by a bit-parallel automaton over a band of 2 * EDITS + 1 diagonals (within_edits).
 
 Equal lines are one text throughout, so a line with many copies is compared once. Lines of fewer than LEAST characters and
 lines without a word always stay. Groups are held by window and join operators that spill; letter counts are tested within the join, so
@@ -76,6 +76,46 @@ def _letters_apart(a: str, b: str) -> str:
     return " + ".join(f"abs(pmod((shiftright({a}, {5 * k}) & 31) - (shiftright({b}, {5 * k}) & 31) + 16, 32) - 16)" for k in range(len(LETTERS)))
 
 
+def within_edits(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
+    """The pairs whose texts a and b are at most `edits` insertions, deletions and substitutions apart, by a banded bit-parallel automaton.
+
+    What both share at either end is cut off. For each number of errors a word of 2 * edits + 1 bits holds the diagonals of the band that are
+    reached with at most that many; all bits move at once with each character of b, by one mask of the places where a agrees.
+    """
+    band = 2 * edits + 1
+    chars = pairs.withColumns({"_a": F.split(a, ""), "_b": F.split(b, "")}).withColumns({"_a": F.filter("_a", lambda c: c != ""), "_b": F.filter("_b", lambda c: c != "")})
+
+    def shared(x: Column, y: Column) -> Column:
+        first = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False)
+        return F.when(first > 0, first - 1).otherwise(F.least(F.size(x), F.size(y))).cast("int")
+
+    head = chars.withColumn("_h", shared(F.col("_a"), F.col("_b")))
+    rest = head.withColumns({c: F.slice(c, F.col("_h") + 1, F.size(c) - F.col("_h")) for c in ("_a", "_b")})
+    tail = rest.withColumn("_t", shared(F.reverse("_a"), F.reverse("_b")))
+    core = tail.withColumns({c: F.slice(c, F.lit(1), F.size(c) - F.col("_t")) for c in ("_a", "_b")})
+
+    def mask(c: Column, j: Column) -> Column:
+        at = [F.when(F.get("_a", j + (k - edits)).eqNullSafe(c), 1 << k).otherwise(0) for k in range(band)]
+        return sum(at[1:], at[0])
+
+    masks = core.withColumn("_m", F.transform("_b", mask))
+    start = F.struct(*[F.lit(((1 << (d + 1)) - 1) << edits).bitwiseAND(F.lit((1 << band) - 1)).alias(f"r{d}") for d in range(edits + 1)])
+
+    def step(s: Column, m: Column) -> Column:
+        now, out = s["r0"].bitwiseAND(m), []
+        for d in range(edits + 1):
+            if d:
+                before = s[f"r{d - 1}"]
+                now = s[f"r{d}"].bitwiseAND(m).bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(now, 1)).bitwiseAND(F.lit((1 << band) - 1))
+            out.append(now.alias(f"r{d}"))
+        return F.struct(*out)
+
+    end = masks.withColumn("_e", F.aggregate("_m", start, step))
+    at = F.size("_a") - F.size("_b") + edits
+    reached = F.expr(f"shiftright(_e.r{edits}, size(_a) - size(_b) + {edits}) & 1") == 1
+    return end.where(at.between(0, band - 1) & reached).select(*pairs.columns)
+
+
 def near_lines(lines: DataFrame, copies: DataFrame, scratch: Scratch, edits: int = EDITS) -> DataFrame:
     """(id, id2) of the texts within `edits` edits of one that is first met earlier; copies: id, id2, n, first of each text."""
     frequent = copies.groupBy("id").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "id").limit(MOST_FREQUENT).select("id", "first")
@@ -97,7 +137,7 @@ def near_lines(lines: DataFrame, copies: DataFrame, scratch: Scratch, edits: int
     near = f"bn - an between 0 and {edits} and (bn > an or a < b) and {_letters_apart('al', 'bl')} <= {2 * edits}"
     pairs = short.join(long, "key").where(near).select("a", "b").distinct()
     of_a, of_b = (met.select(F.col("id2").alias(c), F.col("id").alias(f"{c}_id"), F.col("first").alias(f"{c}_first"), F.col("line").alias(f"{c}_line")) for c in "ab")
-    found = pairs.join(of_a, "a").join(of_b, "b").where(F.levenshtein("a_line", "b_line", edits) >= 0)
+    found = within_edits(pairs.join(of_a, "a").join(of_b, "b"), "a_line", "b_line", edits)
     later = F.col("a_first") > F.col("b_first")
     return found.select(F.when(later, F.col("a_id")).otherwise(F.col("b_id")).alias("id"), F.when(later, F.col("a")).otherwise(F.col("b")).alias("id2")).distinct()
 

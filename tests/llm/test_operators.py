@@ -124,6 +124,21 @@ def edits(a, b):
     return row[-1]
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_banded_automaton(spark, most):
+    rng = random.Random(most)
+    rows = [("", ""), ("a", ""), ("", "ab"), ("abc", "abc"), ("é🤦ñ", "éñ"), ("aaaa", "aaaaaa")]
+    for _ in range(400):
+        a = "".join(rng.choice("abé") for _ in range(rng.randint(0, 14)))
+        b = list(a)
+        for _ in range(rng.randint(0, most + 1)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = rng.choice([[], ["a"], ["x"]])
+        rows.append((a, "".join(b)))
+    got = {tuple(r) for r in line_dedup.within_edits(spark.createDataFrame(rows, "a string, b string"), "a", "b", most).collect()}
+    assert got == {(a, b) for a, b in rows if edits(a, b) <= most}
+
+
 def lines_brute(rows):
     first, gone = {}, collections.defaultdict(set)
     lines = [(d, i, x) for d, t in rows if t is not None for i, x in enumerate(t.split("\n")) if len(x) >= line_dedup.LEAST and x.encode().split()]
