@@ -98,7 +98,8 @@ def within_edits(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFr
         at = [F.when(F.get("_a", j + (k - edits)).eqNullSafe(c), 1 << k).otherwise(0) for k in range(band)]
         return sum(at[1:], at[0])
 
-    masks = core.withColumn("_m", F.transform("_b", mask))
+    # a generator, which filters are not pushed through: else the arrays would be made again for each character
+    masks = core.withColumn("_m", F.transform("_b", mask)).select(*pairs.columns, F.explode(F.array(F.struct((F.size("_a") - F.size("_b") + edits).alias("at"), F.col("_m").alias("m")))).alias("_g"))
     start = F.struct(*[F.lit(((1 << (d + 1)) - 1) << edits).bitwiseAND(F.lit((1 << band) - 1)).alias(f"r{d}") for d in range(edits + 1)])
 
     def step(s: Column, m: Column) -> Column:
@@ -110,10 +111,8 @@ def within_edits(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFr
             out.append(now.alias(f"r{d}"))
         return F.struct(*out)
 
-    end = masks.withColumn("_e", F.aggregate("_m", start, step))
-    at = F.size("_a") - F.size("_b") + edits
-    reached = F.expr(f"shiftright(_e.r{edits}, size(_a) - size(_b) + {edits}) & 1") == 1
-    return end.where(at.between(0, band - 1) & reached).select(*pairs.columns)
+    end = masks.where(F.col("_g.at").between(0, band - 1)).withColumn("_e", F.aggregate("_g.m", start, step))
+    return end.where(F.expr(f"shiftright(_e.r{edits}, _g.at) & 1") == 1).select(*pairs.columns)
 
 
 def near_lines(lines: DataFrame, copies: DataFrame, scratch: Scratch, edits: int = EDITS) -> DataFrame:
