@@ -240,6 +240,6 @@ def _(w):
     return U.issues(m, "ramp_radius", "warn", "user_id", L("tight ramp"), where="r < 45")
 
 
-@query("q00_report_summary", f", {_DEG}, {_GAPS}, s AS (SELECT node, count(*) AS n, min(gap) AS lo, string_agg(DISTINCT type, ', ') AS types FROM gaps GROUP BY node) SELECT 'sharp_angle' AS kind, 'error' AS severity, count(*) AS n FROM s WHERE n >= 3 AND lo < 25 AND types <> 'freeway' UNION ALL SELECT 'short_edge', 'warn', count(*) FROM gedge JOIN deg a ON a.node = src JOIN deg b ON b.node = dst WHERE len < 30 AND a.degree >= 2 AND b.degree >= 2")
+@query("q00_report_summary", f", {_DEG}, {_GAPS}, s AS (SELECT node, count(*) AS n, min(gap) AS lo, string_agg(DISTINCT type, ', ') AS types FROM gaps GROUP BY node) SELECT 'sharp_angle' AS kind, 'error' AS severity, count(*) AS n FROM s WHERE n >= 3 AND lo < 25 AND types <> 'freeway' HAVING count(*) > 0 UNION ALL SELECT 'short_edge', 'warn', count(*) FROM gedge JOIN deg a ON a.node = src JOIN deg b ON b.node = dst WHERE len < 30 AND a.degree >= 2 AND b.degree >= 2 HAVING count(*) > 0")
 def _(w):
     return U.summary(U.report(sharp_angle_rule(w), short_edge_rule(w)))

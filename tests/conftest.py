@@ -44,8 +44,10 @@ def duck():
 def rows(df):
     """Rows of a pandas frame, columns by name, in an order that doesn't depend on the engine."""
 
+    import pandas as pd
+
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
             return None
         if isinstance(v, (str, bytes, bool)) or type(v).__name__ == "bool":
             return bool(v) if not isinstance(v, (str, bytes)) else v
