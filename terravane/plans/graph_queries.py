@@ -89,17 +89,17 @@ def _(w):
     return e.withColumn("best", F.max(own).over(near)).where(F.col("best") == own).select("eid")
 
 
-@query("g12_loop_rules", """, q AS (SELECT user_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM track WHERE seq <= 5 WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
-m AS (SELECT user_id, abs(sum(x * ny - nx * y)) / 2.0 AS area, sum(sqrt(power(nx - x, 2) + power(ny - y, 2))) AS len FROM q GROUP BY 1) SELECT user_id, CASE WHEN len < 2500 THEN 'tiny' WHEN area < 40 * len THEN 'thin' ELSE 'loop' END AS kind FROM m""")
+@query("g12_loop_rules", """, q AS (SELECT user_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM track WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+m AS (SELECT user_id, abs(sum(x * ny - nx * y)) / 2.0 AS area, sum(sqrt(power(nx - x, 2) + power(ny - y, 2))) AS len FROM q GROUP BY 1) SELECT user_id, CASE WHEN len < 40000 THEN 'tiny' WHEN area < 10 * len THEN 'thin' ELSE 'loop' END AS kind FROM m""")
 def _(w):
     by = Window.partitionBy("user_id").orderBy("seq")
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    q = w.track.where("seq <= 5").withColumns({"nx": F.coalesce(F.lead("x").over(by), F.first("x").over(whole)), "ny": F.coalesce(F.lead("y").over(by), F.first("y").over(whole))})
+    q = w.track.withColumns({"nx": F.coalesce(F.lead("x").over(by), F.first("x").over(whole)), "ny": F.coalesce(F.lead("y").over(by), F.first("y").over(whole))})
     m = q.groupBy("user_id").agg((F.abs(F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y"))) / 2.0).alias("area"), F.sum(F.hypot(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"))).alias("len"))
-    return m.select("user_id", F.when(F.col("len") < 2500, "tiny").when(F.col("area") < 40 * F.col("len"), "thin").otherwise("loop").alias("kind"))
+    return m.select("user_id", F.when(F.col("len") < 40000, "tiny").when(F.col("area") < 10 * F.col("len"), "thin").otherwise("loop").alias("kind"))
 
 
-@query("g13_bridge_components", f""", {_REACH}, l AS (SELECT ca.component AS component, a.node AS a, b.node AS b, power(a.x - b.x, 2) + power(a.y - b.y, 2) AS d FROM gnode a JOIN gnode b ON power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 2500 JOIN comp ca ON ca.node = a.node JOIN comp cb ON cb.node = b.node WHERE ca.component <> cb.component)
+@query("g13_bridge_components", f""", {_REACH}, l AS (SELECT ca.component AS component, a.node AS a, b.node AS b, power(a.x - b.x, 2) + power(a.y - b.y, 2) AS d FROM gnode a JOIN gnode b ON a.x BETWEEN b.x - 50 AND b.x + 50 AND power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 2500 JOIN comp ca ON ca.node = a.node JOIN comp cb ON cb.node = b.node WHERE ca.component <> cb.component)
 SELECT component, arg_min(a, (d, a, b)) AS a, arg_min(b, (d, a, b)) AS b FROM l GROUP BY component""")
 def _(w):
     """The shortest link within 50 from each component to another one."""
@@ -117,7 +117,7 @@ def _(w):
 
 
 def _legs(w):
-    """Legs at part nodes, up to five for each, with bearings, types and ranks."""
+    """Legs at odd nodes, up to seven for each, with bearings, types and ranks."""
     both = w.gedge.select(F.col("dst").alias("node"), F.col("eid").alias("leg"), ((F.col("src") * 37 + F.col("dst") * 53) % 360).alias("bearing"), "kind", (F.col("dst") % 3 == 0).alias("urban"))
     return both.join(F.broadcast(w.dim.select("kind", "type", "rank")), "kind")
 

@@ -81,11 +81,11 @@ def _(w):
     return c.where((N.draw("k", salt="rocks") < 0.3) & (F.col("v") > 300)).select("k", F.least("v", F.coalesce("next", "v")).alias("base"))
 
 
-@query("n09_boulders", f", c AS (SELECT id, x, y FROM pts WHERE {_u('CAST(id AS VARCHAR)', 'boulder')} < 0.3) SELECT x // 20 AS ix, y // 20 AS iy, count(*) AS n, max(id % 17) AS wake FROM c WHERE NOT EXISTS (SELECT 1 FROM gnode g WHERE power(c.x - g.x, 2) + power(c.y - g.y, 2) <= 100) GROUP BY 1, 2")
+@query("n09_boulders", f", c AS (SELECT id, x, y FROM pts WHERE {_u('CAST(id AS VARCHAR)', 'boulder')} < 0.3) SELECT x // 20 AS ix, y // 20 AS iy, count(*) AS n, max(id % 17) AS wake FROM c WHERE NOT EXISTS (SELECT 1 FROM gnode g WHERE power(c.x - g.x, 2) + power(c.y - g.y, 2) <= 4) GROUP BY 1, 2")
 def _(w):
     from ..operators.aggregate import scatter as stamp
 
-    c = P.keep_out(w.pts.where(N.draw("id", salt="boulder") < 0.3), w.gnode, 10.0)
+    c = P.keep_out(w.pts.where(N.draw("id", salt="boulder") < 0.3), w.gnode, 2.0)
     return stamp(c, 20, F.count("*").alias("n"), F.max(F.col("id") % 17).alias("wake"))
 
 
@@ -139,6 +139,6 @@ def _(w):
 
 @query("t07_spaced_selection")
 def _(w):
-    """By falling score, none within 75 of another; equal to the one-by-one choice, as tests hold."""
+    """By falling score, none within 10 of another; equal to the one-by-one choice, as tests hold."""
     c = w.gnode.join(w.gedge.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("score")), "node")
-    return N.spaced(c, "node", "score", 75.0).select("node", "x", "y", "score")
+    return N.spaced(c, "node", "score", 10.0).select("node", "x", "y", "score")

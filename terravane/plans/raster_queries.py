@@ -65,11 +65,11 @@ def _(w):
     return A.distance_transform(w.ras.withColumn("m", F.col("v") > 340), "m", 6).select("ix", "iy", "d2")
 
 
-@query("r08_rasterise_lines", """, s AS (SELECT id, x / 20.0 AS x0, y / 14.0 AS y0, (x + id % 37 - 18) / 20.0 AS x1, (y + (id * 7) % 41 - 20) / 14.0 AS y1 FROM pts WHERE id % 2 = 0), m AS (SELECT r.ix, r.iy, s.*, least(1.0, greatest(0.0, ((r.ix + 0.5 - x0) * (x1 - x0) + (r.iy + 0.5 - y0) * (y1 - y0)) / greatest(1e-12, power(x1 - x0, 2) + power(y1 - y0, 2)))) AS t FROM s JOIN ras r ON r.ix BETWEEN x0 - 4 AND x0 + 4 AND r.iy BETWEEN y0 - 4 AND y0 + 4)
+@query("r08_rasterise_lines", """, s AS (SELECT id, x / 20.0 AS x0, y / 14.0 AS y0, (x + id % 37 - 18) / 20.0 AS x1, (y + (id * 7) % 41 - 20) / 14.0 AS y1 FROM pts), m AS (SELECT r.ix, r.iy, s.*, least(1.0, greatest(0.0, ((r.ix + 0.5 - x0) * (x1 - x0) + (r.iy + 0.5 - y0) * (y1 - y0)) / greatest(1e-12, power(x1 - x0, 2) + power(y1 - y0, 2)))) AS t FROM s JOIN ras r ON r.ix BETWEEN x0 - 4 AND x0 + 4 AND r.iy BETWEEN y0 - 4 AND y0 + 4)
 SELECT ix, iy, count(*) AS n FROM m WHERE sqrt(power(ix + 0.5 - (x0 + t * (x1 - x0)), 2) + power(iy + 0.5 - (y0 + t * (y1 - y0)), 2)) <= 0.6 GROUP BY 1, 2""")
 def _(w):
     """Cells whose centre is within 0.6 of a line."""
-    s = w.pts.where("id % 2 = 0").selectExpr("id as sid", "x / 20.0D as x0", "y / 14.0D as y0", "(x + id % 37 - 18) / 20.0D as x1", "(y + (id * 7) % 41 - 20) / 14.0D as y1")
+    s = w.pts.selectExpr("id as sid", "x / 20.0D as x0", "y / 14.0D as y0", "(x + id % 37 - 18) / 20.0D as x1", "(y + (id * 7) % 41 - 20) / 14.0D as y1")
     cells = w.ras.select(F.struct("ix", "iy").alias("id"), (F.col("ix") + 0.5).alias("x"), (F.col("iy") + 0.5).alias("y"))
     return P.points_near_segments(cells, s, 0.6, 4.0).groupBy("a_id").agg(F.count("*").alias("n")).select("a_id.ix", "a_id.iy", "n")
 
@@ -163,7 +163,7 @@ _NEAR = "n AS (SELECT r.ix, r.iy, r.v, arg_min(g.node, (power(r.ix * 20 + 10 - g
 
 def _near_node(w):
     cells = w.ras.select((F.col("iy") * 100 + F.col("ix")).alias("id"), (F.col("ix") * 20 + 10).alias("x"), (F.col("iy") * 13 + 6).alias("y"))
-    return P.nearest(cells, w.gnode, "id", "node", 50.0).withColumns({"ix": F.col("id") % 100, "iy": F.expr("id div 100")})
+    return P.nearest(cells, w.gnode, "id", "node", 20.0).withColumns({"ix": F.col("id") % 100, "iy": F.expr("id div 100")})
 
 
 @query("r26_grade_to_road", f", {_NEAR} SELECT ix, iy, round(CASE WHEN d < 60 THEN least(greatest(v, 250 + node % 50 - d * 0.5), 250 + node % 50 + d * 0.5) ELSE v END, 4) AS z FROM n")

@@ -199,12 +199,12 @@ def _(w):
 _STEP = "st AS (SELECT t.*, abs(y - lag(y) OVER w) / greatest(sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)), 1.0) AS grade FROM track t WINDOW w AS (PARTITION BY user_id ORDER BY seq))"
 
 
-@query("q21_grade_limit", f", {_STEP}, g AS (SELECT user_id, max(grade) AS grade FROM st WHERE seq % 7 = 3 GROUP BY 1) {_out('grade', 'warn', None, None, 'type', 'user_id')} FROM g JOIN dim ON kind = user_id % 6 WHERE grade > max_grade * 1.05 * 8")
+@query("q21_grade_limit", f", {_STEP}, g AS (SELECT user_id, avg(grade) AS grade FROM st GROUP BY 1) {_out('grade', 'warn', None, None, 'type', 'user_id')} FROM g JOIN dim ON kind = user_id % 6 WHERE grade > max_grade * 1.05 * 5")
 def _(w):
     by = Q.along()
     dx, dy = F.col("x") - F.lag("x").over(by), F.col("y") - F.lag("y").over(by)
-    g = w.track.withColumn("grade", F.abs(dy) / F.greatest(F.hypot(dx, dy), L(1.0))).where("seq % 7 = 3").groupBy("user_id").agg(F.max("grade").alias("grade")).withColumn("kind", F.col("user_id") % 6)
-    return U.issues(g.join(F.broadcast(w.dim), "kind"), "grade", "warn", "user_id", F.col("type"), where="grade > max_grade * 1.05 * 8")
+    g = w.track.withColumn("grade", F.abs(dy) / F.greatest(F.hypot(dx, dy), L(1.0))).groupBy("user_id").agg(F.avg("grade").alias("grade")).withColumn("kind", F.col("user_id") % 6)
+    return U.issues(g.join(F.broadcast(w.dim), "kind"), "grade", "warn", "user_id", F.col("type"), where="grade > max_grade * 1.05 * 5")
 
 
 @query("q22_earthwork", f", e AS (SELECT user_id, max(y - 300) AS fill, max(300 - y) AS cut FROM track GROUP BY 1) {_out('earthwork', 'warn', None, None, 'CAST(cut AS VARCHAR) || ' + chr(39) + '/' + chr(39) + ' || CAST(fill AS VARCHAR)', 'user_id')} FROM e WHERE fill > 360 OR cut > 295")

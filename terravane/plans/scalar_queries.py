@@ -215,7 +215,7 @@ def _(w):
     return w.pts.select("id", S.side(F.col("x") - 1000.0, F.col("y") - 333.0, F.lit(7.0), F.lit(3.0)).alias("side"))
 
 
-@query("p32_curves", """, t AS (SELECT id, x * 1.0 AS a, y * 1.0 AS b, k, k / 4.0 AS t FROM pts, range(5) r(k) WHERE id % 50 = 0 OR id >= 0)
+@query("p32_curves", """, t AS (SELECT id, x * 1.0 AS a, y * 1.0 AS b, k, k / 4.0 AS t FROM pts, range(5) r(k))
 SELECT id, k, round((1 - t) * (1 - t) * a + 2 * (1 - t) * t * b + t * t * 100, 4) AS quad, round(power(1 - t, 3) * a + 3 * power(1 - t, 2) * t * b + 3 * (1 - t) * t * t * 50 + power(t, 3) * 100, 4) AS cub,
  round(0.5 * (2 * b + (50 - a) * t + (2 * a - 5 * b + 200 - 100) * t * t + (3 * b - a - 150 + 100) * t * t * t), 4) AS crom,
  round((2 * t * t * t - 3 * t * t + 1) * a + (t * t * t - 2 * t * t + t) * 10 + (3 * t * t - 2 * t * t * t) * b + (t * t * t - t * t) * 20, 4) AS herm FROM t""")

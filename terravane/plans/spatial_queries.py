@@ -24,11 +24,11 @@ def _nodes(w, name="node", x="bx", y="by"):
     return w.gnode.select(F.col("node").alias(name), F.col("x").alias(x), F.col("y").alias(y))
 
 
-_SEG = "seg AS (SELECT id AS sid, x AS x0, y AS y0, x + id % 37 - 18 AS x1, y + (id * 7) % 41 - 20 AS y1 FROM pts WHERE id % 2 = 0)"
+_SEG = "seg AS (SELECT id AS sid, x AS x0, y AS y0, x + id % 37 - 18 AS x1, y + (id * 7) % 41 - 20 AS y1 FROM pts)"
 
 
 def _segments(w):
-    return w.pts.where("id % 2 = 0").selectExpr("id as sid", "x as x0", "y as y0", "x + id % 37 - 18 as x1", "y + (id * 7) % 41 - 20 as y1")
+    return w.pts.selectExpr("id as sid", "x as x0", "y as y0", "x + id % 37 - 18 as x1", "y + (id * 7) % 41 - 20 as y1")
 
 
 @query("j03_zone_event_counts", f""", m AS (SELECT p.id, min(z.zid) AS zid FROM pts p JOIN zone z ON {_IN} GROUP BY p.id) SELECT zname, event_type, count(*) AS n, round(sum(value), 2) AS total FROM pts JOIN m USING (id) JOIN zone USING (zid) GROUP BY 1, 2""")
@@ -56,10 +56,9 @@ def _(w):
     return P.nearest(w.pts, _grid_nodes(w), "id", "node", 40.0).select("id", "node", R("dist", 4).alias("dist"))
 
 
-@query("j05_k_nearest", ", n AS (SELECT id, node, d, row_number() OVER (PARTITION BY id ORDER BY d, node) AS rank FROM (SELECT p.id, g.node, (p.x - g.x) * (p.x - g.x) + (p.y - g.y) * (p.y - g.y) AS d FROM pts p, gnode g WHERE p.id % 4 = 0)) SELECT id, round(min(sqrt(d) + node % 10), 4) AS best, max(rank) AS k FROM n WHERE rank <= 6 GROUP BY id")
+@query("j05_k_nearest", ", n AS (SELECT id, arg_min({'n': node, 'd': d}, (d, node), 6) AS l FROM (SELECT p.id, g.node, (p.x - g.x) * (p.x - g.x) + (p.y - g.y) * (p.y - g.y) AS d FROM pts p JOIN gnode g ON g.x BETWEEN p.x - 200 AND p.x + 200) GROUP BY id) SELECT id, round(list_min(list_transform(l, lambda e: sqrt(e.d) + e.n % 10)), 4) AS best, len(l) AS k FROM n")
 def _(w):
-    """The query points are every fourth, as a stated set; the targets are all."""
-    near = P.nearest(w.pts.where("id % 4 = 0"), _grid_nodes(w), "id", "node", 80.0, k=6)
+    near = P.nearest(w.pts, _grid_nodes(w), "id", "node", 25.0, k=6)
     return near.groupBy("id").agg(R(F.min(F.col("dist") + F.col("node") % 10), 4).alias("best"), F.max("rank").alias("k"))
 
 
@@ -110,9 +109,9 @@ def _(w):
     return c.groupBy("zid").agg(F.count("*").alias("n"), R(F.sum(F.col("share") * F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))), 2).alias("length"))
 
 
-@query("j12_keep_out", "SELECT id FROM pts p WHERE NOT EXISTS (SELECT 1 FROM gnode g WHERE power(p.x - g.x, 2) + power(p.y - g.y, 2) <= 225)")
+@query("j12_keep_out", "SELECT id FROM pts p WHERE NOT EXISTS (SELECT 1 FROM gnode g WHERE power(p.x - g.x, 2) + power(p.y - g.y, 2) <= 9)")
 def _(w):
-    return P.keep_out(w.pts, w.gnode, 15.0).select("id")
+    return P.keep_out(w.pts, w.gnode, 3.0).select("id")
 
 
 @query("j13_keep_out_by_field", "SELECT id FROM pts p JOIN ras r ON r.ix = p.x // 20 AND r.iy = p.y // 14 WHERE r.v >= 280 + (p.user_id % 3) * 20")
@@ -181,11 +180,11 @@ def _(w):
     return w.pts.select("id", R(F.greatest(slab, F.least((F.lit(0) - F.col("y")) / 2.0, (F.lit(667) - F.col("y")) / 2.0)), 4).alias("enter"))
 
 
-@query("j25_hausdorff", ", d AS (SELECT a.user_id, a.id, min(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS d FROM pts a JOIN pts b ON b.user_id = a.user_id + 1 WHERE a.user_id % 5 = 0 GROUP BY 1, 2) SELECT user_id, round(sqrt(max(d)), 4) AS h FROM d GROUP BY user_id")
+@query("j25_hausdorff", ", d AS (SELECT a.user_id, a.id, min(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS d FROM pts a JOIN pts b ON b.user_id = a.user_id + 1 GROUP BY 1, 2) SELECT user_id, round(sqrt(max(d)), 4) AS h FROM d GROUP BY user_id")
 def _(w):
-    """Directed distance from each fifth line to the next one, as a stated set of pairs of lines."""
+    """Directed distance from each line to the next one, as a stated set of pairs of lines."""
     b = w.pts.select((F.col("user_id") - 1).alias("user_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    d = w.pts.where("user_id % 5 = 0").join(b, "user_id").groupBy("user_id", "id").agg(F.min(F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))).alias("d"))
+    d = w.pts.join(b, "user_id").groupBy("user_id", "id").agg(F.min(F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))).alias("d"))
     return d.groupBy("user_id").agg(R(F.max("d"), 4).alias("h"))
 
 
@@ -243,7 +242,7 @@ def _(w):
     return t.select("user_id", "seq", R(F.col("x") - F.col("ty") / n * 5, 4).alias("x"), R(F.col("y") + F.col("tx") / n * 5, 4).alias("y"))
 
 
-@query("k12_catch_point", ", c AS (SELECT p.id, k, r.v - (200 + 10 * k) AS gap FROM pts p, range(20) t(k) JOIN ras r ON r.ix = (p.x // 20 + k) % 100 AND r.iy = p.y // 14 WHERE p.id >= 0) SELECT id, min(k) AS k FROM c WHERE gap <= 0 GROUP BY id")
+@query("k12_catch_point", ", c AS (SELECT p.id, k, r.v - (200 + 10 * k) AS gap FROM pts p, range(20) t(k) JOIN ras r ON r.ix = (p.x // 20 + k) % 100 AND r.iy = p.y // 14) SELECT id, min(k) AS k FROM c WHERE gap <= 0 GROUP BY id")
 def _(w):
     """The first offset at which a rising slope line meets the terrain."""
     k = w.pts.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long")))).selectExpr("id", "k", "(x div 20 + k) % 100 as ix", "y div 14 as iy")

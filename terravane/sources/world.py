@@ -48,9 +48,9 @@ class World:
 
     @functools.cached_property
     def gedge(self) -> DataFrame:
-        """Edges between even (order) and odd (part) nodes."""
-        e = self.table("lineitem").where("l_orderkey % 29 = 0 and l_linenumber <= 2").selectExpr("l_orderkey * 2 as src", "(l_partkey % 500) * 2 + 1 as dst").distinct()
-        return e.selectExpr("src * 1000 + dst as eid", "src", "dst", "(src * 7 + dst * 13) % 97 + 1 as len", "(src + dst * 3) % 6 as kind")
+        """Edges between even nodes (orders) and odd ones (eight for each seven orders), from every line of every order."""
+        e = self.table("lineitem").selectExpr("l_orderkey * 2 as src", "((l_orderkey div 7) * 8 + l_partkey % 8) * 2 + 1 as dst").distinct()
+        return e.selectExpr("src * 10000000 + dst as eid", "src", "dst", "(src * 7 + dst * 13) % 97 + 1 as len", "(src + dst * 3) % 6 as kind")
 
     @functools.cached_property
     def gnode(self) -> DataFrame:
@@ -80,7 +80,7 @@ SQL = f"""
 pts AS (SELECT event_id AS id, (event_id * 7919 + user_id * 104729) % 2000 AS x, (event_id * 6101 + user_id * 15485863) % 667 AS y, user_id, ts, event_type, value FROM events),
 track AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS seq FROM pts),
 zone AS (SELECT CAST(n_nationkey AS BIGINT) AS zid, n_name AS zname, CAST((n_nationkey % 5) * 400 - 40 AS BIGINT) AS x0, CAST((n_nationkey % 5) * 400 + 380 AS BIGINT) AS x1, CAST((n_nationkey // 5) * 133 - 20 AS BIGINT) AS y0, CAST((n_nationkey // 5) * 133 + 120 AS BIGINT) AS y1 FROM nation),
-gedge AS (SELECT src * 1000 + dst AS eid, src, dst, (src * 7 + dst * 13) % 97 + 1 AS len, (src + dst * 3) % 6 AS kind FROM (SELECT DISTINCT l_orderkey * 2 AS src, (l_partkey % 500) * 2 + 1 AS dst FROM lineitem WHERE l_orderkey % 29 = 0 AND l_linenumber <= 2)),
+gedge AS (SELECT src * 10000000 + dst AS eid, src, dst, (src * 7 + dst * 13) % 97 + 1 AS len, (src + dst * 3) % 6 AS kind FROM (SELECT DISTINCT l_orderkey * 2 AS src, ((l_orderkey // 7) * 8 + l_partkey % 8) * 2 + 1 AS dst FROM lineitem)),
 gnode AS (SELECT node, (node * 37) % 2000 AS x, (node * 91) % 667 AS y FROM (SELECT src AS node FROM gedge UNION SELECT dst FROM gedge)),
 ras AS (SELECT g.ix, g.iy, CAST(coalesce(v, 0) AS BIGINT) AS v, CAST(coalesce(cls, 0) AS BIGINT) AS cls FROM (SELECT i % {NX} AS ix, i // {NX} AS iy FROM range({NX * NY}) t(i)) g
   LEFT JOIN (SELECT l_partkey % {NX} AS ix, l_suppkey % {NY} AS iy, sum(CAST(l_quantity AS BIGINT)) AS v, max(l_linenumber) % 5 AS cls FROM lineitem GROUP BY 1, 2) q ON q.ix = g.ix AND q.iy = g.iy),
