@@ -16,4 +16,9 @@ QUERIES = {
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
-ORACLES = {"op7_line_dedup": line_dedup.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
+ORACLES = {
+    "op2_substring_dedup": substring_dedup.ORACLE,
+    "op7_line_dedup": line_dedup.ORACLE,
+    "op9_jaccard_join": jaccard_join.ORACLE,
+    "op10_quality_rules": quality_rules.ORACLE,
+}

@@ -167,3 +167,16 @@ def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int,
             seen.add(key)
         out[doc] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest())
     return out
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, unnest(list_transform(range(1, len(ws) - 18), lambda i: md5(array_to_string(ws[i:i + 19], ' ')))) AS h FROM d WHERE len(ws) >= 20),
+l AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS rn FROM k),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM l WHERE rn > 1),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+r AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+t AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.p) AS kept FROM w LEFT JOIN g ON g.doc_id = w.doc_id AND g.p = w.p WHERE g.p IS NULL GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
