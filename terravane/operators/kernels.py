@@ -25,14 +25,6 @@ def per_line(df: DataFrame, line: str, order: str, columns: list[str], kernel: C
     return df.select(line, order, *columns).groupBy(line).applyInPandas(run, schema)
 
 
-def even_points(x: np.ndarray, y: np.ndarray, spacing: float) -> tuple[np.ndarray, np.ndarray]:
-    s = np.concatenate([[0.0], np.cumsum(np.hypot(np.diff(x), np.diff(y)))])
-    if s[-1] < 1e-9:
-        return x[:1], y[:1]
-    t = np.linspace(0, s[-1], max(2, int(np.ceil(s[-1] / spacing)) + 1))
-    return np.interp(t, s, x), np.interp(t, s, y)
-
-
 def robust_smooth(x: np.ndarray, y: np.ndarray, sigma: float, scale: float, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Weighted Gaussian means whose weights fall with the distance from the last result; ends stay."""
     n = len(x)
@@ -348,12 +340,6 @@ def erode(z: np.ndarray, steps: int, rate: float, talus: float) -> np.ndarray:
     return z
 
 
-def channel_profile(distance: np.ndarray, half_width: float, depth: float) -> np.ndarray:
-    """Depth of a river bed by the distance from its middle."""
-    t = np.clip(distance / half_width, 0, 1)
-    return depth * (1 - t**2)
-
-
 def rings_of_graph(src: np.ndarray, dst: np.ndarray, x: dict, y: dict) -> list[list[float]]:
     """Faces of a plane graph: each directed edge goes on with the next one around its end."""
     around: dict[float, list[float]] = {}

@@ -62,6 +62,36 @@ def _(w):
     return I.read_raster(w.spark, path)
 
 
+@query("s02_json_sink", "SELECT CAST(r_regionkey AS BIGINT) AS k, r_name AS name, CAST(NULL AS DOUBLE) AS note FROM region")
+def _(w):
+    """Nulls are written as such, so every row keeps its columns."""
+    path = _at(w, "sink")
+    I.write_json(w.table("region").selectExpr("cast(r_regionkey as bigint) as k", "r_name as name", "cast(null as double) as note"), path)
+    lines = w.spark.read.text(path)
+    return lines.select(F.from_json("value", "k long, name string, note double").alias("r")).where(F.col("value").contains('"note":null')).select("r.*")
+
+
+@query("s08_raster_sink", "SELECT iy, count(*) * 4 AS bytes FROM ras GROUP BY iy")
+def _(w):
+    path = _at(w, "tiles")
+    I.write_raster(w.ras, "v", path)
+    return w.spark.read.parquet(path).select("iy", F.length("data").cast("long").alias("bytes"))
+
+
+@query("s17_manifest", "SELECT 'events' AS name, count(*) AS n FROM events UNION ALL SELECT 'nation', count(*) FROM nation")
+def _(w):
+    return I.manifest(events=w.table("events"), nation=w.table("nation"))
+
+
+@query("v07_tile_table", "SELECT ix // 25 AS tx, iy // 25 AS ty, CAST(sum(v) AS BIGINT) AS s FROM ras GROUP BY 1, 2")
+def _(w):
+    """Tiles computed once, written by tile, and read back; the second read computes nothing."""
+    tiles = w.ras.groupBy(F.expr("ix div 25").alias("tx"), F.expr("iy div 25").alias("ty")).agg(F.sum("v").alias("s"))
+    path = _at(w, "tile-table")
+    I.memo(tiles, path)
+    return I.memo(tiles, path)
+
+
 @query("s09_quantise", ", q AS (SELECT min(v) AS lo, max(v) AS hi FROM ras), e AS (SELECT ix, iy, lo, hi, CAST(greatest(0, least(65535, round((v - lo) * 1.0 / (hi - lo) * 65535))) AS BIGINT) AS q FROM ras, q) SELECT ix, iy, q, round(lo + q / 65535.0 * (hi - lo), 3) AS back FROM e")
 def _(w):
     e = w.ras.crossJoin(F.broadcast(w.ras.agg(F.min("v").alias("lo"), F.max("v").alias("hi")))).withColumn("q", S.quantise("v", "lo", "hi"))
