@@ -163,7 +163,7 @@ _NEAR = "n AS (SELECT r.ix, r.iy, r.v, arg_min(g.node, (power(r.ix * 20 + 10 - g
 
 def _near_node(w):
     cells = w.ras.select((F.col("iy") * 100 + F.col("ix")).alias("id"), (F.col("ix") * 20 + 10).alias("x"), (F.col("iy") * 13 + 6).alias("y"))
-    return P.nearest(cells, w.gnode, "id", "node", 20.0).withColumns({"ix": F.col("id") % 100, "iy": F.expr("id div 100")})
+    return P.nearest(cells, w.gnode, "id", "node", 8.0).withColumns({"ix": F.col("id") % 100, "iy": F.expr("id div 100")})
 
 
 @query("r26_grade_to_road", f", {_NEAR} SELECT ix, iy, round(CASE WHEN d < 60 THEN least(greatest(v, 250 + node % 50 - d * 0.5), 250 + node % 50 + d * 0.5) ELSE v END, 4) AS z FROM n")

@@ -53,12 +53,12 @@ def _(w):
 
 @query("j04_nearest_neighbour", "SELECT id, arg_min(node, d * 1e7 + node) AS node, round(sqrt(min(d)), 4) AS dist FROM (SELECT p.id, g.node, (p.x - g.x) * (p.x - g.x) + (p.y - g.y) * (p.y - g.y) AS d FROM pts p, gnode g) GROUP BY id")
 def _(w):
-    return P.nearest(w.pts, _grid_nodes(w), "id", "node", 40.0).select("id", "node", R("dist", 4).alias("dist"))
+    return P.nearest(w.pts, _grid_nodes(w), "id", "node", 4.0).select("id", "node", R("dist", 4).alias("dist"))
 
 
 @query("j05_k_nearest", ", n AS (SELECT id, arg_min({'n': node, 'd': d}, (d, node), 6) AS l FROM (SELECT p.id, g.node, (p.x - g.x) * (p.x - g.x) + (p.y - g.y) * (p.y - g.y) AS d FROM pts p JOIN gnode g ON g.x BETWEEN p.x - 200 AND p.x + 200) GROUP BY id) SELECT id, round(list_min(list_transform(l, lambda e: sqrt(e.d) + e.n % 10)), 4) AS best, len(l) AS k FROM n")
 def _(w):
-    near = P.nearest(w.pts, _grid_nodes(w), "id", "node", 25.0, k=6)
+    near = P.nearest(w.pts, _grid_nodes(w), "id", "node", 8.0, k=6)
     return near.groupBy("id").agg(R(F.min(F.col("dist") + F.col("node") % 10), 4).alias("best"), F.max("rank").alias("k"))
 
 
@@ -76,9 +76,9 @@ def _(w):
     return w.pts.crossJoin(z).groupBy("id").agg(F.min_by("zid", F.struct(d, "zid")).alias("zid"))
 
 
-@query("j08_distance_within", "SELECT p.id, g.node FROM pts p JOIN gnode g ON power(p.x - g.x, 2) + power(p.y - g.y, 2) <= 400")
+@query("j08_distance_within", "SELECT p.id, g.node FROM pts p JOIN gnode g ON power(p.x - g.x, 2) + power(p.y - g.y, 2) <= 36")
 def _(w):
-    return P.within(w.pts.select("id", "x", "y"), _nodes(w), 20.0, bx="bx", by="by").select("id", "node")
+    return P.within(w.pts.select("id", "x", "y"), _nodes(w), 6.0, bx="bx", by="by").select("id", "node")
 
 
 @query("j09_radius_self_join", "SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON b.id > a.id + 5 AND power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 36")
