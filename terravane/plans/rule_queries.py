@@ -85,7 +85,7 @@ def _(w):
 def _(w):
     k = _segments(w).withColumn("k", F.explode(F.sequence(L(0), L(4))))
     samples = k.select(F.struct("sid", "k", "x0", "y0").alias("id"), (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("k") / 4.0).alias("x"), (F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("k") / 4.0).alias("y"))
-    near = P.points_near_segments(samples, _segments(w), 3.5, 40.0).select(F.col("a_id.sid").alias("a"), F.col("a_id.x0").alias("ax"), F.col("a_id.y0").alias("ay"), F.col("b_sid").alias("b")).where("a < b")
+    near = P.points_near_segments(samples, _segments(w), 3.5, 12.0).select(F.col("a_id.sid").alias("a"), F.col("a_id.x0").alias("ax"), F.col("a_id.y0").alias("ay"), F.col("b_sid").alias("b")).where("a < b")
     return U.issues(near.groupBy("a", "b", "ax", "ay").count().where("count > 3"), "duplicate", "error", "a", F.concat(L("runs on top of "), _s("b")), "ax", "ay")
 
 

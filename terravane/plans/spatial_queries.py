@@ -136,7 +136,7 @@ def _(w):
     """Of five samples of a segment more than 60 % lie within 3.5 of another."""
     k = _segments(w).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
     samples = k.select(F.struct("sid", "k").alias("id"), (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("k") / 4.0).alias("x"), (F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("k") / 4.0).alias("y"))
-    near = P.points_near_segments(samples, _segments(w), 3.5, 40.0).select(F.col("a_id.sid").alias("a"), F.col("b_sid").alias("b")).where("a < b")
+    near = P.points_near_segments(samples, _segments(w), 3.5, 12.0).select(F.col("a_id.sid").alias("a"), F.col("b_sid").alias("b")).where("a < b")
     return near.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 3")
 
 
