@@ -347,6 +347,35 @@ def test_lm_scores(spark, docs, none, corpus):
     assert lm_scoring.score(none, models).count() == 0 and lm_scoring.score(docs, lm_scoring.fit(none, labels.limit(0))).count() == docs.count()
 
 
+def test_lm_scores_of_every_word(spark, docs, none, corpus, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK", 20_000)
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, None), (7, 1, 1), (10, 0, 0), (None, 1, 0), (1, 1, 0), (99999, 1, 0)], "doc_id long, quality int, toxic int")
+    pairs, words = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    split = lambda t: [None, *(t or "").encode().split()]
+    for d, t, *_ in corpus:
+        w = split(t)
+        for kind in range(2 if d in (1, 4) else 1):
+            pairs[kind].update(zip(w, w[1:]))
+            words[kind].update(w if len(w) > 1 else [])
+    k = len(words[0]) - 1
+    assert k > 4000
+
+    def loss(kind, v, w):
+        base = 0.29 * words[kind][w] / (sum(words[kind].values()) - words[kind][None]) + 0.01 / k
+        return -np.log(0.7 * pairs[kind][v, w] / words[kind][v] + base if words[kind][v] else base / 0.3)
+
+    got = {r.doc_id: r for r in lm_scoring.score_all(docs, labels).collect()}
+    for d, t, *_ in corpus:
+        w = split(t)
+        assert got[d].n_tokens == len(w) - 1
+        if len(w) > 1:
+            b, a = (np.mean([loss(kind, *x) for x in zip(w, w[1:])]) for kind in (0, 1))
+            assert abs(got[d].target_loss - a) < 1e-9 and abs(got[d].background_loss - b) < 1e-9 and abs(got[d].score - (a - b)) < 1e-9
+        else:
+            assert got[d].score is None and got[d].target_loss is None
+    assert lm_scoring.score_all(none, labels).count() == 0 and lm_scoring.score_all(docs, labels.limit(0)).count() == docs.count()
+
+
 def test_held_out_folds(spark):
     rows = [(i,) for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long")
