@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from terravane.llm import decontamination, jaccard_join, line_dedup, piece_sampling, quality_classifier
 from terravane.llm.common import Scratch, fresh, table
 
+#: Near copies: words of a shingle, and the least Jaccard similarity in percent.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; it learns from the labels outside the held-out fold."""
@@ -26,7 +29,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the smallest doc_id stays."""
-    found = jaccard_join.jaccard_components(docs)
+    found = jaccard_join.jaccard_components(docs, NEAR_SHINGLE, NEAR_PERCENT)
     copy = fresh(docs, "copy_of")
     copies = found.where("component_id <> doc_id").select(F.col("doc_id").alias(copy)).distinct()
     return docs.join(copies, F.col("doc_id") == F.col(copy), "left_anti")

@@ -1,7 +1,8 @@
 """Operator 9: Jaccard self-join of shingle sets and its components, by a size-aware light/heavy scheme.
 
-Two sets of sizes a <= b link when 100 * |A and B| >= 85 * |A or B|; then 20a >= 17b, they share at least
-ceil(17(a + b) / 37) shingles and differ in at most floor(3(a + b) / 37).
+Two sets of sizes a <= b link when 100 * |A and B| >= percent * |A or B|; then 100a >= percent * b, they share at least
+ceil(percent(a + b) / (100 + percent)) shingles and differ in at most floor((100 - percent)(a + b) / (100 + percent)). The query takes
+shingles of SHINGLE words and PERCENT; the pipeline has its own.
 
 Light sets (size up to a boundary): a set lists all its subsets of the size that a link with each possible
 partner size needs; linked sets list one subset both. Heavy sets: the hash range of the shingles is cut into more blocks than a
@@ -17,7 +18,7 @@ So no pairs within a group are emitted, no group is held by one task (blocks are
 is tested. Sets are told apart by 64-bit hashes of shingles and of whole sets; n different sets have a chance
 of n * n / 2^65 that two are taken for equal.
 
-Null texts and texts without words have the empty set: n_shingles 0, component_id = doc_id. With fewer than four words the whole
+Null texts and texts without words have the empty set: n_shingles 0, component_id = doc_id. With fewer words than a shingle the whole
 sequence is the one shingle. doc_id should be unique and not null (a null doc_id stays in no component but its own set's). Other columns are ignored.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import MULTIPLIER, SECOND, Scratch, components, hashes, numbers, signed, table, texts, windows
 
-SHINGLE = 4
+SHINGLE, PERCENT = 4, 85
 BLOCK = 256
 U = np.uint64
 
@@ -45,58 +46,62 @@ def mix(a: np.ndarray) -> np.ndarray:
     return a ^ (a >> U(31))
 
 
-def shingles(text: bytes | None) -> np.ndarray:
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of the distinct word shingles, A-Z in lower case."""
     w = text.lower().split() if text else []
-    return np.unique(windows(hashes(w), min(SHINGLE, len(w)))) if w else np.empty(0, U)
+    return np.unique(windows(hashes(w), min(shingle, len(w)))) if w else np.empty(0, U)
 
 
-def overlap(a: int, b: int) -> int:
-    return -(-17 * (a + b) // 37)
+def overlap(a: int, b: int, percent: int = PERCENT) -> int:
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def partners(n: int) -> range:
-    return range(-(-17 * n // 20), 20 * n // 17 + 1)
+def apart(a: int, b: int, percent: int = PERCENT) -> int:
+    return (100 - percent) * (a + b) // (100 + percent)
 
 
-def light_cost(n: int) -> int:
-    return sum(math.comb(n, n - overlap(n, m)) for m in partners(n))
+def partners(n: int, percent: int = PERCENT) -> range:
+    return range(-(-percent * n // 100), 100 * n // percent + 1)
+
+
+def light_cost(n: int, percent: int = PERCENT) -> int:
+    return sum(math.comb(n, n - overlap(n, m, percent)) for m in partners(n, percent))
 
 
 @functools.cache
-def boundary(weight: int = 4) -> int:
+def boundary(percent: int = PERCENT, weight: int = 4) -> int:
     """The largest size for which listing subsets gives at most `weight` times the rows of blocks, as a subset is more telling."""
     n = 1
-    while light_cost(n + 1) <= weight * 2 * (3 * 2 * (n + 1) // 37 + 2):
+    while light_cost(n + 1, percent) <= weight * 2 * (apart(n + 1, n + 1, percent) + 2):
         n += 1
     return n
 
 
 @functools.cache
-def classes(most: int = 1 << 40) -> tuple[list[int], list[tuple[int, int]]]:
+def classes(percent: int = PERCENT, most: int = 1 << 40) -> tuple[list[int], list[tuple[int, int]]]:
     """Least sizes of the heavy classes, and for each class the largest size that uses it and its number of blocks."""
-    starts, how = [boundary() + 1], []
+    starts, how = [boundary(percent) + 1], []
     while starts[-1] < most:
-        a = 20 * starts[-1] // 17  # the largest size in the class
-        b = 20 * a // 17  # its largest partner
-        differ = 3 * (a + b) // 37
+        a = 100 * starts[-1] // percent  # the largest size in the class
+        b = 100 * a // percent  # its largest partner
+        differ = apart(a, b, percent)
         how.append((b, differ + 2 + differ // 64))  # some blocks may be empty
         starts.append(a + 1)
     return starts, how
 
 
-def _signatures(s: np.ndarray) -> list[np.ndarray]:
+def _signatures(s: np.ndarray, percent: int = PERCENT) -> list[np.ndarray]:
     n, out = len(s), []
     mixed = mix(s)
     total = mixed.sum(dtype=U)
-    for m in partners(n):
-        if min(n, m) <= boundary():
+    for m in partners(n, percent):
+        if min(n, m) <= boundary(percent):
             tag = mix(np.array([(min(n, m) << 32) + max(n, m)], U))[0]
-            left_out = n - overlap(n, m)
+            left_out = n - overlap(n, m, percent)
             sums = np.array([sum(c) & 0xFFFFFFFFFFFFFFFF for c in itertools.combinations(mixed.tolist(), left_out)], U) if left_out else np.zeros(1, U)
             out.append(mix((total - sums) ^ tag))
-    if n > boundary() or 20 * n // 17 > boundary():
-        starts, how = classes()
+    if 100 * n // percent > boundary(percent):
+        starts, how = classes(percent)
         k = int(np.searchsorted(starts, n, "right")) - 1
         for scheme in (k, k - 1):
             if scheme < 0 or n > how[scheme][0]:
@@ -108,7 +113,7 @@ def _signatures(s: np.ndarray) -> list[np.ndarray]:
             tag = U(scheme) << U(40)
             out.append(mix(content ^ mix(tag + b[first])))
             # where all blocks on which a pair agrees may be empty ones, those are listed too
-            differ = 3 * (n + min(20 * n // 17, how[scheme][0])) // 37
+            differ = apart(n, min(100 * n // percent, how[scheme][0]), percent)
             if blocks - len(first) >= blocks - differ:
                 empty = np.setdiff1d(np.arange(blocks), b[first].astype(int))
                 out.append(mix(mix(tag + empty.astype(U)) + SECOND))
@@ -119,28 +124,28 @@ def fingerprint(s: np.ndarray) -> np.uint64:
     return mix(np.array([mix(s * MULTIPLIER + SECOND).sum(dtype=U) + U(len(s))], U))[0]
 
 
-def _sets(batches):
+def _sets(batches, shingle: int):
     """(doc_id, n, fp) of every document; fp is null for the empty set."""
     for batch, found in texts(batches):
-        s = [shingles(t) for t in found]
+        s = [shingles(t, shingle) for t in found]
         fp = [int(fingerprint(x).view(np.int64)) if len(x) else None for x in s]
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array([len(x) for x in s], pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "n", "fp"])
 
 
-def _lists(batches):
+def _lists(batches, shingle: int, percent: int):
     """(key, fp) of every set, equal sets once for each part of a batch."""
     for _, found in texts(batches):
         keys, fps, seen = [], [], set()
         for t in found:
-            s = shingles(t)
+            s = shingles(t, shingle)
             if len(s) and (fp := fingerprint(s)) not in seen:
                 seen.add(fp)
-                keys += (own := _signatures(s))
+                keys += (own := _signatures(s, percent))
                 fps.append(np.full(sum(map(len, own)), fp, U))
         yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(x)) if x else [], pa.int64()) for x in (keys, fps)], names=["key", "fp"])
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray | None) -> np.ndarray:
+def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int = PERCENT) -> np.ndarray:
     """For each set, the first set of its component of links; with side, only links between the sides count."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
@@ -160,7 +165,7 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None) -> np.ndarray:
             m = np.zeros((n, min(4096, int(token[-1]) + 1 - start)), np.float32)
             m[row[lo:hi], token[lo:hi] - start] = 1
             inter += m @ m.T
-    link = 185 * np.round(inter).astype(np.int64) >= 85 * (size[:, None] + size[None, :])
+    link = (100 + percent) * np.round(inter).astype(np.int64) >= percent * (size[:, None] + size[None, :])
     if side is not None:
         link &= side[:, None] != side[None, :]
     root = np.full(n, -1)
@@ -173,7 +178,7 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None) -> np.ndarray:
     return root
 
 
-def _verified(batches):
+def _verified(batches, percent: int):
     """Rows sorted by unit (label, bi, bj) -> (a, b): a forest of the unit's links."""
     held, unit = [], None
 
@@ -181,7 +186,7 @@ def _verified(batches):
         if len(held) < 2:
             return []
         two = unit[1] != unit[2]
-        root = linked([np.frombuffer(h[2], U) for h in held], np.array([h[0] for h in held]) if two else None)
+        root = linked([np.frombuffer(h[2], U) for h in held], np.array([h[0] for h in held]) if two else None, percent)
         return [(held[r][1], held[i][1]) for i, r in enumerate(root) if i != r]
 
     def packed(out):
@@ -199,10 +204,10 @@ def _verified(batches):
     yield packed(links())
 
 
-def _shingled(batches):
+def _shingled(batches, shingle: int):
     for batch, found in texts(batches):
         cols = [batch.column(batch.schema.get_field_index(c)) for c in ("fp", "pairs")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array([shingles(t).tobytes() for t in found], pa.binary())], names=["fp", "pairs", "s"])
+        yield pa.RecordBatch.from_arrays([*cols, pa.array([shingles(t, shingle).tobytes() for t in found], pa.binary())], names=["fp", "pairs", "s"])
 
 
 def _units(members: DataFrame, met: DataFrame) -> DataFrame:
@@ -218,14 +223,14 @@ def _units(members: DataFrame, met: DataFrame) -> DataFrame:
     return members.join(families, "label").select("label", "fp", "doc_id", "n").union(of_lists)
 
 
-def jaccard_components(documents: DataFrame) -> DataFrame:
+def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = scratch.keep(docs.mapInArrow(_sets, "doc_id long, n long, fp long"))
+    sets = scratch.keep(docs.mapInArrow(lambda batches: _sets(batches, shingle), "doc_id long, n long, fp long"))
 
-    lists = docs.select("text").mapInArrow(_lists, "key long, fp long")
+    lists = docs.select("text").mapInArrow(lambda batches: _lists(batches, shingle, percent), "key long, fp long")
     by_key = Window.partitionBy("key")
     met = scratch.keep(lists.select("key", "fp", F.min("fp").over(by_key).alias("m"), F.max("fp").over(by_key).alias("x")).where("m < x").select("key", "fp", "m").distinct())
     often = met.where("fp <> m").groupBy("fp", "m").count().where("count > 1")
@@ -236,13 +241,13 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     units = scratch.keep(_units(members, met).withColumn("block", F.floor((F.row_number().over(Window.partitionBy("label").orderBy("n", "fp")) - 1) / BLOCK).cast("int")))
     spans = units.groupBy("label", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     first, second = spans.select("label", F.col("block").alias("bi"), "hi"), spans.select("label", F.col("block").alias("bj"), "lo")
-    pairs = first.join(second, "label").where("bi <= bj and 20 * hi >= 17 * lo").select("label", "bi", "bj", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("block"))
+    pairs = first.join(second, "label").where(f"bi <= bj and 100 * hi >= {percent} * lo").select("label", "bi", "bj", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("block"))
     pairs = pairs.groupBy("label", "block").agg(F.collect_list(F.struct("label", "block", "bi", "bj")).alias("pairs"))
     wanted = units.join(pairs, ["label", "block"]).groupBy("doc_id", "fp").agg(F.flatten(F.collect_list("pairs")).alias("pairs"))
 
-    work = wanted.join(docs, "doc_id").select("fp", "pairs", "text").mapInArrow(_shingled, "fp long, pairs array<struct<label:bigint,block:int,bi:int,bj:int>>, s binary")
+    work = wanted.join(docs, "doc_id").select("fp", "pairs", "text").mapInArrow(lambda batches: _shingled(batches, shingle), "fp long, pairs array<struct<label:bigint,block:int,bi:int,bj:int>>, s binary")
     work = work.select(F.explode("pairs").alias("p"), "fp", "s").select("p.label", "p.bi", "p.bj", "p.block", "fp", "s")
-    links = work.repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj", "block", "fp").mapInArrow(_verified, "a long, b long")
+    links = work.repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj", "block", "fp").mapInArrow(lambda batches: _verified(batches, percent), "a long, b long")
 
     found = components(links, scratch).select(F.col("node").alias("fp"), "label")
     least = sets.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(found, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
@@ -254,12 +259,12 @@ def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+def brute_force(rows: list[tuple[int, str | None]], shingle: int = SHINGLE, percent: int = PERCENT) -> dict[int, tuple[int, int]]:
     """All pairs, by what the contract says; for tests."""
     sets = {}
     for doc, text in rows:
         w = (text or "").encode().lower().split()
-        sets[doc] = {tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} if w else set()
+        sets[doc] = {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
     root = {d: d for d in sets}
 
     def top(d):
@@ -268,9 +273,9 @@ def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]
         return d
 
     for a, b in itertools.combinations(sorted(sets), 2):
-        if sets[a] and sets[b] and 20 * min(len(sets[a]), len(sets[b])) >= 17 * max(len(sets[a]), len(sets[b])):
+        if sets[a] and sets[b] and 100 * min(len(sets[a]), len(sets[b])) >= percent * max(len(sets[a]), len(sets[b])):
             i = len(sets[a] & sets[b])
-            if 100 * i >= 85 * (len(sets[a]) + len(sets[b]) - i):
+            if 100 * i >= percent * (len(sets[a]) + len(sets[b]) - i):
                 x, y = sorted((top(a), top(b)))
                 root[y] = x
     return {d: (len(sets[d]), top(d)) for d in sets}

@@ -101,6 +101,17 @@ def test_linked_sets_share_a_signature(n, a_only, b_only, seed):
         assert x & y
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 90), st.integers(0, 12), st.integers(0, 12), st.integers(0, 10**6))
+def test_linked_sets_share_a_signature_at_80(n, a_only, b_only, seed):
+    rng = np.random.default_rng(seed)
+    pool = rng.integers(0, 2**64, n + a_only + b_only, dtype=np.uint64)
+    a, b = np.unique(pool[: n + a_only]), np.unique(np.concatenate([pool[:n], pool[n + a_only :]]))
+    if 100 * n >= 80 * len(pool):
+        x, y = (set(np.concatenate(jaccard_join._signatures(s, 80)).tolist()) for s in (a, b))
+        assert x & y
+
+
 def test_large_families_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
     rng = random.Random(2)

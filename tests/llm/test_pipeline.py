@@ -72,3 +72,18 @@ def test_extra_columns_pass(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.lit(1) for c in ("copy_of", "line_doc", "line_gone", "gone", "fp", "score")})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns
+
+
+def test_near_copies_of_five_words_and_four_fifths(spark, folder):
+    rng, rows = random.Random(8), []
+    for k, n in enumerate((30, 60, 90, 150, 300)):
+        base = [f"{rng.choice('abcdefgh')}{rng.randrange(2000)}" for _ in range(n)]
+        for i in range(12):
+            w = list(base)
+            for at in rng.sample(range(n), rng.randint(0, 1 + n // 40)):
+                w[at] = f"other{i}{at}"
+            rows.append((100 * k + i, " ".join(w)))
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()}
+    want = {d for d, (_, c) in jaccard_join.brute_force(rows, 5, 80).items() if c == d}
+    assert kept == want != {d for d, (_, c) in jaccard_join.brute_force(rows).items() if c == d}
