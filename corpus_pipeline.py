@@ -23,8 +23,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines equal or nearly equal to an earlier one go, and documents that lose all their words."""
-    return line_dedup.line_dedup(docs)
+    """Lines equal (at any length) or nearly equal to an earlier one go, and documents that lose all their words."""
+    return line_dedup.line_dedup(docs, least=1)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

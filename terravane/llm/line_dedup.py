@@ -10,8 +10,9 @@ that the lengths and the number of edits allow, so:
    letters differ by no more than the edits allow are candidates.
 3. Candidates are verified by a bit-parallel automaton over a band of 2 * EDITS + 1 diagonals (within_edits).
 
-Equal lines are one text throughout, so a line with many copies is compared once. Lines of fewer than LEAST characters and
-lines without a word always stay. Groups are held by window and join operators that spill; letter counts are tested within the join, so
+Equal lines are one text throughout, so a line with many copies is compared once. Lines without a word always stay. Lines of
+fewer than LEAST characters have no part in the edit join; by `least` their exact copies go too (in the pipeline) or stay (in the
+query, as its SQL has it). Groups are held by window and join operators that spill; letter counts are tested within the join, so
 that pairs of a large group of similar lines are not put out.
 
 Null texts have no lines and stay null. Rows that share a doc_id count as parts of one document at the same line numbers: equal
@@ -36,10 +37,10 @@ WORDS = 1 << 18
 LETTERS = ("e", "a", "i", "n", "t", "s", "r", "o", "hw", "dl", "cum", "bgpvfykqjxz")
 
 
-def numbered(documents: DataFrame) -> DataFrame:
+def numbered(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, pos, line of the lines that are compared, with two hashes of the line."""
     lines = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.where((F.char_length("line") >= LEAST) & F.col("line").rlike(WORD)).select("doc_id", "pos", "line", F.xxhash64("line").alias("id"), F.xxhash64(F.lit("second"), F.col("line")).alias("id2"))
+    return lines.where((F.char_length("line") >= least) & F.col("line").rlike(WORD)).select("doc_id", "pos", "line", F.xxhash64("line").alias("id"), F.xxhash64(F.lit("second"), F.col("line")).alias("id2"))
 
 
 def _choices(edits: int) -> list[tuple[int, int, int]]:
@@ -141,22 +142,22 @@ def near_lines(lines: DataFrame, copies: DataFrame, scratch: Scratch, edits: int
     return found.select(F.when(later, F.col("a_id")).otherwise(F.col("b_id")).alias("id"), F.when(later, F.col("a")).otherwise(F.col("b")).alias("id2")).distinct()
 
 
-def removed_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
+def removed_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """doc_id and the sorted numbers (from 0) of its lines that go, for documents that lose any."""
     scratch = Scratch(documents.sparkSession, "lines")
-    lines = numbered(documents)
+    lines = numbered(documents, least)
     marks = scratch.keep(lines.select("doc_id", "pos", "id", "id2"))
     copies = scratch.keep(marks.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")))
-    near = near_lines(lines, copies, scratch, edits).withColumn("near", F.lit(True))
+    near = near_lines(lines.where(F.char_length("line") >= LEAST), copies, scratch, edits).withColumn("near", F.lit(True))
     texts = copies.join(near, ["id", "id2"], "left").where("n > 1 or near")
     gone = marks.join(texts, ["id", "id2"]).where("near or first <> struct(doc_id, pos)").select("doc_id", "pos")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
-def line_dedup(documents: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_dedup(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """The documents with all their columns, text without the lines that go; documents that lose all of their words go."""
     key, out_ = fresh(documents, "line_doc"), fresh(documents, "line_gone")
-    lost = removed_lines(documents, edits).select(F.col("doc_id").alias(key), F.col("gone").alias(out_))
+    lost = removed_lines(documents, edits, least).select(F.col("doc_id").alias(key), F.col("gone").alias(out_))
     none = F.col(out_).isNull()
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(out_, i)), "\n")
     out = documents.join(lost, F.col("doc_id") == F.col(key), "left").withColumn("text", F.when(none, F.col("text")).otherwise(kept)).where(none | F.col("text").rlike(WORD))

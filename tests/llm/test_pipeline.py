@@ -87,3 +87,10 @@ def test_near_copies_of_five_words_and_four_fifths(spark, folder):
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()}
     want = {d for d, (_, c) in jaccard_join.brute_force(rows, 5, 80).items() if c == d}
     assert kept == want != {d for d, (_, c) in jaccard_join.brute_force(rows).items() if c == d}
+
+
+def test_copies_of_short_lines_go(spark, folder):
+    rows = [(1, "Les.\nfirst line of more than twenty characters\nA b\n\n"), (2, "Les.\nsecond line, which is another one altogether\nA c\n\nLes."), (3, "Les."), (4, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t) if t else None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, folder).collect()}
+    assert got == {1: rows[0][1], 2: "second line, which is another one altogether\nA c\n", 4: None}
