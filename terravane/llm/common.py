@@ -71,6 +71,24 @@ class Scratch:
         remove(self.spark, df._scratch_path)
 
 
+#: Longs of the bitmap of likely().
+WORDS = 1 << 18
+
+
+def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be in wanted, told by a bitmap of fixed size: all that are, and few others while wanted has fewer keys than bits.
+
+    It keeps most other rows out of the shuffle of a join, which is exact whatever the bitmap lets through.
+    """
+    h = F.xxhash64(F.col(key), F.lit("likely"))
+    word, bit = h.bitwiseAND(F.lit(WORDS - 1)), F.shiftrightunsigned(h, 58).cast("int")
+    at, bits = fresh(rows, "word"), fresh(rows, "bits")
+    bitmap = wanted.where(F.col(key).isNotNull()).select(word.alias(at), F.shiftleft(F.lit(1).cast("long"), 0).alias(bits), bit.alias("bit"))
+    bitmap = bitmap.groupBy(at).agg(F.bit_or(F.expr(f"shiftleft({bits}, bit)")).alias(bits))
+    marked = rows.withColumn(at, word).join(F.broadcast(bitmap), at)
+    return marked.where(F.expr(f"shiftright({bits}, cast(shiftrightunsigned(xxhash64({key}, 'likely'), 58) as int)) & 1") == 1).select(*rows.columns)
+
+
 def texts(batches: Iterator[pa.RecordBatch], most: int = 4 << 20, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
     """Parts of Arrow batches with their whole texts as UTF-8 bytes (None for null), of about `most` bytes each."""
     for batch in batches:

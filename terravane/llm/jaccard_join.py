@@ -4,27 +4,30 @@ Two sets of sizes a <= b link when 100 * |A and B| >= percent * |A or B|; then 1
 ceil(percent(a + b) / (100 + percent)) shingles and differ in at most floor((100 - percent)(a + b) / (100 + percent)). The query takes
 shingles of SHINGLE words and PERCENT; the pipeline has its own.
 
-Light sets (size up to a boundary): a set lists all its subsets of the size that a link with each possible
-partner size needs; linked sets list one subset both. Heavy sets: the hash range of the shingles is cut into more blocks than a
-linked pair can have differing shingles, so a linked pair agrees on a whole block; the inverted lists are kept by
-(size class, block, block content) and scanned. The boundary is where listing subsets costs more rows than blocks do.
-
-Sets that meet in two or more lists make a family (components of star edges, not of pairs); lists within one family need no more
-work, and each different list across families is compared itself. Families and lists are cut into blocks of at most BLOCK sets in
-order of size; each pair of blocks with compatible sizes is one unit of work, in which all intersections are counted exactly by matrix
-products, and which gives a forest of its links. Equal sets take part once.
-
-So no pairs within a group are emitted, no group is held by one task (blocks are), and every link between different sets
-is tested. Sets are told apart by 64-bit hashes of shingles and of whole sets; n different sets have a chance
-of n * n / 2^65 that two are taken for equal.
+Light sets (size up to a boundary): a set lists all its subsets of the size that a link with each possible partner size
+needs. Two sets that list one subset are linked. Heavy sets: shingles have one order for the whole corpus, common ones last and else by
+hash. Linked sets share a shingle among the first size - ceil(percent * size / 100) + 1 of either, so each set is put with its place
+into the inverted lists of these shingles, and the lists are scanned. The boundary is the one that makes the fewest rows, by the numbers
+of sets of each small size in the corpus, where a row of a list counts as LIST_WEIGHT of a subset, as it proves nothing.
+
+1. Scanning a list, each set is compared with the list's leader, if sizes and places allow a link. The links found make components.
+2. Lists whose sets are in several components yet are scanned for more: sets of compatible sizes and different components whose sketches
+   (parities of shingle counts by hash, a lower bound on the difference) don't rule a link out. Lists are cut into blocks of about
+   BLOCK sets of a size class, a pair of blocks is one unit of work, and only sketches are sent. First one partner for each set, then all.
+3. Pairs are verified exactly with the shingles of the whole texts; a set that is compared with many is dealt out with BLOCK of them at a time.
+
+So no pairs within a list are put out but those that can't be told apart by size, place, component and sketch, and every link between different
+sets is found. Equal sets take part once. Which shingles count as common changes the cost only: counts by BUCKETS hash ranges,
+put out by each task for ranges far above its mean. Sets are told apart by 64-bit hashes of shingles and of whole sets;
+n different sets have a chance of n * n / 2^65 that two are taken for equal.
 
 Null texts and texts without words have the empty set: n_shingles 0, component_id = doc_id. With fewer words than a shingle the whole
-sequence is the one shingle. doc_id should be unique and not null (a null doc_id stays in no component but its own set's). Other columns are ignored.
+sequence is the one shingle. Rows that share a doc_id keep sets of their own and get the components of these. A null doc_id takes no part and gets the
+component of an equal set, or null. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import functools
 import itertools
 import math
 
@@ -33,11 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, SECOND, Scratch, components, hashes, numbers, signed, table, texts, windows
+from .common import MULTIPLIER, SECOND, Scratch, components, hashes, likely, signed, table, texts, windows
 
 SHINGLE, PERCENT = 4, 85
 BLOCK = 256
+BUCKETS_LOG = 16
+LIST_WEIGHT = 4
+#: Sizes among which the boundary is looked for.
+MOST_LIGHT = 24
 U = np.uint64
+SETS = "doc_id long, n long, fp long, sketch binary, bucket int, often long"
 
 
 def mix(a: np.ndarray) -> np.ndarray:
@@ -52,11 +60,11 @@ def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(windows(hashes(w), min(shingle, len(w)))) if w else np.empty(0, U)
 
 
-def overlap(a: int, b: int, percent: int = PERCENT) -> int:
+def overlap(a, b, percent: int = PERCENT):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def apart(a: int, b: int, percent: int = PERCENT) -> int:
+def apart(a, b, percent: int = PERCENT):
     return (100 - percent) * (a + b) // (100 + percent)
 
 
@@ -64,194 +72,233 @@ def partners(n: int, percent: int = PERCENT) -> range:
     return range(-(-percent * n // 100), 100 * n // percent + 1)
 
 
-def light_cost(n: int, percent: int = PERCENT) -> int:
-    return sum(math.comb(n, n - overlap(n, m, percent)) for m in partners(n, percent))
+def listed(n: int, percent: int = PERCENT) -> int:
+    """Number of shingles of a heavy set whose lists it is put into."""
+    return n - -(-percent * n // 100) + 1
 
 
-@functools.cache
-def boundary(percent: int = PERCENT, weight: int = 4) -> int:
-    """The largest size for which listing subsets gives at most `weight` times the rows of blocks, as a subset is more telling."""
-    n = 1
-    while light_cost(n + 1, percent) <= weight * 2 * (apart(n + 1, n + 1, percent) + 2):
-        n += 1
-    return n
+def boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
+    """The largest light size at the least cost; sizes: the number of sets of each size up to MOST_LIGHT * 100 / percent."""
 
+    def cost(b: int) -> int:
+        total = 0
+        for n, sets in sizes.items():
+            subsets = sum(math.comb(n, n - overlap(n, m, percent)) for m in partners(n, percent) if min(n, m) <= b)
+            total += sets * (subsets + (LIST_WEIGHT * listed(n, percent) if n > b else 0))
+        return total
 
-@functools.cache
-def classes(percent: int = PERCENT, most: int = 1 << 40) -> tuple[list[int], list[tuple[int, int]]]:
-    """Least sizes of the heavy classes, and for each class the largest size that uses it and its number of blocks."""
-    starts, how = [boundary(percent) + 1], []
-    while starts[-1] < most:
-        a = 100 * starts[-1] // percent  # the largest size in the class
-        b = 100 * a // percent  # its largest partner
-        differ = apart(a, b, percent)
-        how.append((b, differ + 2 + differ // 64))  # some blocks may be empty
-        starts.append(a + 1)
-    return starts, how
+    return min(range(MOST_LIGHT + 1), key=cost)
 
 
-def _signatures(s: np.ndarray, percent: int = PERCENT) -> list[np.ndarray]:
+def light_keys(s: np.ndarray, light: int, percent: int = PERCENT) -> list[tuple[int, np.ndarray]]:
+    """(least size of the two, hashes of the subsets) for each partner size at which a link is found by subsets."""
     n, out = len(s), []
     mixed = mix(s)
     total = mixed.sum(dtype=U)
-    for m in partners(n, percent):
-        if min(n, m) <= boundary(percent):
+    for m in partners(n, percent) if n * percent <= 100 * light else ():
+        if min(n, m) <= light:
             tag = mix(np.array([(min(n, m) << 32) + max(n, m)], U))[0]
             left_out = n - overlap(n, m, percent)
             sums = np.array([sum(c) & 0xFFFFFFFFFFFFFFFF for c in itertools.combinations(mixed.tolist(), left_out)], U) if left_out else np.zeros(1, U)
-            out.append(mix((total - sums) ^ tag))
-    if 100 * n // percent > boundary(percent):
-        starts, how = classes(percent)
-        k = int(np.searchsorted(starts, n, "right")) - 1
-        for scheme in (k, k - 1):
-            if scheme < 0 or n > how[scheme][0]:
-                continue
-            blocks = how[scheme][1]
-            b = ((s >> U(32)) * U(blocks)) >> U(32)
-            first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-            content = np.add.reduceat(mixed, first)
-            tag = U(scheme) << U(40)
-            out.append(mix(content ^ mix(tag + b[first])))
-            # where all blocks on which a pair agrees may be empty ones, those are listed too
-            differ = apart(n, min(100 * n // percent, how[scheme][0]), percent)
-            if blocks - len(first) >= blocks - differ:
-                empty = np.setdiff1d(np.arange(blocks), b[first].astype(int))
-                out.append(mix(mix(tag + empty.astype(U)) + SECOND))
+            out.append((min(n, m), mix((total - sums) ^ tag)))
     return out
 
 
+def heavy_keys(s: np.ndarray, light: int, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The set's first shingles in the corpus's order; common: which hash ranges come last."""
+    if len(s) <= light:
+        return s[:0]
+    late = common[(s >> U(64 - BUCKETS_LOG)).astype(np.int64)]
+    return np.concatenate([s[~late], s[late]])[: listed(len(s), percent)]
+
+
 def fingerprint(s: np.ndarray) -> np.uint64:
     return mix(np.array([mix(s * MULTIPLIER + SECOND).sum(dtype=U) + U(len(s))], U))[0]
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the number of shingles in each of one to two times as many hash buckets; half as many are the exclusive or of both halves."""
+    words = 1 << max(0, (len(s) - 1).bit_length() - 6)
+    odd = np.bincount((mix(s) & U(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _sets(batches, shingle: int):
-    """(doc_id, n, fp) of every document; fp is null for the empty set."""
+    """(doc_id, n, fp, sketch) of every document, fp and sketch null for the empty set; then (bucket, often) of hash ranges with many shingles here."""
+    counts = np.zeros(1 << BUCKETS_LOG, np.int64)
     for batch, found in texts(batches):
         s = [shingles(t, shingle) for t in found]
+        if any(map(len, s)):
+            counts += np.bincount((np.concatenate(s) >> U(64 - BUCKETS_LOG)).astype(np.int64), minlength=len(counts))
         fp = [int(fingerprint(x).view(np.int64)) if len(x) else None for x in s]
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array([len(x) for x in s], pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "n", "fp"])
+        none = [None] * len(s)
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array([len(x) for x in s], pa.int64()), pa.array(fp, pa.int64()), pa.array([sketch(x) if len(x) else None for x in s], pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.int64())], names=["doc_id", "n", "fp", "sketch", "bucket", "often"])
+    many = np.flatnonzero(counts > 2 * counts.mean() + 16)
+    none = pa.nulls(len(many), pa.int64())
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(many), pa.binary()), pa.array(many, pa.int32()), pa.array(counts[many])], names=["doc_id", "n", "fp", "sketch", "bucket", "often"])
 
 
-def _lists(batches, shingle: int, percent: int):
-    """(key, fp) of every set, equal sets once for each part of a batch."""
+def _lists(batches, shingle: int, percent: int, light: int, common: np.ndarray, most: int = 1_000_000):
+    """(key, fp, n, place, least) of every set, equal sets of a task once; least: of a subset's sizes the smaller, 0 for the list of a shingle."""
+    seen: set[int] = set()
     for _, found in texts(batches):
-        keys, fps, seen = [], [], set()
+        rows = []
         for t in found:
             s = shingles(t, shingle)
-            if len(s) and (fp := fingerprint(s)) not in seen:
-                seen.add(fp)
-                keys += (own := _signatures(s, percent))
-                fps.append(np.full(sum(map(len, own)), fp, U))
-        yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(x)) if x else [], pa.int64()) for x in (keys, fps)], names=["key", "fp"])
-
-
-def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int = PERCENT) -> np.ndarray:
-    """For each set, the first set of its component of links; with side, only links between the sides count."""
-    n = len(sets)
-    size = np.array([len(s) for s in sets])
-    if n == 2:
-        inter = np.zeros((2, 2))
-        inter[0, 1] = inter[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
-    else:
-        _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = count[token] > 1
-        row = np.repeat(np.arange(n), size)[shared]
-        token = (np.cumsum(count > 1) - 1)[token[shared]]
-        order = np.argsort(token, kind="stable")
-        row, token = row[order], token[order]
-        inter = np.zeros((n, n), np.float32)
-        for start in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
-            lo, hi = np.searchsorted(token, [start, start + 4096])
-            m = np.zeros((n, min(4096, int(token[-1]) + 1 - start)), np.float32)
-            m[row[lo:hi], token[lo:hi] - start] = 1
-            inter += m @ m.T
-    link = (100 + percent) * np.round(inter).astype(np.int64) >= percent * (size[:, None] + size[None, :])
-    if side is not None:
-        link &= side[:, None] != side[None, :]
-    root = np.full(n, -1)
-    for i in range(n):
-        if root[i] < 0:
-            root[i], grown = i, np.array([i])
-            while len(grown):
-                grown = np.flatnonzero(link[grown].any(0) & (root < 0))
-                root[grown] = i
-    return root
-
-
-def _verified(batches, percent: int):
-    """Rows sorted by unit (label, bi, bj) -> (a, b): a forest of the unit's links."""
+            if not len(s) or (fp := fingerprint(s)) in seen:
+                continue
+            seen.add(fp)
+            of = [(least, keys, np.zeros(len(keys), np.int32)) for least, keys in light_keys(s, light, percent)]
+            keys = heavy_keys(s, light, common, percent)
+            of.append((0, keys, np.arange(len(keys), dtype=np.int32)))
+            rows += [(keys, np.full(len(keys), fp, U), np.full(len(keys), len(s), np.int32), place, np.full(len(keys), least, np.int32)) for least, keys, place in of if len(keys)]
+        if len(seen) > most:
+            seen.clear()
+        cols = [np.concatenate(x) for x in zip(*rows)] if rows else [np.empty(0, U)] * 2 + [np.empty(0, np.int32)] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(signed(cols[0])), pa.array(signed(cols[1])), *map(pa.array, cols[2:])], names=["key", "fp", "n", "place", "least"])
+
+
+def _linked(batches, shingle: int, percent: int):
+    """Rows sorted by (a, chunk, member), the set a first -> the links (a, fp) of a with members."""
+    at, first = None, None
+    for batch, found in texts(batches):
+        a_, chunk, member, fp_ = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "chunk", "member", "fp"))
+        out = []
+        for a, c, is_member, fp, t in zip(a_, chunk, member, fp_, found):
+            if (a, c) != at:
+                at, first = (a, c), None
+            s = shingles(t, shingle)
+            if not len(s) or int(fingerprint(s).view(np.int64)) != fp:
+                continue  # another text of the same doc_id
+            if not is_member:
+                first = s
+            elif first is not None and len(np.intersect1d(first, s, assume_unique=True)) >= overlap(len(first), len(s), percent):
+                out.append((a, fp))
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets that link; members: fp and a doc_id of each."""
+    counts = pairs.groupBy("a").agg(F.count("*").alias("c"))
+    of = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / BLOCK)).cast("int").alias("chunk"), F.col("b").alias("fp"))
+    needs = of.withColumn("member", F.lit(True)).union(of.select("a", "chunk", F.col("a").alias("fp")).distinct().withColumn("member", F.lit(False)))
+    needs = needs.join(members.select("fp", "doc_id"), "fp")
+    held = likely(docs, needs, "doc_id").join(needs, "doc_id").select("a", "chunk", "member", "fp", "text")
+    return held.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "member").mapInArrow(lambda batches: _linked(batches, shingle, percent), "a long, b long")
+
+
+def possible(n: np.ndarray, label: np.ndarray, sketches: list[bytes], side: np.ndarray | None, every: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Places of pairs of sets that may link, of different labels and, if given, sides; without every, one at most for each set as the larger."""
+    order = np.argsort(n, kind="stable")
+    n, label, raw = n[order], label[order], [np.frombuffer(sketches[i], np.uint64) for i in order]
+    side = None if side is None else side[order]
+    free, folded, out = np.ones(len(n), bool), {}, []
+    for i in range(len(n) - 1):
+        j = np.arange(i + 1, np.searchsorted(n, 100 * n[i] // percent, "right"))
+        j = j[(label[j] != label[i]) & free[j]]
+        if side is not None:
+            j = j[side[j] != side[i]]
+        if not len(j):
+            continue
+        w = len(raw[i])
+        if w not in folded:  # sets from here on have as many words at least
+            folded = {w: (i, np.array([np.bitwise_xor.reduce(x.reshape(-1, w), axis=0) for x in raw[i:]]))}
+        start, bits = folded[w]
+        j = j[np.bitwise_count(bits[j - start] ^ bits[i - start]).sum(1) <= apart(n[i], n[j], percent)]
+        if not every:
+            free[j] = False
+        out += [(int(order[i]), int(order[x])) for x in j]
+    return out
+
+
+def _survivors(batches, every: bool, percent: int):
+    """Rows sorted by unit -> (a, b) of the pairs of a unit that may link."""
     held, unit = [], None
 
-    def links():
+    def pairs():
         if len(held) < 2:
             return []
-        two = unit[1] != unit[2]
-        root = linked([np.frombuffer(h[2], U) for h in held], np.array([h[0] for h in held]) if two else None, percent)
-        return [(held[r][1], held[i][1]) for i, r in enumerate(root) if i != r]
+        side, n, fp, label, bits = zip(*held)
+        two = unit[1:3] != unit[3:5]
+        return [tuple(sorted((fp[i], fp[j]))) for i, j in possible(np.array(n), np.array(label), bits, np.array(side) if two else None, every, percent)]
 
     def packed(out):
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(6)]
         out = []
-        for label, bi, bj, block, fp, s in zip(*cols):
-            if (label, bi, bj) != unit:
-                out += links()
-                held, unit = [], (label, bi, bj)
-            held.append((block, fp, s))
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:5] != unit:
+                out += pairs()
+                held, unit = [], row[:5]
+            held.append(row[5:])
         yield packed(out)
-    yield packed(links())
-
-
-def _shingled(batches, shingle: int):
-    for batch, found in texts(batches):
-        cols = [batch.column(batch.schema.get_field_index(c)) for c in ("fp", "pairs")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array([shingles(t, shingle).tobytes() for t in found], pa.binary())], names=["fp", "pairs", "s"])
-
-
-def _units(members: DataFrame, met: DataFrame) -> DataFrame:
-    """(label, fp, doc_id, n): what is to be compared with what, each family and each different list across families.
-
-    Two sets that link share a list; that list lies within one family, or is a unit itself.
-    """
-    listed = met.select("key", "fp").join(members, "fp")
-    across = listed.groupBy("key").agg(F.bit_xor(F.xxhash64("fp")).alias("x"), F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    across = across.groupBy("x", "c").agg(F.min("key").alias("key")).select("key")
-    of_lists = listed.join(across, "key").select(F.xxhash64("key").alias("label"), "fp", "doc_id", "n")
-    families = members.groupBy("label").count().where("count > 1").select("label")
-    return members.join(families, "label").select("label", "fp", "doc_id", "n").union(of_lists)
+    yield packed(pairs())
+
+
+def _rest(met: DataFrame, members: DataFrame, sets: DataFrame, labels: DataFrame, every: bool, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets that share a list, have different labels and may link."""
+    rows = met.where("least = 0").select("key", "fp").join(members.select("fp", "n"), "fp").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    lists = rows.groupBy("key").agg(F.bit_xor(F.xxhash64("fp")).alias("x"), F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    lists = lists.groupBy("x", "c").agg(F.min("key").alias("key"))  # lists of the same sets are scanned once
+    # a link's sizes are less than one class apart
+    width = math.log(100 / percent) * 1.01
+    of = rows.join(lists.select("key", "c"), "key").withColumn("class", F.when(F.col("c") <= BLOCK, 0).otherwise(F.floor(F.log("n") / width)).cast("int"))
+    blocks = of.groupBy("key", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = blocks.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("class", "blocks"))).alias("blocks"))  # an entry for each class, so a few dozen
+    of = of.join(blocks, "key").withColumn("block", F.expr("cast(pmod(xxhash64(fp), blocks[class]) as int)"))
+    units = F.expr(
+        """concat(
+          transform(sequence(0, blocks[class] - 1), j -> struct(class as lc, least(block, j) as bi, class as hc, greatest(block, j) as bj, if(block <= j, 0, 1) as side)),
+          if(try_element_at(blocks, class + 1) is null, array(), transform(sequence(0, try_element_at(blocks, class + 1) - 1), j -> struct(class as lc, block as bi, class + 1 as hc, j as bj, 0 as side))),
+          if(try_element_at(blocks, class - 1) is null, array(), transform(sequence(0, try_element_at(blocks, class - 1) - 1), j -> struct(class - 1 as lc, j as bi, class as hc, block as bj, 1 as side))))"""
+    )
+    bits = sets.join(of.select("fp").distinct(), "fp").groupBy("fp").agg(F.first("sketch").alias("sketch"))
+    work = of.join(bits, "fp").select("key", F.explode(units).alias("u"), "fp", "n", "label", "sketch").select("key", "u.lc", "u.bi", "u.hc", "u.bj", "u.side", "n", "fp", "label", "sketch")
+    unit = ["key", "lc", "bi", "hc", "bj"]
+    return work.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(lambda batches: _survivors(batches, every, percent), "a long, b long").distinct()
 
 
 def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(documents.sparkSession, "jaccard")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = scratch.keep(docs.mapInArrow(lambda batches: _sets(batches, shingle), "doc_id long, n long, fp long"))
-
-    lists = docs.select("text").mapInArrow(lambda batches: _lists(batches, shingle, percent), "key long, fp long")
+    every = scratch.keep(docs.mapInArrow(lambda batches: _sets(batches, shingle), SETS))
+    sets = every.where("n is not null").select("doc_id", "n", "fp", "sketch")
+    shares = every.agg(F.sum("n")).first()[0] or 0
+    often = every.where("bucket is not null").groupBy("bucket").agg(F.sum("often").alias("often")).where(F.col("often") > 4 * shares / (1 << BUCKETS_LOG))
+    common = np.zeros(1 << BUCKETS_LOG, bool)
+    common[[r[0] for r in often.select("bucket").collect()]] = True  # at most a quarter of the ranges
+    owners = sets.where("doc_id is not null and fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    light = boundary(dict(owners.where(F.col("n") <= 100 * MOST_LIGHT // percent).groupBy("n").count().collect()), percent)
+
+    lists = docs.where("doc_id is not null").select("text").mapInArrow(lambda batches: _lists(batches, shingle, percent, light, common), "key long, fp long, n int, place int, least int")
     by_key = Window.partitionBy("key")
-    met = scratch.keep(lists.select("key", "fp", F.min("fp").over(by_key).alias("m"), F.max("fp").over(by_key).alias("x")).where("m < x").select("key", "fp", "m").distinct())
-    often = met.where("fp <> m").groupBy("fp", "m").count().where("count > 1")
-    families = components(often.select(F.col("fp").alias("a"), F.col("m").alias("b")), scratch).toDF("fp", "label")
-    members = sets.join(met.select("fp").distinct(), "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
-    members = scratch.keep(members.join(families, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
-
-    units = scratch.keep(_units(members, met).withColumn("block", F.floor((F.row_number().over(Window.partitionBy("label").orderBy("n", "fp")) - 1) / BLOCK).cast("int")))
-    spans = units.groupBy("label", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    first, second = spans.select("label", F.col("block").alias("bi"), "hi"), spans.select("label", F.col("block").alias("bj"), "lo")
-    pairs = first.join(second, "label").where(f"bi <= bj and 100 * hi >= {percent} * lo").select("label", "bi", "bj", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("block"))
-    pairs = pairs.groupBy("label", "block").agg(F.collect_list(F.struct("label", "block", "bi", "bj")).alias("pairs"))
-    wanted = units.join(pairs, ["label", "block"]).groupBy("doc_id", "fp").agg(F.flatten(F.collect_list("pairs")).alias("pairs"))
-
-    work = wanted.join(docs, "doc_id").select("fp", "pairs", "text").mapInArrow(lambda batches: _shingled(batches, shingle), "fp long, pairs array<struct<label:bigint,block:int,bi:int,bj:int>>, s binary")
-    work = work.select(F.explode("pairs").alias("p"), "fp", "s").select("p.label", "p.bi", "p.bj", "p.block", "fp", "s")
-    links = work.repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj", "block", "fp").mapInArrow(lambda batches: _verified(batches, percent), "a long, b long")
-
-    found = components(links, scratch).select(F.col("node").alias("fp"), "label")
-    least = sets.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(found, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    of_set = least.join(least.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("fp", "component_id")
+    lead = F.min(F.struct(F.when(F.col("least") > 0, F.col("n")).otherwise(0), "fp", "n", "place")).over(by_key)
+    met = lists.select("*", lead.alias("lead"), F.max("fp").over(by_key).alias("x"), F.min("fp").over(by_key).alias("m")).where("m < x")
+    met = scratch.keep(met.select("key", "fp", "n", "place", "least", F.col("lead.fp").alias("a"), F.col("lead.n").alias("an"), F.col("lead.place").alias("ap")).distinct())
+    members = scratch.keep(owners.join(met.select("fp").distinct(), "fp"))
+
+    proved = met.where("least > 0 and an = least and a <> fp").select("a", F.col("fp").alias("b")).distinct()
+    need = f"ceil({percent} * (n + an) / {100 + percent})"
+    stars = met.where(f"least = 0 and a <> fp and least(n - place, an - ap) >= {need}").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
+    tested = scratch.keep(stars.distinct())
+    links = proved.union(_verified(tested, members, docs, shingle, percent))
+    labels = scratch.keep(components(links, scratch).toDF("fp", "label"))
+    for all_of_them in (False, True):
+        pairs = scratch.keep(_rest(met, members, sets, labels, all_of_them, percent).join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        tested = tested.union(pairs)
+        more = _verified(pairs, members, docs, shingle, percent)
+        labels = scratch.keep(components(labels.toDF("a", "b").union(more), scratch).toDF("fp", "label"))
+
+    # only sets with copies or links can have a component other than their doc_id
+    linked = labels.union(labels.select("label", "label")).distinct().join(members.select("fp", "doc_id"), "fp")
+    least = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    of_linked = labels.union(labels.select("label", "label")).distinct().join(least, "label").select("fp", "component_id")
+    copied = sets.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("own"), F.count("*").alias("c")).where("c > 1").select("fp", "own")
+    of_set = scratch.keep(of_linked.join(copied, "fp", "full").select("fp", F.coalesce("component_id", "own").alias("component_id")))
     return sets.join(of_set, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

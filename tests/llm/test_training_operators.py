@@ -89,30 +89,38 @@ def test_jaccard_components(docs, none, corpus):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 85])
 @settings(max_examples=150, deadline=None)
-@given(st.integers(1, 90), st.integers(0, 12), st.integers(0, 12), st.integers(0, 10**6))
-def test_linked_sets_share_a_signature(n, a_only, b_only, seed):
+@given(st.integers(1, 90), st.integers(0, 12), st.integers(0, 12), st.integers(0, 10**6), st.sampled_from([0, 5, 13, 24]))
+def test_linked_sets_share_a_list(percent, n, a_only, b_only, seed, light):
     rng = np.random.default_rng(seed)
     pool = rng.integers(0, 2**64, n + a_only + b_only, dtype=np.uint64)
+    common = rng.random(1 << jaccard_join.BUCKETS_LOG) < 0.2
     a, b = np.unique(pool[: n + a_only]), np.unique(np.concatenate([pool[:n], pool[n + a_only :]]))
     inter = len(np.intersect1d(a, b))
-    if 100 * inter >= 85 * (len(a) + len(b) - inter):
-        x, y = (set(np.concatenate(jaccard_join._signatures(s)).tolist()) for s in (a, b))
-        assert x & y
-
-
-@settings(max_examples=150, deadline=None)
-@given(st.integers(1, 90), st.integers(0, 12), st.integers(0, 12), st.integers(0, 10**6))
-def test_linked_sets_share_a_signature_at_80(n, a_only, b_only, seed):
-    rng = np.random.default_rng(seed)
-    pool = rng.integers(0, 2**64, n + a_only + b_only, dtype=np.uint64)
-    a, b = np.unique(pool[: n + a_only]), np.unique(np.concatenate([pool[:n], pool[n + a_only :]]))
-    if 100 * n >= 80 * len(pool):
-        x, y = (set(np.concatenate(jaccard_join._signatures(s, 80)).tolist()) for s in (a, b))
-        assert x & y
+    linked = 100 * inter >= percent * (len(a) + len(b) - inter)
+    least = min(len(a), len(b))  # a subset proves a link if one of the sets has the smaller of its sizes
+    of_a, of_b = ({k for m, keys in jaccard_join.light_keys(s, light, percent) if m == least for k in keys.tolist()} for s in (a, b))
+    x, y = (jaccard_join.heavy_keys(s, light, common, percent).tolist() for s in (a, b))
+    if least <= light:
+        assert bool(of_a & of_b) == linked
+    elif linked:
+        first = next(k for k in x if k in set(y))  # the places of the first shared shingle allow the link
+        assert min(len(a) - x.index(first), len(b) - y.index(first)) >= jaccard_join.overlap(len(a), len(b), percent)
+    if linked:
+        for i, j in ((0, 1), (1, 0)):
+            both = (a, b)[i], (a, b)[j]
+            assert jaccard_join.possible(np.array([len(s) for s in both]), np.array([1, 2]), [jaccard_join.sketch(s) for s in both], None, True, percent)
+
+
+def test_boundary_is_the_cheapest():
+    costs = lambda sizes: jaccard_join.boundary(sizes)
+    assert costs({}) == 0 and costs({1: 100}) >= 1 and costs({1000: 5}) == 0
+    assert 5 <= costs({n: 10 for n in range(1, 29)}) < jaccard_join.MOST_LIGHT
 
 
 def test_large_families_in_blocks(spark, monkeypatch):
+    """Near copies of one text, and texts with a long shared passage that aren't linked; leaders alone can't find all links."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(60)]
@@ -122,8 +130,22 @@ def test_large_families_in_blocks(spark, monkeypatch):
         for k in rng.sample(range(60), rng.randint(0, 2)):
             w[k] = f"e{i}_{k}"
         rows.append((i, " ".join(w)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == jaccard_join.brute_force(rows)
+    for i in range(40):
+        own = [f"o{i // 2}_{j}" for j in range(24)]
+        rows.append((100 + i, " ".join(base[:50] + own + ["x"] * (i % 2))))
+    chain = [f"c{i}" for i in range(200)]
+    rows += [(200 + i, " ".join(chain[3 * i : 3 * i + 90])) for i in range(30)]
+    for shingle, percent in ((4, 85), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), shingle, percent).collect()}
+        assert got == jaccard_join.brute_force(rows, shingle, percent)
+
+
+def test_jaccard_repeated_and_null_ids(spark):
+    """A doc_id with two texts keeps two sets; a null doc_id gets the component of an equal set, or null."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(7, one), (7, two), (9, two + " tail"), (3, one + " tail"), (None, one), (None, three), (None, None), (5, "")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(7, 37, 3), (7, 37, 7), (9, 38, 7), (3, 38, 3), (None, 37, 3), (None, 37, None), (None, 0, None), (5, 0, 5)], key=str)
 
 
 def edits(a, b):
