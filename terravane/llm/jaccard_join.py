@@ -10,14 +10,16 @@ hash. Linked sets share a shingle among the first size - ceil(percent * size / 1
 into the inverted lists of these shingles, and the lists are scanned. The boundary is the one that makes the fewest rows, by the numbers
 of sets of each small size in the corpus, where a row of a list counts as LIST_WEIGHT of a subset, as it proves nothing.
 
-1. Scanning a list, each set is compared with the list's leader, if sizes and places allow a link. The links found make components.
-2. Lists whose sets are in several components yet are scanned for more: sets of compatible sizes and different components whose sketches
-   (parities of shingle counts by hash, a lower bound on the difference) don't rule a link out. Lists are cut into blocks of about
-   BLOCK sets of a size class, a pair of blocks is one unit of work, and only sketches are sent. First one partner for each set, then all.
+1. A list of up to SMALL rows gives the pairs whose sizes and places allow a link; a longer one those of its leader alone. Pairs whose
+   sketches (parities of shingle counts by hash, a lower bound on the difference) rule a link out go. Of the others one for each set
+   is verified, then those whose sets aren't in one component by then.
+2. Long lists whose sets are in several components yet are scanned for more: sets of different components whose sizes, places and
+   sketches allow a link. They are cut into blocks of about BLOCK sets of a size class, a pair of blocks is one unit of work,
+   and only sketches are sent. First one partner for each set is verified, then all.
 3. Pairs are verified exactly with the shingles of the whole texts; a set that is compared with many is dealt out with BLOCK of them at a time.
 
-So no pairs within a list are put out but those that can't be told apart by size, place, component and sketch, and every link between different
-sets is found. Equal sets take part once. Which shingles count as common changes the cost only: counts by BUCKETS hash ranges,
+So no pairs within a long list are put out but those that can't be told apart by size, place, component and sketch, and every link between
+different sets is found. Equal sets take part once. Which shingles count as common changes the cost only: counts by BUCKETS hash ranges,
 put out by each task for ranges far above its mean. Sets are told apart by 64-bit hashes of shingles and of whole sets;
 n different sets have a chance of n * n / 2^65 that two are taken for equal.
 
@@ -32,6 +34,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +43,7 @@ from .common import MULTIPLIER, SECOND, Scratch, components, hashes, likely, sig
 
 SHINGLE, PERCENT = 4, 85
 BLOCK = 256
+SMALL = 64
 BUCKETS_LOG = 16
 LIST_WEIGHT = 4
 #: Sizes among which the boundary is looked for.
@@ -139,7 +143,7 @@ def _sets(batches, shingle: int):
 
 
 def _lists(batches, shingle: int, percent: int, light: int, common: np.ndarray, most: int = 1_000_000):
-    """(key, fp, n, place, least) of every set, equal sets of a task once; least: of a subset's sizes the smaller, 0 for the list of a shingle."""
+    """(key, fp, info) of every set, equal sets of a task once; info packs size, place, and of a subset's sizes the smaller (0 for the list of a shingle)."""
     seen: set[int] = set()
     for _, found in texts(batches):
         rows = []
@@ -148,14 +152,70 @@ def _lists(batches, shingle: int, percent: int, light: int, common: np.ndarray,
             if not len(s) or (fp := fingerprint(s)) in seen:
                 continue
             seen.add(fp)
-            of = [(least, keys, np.zeros(len(keys), np.int32)) for least, keys in light_keys(s, light, percent)]
+            of = [(keys, np.full(len(keys), least)) for least, keys in light_keys(s, light, percent)]
             keys = heavy_keys(s, light, common, percent)
-            of.append((0, keys, np.arange(len(keys), dtype=np.int32)))
-            rows += [(keys, np.full(len(keys), fp, U), np.full(len(keys), len(s), np.int32), place, np.full(len(keys), least, np.int32)) for least, keys, place in of if len(keys)]
+            of.append((keys, np.arange(len(keys)) << 5))
+            rows += [(keys, np.full(len(keys), fp, U), info + (len(s) << 32)) for keys, info in of if len(keys)]
         if len(seen) > most:
             seen.clear()
-        cols = [np.concatenate(x) for x in zip(*rows)] if rows else [np.empty(0, U)] * 2 + [np.empty(0, np.int32)] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(signed(cols[0])), pa.array(signed(cols[1])), *map(pa.array, cols[2:])], names=["key", "fp", "n", "place", "least"])
+        cols = [np.concatenate(x) for x in zip(*rows)] if rows else [np.empty(0, U), np.empty(0, U), np.empty(0, np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(signed(cols[0])), pa.array(signed(cols[1])), pa.array(cols[2])], names=["key", "fp", "info"])
+
+
+def parts(info: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size, place and least of a packed info."""
+    return info >> 32, (info >> 5) & ((1 << 27) - 1), info & 31
+
+
+#: What _scan puts out: a pair that may link, a row of a long list, a link.
+PAIR, LONG, LINK = 0, 1, 2
+
+
+def _scan(batches, percent: int, small: int):
+    """Rows by key, with the leader (a, ainfo) and the length c of their list -> (kind, a, b, info, key)."""
+    left = None
+    for batch in batches:
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        if left is not None:
+            cols = [np.concatenate(x) for x in zip(left, cols)]
+        key, fp, info, a, ainfo, c = cols
+        last = (key == key[-1]) & (c <= small) if len(key) else np.zeros(0, bool)
+        left = [x[last] for x in cols]
+        yield _scanned(*(x[~last] for x in cols), percent, small)
+    if left is not None:
+        yield _scanned(*left, percent, small)
+
+
+def _scanned(key, fp, info, a, ainfo, c, percent, most):
+    (n, place, least), (an, ap, _) = parts(info), parts(ainfo)
+    out = []
+
+    def put(kind, x, y, what=None, of=None):
+        zeros = np.zeros(len(x), np.int64)
+        out.append((np.full(len(x), kind, np.int32), x, y, zeros if what is None else what, zeros if of is None else of))
+
+    at = np.flatnonzero((least > 0) & (an == least) & (a != fp))
+    put(LINK, a[at], fp[at])
+    at = np.flatnonzero((least == 0) & (c > most))
+    put(LONG, fp[at], fp[at], info[at], key[at])
+    at = at[(a[at] != fp[at]) & (np.minimum(n[at] - place[at], an[at] - ap[at]) >= overlap(n[at], an[at], percent))]
+    pairs = [(np.minimum(a[at], fp[at]), np.maximum(a[at], fp[at]))]
+    small = np.flatnonzero((least == 0) & (c <= most))
+    i = np.arange(len(small))
+    for d in range(1, len(small)):
+        i = i[: np.searchsorted(i, len(small) - d)]
+        i = i[key[small[i]] == key[small[i + d]]]
+        if not len(i):
+            break
+        x, y = small[i], small[i + d]
+        ok = (fp[x] != fp[y]) & (np.minimum(n[x] - place[x], n[y] - place[y]) >= overlap(n[x], n[y], percent))
+        pairs.append((np.minimum(fp[x], fp[y])[ok], np.maximum(fp[x], fp[y])[ok]))
+    first, second = (np.concatenate(x) for x in zip(*pairs))
+    if len(first):
+        once = ~pd.MultiIndex.from_arrays([first, second]).duplicated()
+        put(PAIR, first[once], second[once])
+    cols = [np.concatenate(x) for x in zip(*out)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["kind", "a", "b", "info", "key"])
 
 
 def _linked(batches, shingle: int, percent: int):
@@ -187,22 +247,40 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, shingle: in
     return held.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "member").mapInArrow(lambda batches: _linked(batches, shingle, percent), "a long, b long")
 
 
-def possible(n: np.ndarray, label: np.ndarray, sketches: list[bytes], side: np.ndarray | None, every: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Places of pairs of sets that may link, of different labels and, if given, sides; without every, one at most for each set as the larger."""
+def fold(sketches: list[bytes], words: int) -> np.ndarray:
+    """Sketches with `words` words or more, as if made with that many."""
+    return np.array([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, words), axis=0) for x in sketches])
+
+
+def _close(batches, percent: int):
+    """(a, b, n, m, s, t) of pairs with sizes and sketches -> those whose sketches allow a link."""
+    for batch in batches:
+        a, b, n, m, s, t = (c.to_pylist() for c in batch.columns)
+        keep = []
+        for i in range(len(a)):
+            x, y = (s[i], t[i]) if len(s[i]) <= len(t[i]) else (t[i], s[i])
+            both = fold([x, y], len(x) // 8)
+            keep.append(int(np.bitwise_count(both[0] ^ both[1]).sum()) <= apart(n[i], m[i], percent))
+        keep = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+
+def possible(n: np.ndarray, place: np.ndarray, label: np.ndarray, sketches: list[bytes], side: np.ndarray | None, every: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Of sets of one list, pairs that may link, of different labels and, if given, sides; without every, one at most for each set as the larger."""
     order = np.argsort(n, kind="stable")
-    n, label, raw = n[order], label[order], [np.frombuffer(sketches[i], np.uint64) for i in order]
+    n, place, label, raw = n[order], place[order], label[order], [sketches[i] for i in order]
     side = None if side is None else side[order]
     free, folded, out = np.ones(len(n), bool), {}, []
     for i in range(len(n) - 1):
         j = np.arange(i + 1, np.searchsorted(n, 100 * n[i] // percent, "right"))
-        j = j[(label[j] != label[i]) & free[j]]
+        j = j[(label[j] != label[i]) & free[j] & (np.minimum(n[i] - place[i], n[j] - place[j]) >= overlap(n[i], n[j], percent))]
         if side is not None:
             j = j[side[j] != side[i]]
         if not len(j):
             continue
-        w = len(raw[i])
+        w = len(raw[i]) // 8
         if w not in folded:  # sets from here on have as many words at least
-            folded = {w: (i, np.array([np.bitwise_xor.reduce(x.reshape(-1, w), axis=0) for x in raw[i:]]))}
+            folded = {w: (i, fold(raw[i:], w))}
         start, bits = folded[w]
         j = j[np.bitwise_count(bits[j - start] ^ bits[i - start]).sum(1) <= apart(n[i], n[j], percent)]
         if not every:
@@ -218,9 +296,10 @@ def _survivors(batches, every: bool, percent: int):
     def pairs():
         if len(held) < 2:
             return []
-        side, n, fp, label, bits = zip(*held)
+        side, info, fp, label, bits = zip(*held)
+        n, place, _ = parts(np.array(info))
         two = unit[1:3] != unit[3:5]
-        return [tuple(sorted((fp[i], fp[j]))) for i, j in possible(np.array(n), np.array(label), bits, np.array(side) if two else None, every, percent)]
+        return [tuple(sorted((fp[i], fp[j]))) for i, j in possible(n, place, np.array(label), bits, np.array(side) if two else None, every, percent)]
 
     def packed(out):
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
@@ -236,14 +315,13 @@ def _survivors(batches, every: bool, percent: int):
     yield packed(pairs())
 
 
-def _rest(met: DataFrame, members: DataFrame, sets: DataFrame, labels: DataFrame, every: bool, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets that share a list, have different labels and may link."""
-    rows = met.where("least = 0").select("key", "fp").join(members.select("fp", "n"), "fp").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    lists = rows.groupBy("key").agg(F.bit_xor(F.xxhash64("fp")).alias("x"), F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    lists = lists.groupBy("x", "c").agg(F.min("key").alias("key"))  # lists of the same sets are scanned once
+def _rest(long: DataFrame, sets: DataFrame, labels: DataFrame, every: bool, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets that share a long list, have different labels and may link."""
+    rows = long.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    lists = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     # a link's sizes are less than one class apart
     width = math.log(100 / percent) * 1.01
-    of = rows.join(lists.select("key", "c"), "key").withColumn("class", F.when(F.col("c") <= BLOCK, 0).otherwise(F.floor(F.log("n") / width)).cast("int"))
+    of = rows.join(lists.select("key", "c"), "key").withColumn("class", F.when(F.col("c") <= BLOCK, 0).otherwise(F.floor(F.log(F.shiftright("info", 32)) / width)).cast("int"))
     blocks = of.groupBy("key", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = blocks.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("class", "blocks"))).alias("blocks"))  # an entry for each class, so a few dozen
     of = of.join(blocks, "key").withColumn("block", F.expr("cast(pmod(xxhash64(fp), blocks[class]) as int)"))
@@ -253,12 +331,16 @@ def _rest(met: DataFrame, members: DataFrame, sets: DataFrame, labels: DataFrame
           if(try_element_at(blocks, class + 1) is null, array(), transform(sequence(0, try_element_at(blocks, class + 1) - 1), j -> struct(class as lc, block as bi, class + 1 as hc, j as bj, 0 as side))),
           if(try_element_at(blocks, class - 1) is null, array(), transform(sequence(0, try_element_at(blocks, class - 1) - 1), j -> struct(class - 1 as lc, j as bi, class as hc, block as bj, 1 as side))))"""
     )
-    bits = sets.join(of.select("fp").distinct(), "fp").groupBy("fp").agg(F.first("sketch").alias("sketch"))
-    work = of.join(bits, "fp").select("key", F.explode(units).alias("u"), "fp", "n", "label", "sketch").select("key", "u.lc", "u.bi", "u.hc", "u.bj", "u.side", "n", "fp", "label", "sketch")
+    work = of.join(_sketches(sets, of.select("fp")), "fp").select("key", F.explode(units).alias("u"), "fp", "info", "label", "sketch").select("key", "u.lc", "u.bi", "u.hc", "u.bj", "u.side", "info", "fp", "label", "sketch")
     unit = ["key", "lc", "bi", "hc", "bj"]
     return work.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(lambda batches: _survivors(batches, every, percent), "a long, b long").distinct()
 
 
+def _sketches(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """fp, n and sketch of the wanted sets."""
+    return likely(sets.select("fp", "n", "sketch"), wanted, "fp").groupBy("fp").agg(F.first("n").alias("m"), F.first("sketch").alias("sketch")).join(wanted.distinct(), "fp").select("fp", "m", "sketch")
+
+
 def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     scratch = Scratch(documents.sparkSession, "jaccard")
@@ -269,36 +351,50 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: in
     often = every.where("bucket is not null").groupBy("bucket").agg(F.sum("often").alias("often")).where(F.col("often") > 4 * shares / (1 << BUCKETS_LOG))
     common = np.zeros(1 << BUCKETS_LOG, bool)
     common[[r[0] for r in often.select("bucket").collect()]] = True  # at most a quarter of the ranges
-    owners = sets.where("doc_id is not null and fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    owners = scratch.keep(sets.where("doc_id is not null and fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("c")))
     light = boundary(dict(owners.where(F.col("n") <= 100 * MOST_LIGHT // percent).groupBy("n").count().collect()), percent)
 
-    lists = docs.where("doc_id is not null").select("text").mapInArrow(lambda batches: _lists(batches, shingle, percent, light, common), "key long, fp long, n int, place int, least int")
-    by_key = Window.partitionBy("key")
-    lead = F.min(F.struct(F.when(F.col("least") > 0, F.col("n")).otherwise(0), "fp", "n", "place")).over(by_key)
-    met = lists.select("*", lead.alias("lead"), F.max("fp").over(by_key).alias("x"), F.min("fp").over(by_key).alias("m")).where("m < x")
-    met = scratch.keep(met.select("key", "fp", "n", "place", "least", F.col("lead.fp").alias("a"), F.col("lead.n").alias("an"), F.col("lead.place").alias("ap")).distinct())
-    members = scratch.keep(owners.join(met.select("fp").distinct(), "fp"))
-
-    proved = met.where("least > 0 and an = least and a <> fp").select("a", F.col("fp").alias("b")).distinct()
-    need = f"ceil({percent} * (n + an) / {100 + percent})"
-    stars = met.where(f"least = 0 and a <> fp and least(n - place, an - ap) >= {need}").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
-    tested = scratch.keep(stars.distinct())
-    links = proved.union(_verified(tested, members, docs, shingle, percent))
-    labels = scratch.keep(components(links, scratch).toDF("fp", "label"))
-    for all_of_them in (False, True):
-        pairs = scratch.keep(_rest(met, members, sets, labels, all_of_them, percent).join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
+    lists = docs.where("doc_id is not null").select("text").mapInArrow(lambda batches: _lists(batches, shingle, percent, light, common), "key long, fp long, info long")
+    by_key, small = Window.partitionBy("key"), SMALL
+    lead = F.min(F.struct(F.expr("if(info & 31 > 0, info, 0)"), "fp", "info")).over(by_key)
+    met = lists.select("*", lead.alias("lead"), F.max("fp").over(by_key).alias("x"), F.min("fp").over(by_key).alias("m"), F.count("*").over(by_key).alias("c")).where("m < x")
+    met = scratch.keep(met.select("key", "fp", "info", "lead.fp", "lead.info", "c").toDF("key", "fp", "info", "a", "ainfo", "c").mapInArrow(lambda batches: _scan(batches, percent, small), "kind int, a long, b long, info long, key long"))
+
+    def verified(pairs):
+        return scratch.keep(_verified(pairs, owners, docs, shingle, percent))
+
+    def joined(labels, links):
+        return scratch.keep(components(labels.toDF("a", "b").union(links), scratch).toDF("fp", "label"))
+
+    pairs = met.where(F.col("kind") == PAIR).select("a", "b").distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    sketches = scratch.keep(_sketches(sets, ends))
+    close = pairs.join(sketches.toDF("a", "n", "s"), "a").join(sketches.toDF("b", "m", "t"), "b").select("a", "b", "n", "m", "s", "t")
+    close = scratch.keep(close.mapInArrow(lambda batches: _close(batches, percent), "a long, b long"))
+    first = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = met.where(F.col("kind") == LINK).select("a", "b").distinct().union(verified(first))
+    labels = joined(links.limit(0), links)
+
+    def apart_yet(pairs):
+        of = lambda c: labels.toDF(c, f"{c}_label")
+        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_label, a) <> coalesce(b_label, b)").select("a", "b")
+
+    tested, more = first, scratch.keep(apart_yet(close).join(first, ["a", "b"], "left_anti"))
+    long = met.where(F.col("kind") == LONG).select("key", F.col("a").alias("fp"), "info").distinct()
+    for all_of_them in (None, False, True):
+        if all_of_them is not None:
+            more = scratch.keep(_rest(long, sets, labels, all_of_them, percent).join(tested, ["a", "b"], "left_anti"))
+        if more.isEmpty():
             continue
-        tested = tested.union(pairs)
-        more = _verified(pairs, members, docs, shingle, percent)
-        labels = scratch.keep(components(labels.toDF("a", "b").union(more), scratch).toDF("fp", "label"))
+        tested = tested.union(more)
+        labels = joined(labels, verified(more))
 
     # only sets with copies or links can have a component other than their doc_id
-    linked = labels.union(labels.select("label", "label")).distinct().join(members.select("fp", "doc_id"), "fp")
-    least = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_linked = labels.union(labels.select("label", "label")).distinct().join(least, "label").select("fp", "component_id")
-    copied = sets.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("own"), F.count("*").alias("c")).where("c > 1").select("fp", "own")
-    of_set = scratch.keep(of_linked.join(copied, "fp", "full").select("fp", F.coalesce("component_id", "own").alias("component_id")))
+    linked = labels.union(labels.select("label", "label")).distinct()
+    least = linked.join(owners, "fp").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    copied = owners.where("c > 1").select("fp", F.col("doc_id").alias("own"))
+    copied = copied.union(sets.where("doc_id is null").select("fp").distinct().join(owners, "fp").select("fp", "doc_id")).distinct()
+    of_set = scratch.keep(linked.join(least, "label").select("fp", "component_id").join(copied, "fp", "full").select("fp", F.coalesce("component_id", "own").alias("component_id")))
     return sets.join(of_set, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

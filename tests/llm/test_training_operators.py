@@ -110,7 +110,7 @@ def test_linked_sets_share_a_list(percent, n, a_only, b_only, seed, light):
     if linked:
         for i, j in ((0, 1), (1, 0)):
             both = (a, b)[i], (a, b)[j]
-            assert jaccard_join.possible(np.array([len(s) for s in both]), np.array([1, 2]), [jaccard_join.sketch(s) for s in both], None, True, percent)
+            assert jaccard_join.possible(np.array([len(s) for s in both]), np.zeros(2, int), np.array([1, 2]), [jaccard_join.sketch(s) for s in both], None, True, percent)
 
 
 def test_boundary_is_the_cheapest():
@@ -119,9 +119,11 @@ def test_boundary_is_the_cheapest():
     assert 5 <= costs({n: 10 for n in range(1, 29)}) < jaccard_join.MOST_LIGHT
 
 
-def test_large_families_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("small", [3, 64])
+def test_large_families_in_blocks(spark, monkeypatch, small):
     """Near copies of one text, and texts with a long shared passage that aren't linked; leaders alone can't find all links."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(60)]
     rows = []
