@@ -1,25 +1,32 @@
 """Operator 4: benchmark decontamination by template canonicalisation.
 
 Words lose outer punctuation and case; numbers, names (words that start with a capital) and units become typed placeholders, so that
-a question whose numbers, names or units were changed has the same template. Every window of `window` template words of every
-document is looked up by hash among the windows of the benchmark (shorter items are one window). Hits are compared word
-by word, put together by item and shift, and their slots are checked: within a hit run, an item's slot value must always
-stand for the same value in the document and two different ones for different ones; words of slots that break this don't count.
-A pair is a leak if the words so covered are at least `share` of the item's words or a run of at least `run` words.
-
-The benchmark is sent to all tasks in blocks of at most `block` windows, one pass of the documents for each
-block, so what is broadcast is bounded; the result doesn't depend on block. Windows with fewer than
-`literal` words other than placeholders aren't looked up, nor are items of fewer than `least` words: they match anything.
-
-Null and empty texts match nothing, as do empty tables. Repeated benchmark rows give a pair for each item_id once.
-A doc_id that occurs twice gives its pairs once for each row. Other columns are ignored.
+a question whose numbers, names or units were changed has the same template. Windows of `window` template words of every
+document are joined by hash with the windows of the benchmark. Hits are compared word by word, put together by item and
+shift, and their slots are checked: within a shift, an item's slot value must always stand for the same value in the document and two
+different ones for different ones; words of slots that break this don't count. A pair is a leak if the words so covered are
+at least `share` of the item's words or a run of at least `run` words.
+
+Every item with a word can match. Its windows are:
+* templates of `window` words (of the whole item, if it is shorter) with at least `literal` words that aren't placeholders;
+* where a window has fewer, the same words verbatim (but for case and outer punctuation), and the template of a longer window around them
+  with `literal` such words, or of the whole item if that has at least 2 of them and `least` words, so that a changed item is found too.
+Items of fewer than `least` words may be common phrases: they are leaks only where at most `usual` of all documents (or one) hold them.
+
+Documents give only windows whose hash is in a bitmap of the benchmark's, which has a fixed size; these are joined with the
+benchmark's windows, which Spark sends to all tasks if their measured size allows and shuffles otherwise, and judged by document and item. Nothing of either
+table is gathered but the lengths of windows.
+
+Null and empty texts match nothing, as do empty tables and items without an id. Repeated rows of either table change nothing; rows that share an id
+but not the text count each, and give a pair of the ids once. A null doc_id makes pairs with a null doc_id. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+from array import array
 from collections import defaultdict
-from dataclasses import dataclass, field
 from hashlib import blake2b
 
 import numpy as np
@@ -27,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, texts, windows
+from .common import MULTIPLIER, SECOND, Scratch, fresh, signed, table, texts
 
 U = np.uint64
 #: Words for units.
@@ -39,163 +46,221 @@ UNITS = frozenset(
 EDGE = b".,;:!?\"'()[]{}<>*#$&|"
 DIGITS = frozenset(b"%c" % c for c in b"+-$0123456789")
 NUMBER = re.compile(rb"[+-]?[$]?\d[\d.,/:]*%?")
-PLACEHOLDERS = {"number": U(0x1111111111111111), "name": U(0x2222222222222222), "unit": U(0x3333333333333333)}
-SLOTS = np.array(sorted(PLACEHOLDERS.values()), U)
+PLACEHOLDERS = {"number": 0x1111111111111111, "name": 0x2222222222222222, "unit": 0x3333333333333333}
+SLOTS = frozenset(PLACEHOLDERS.values())
+#: Lengths of longer windows, as multiples of 4 that grow by about a third.
+STEPS = (12, 16, 20, 28, 36, 48, 64, 84, 112, 148)
+BITS = 24
+_BACK = U(pow(int(MULTIPLIER), -1, 1 << 64))
 
 
-class Template(dict):
-    """Word -> template hash; kept for later texts, and emptied when it has grown to `most` words."""
+def template(bare: bytes) -> int:
+    """The hash of a word without outer punctuation, or of its placeholder."""
+    head, low = bare[:1], bare.lower()
+    if head in DIGITS and NUMBER.fullmatch(bare):
+        return PLACEHOLDERS["number"]
+    if low in UNITS:
+        return PLACEHOLDERS["unit"]
+    if low[:1] != head or (head == b"\xc3" and b"\x80" <= bare[1:2] <= b"\x9e"):
+        return PLACEHOLDERS["name"]
+    return _hashed(low)
 
-    def __init__(self, most: int = 300_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        bare = word.strip(EDGE)
-        head = bare[:1]
-        if head in DIGITS and NUMBER.fullmatch(bare):
-            h = PLACEHOLDERS["number"]
-        elif (low := bare.lower()) in UNITS:
-            h = PLACEHOLDERS["unit"]
-        elif low[:1] != head or (head == b"\xc3" and b"\x80" <= bare[1:2] <= b"\x9e"):
-            h = PLACEHOLDERS["name"]
-        else:
-            h = int.from_bytes(blake2b(low, digest_size=8).digest(), "little")
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = out = int(h)
-        return out
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U, len(words))
-
-
-def values(words: list[bytes]) -> list[bytes]:
-    return [w.strip(EDGE) for w in words]
 
+def _hashed(word: bytes) -> int:
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
 
-@dataclass
-class Index:
-    """A block of benchmark windows: for each window length the hashes and where they stand."""
 
-    items: dict[int, tuple[list[bytes], np.ndarray]] = field(default_factory=dict)
-    lengths: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=lambda: defaultdict(lambda: defaultdict(list)))
-    n: int = 0
+class Vocabulary(dict):
+    """Word -> place in the lists of template and verbatim hashes; kept for later texts, and emptied when it has grown to `most` words."""
 
-    def close(self) -> "Index":
-        self.sorted = {k: np.sort(np.fromiter(v, U, len(v))) for k, v in self.lengths.items()}
-        self.bits = {}
-        for k, v in self.sorted.items():
-            self.bits[k] = np.zeros(1 << 20, bool)
-            self.bits[k][(v >> U(44)).astype(np.int64)] = True
-        self.lengths = {k: dict(v) for k, v in self.lengths.items()}
-        return self
+    def __init__(self, most: int = 300_000):
+        super().__init__()
+        self.most, self.hashes = most, (array("Q"), array("Q"))
 
-    def hits(self, t: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, shift, place in the item, length) of each window of a template that the block holds."""
-        out = []
-        for k, known in self.sorted.items():
-            h = windows(t, k)
-            at = np.flatnonzero(self.bits[k][(h >> U(44)).astype(np.int64)])
-            if len(at):
-                at = at[known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]]
-            for p in at.tolist():
-                out += [(item, p - q, q, k) for item, q in self.lengths[k][int(h[p])]]
+    def __missing__(self, word: bytes) -> int:
+        bare = word.strip(EDGE)
+        self.hashes[0].append(template(bare))
+        self.hashes[1].append(_hashed(bare.lower()))
+        self[word] = out = len(self)
         return out
 
-
-def build(rows: list[tuple[int, str | None]], window: int, literal: int, least: int, block: int) -> list[Index]:
-    template, out = Template(), [Index()]
-    for item, text in dict(sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0])).items():
-        words = text.encode().split()
-        t = template.of(words)
-        if len(words) < least:
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Template and verbatim hashes of the words."""
+        if len(self) >= self.most:
+            self.clear()
+            self.hashes = (array("Q"), array("Q"))
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return tuple(np.array(np.frombuffer(h, U)[at]) if len(words) else np.empty(0, U) for h in self.hashes)
+
+
+@functools.lru_cache(4)
+def _powers(log: int) -> tuple[np.ndarray, np.ndarray]:
+    out = [np.full(1 << log, x) for x in (MULTIPLIER, _BACK)]
+    for x in out:
+        x[0] = 1
+        np.cumprod(x, out=x)
+    return tuple(out)
+
+
+class Runs:
+    """Hashes of all runs of any length of a sequence of word hashes, by sums of their products with falling powers."""
+
+    def __init__(self, h: np.ndarray):
+        self.power, back = _powers(len(h).bit_length())
+        self.sums = np.concatenate([np.zeros(1, U), np.cumsum(h * back[: len(h)], dtype=U)])
+
+    def of(self, k: int, exact: bool) -> np.ndarray:
+        n = len(self.sums) - k
+        if n <= 0 or k < 1:
+            return np.empty(0, U)
+        out = (self.sums[k:] - self.sums[:n]) * self.power[k - 1 : n + k - 1] + U(2 * k + exact) * SECOND
+        out ^= out >> U(29)
+        return out * MULTIPLIER
+
+
+def item_windows(literals: np.ndarray, window: int, literal: int, least: int) -> set[tuple[bool, int, int]]:
+    """(exact, place, length) of the windows of an item; literals: which of its words aren't placeholders."""
+    n, out = len(literals), set()
+    before = np.concatenate([[0], np.cumsum(literals)])
+    count = lambda p, k: int(before[p + k] - before[p])
+    k = min(window, n)
+    for p in range(n - k + 1):
+        if count(p, k) >= min(literal, k):
+            out.add((False, p, k))
             continue
-        k = min(window, len(words))
-        if out[-1].n and out[-1].n + len(words) > block:
-            out.append(Index())
-        slot = np.isin(t, SLOTS)
-        for p, h in enumerate(windows(t, k).tolist()):
-            if k - int(slot[p : p + k].sum()) >= min(literal, k):
-                out[-1].lengths[k][h].append((item, p))
-                out[-1].n += 1
-        out[-1].items[item] = (values(words), t)
-    return [x.close() for x in out if x.n]
-
-
-def leaks(words: list[bytes], t: np.ndarray, index: Index, share: float, run: int) -> list[tuple[int, int, int, bool]]:
-    """(item, words covered, words of the item, whether all slots are as in the item) of each leak into a document."""
-    runs: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-    for item, shift, q, k in index.hits(t):
-        runs[item][shift].update(range(q, q + k))
-    out = []
-    for item, by_shift in sorted(runs.items()):
-        own, ot = index.items[item]
-        covered, longest, same = set(), 0, True
-        for shift, places in sorted(by_shift.items()):
-            good, to, back = [], {}, {}
-            for q in sorted(places):
-                if t[q + shift] != ot[q]:
-                    continue
-                if ot[q] in SLOTS:
-                    a, b = own[q], words[q + shift].strip(EDGE)
-                    if to.setdefault(a, b) != b or back.setdefault(b, a) != a:
-                        continue
-                    same &= a == b
-                good.append(q)
-            covered.update(good)
-            g = np.array(good)
-            if len(g):
-                longest = max(longest, int(np.diff(np.r_[0, np.flatnonzero(np.diff(g) > 1) + 1, len(g)]).max()))
-        if len(covered) >= share * len(own) or longest >= run:
-            out.append((item, len(covered), len(own), same))
+        out.add((True, p, k))
+        for longer in [x for x in STEPS if k < x < n] + [n]:
+            at = max(0, min(p, n - longer))
+            if count(at, longer) >= (literal if longer < n or n >= literal and before[n] >= literal else 2) and longer >= least:
+                out.add((False, at, longer))
+                break
     return out
 
 
-def contaminated_pairs(documents: DataFrame, benchmark: DataFrame, window: int = 8, literal: int = 5, least: int = 5, share: float = 0.5, run: int = 13, block: int = 200_000) -> DataFrame:
-    """doc_id, item_id, n_covered, n_item_words and verbatim (no slot was changed) of each leak."""
-    parts = []
-    for index in _blocks(benchmark, window, literal, least, block):
-
-        def run_block(batches, index=index):
-            template = Template()
-            for batch, found in texts(batches):
-                out = []
-                for doc, t in zip(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), found):
-                    words = t.split() if t else []
-                    out += [(doc, *x) for x in leaks(words, template.of(words), index, share, run)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["doc_id", "item_id", "n_covered", "n_item_words", "verbatim"])
-
-        parts.append(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run_block, "doc_id long, item_id long, n_covered long, n_item_words long, verbatim boolean"))
-    if not parts:
-        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, n_covered long, n_item_words long, verbatim boolean")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
+def _benchmark(batches, window: int, literal: int, least: int):
+    """(item_id, ih, text) -> (h, exact, k, item_id, ih, q, size, own): the windows of each item with their words."""
+    known = Vocabulary()
+    names = ["h", "exact", "k", "item_id", "ih", "q", "size", "own"]
+    kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    for batch, found in texts(batches):
+        out = []
+        for item, ih, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found):
+            words = t.split()
+            hashes = known.of(words)
+            runs = [Runs(h) for h in hashes]
+            bare = [w.strip(EDGE) for w in words]
+            for exact, q, k in sorted(item_windows(np.array([int(h) not in SLOTS for h in hashes[0]], bool), window, literal, least)) if words else ():
+                h = runs[exact].of(k, exact)[q]
+                out.append((int(h.view(np.int64)), exact, k, item, ih, q, len(words), b" ".join(bare[q : q + k])))
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=names)
+
+
+def _looked_up(batches, lengths: list[tuple[bool, int]], bits: np.ndarray, least: int):
+    """Documents -> (h, doc_id, th, place, met): their windows whose hash may be in the benchmark; of short ones the first of each hash."""
+    known = Vocabulary()
+    for batch, found in texts(batches):
+        docs, marks = batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), batch.column(batch.schema.get_field_index("th")).to_pylist()
+        out = []
+        for doc, th, t in zip(docs, marks, found):
+            words = t.split() if t else []
+            if not words:
+                continue
+            runs = [Runs(h) for h in known.of(words)]
+            for exact, k in lengths:
+                h = runs[exact].of(k, exact)
+                slot = (h >> U(64 - BITS)).astype(np.int64)
+                at = np.flatnonzero((bits[slot >> 6] >> (slot & 63).astype(U)) & U(1))
+                if k < least and len(at):
+                    at = at[np.sort(np.unique(h[at], return_index=True)[1])]
+                out += [(x, doc, th, p, b" ".join(w.strip(EDGE) for w in words[p : p + k])) for x, p in zip(signed(h[at]).tolist(), at.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["h", "doc_id", "th", "place", "met"])
+
+
+def leak(hits: list[tuple[int, int, bytes, bytes]], size: int, share: float, run: int) -> tuple[int, bool] | None:
+    """(words covered, whether all slots are as in the item) if the hits (shift, place in the item, item's words, document's words) are a leak."""
+    by_shift: dict[int, dict[int, tuple[bytes, bytes]]] = defaultdict(dict)
+    for shift, q, own, met in hits:
+        by_shift[shift].update((q + i, pair) for i, pair in enumerate(zip(own.split(b" "), met.split(b" "))))
+    covered, longest, same = set(), 0, True
+    for _, at in sorted(by_shift.items()):
+        good, to, back = [], {}, {}
+        for q, (a, b) in sorted(at.items()):
+            kind, of_b, a, b = template(a), template(b), a.lower(), b.lower()
+            if a != b and (kind not in SLOTS or of_b != kind):
+                continue
+            if kind in SLOTS:
+                if to.setdefault(a, b) != b or back.setdefault(b, a) != a:
+                    continue
+                same &= a == b
+            good.append(q)
+        covered.update(good)
+        if good:
+            ends = np.flatnonzero(np.diff(good, append=size + 9) > 1)
+            longest = max(longest, int(np.diff(ends, prepend=-1).max()))
+    return (len(covered), same) if covered and (len(covered) >= share * size or longest >= run) else None
 
-def _blocks(benchmark: DataFrame, window: int, literal: int, least: int, block: int) -> list[Index]:
-    rows = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator()]
-    return build(rows, window, literal, least, block)
 
+def _judged(batches, share: float, run: int):
+    """Hits sorted by document and item -> the leaks."""
+    held, at = [], None
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 8, literal: int = 5, least: int = 5, share: float = 0.5, run: int = 13, block: int = 200_000) -> DataFrame:
-    """The documents, with all their columns, that hold no leak; one narrow pass for each block."""
-    out, schema = documents, documents.schema
-    for index in _blocks(benchmark, window, literal, least, block):
+    def found():
+        got = leak([h[5:9] for h in held], held[0][4], share, run) if held else None
+        return [(at[0], at[2], got[0], held[0][4], got[1])] if got else []
 
-        def clean(batches, index=index):
-            template = Template()
-            for batch, found in texts(batches):
-                kept = []
-                for t in found:
-                    words = t.split() if t else []
-                    kept.append(not leaks(words, template.of(words), index, share, run))
-                yield batch.filter(pa.array(kept, pa.bool_()))
+    def packed(out):
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["doc_id", "item_id", "n_covered", "n_item_words", "verbatim"])
 
-        out = out.mapInArrow(clean, schema)
-    return out
+    for batch in batches:
+        out = []
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:4] != at:
+                out += found()
+                held, at = [], row[:4]
+            held.append(row)
+        yield packed(out)
+    yield packed(found())
+
+
+PAIRS = "doc_id long, item_id long, n_covered long, n_item_words long, verbatim boolean"
+
+
+def contaminated_pairs(documents: DataFrame, benchmark: DataFrame, window: int = 8, literal: int = 5, least: int = 5, share: float = 0.5, run: int = 13, usual: float = 0.001) -> DataFrame:
+    """doc_id, item_id, n_covered, n_item_words and verbatim (no slot was changed, but for case) of each leak."""
+    spark = documents.sparkSession
+    scratch = Scratch(spark, "leaks")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
+    items = items.select("item_id", F.xxhash64("text").alias("ih"), "text")
+    items = scratch.keep(items.mapInArrow(lambda batches: _benchmark(batches, window, literal, least), "h long, exact boolean, k int, item_id long, ih long, q int, size int, own binary"))
+    lengths = sorted((r[0], r[1]) for r in items.select("exact", "k").distinct().collect())  # of windows: two dozen at most, and those of items below the longest of STEPS
+    if not lengths:
+        return spark.createDataFrame([], PAIRS)
+    slot = F.shiftrightunsigned("h", 64 - BITS)
+    words = items.select(F.shiftright(slot, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int))").alias("bit"))
+    bits = np.zeros(1 << (BITS - 6), U)
+    for word, bit in words.groupBy("word").agg(F.bit_or("bit").alias("bit")).collect():  # as many longs as the bitmap has, whatever the benchmark
+        bits[word] = bit & 0xFFFFFFFFFFFFFFFF
+
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").where("text is not null")
+    met = docs.mapInArrow(lambda batches: _looked_up(batches, lengths, bits, least), "h long, doc_id long, th long, place int, met binary")
+    hits = met.join(items, "h").select("doc_id", "th", "item_id", "ih", "size", (F.col("place") - F.col("q")).alias("shift"), "q", "own", "met")
+    group = ["doc_id", "th", "item_id", "ih"]
+    pairs = hits.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda batches: _judged(batches, share, run), PAIRS).distinct()
+    if any(k < least for _, k in lengths):
+        pairs = scratch.keep(pairs)
+        short = pairs.where(F.col("n_item_words") < least).groupBy("item_id").agg(F.count("*").alias("c"))
+        rare = short.where(F.col("c") <= max(1, int(usual * documents.count()))).select("item_id")
+        pairs = pairs.where(F.col("n_item_words") >= least).union(pairs.where(F.col("n_item_words") < least).join(rare, "item_id").select(*pairs.columns))
+    return pairs
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 8, literal: int = 5, least: int = 5, share: float = 0.5, run: int = 13, usual: float = 0.001) -> DataFrame:
+    """The documents, with all their columns, whose doc_id has no leak (a null doc_id stands for all documents without one)."""
+    leaked = fresh(documents, "leaked")
+    found = contaminated_pairs(documents, benchmark, window, literal, least, share, run, usual)
+    # written first, so that Spark knows its size and needn't shuffle the documents if it is small
+    found = Scratch(documents.sparkSession, "leaked").keep(found.select(F.col("doc_id").alias(leaked)).distinct())
+    return documents.join(found, F.col("doc_id").eqNullSafe(F.col(leaked)), "left_anti")
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

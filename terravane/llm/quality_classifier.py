@@ -5,13 +5,16 @@ and word lengths) are projected on the leading singular vectors of a bounded lab
 vectors (at most about 2 x `per_class` x `dims` floats) are sent to all tasks; each document's exact cosine products
 with all of them are computed in blocks, and its nearest neighbours' labels are averaged by similarity.
 
-Empty and null texts get the sample's share of label 1; without labelled rows every score is 0.5. Ties
-among neighbours go to the earlier one in the sample's hash order. Several labels of a document count as their
-largest. Repeated rows give equal rows; other columns are ignored.
+Vectors are rounded to multiples of 1 / STEPS, so that products and their sums have no rounding at all: a score depends on the text alone and
+not on the rows beside it, and equal texts get equal scores. Ties among neighbours go to the earlier one in the sample's hash order. Texts
+without a word get the sample's share of label 1 as their score, and accepted() drops them, as there is nothing to accept; without labelled
+rows every score is 0.5. Several labels of a document count as their largest. A null doc_id has no label and is scored as any
+other; rows that share a doc_id are scored each by its text. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import release, table, texts
 from .sampling import balanced
 
 BITS = 13
@@ -28,6 +31,10 @@ SIZE = (1 << BITS) + SHAPES
 SHAPE_WEIGHT = 0.5
 #: Of the contract.
 ACCEPT = 0.3
+#: Sums of products of rounded unit vectors stay below 2^53, so they are exact in any order.
+STEPS = 1 << 20
+#: Rows of the sample that are dense at a time.
+ROWS = 256
 
 
 def _shape(text: bytes, c: np.ndarray) -> list[int]:
@@ -78,29 +85,52 @@ class Model:
 
     def scores(self, found: list[tuple | None], block: int = 256) -> np.ndarray:
         out = np.full(len(found), self.prior)
-        if not len(self.labels):
-            return out
-        for start in range(0, len(found), block):
-            rows = [i for i in range(start, min(start + block, len(found))) if found[i] is not None]
-            if not rows:
-                continue
-            x = np.zeros((len(rows), SIZE), np.float32)
-            for k, i in enumerate(rows):
-                at, v = found[i]
-                x[k, at] = v * self.idf[at]
-            out[rows] = self.vote(unit(x @ self.axes))
+        rows = [i for i, x in enumerate(found) if x is not None] if len(self.labels) else []
+        for start in range(0, len(rows), block):
+            some = rows[start : start + block]
+            out[some] = self.vote(rounded(np.array([projected(*found[i], self.idf, self.axes) for i in some])))
         return out
 
     def vote(self, q: np.ndarray) -> np.ndarray:
-        s = q @ self.vectors.T
-        k = min(self.neighbours, s.shape[1])
-        near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(s, near, 1), 1e-6).astype(float) ** 4
+        n = len(self.labels)
+        s = q @ self.vectors.T  # whole numbers
+        rank = s.astype(np.int64) * n - np.arange(n)  # no two are equal
+        k = min(self.neighbours, n)
+        near = np.argpartition(-rank, k - 1, axis=1)[:, :k]
+        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(rank, near, 1), axis=1), 1)
+        w = np.maximum(np.take_along_axis(s, near, 1) / STEPS**2, 1e-6) ** 4
         return np.clip((w * self.labels[near]).sum(1) / w.sum(1), 0, 1)
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+def projected(at: np.ndarray, v: np.ndarray, idf: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    return (v * idf[at]) @ axes[at]
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in whole multiples of 1 / STEPS."""
+    x = x.astype(float)
+    return np.rint(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) * STEPS)
+
+
+def singular(blocks: list, n: int, dims: int, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """The leading eigenvalues and vectors of the products of all rows, by subspace iteration from a fixed start.
+
+    blocks: functions that give ROWS dense rows each. Beside the n x n products no more than two of them are held.
+    """
+    g = np.empty((n, n), np.float32)
+    for i, left in enumerate(blocks):
+        x = left()
+        for j in range(i + 1):
+            y = x if i == j else blocks[j]()
+            g[ROWS * i : ROWS * i + len(x), ROWS * j : ROWS * j + len(y)] = x @ y.T
+            g[ROWS * j : ROWS * j + len(y), ROWS * i : ROWS * i + len(x)] = g[ROWS * i : ROWS * i + len(x), ROWS * j : ROWS * j + len(y)].T
+    q = np.random.default_rng(0).normal(size=(n, min(n, dims + 16))).astype(np.float32)
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(g @ q)
+    values, v = np.linalg.eigh((q.T @ (g @ q)).astype(float))
+    top = np.argsort(-values, kind="stable")[:dims]
+    top = top[values[top] > 1e-6 * values.max()]
+    return values[top], q @ v[:, top].astype(np.float32)
 
 
 def train(rows: list[tuple[int, int, np.ndarray, np.ndarray]], dims: int = 48, neighbours: int = 9) -> Model:
@@ -112,15 +142,20 @@ def train(rows: list[tuple[int, int, np.ndarray, np.ndarray]], dims: int = 48, n
         df[r[2]] += 1
     idf = (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float32)
     if not rows:
-        return Model(idf, np.zeros((SIZE, 1), np.float32), np.zeros((0, 1), np.float32), labels, neighbours, 0.5)
-    x = np.zeros((len(rows), SIZE), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r[2]] = r[3] * idf[r[2]]
-    values, u = np.linalg.eigh((x @ x.T).astype(float))
-    top = np.argsort(-values)[: min(dims, len(rows))]
-    top = top[values[top] > 1e-6 * values.max()]
-    axes = (x.T @ (u[:, top] / np.sqrt(values[top]))).astype(np.float32)
-    return Model(idf, axes, unit(x @ axes), labels, neighbours, float(labels.mean()))
+        return Model(idf, np.zeros((SIZE, 1), np.float32), np.zeros((0, 1)), labels, neighbours, 0.5)
+
+    def dense(some):
+        x = np.zeros((len(some), SIZE), np.float32)
+        for i, r in enumerate(some):
+            x[i, r[2]] = r[3] * idf[r[2]]
+        return x
+
+    blocks = [functools.partial(dense, rows[i : i + ROWS]) for i in range(0, len(rows), ROWS)]
+    values, u = singular(blocks, len(rows), dims)
+    axes = np.zeros((SIZE, len(values)), np.float32)
+    for i, block in enumerate(blocks):
+        axes += block().T @ (u[ROWS * i : ROWS * (i + 1)] / np.sqrt(values)).astype(np.float32)
+    return Model(idf, axes, rounded(np.array([projected(r[2], r[3], idf, axes) for r in rows])), labels, neighbours, float(labels.mean()))
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1000) -> Model:
@@ -133,9 +168,11 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1000) -> Model
             out = [(b, a, x[0].tobytes(), x[1].tobytes()) for a, b, t in zip(q, order, found) if (x := features(t)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["o", "q", "at", "v"])
 
-    # the sample's size is bounded by per_class, so it may be sent to all tasks
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.col("quality").cast("int").alias("q"), F.xxhash64(F.col("doc_id"), F.lit("order")).alias("o")).mapInArrow(read, "o long, q int, at binary, v binary").collect()
-    return train([(r[0], r[1], np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in rows])
+    # the sample's size is bounded by per_class, so it may be sent to all tasks and to the driver
+    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.col("quality").cast("int").alias("q"), F.xxhash64(F.col("doc_id"), F.lit("order")).alias("o")).mapInArrow(read, "o long, q int, at binary, v binary").toArrow()
+    model = train([(o.as_py(), q.as_py(), np.frombuffer(at.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for o, q, at, v in zip(*rows.columns)])
+    release()
+    return model
 
 
 def classify(documents: DataFrame, model: Model, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -151,11 +188,12 @@ def classify(documents: DataFrame, model: Model, keys: tuple[str, ...] = ("doc_i
 
 
 def accepted(documents: DataFrame, model: Model, least: float = ACCEPT) -> DataFrame:
-    """The documents, with all their columns, whose score is at least `least`."""
+    """The documents, with all their columns, that have a word and a score of at least `least`."""
 
     def keep(batches):
         for batch, found in texts(batches):
-            yield batch.filter(pa.array(model.scores([features(t) for t in found]) >= least))
+            own = [features(t) for t in found]
+            yield batch.filter(pa.array((model.scores(own) >= least) & np.array([x is not None for x in own], bool)))
 
     return documents.mapInArrow(keep, documents.schema)
 

@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -260,13 +261,46 @@ def test_quality_classifier(spark, docs, none):
 
 def test_votes_are_exact_products():
     rng = np.random.default_rng(0)
-    v = quality_classifier.unit(rng.normal(size=(50, 6)).astype(np.float32))
-    m = quality_classifier.Model(None, None, v, (rng.random(50) < 0.5).astype(float), 7, 0.5)
-    q = quality_classifier.unit(rng.normal(size=(20, 6)).astype(np.float32))
-    for x, s in zip(q, m.vote(q)):
-        near = sorted(range(50), key=lambda i: -float(x @ v[i]))[:7]
-        w = [max(float(x @ v[i]), 1e-6) ** 4 for i in near]
-        assert abs(s - sum(a * m.labels[i] for a, i in zip(w, near)) / sum(w)) < 1e-4
+    raw = rng.normal(size=(50, 6))
+    v = quality_classifier.rounded(np.concatenate([raw, raw[:20], raw[:20]]))  # ties
+    labels = (rng.random(90) < 0.5).astype(float)
+    m = quality_classifier.Model(None, None, v, labels, 7, 0.5)
+    q = quality_classifier.rounded(np.concatenate([rng.normal(size=(20, 6)), raw[:10]]))
+    together = m.vote(q)
+    for x, s in zip(q, together):
+        products = [int(x.astype(int) @ v[i].astype(int)) for i in range(90)]
+        near = sorted(range(90), key=lambda i: (-products[i], i))[:7]
+        w = [max(products[i] / quality_classifier.STEPS**2, 1e-6) ** 4 for i in near]
+        assert abs(s - sum(a * labels[i] for a, i in zip(w, near)) / sum(w)) < 1e-12
+        assert m.vote(x[None])[0] == s
+
+
+def test_leading_vectors_are_those_of_the_whole_matrix(monkeypatch):
+    monkeypatch.setattr(quality_classifier, "ROWS", 16)
+    rng = np.random.default_rng(1)
+    x = (rng.normal(size=(60, 8)) * 3.0 ** -np.arange(8) @ rng.normal(size=(8, 300))).astype(np.float32)
+    values, u = quality_classifier.singular([lambda i=i: x[i : i + 16] for i in range(0, 60, 16)], 60, 5)
+    full = np.linalg.svd(x.astype(float))
+    assert np.allclose(np.sqrt(values), full.S[:5], rtol=1e-3)
+    assert np.allclose(np.abs(np.sum(u * full.U[:, :5], 0)), 1, atol=1e-3)
+
+
+def test_scores_depend_on_the_text_alone(spark):
+    rng = random.Random(6)
+    kinds = [["the", "of", "house", "river"], ["BUY!!", "$$$", "river", "***"]]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2]) for _ in range(rng.randint(2, 30)))) for i in range(120)]
+    rows += [(200 + i, t) for i, t in rows[:40]] + [(1, rows[2][1]), (None, rows[3][1]), (500, None), (501, " \n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.fit(df.where("doc_id < 120"), labels, 20)
+    by_text = collections.defaultdict(set)
+    for n in (1, 7):
+        for (_, t), r in zip(sorted(rows, key=str), sorted(quality_classifier.classify(df.repartition(n), model, ("doc_id", "text")).collect(), key=lambda r: str((r.doc_id, r.text)))):
+            assert t == r.text
+            by_text[t].add(r.score)
+    assert all(len(v) == 1 for v in by_text.values())
+    assert by_text[None] == by_text[" \n"] == {model.prior}
+    assert not {500, 501} & {r.doc_id for r in quality_classifier.accepted(df, model).collect()}
 
 
 def test_pieces_round_trip_and_repeat(docs, none, corpus):
@@ -312,31 +346,118 @@ def test_any_text_round_trips(found):
 QUESTION = "A train leaves the old station at 9 and travels 240 km toward the far coast while Anna counts 17 red boats near the quiet harbour"
 
 
+def placeholder(word):
+    """What a word becomes in a template, from the rules as stated."""
+    bare = word.strip(".,;:!?\"'()[]{}<>*#$&|")
+    if re.fullmatch(r"[+-]?[$]?[0-9][0-9.,/:]*%?", bare):
+        return "<number>"
+    if bare.lower().encode() in decontamination.UNITS:
+        return "<unit>"
+    return "<name>" if bare[:1].lower() != bare[:1] else bare.lower()
+
+
+def windows_of_item(words, window=8, literal=5, least=5):
+    """(exact, place, length), from the rules as stated."""
+    plain = [not placeholder(w).startswith("<") for w in words]
+    k, out = min(window, len(words)), set()
+    for p in range(len(words) - k + 1):
+        if sum(plain[p : p + k]) >= min(literal, k):
+            out.add((False, p, k))
+            continue
+        out.add((True, p, k))
+        for size in [x for x in decontamination.STEPS if k < x < len(words)] + [len(words)]:
+            at = max(0, min(p, len(words) - size))
+            enough = 2 if size == len(words) and sum(plain) < literal else literal
+            if size >= least and sum(plain[at : at + size]) >= enough:
+                out.add((False, at, size))
+                break
+    return out
+
+
+def leaks_brute(docs, items, share=0.5, run=13, least=5, usual=0.001):
+    out = {}
+    for (d, text), (item, asked) in itertools.product(docs, items):
+        if d is None or item is None or not (text or "").split() or not (asked or "").split():
+            continue
+        words, own = text.split(), asked.split()
+        bare, mine = ([w.strip(".,;:!?\"'()[]{}<>*#$&|") for w in x] for x in (words, own))
+        found = collections.defaultdict(set)
+        for exact, q, k in windows_of_item(own):
+            form = (lambda w: w.strip(".,;:!?\"'()[]{}<>*#$&|").lower()) if exact else placeholder
+            want = [form(w) for w in own[q : q + k]]
+            starts = [p for p in range(len(words) - k + 1) if [form(w) for w in words[p : p + k]] == want]
+            for p in starts[:1] if k < least else starts:
+                found[p - q].update(range(q, q + k))
+        covered, longest, same = set(), 0, True
+        for shift, places in found.items():
+            to, back, good = {}, {}, []
+            for q in sorted(places):
+                a, b = mine[q].lower(), bare[q + shift].lower()
+                if placeholder(mine[q]).startswith("<"):
+                    if to.setdefault(a, b) != b or back.setdefault(b, a) != a:
+                        continue
+                    same &= a == b
+                good.append(q)
+            covered.update(good)
+            longest = max([longest, *(1 + max(j for j in range(len(own)) if all(q + i in good for i in range(j + 1))) for q in good)])
+        if covered and (len(covered) >= share * len(own) or longest >= run):
+            out[d, item] = (len(covered), len(own), same)
+    often = collections.Counter(i for (_, i), x in out.items() if x[1] < least)
+    return {k: v for k, v in out.items() if v[1] >= least or often[k[1]] <= max(1, int(usual * len(docs)))}
+
+
 def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame([(1, QUESTION), (2, None), (3, "too short"), (1, QUESTION), (None, "null id has no row at all in the result set")], "item_id long, text string")
     filler = "grey clouds were moving slowly over the wide valley and nobody said a word "
     changed = QUESTION.replace("9", "11").replace("240", "310").replace("Anna", "Boris").replace("17", "5")
-    rows = [(1, filler + QUESTION + " " + filler), (2, filler + changed), (3, filler * 5), (4, None), (5, ""), (6, filler + " ".join(QUESTION.split()[:7])), (7, (filler * 300) + changed)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rows = [(1, filler + QUESTION + " " + filler), (2, filler + changed), (3, filler * 5), (4, None), (5, ""), (6, filler + " ".join(QUESTION.split()[:7])), (7, (filler * 300) + changed), (1, filler), (2, filler + changed)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(None).cast("string") for c in ("h", "th", "item_id", "leaked", "q")})
     got = sorted((r.doc_id, r.item_id, r.verbatim) for r in decontamination.contaminated_pairs(df, bench).collect())
     assert got == [(1, 1, True), (2, 1, False), (7, 1, False)]
-    assert sorted((r.doc_id, r.item_id) for r in decontamination.contaminated_pairs(df, bench, block=10).collect()) == [(1, 1), (2, 1), (7, 1)]
-    assert sorted(r.doc_id for r in decontamination.decontaminate(df, bench).collect()) == [3, 4, 5, 6]
+    out = decontamination.decontaminate(df, bench)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [3, 4, 5, 6]
     assert decontamination.contaminated_pairs(docs, bench.limit(0)).count() == 0 and decontamination.contaminated_pairs(none, bench).count() == 0
     assert decontamination.decontaminate(docs, bench).count() == docs.count()
+    assert decontamination.decontaminate(spark.createDataFrame([(None, "a b c"), (1, QUESTION)], "doc_id long, text string"), bench).count() == 1
+
+
+def test_every_item_can_match(spark):
+    """Short items, items of many slots and long ones, verbatim or with other slots, against all windows of all pairs."""
+    rng = random.Random(12)
+    words = ["river", "stone", "count", "the", "of", "boats", "red", "leave", "near", "far"]
+    word = lambda slots: rng.choice([str(rng.randint(2, 40)), rng.choice(["Anna", "Boris", "Clara"]), "km", "kg"]) if rng.random() < slots else rng.choice(words)
+    items = [(0, "What is 7 times 8 ?"), (1, "capital of red stones"), (2, "1 2 3 4 5 6 7 8 9 10 11 12"), (3, "WHAT IS THE RIVER OF STONE NEAR BOATS"), (4, "boats"), (5, "?"), (6, "the")]
+    items += [(10 + i, " ".join(word(rng.choice([0.1, 0.5, 0.8])) for _ in range(rng.choice([3, 5, 7, 9, 14, 30, 60])))) for i in range(25)]
+    other = lambda t: " ".join(str(int(w) + 50) if w.isdigit() else w for w in t.split())
+    docs = []
+    for i, (_, t) in enumerate(items):
+        pad = " ".join(word(0.1) for _ in range(12))
+        docs += [(10 * i, f"{pad} {t}, {pad}"), (10 * i + 1, f"{pad} {other(t)} {pad}"), (10 * i + 2, " ".join(t.split()[: len(t.split()) // 2])), (10 * i + 3, pad + " " + t.lower())]
+    docs += [(9000, None), (9001, ""), (9002, "What is 7 times 8 ?")]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for usual in (0.05, 0.001):
+        got = {(r.doc_id, r.item_id): (r.n_covered, r.n_item_words, r.verbatim) for r in decontamination.contaminated_pairs(*tables, usual=usual).collect()}
+        assert got == leaks_brute(docs, items, usual=usual)
+        assert ((10, 1) in got) == (usual == 0.05)  # a phrase of four words that two documents hold
+    assert all((10 * i, item) in got for i, (item, t) in enumerate(items) if len(t.split()) >= 5) and (1, 0) in got and (9002, 0) in got
 
 
 def test_slots_must_be_consistent():
-    item = "move 5 crates then add 7 crates then take 5 crates and leave 7 crates for later use today"
-    index = decontamination.build([(1, item)], 8, 5, 5, 1000)[0]
-    t = decontamination.Template()
-
-    def covered(text):
-        w = text.encode().split()
-        return decontamination.leaks(w, t.of(w), index, 0.0, 99)[0][1]
-
-    assert covered(item.replace("5", "50").replace("7", "70")) == len(item.split())
-    assert covered(item.replace("take 5", "take 9")) == len(item.split()) - 1
+    item = "move 5 crates then add 7 crates then take 5 crates and leave 7 crates for later use today".encode()
+    covered = lambda text: decontamination.leak([(0, 0, item, text)], len(item.split()), 0.0, 99)[0]
+    assert covered(item.replace(b"5", b"50").replace(b"7", b"70")) == len(item.split())
+    assert covered(item.replace(b"take 5", b"take 9")) == len(item.split()) - 1
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=30), st.integers(1, 9))
+def test_runs_are_told_apart_by_their_words(h, k):
+    a = np.array(h + h[3:], np.uint64)
+    got = decontamination.Runs(a).of(k, False)
+    by = collections.defaultdict(set)
+    for p, x in enumerate(got.tolist()):
+        by[tuple(a[p : p + k].tolist())].add(x)
+    assert len(got) == max(0, len(a) - k + 1) and all(len(v) == 1 for v in by.values()) and len({min(v) for v in by.values()}) == len(by)
 
 
 def test_token_rollups(spark, docs, none, tmp_path):
