@@ -113,7 +113,7 @@ class Runs:
         n = len(self.sums) - k
         if n <= 0 or k < 1:
             return np.empty(0, U)
-        out = (self.sums[k:] - self.sums[:n]) * self.power[k - 1 : n + k - 1] + U(2 * k + exact) * SECOND
+        out = (self.sums[k:] - self.sums[:n]) * self.power[k - 1 : n + k - 1] + U((2 * k + exact) * int(SECOND) % (1 << 64))
         out ^= out >> U(29)
         return out * MULTIPLIER
 
