@@ -75,8 +75,9 @@ class Scratch:
 WORDS = 1 << 18
 
 
-def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+def likely(rows: DataFrame, wanted: DataFrame, key: str, may: bool = True) -> DataFrame:
     """The rows whose key may be in wanted, told by a bitmap of fixed size: all that are, and few others while wanted has fewer keys than bits.
+    Without `may` the other rows.
 
     It keeps most other rows out of the shuffle of a join, which is exact whatever the bitmap lets through.
     """
@@ -85,8 +86,9 @@ def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     at, bits = fresh(rows, "word"), fresh(rows, "bits")
     bitmap = wanted.where(F.col(key).isNotNull()).select(word.alias(at), F.shiftleft(F.lit(1).cast("long"), 0).alias(bits), bit.alias("bit"))
     bitmap = bitmap.groupBy(at).agg(F.bit_or(F.expr(f"shiftleft({bits}, bit)")).alias(bits))
-    marked = rows.withColumn(at, word).join(F.broadcast(bitmap), at)
-    return marked.where(F.expr(f"shiftright({bits}, cast(shiftrightunsigned(xxhash64({key}, 'likely'), 58) as int)) & 1") == 1).select(*rows.columns)
+    marked = rows.withColumn(at, word).join(F.broadcast(bitmap), at, "inner" if may else "left")
+    hit = F.expr(f"shiftright({bits}, cast(shiftrightunsigned(xxhash64({key}, 'likely'), 58) as int)) & 1")
+    return marked.where(F.coalesce(hit, F.lit(0)) == int(may)).select(*rows.columns)
 
 
 def texts(batches: Iterator[pa.RecordBatch], most: int = 4 << 20, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:

@@ -8,12 +8,14 @@ that the lengths and the number of edits allow, so:
    (the multi-match-aware choice: 12 of them for two edits), each with the segment's number and length of line.
 2. Hashes that only one text has are dropped; only their lines are read again. Two lines that share a hash and whose counts of some
    letters differ by no more than the edits allow are candidates.
-3. Candidates are verified by a bit-parallel automaton over a band of 2 * EDITS + 1 diagonals (within_edits).
+3. Candidates are verified by a bit-parallel automaton over a band of 2 * EDITS + 1 diagonals (within_edits). First each line is compared with the
+   earliest lines of its hashes alone; only lines that stay after that are compared with all earlier ones. So a large group of
+   similar lines, most of which are near its earliest, is compared in proportion to its size.
 
-Equal lines are one text throughout, so a line with many copies is compared once. Lines without a word always stay. Lines of
-fewer than LEAST characters have no part in the edit join; by `least` their exact copies go too (in the pipeline) or stay (in the
-query, as its SQL has it). Groups are held by window and join operators that spill; letter counts are tested within the join, so
-that pairs of a large group of similar lines are not put out.
+Each text gives hashes once, however many copies it has: lines that may have copies (by a bitmap of fixed size) are joined with the
+places of first copies. Lines without a word always stay. Lines of fewer than LEAST characters have no part in the edit join, as two
+edits would make other words of them, but their exact copies go. Groups are held by window and join operators that spill; letter
+counts are tested within the join.
 
 Null texts have no lines and stay null. Rows that share a doc_id count as parts of one document at the same line numbers: equal
 lines at the same place of both stay. Null doc_ids take no part and stay as they are. Other columns don't matter.
@@ -25,20 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, fresh, table
+from .common import WORD, Scratch, fresh, likely, table
 
 EDITS = 2
 LEAST = 20
-#: Copies from which a line counts as frequent, and how many such lines at most are sent to all tasks.
-FREQUENT, MOST_FREQUENT = 100, 10_000
-#: Longs of the bitmap.
-WORDS = 1 << 18
 #: Groups of letters whose counts are compared, five bits each in a long.
 LETTERS = ("e", "a", "i", "n", "t", "s", "r", "o", "hw", "dl", "cum", "bgpvfykqjxz")
 
 
-def numbered(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, pos, line of the lines that are compared, with two hashes of the line."""
+def numbered(documents: DataFrame, least: int = 1) -> DataFrame:
+    """doc_id, pos, line of the lines with a word and `least` characters, with two hashes of the line."""
     lines = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return lines.where((F.char_length("line") >= least) & F.col("line").rlike(WORD)).select("doc_id", "pos", "line", F.xxhash64("line").alias("id"), F.xxhash64(F.lit("second"), F.col("line")).alias("id2"))
 
@@ -118,46 +116,55 @@ def within_edits(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFr
 
 def near_lines(lines: DataFrame, copies: DataFrame, scratch: Scratch, edits: int = EDITS) -> DataFrame:
     """(id, id2) of the texts within `edits` edits of one that is first met earlier; copies: id, id2, n, first of each text."""
-    frequent = copies.groupBy("id").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "id").limit(MOST_FREQUENT).select("id", "first")
-    # of the most frequent lines, whose number is bounded, the first alone gives hashes; of others all do, which changes no result
-    once = lines.join(F.broadcast(frequent), "id", "left").where("first is null or first = struct(doc_id, pos)").select("id", "line")
+    copied = copies.where("n > 1").select("id", "first.doc_id", "first.pos")
+    single = likely(lines, copied, "id", False).select("id", "line")
+    first = likely(lines, copied, "id").join(copied.distinct(), ["id", "doc_id", "pos"], "left_semi").select("id", "line")
+    unsure = likely(lines, copied, "id").join(copied.select("id").distinct(), "id", "left_anti").select("id", "line")  # those that the bitmap let through
     of_key = Window.partitionBy("key")
-    shared = _keyed(once, edits).select("key", "id", "own", F.min("id").over(of_key).alias("lo"), F.max("id").over(of_key).alias("hi")).where("lo < hi")
+    shared = _keyed(single.union(first).union(unsure), edits).select("key", "id", "own", F.min("id").over(of_key).alias("lo"), F.max("id").over(of_key).alias("hi")).where("lo < hi")
     shared = scratch.keep(shared.select("key", "id", "own").distinct())
 
-    # a bitmap of fixed size keeps most other lines out of the shuffle of texts; the join is exact whatever it lets through
-    word = F.expr(f"id & {WORDS - 1}")
-    bitmap = shared.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(id, 58) as int))")).alias("bits"))
-    likely = lines.withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.expr("shiftright(bits, cast(shiftrightunsigned(id, 58) as int)) & 1") == 1).select("id", "id2", "doc_id", "pos", "line")
-    met = likely.join(shared.select("id").distinct(), "id").groupBy("id", "id2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.min("line").alias("line"))
+    met = likely(lines, shared, "id").join(shared.select("id").distinct(), "id").groupBy("id", "id2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.min("line").alias("line"))
     met = scratch.keep(met.select("id", "id2", "first", "line", F.char_length("line").alias("n"), _letters(F.col("line")).alias("letters")))
-
-    short = shared.where("own").join(met, "id").select("key", F.col("id2").alias("a"), F.col("n").alias("an"), F.col("letters").alias("al"))
-    long = shared.join(met, "id").select("key", F.col("id2").alias("b"), F.col("n").alias("bn"), F.col("letters").alias("bl"))
-    near = f"bn - an between 0 and {edits} and (bn > an or a < b) and {_letters_apart('al', 'bl')} <= {2 * edits}"
-    pairs = short.join(long, "key").where(near).select("a", "b").distinct()
-    of_a, of_b = (met.select(F.col("id2").alias(c), F.col("id").alias(f"{c}_id"), F.col("first").alias(f"{c}_first"), F.col("line").alias(f"{c}_line")) for c in "ab")
-    found = within_edits(pairs.join(of_a, "a").join(of_b, "b"), "a_line", "b_line", edits)
-    later = F.col("a_first") > F.col("b_first")
-    return found.select(F.when(later, F.col("a_id")).otherwise(F.col("b_id")).alias("id"), F.when(later, F.col("a")).otherwise(F.col("b")).alias("id2")).distinct()
-
-
-def removed_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    rows = shared.join(met.select("id", F.struct("first", "id2", "n", "letters").alias("x")), "id").select("key", "own", "x")
+    rows = scratch.keep(rows.withColumns({"lead": F.min("x").over(of_key), "own_lead": F.min(F.when(F.col("own"), F.col("x"))).over(of_key)}))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """id2 of the later texts of pairs (a earlier, b later) that are near."""
+        of_a, of_b = (met.select(F.col("id2").alias(c), F.col("line").alias(f"{c}_line")) for c in "ab")
+        return scratch.keep(within_edits(pairs.select("a", "b").distinct().join(of_a, "a").join(of_b, "b"), "a_line", "b_line", edits).select(F.col("b").alias("id2")).distinct())
+
+    # x has the segment as its own, so y isn't shorter
+    near = f"y.n - x.n between 0 and {edits} and x.id2 <> y.id2 and {_letters_apart('x.letters', 'y.letters')} <= {2 * edits}"
+    ends = "if(x.first < y.first, x.id2, y.id2) as a", "if(x.first < y.first, y.id2, x.id2) as b"
+    with_own = rows.where("own_lead is not null").select(F.col("own_lead").alias("x"), F.col("x").alias("y"))
+    with_any = rows.where("own").select("x", F.col("lead").alias("y"))
+    gone = verified(with_own.union(with_any).where(near).selectExpr(*ends))
+
+    stays = rows.join(gone.select(F.col("id2").alias("gone")), F.col("x.id2") == F.col("gone"), "left_anti")
+    own, every = rows.where("own").select("key", "x"), rows.select("key", F.col("x").alias("y"))
+    later_y = own.join(stays.select("key", F.col("x").alias("y")), "key").where(f"x.first < y.first and {near}")
+    later_x = stays.where("own").select("key", "x").join(every, "key").where(f"y.first < x.first and {near}")
+    gone = gone.union(verified(later_y.selectExpr(*ends).union(later_x.selectExpr(*ends))))
+    return met.select("id", "id2").join(gone.distinct(), "id2").select("id", "id2")
+
+
+def removed_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id and the sorted numbers (from 0) of its lines that go, for documents that lose any."""
     scratch = Scratch(documents.sparkSession, "lines")
-    lines = numbered(documents, least)
+    lines = numbered(documents)
     marks = scratch.keep(lines.select("doc_id", "pos", "id", "id2"))
     copies = scratch.keep(marks.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")))
     near = near_lines(lines.where(F.char_length("line") >= LEAST), copies, scratch, edits).withColumn("near", F.lit(True))
-    texts = copies.join(near, ["id", "id2"], "left").where("n > 1 or near")
+    texts = scratch.keep(copies.join(near, ["id", "id2"], "left").where("n > 1 or near").select("id", "id2", "first", "near"))
     gone = marks.join(texts, ["id", "id2"]).where("near or first <> struct(doc_id, pos)").select("doc_id", "pos")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
-def line_dedup(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def line_dedup(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     """The documents with all their columns, text without the lines that go; documents that lose all of their words go."""
     key, out_ = fresh(documents, "line_doc"), fresh(documents, "line_gone")
-    lost = removed_lines(documents, edits, least).select(F.col("doc_id").alias(key), F.col("gone").alias(out_))
+    lost = removed_lines(documents, edits).select(F.col("doc_id").alias(key), F.col("gone").alias(out_))
     none = F.col(out_).isNull()
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(out_, i)), "\n")
     out = documents.join(lost, F.col("doc_id") == F.col(key), "left").withColumn("text", F.when(none, F.col("text")).otherwise(kept)).where(none | F.col("text").rlike(WORD))
@@ -176,9 +183,9 @@ def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-c AS (SELECT doc_id, pos, line FROM l WHERE length(line) >= 20 AND regexp_matches(line, '[^\x20\x09-\x0D]')),
+c AS (SELECT doc_id, pos, line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 f AS (SELECT line, length(line) AS n, min(doc_id * 1000000 + pos) AS first FROM c GROUP BY line),
-k AS (SELECT DISTINCT b.line FROM f a JOIN f b ON a.first < b.first AND a.n BETWEEN b.n - 2 AND b.n + 2 AND a.line <> b.line
+k AS (SELECT DISTINCT b.line FROM f a JOIN f b ON a.n >= 20 AND b.n >= 20 AND a.first < b.first AND a.n BETWEEN b.n - 2 AND b.n + 2 AND a.line <> b.line
       AND (left(a.line, 6) = left(b.line, 6) OR right(a.line, 6) = right(b.line, 6) OR substr(a.line, 8, 5) = substr(b.line, 8, 5)
            OR substr(a.line, 8, 5) = substr(b.line, 9, 5) OR substr(a.line, 9, 5) = substr(b.line, 8, 5) OR substr(a.line, 8, 5) = substr(b.line, 10, 5) OR substr(a.line, 10, 5) = substr(b.line, 8, 5))
       WHERE levenshtein(a.line, b.line) <= 2),

@@ -177,18 +177,17 @@ def test_banded_automaton(spark, most):
 
 def lines_brute(rows):
     first, gone = {}, collections.defaultdict(set)
-    lines = [(d, i, x) for d, t in rows if t is not None for i, x in enumerate(t.split("\n")) if len(x) >= line_dedup.LEAST and x.encode().split()]
+    lines = [(d, i, x) for d, t in rows if t is not None for i, x in enumerate(t.split("\n")) if x.encode().split()]
     for d, i, x in sorted(lines):
         first.setdefault(x, (d, i))
-    near = {x for x in first for y in first if first[y] < first[x] and abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2}
+    near = {x for x in first for y in first if min(len(x), len(y)) >= line_dedup.LEAST and first[y] < first[x] and abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2}
     for d, i, x in lines:
         if x in near or first[x] != (d, i):
             gone[d].add(i)
     return {d: sorted(g) for d, g in gone.items()}
 
 
-def test_line_dedup(spark, none, monkeypatch):
-    monkeypatch.setattr(line_dedup, "FREQUENT", 3)
+def test_line_dedup(spark, none):
     rng = random.Random(9)
     rows = []
     for d in range(30):
@@ -201,6 +200,12 @@ def test_line_dedup(spark, none, monkeypatch):
             lines.append(x)
         rows.append((d, "\n".join([*lines, "short", "  ", lines[0]])))
     rows += [(100, None), (101, ""), (102, "z" * 5000), (103, "z" * 5001)]
+    base = "a line that many near copies of it follow, each with other letters"
+    for d in range(110, 150):  # a chain: each is near the one before it, few are near the first
+        k = rng.randrange(len(base))
+        base = base[:k] + rng.choice("xyzw") + base[k + 1 :]
+        rows.append((d, base))
+    rows += [(d, base[:10] + c + base[11:]) for d, c in enumerate("0123456789", 150)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(None).cast("string") for c in CLASHING})
     got = {r.doc_id: r.gone for r in line_dedup.removed_lines(df).collect()}
     assert got == lines_brute(rows) and len(got) > 20
