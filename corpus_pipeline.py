@@ -17,21 +17,22 @@ NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; it learns from the labels outside the held-out fold."""
+    """Documents that the quality classifier rejects go, and those without a word; it learns from the labels outside the held-out fold."""
     model = quality_classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~quality_classifier.held_out()))
     return quality_classifier.accepted(docs, model)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines equal (at any length) or nearly equal to an earlier one go, and documents that lose all their words."""
-    return line_dedup.line_dedup(docs, least=1)
+    """Lines equal or nearly equal to an earlier one go, and documents that lose all their words."""
+    return line_dedup.line_dedup(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest doc_id stays."""
+    """Of each component of similar documents the one with the smallest doc_id stays; rows that share a doc_id stay or go together."""
     found = jaccard_join.jaccard_components(docs, NEAR_SHINGLE, NEAR_PERCENT)
     copy = fresh(docs, "copy_of")
-    copies = found.where("component_id <> doc_id").select(F.col("doc_id").alias(copy)).distinct()
+    # written first, so that Spark knows its size and needn't shuffle the documents if it is small
+    copies = Scratch(spark, "copies").keep(found.where("component_id <> doc_id").select(F.col("doc_id").alias(copy)).distinct())
     return docs.join(copies, F.col("doc_id") == F.col(copy), "left_anti")
 
 
