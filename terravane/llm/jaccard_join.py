@@ -20,7 +20,7 @@ of sets of each small size in the corpus, where a row of a list counts as LIST_W
 
 So no pairs within a long list are put out but those that can't be told apart by size, place, component and sketch, and every link between
 different sets is found. Equal sets take part once. Which shingles count as common changes the cost only: counts by BUCKETS hash ranges,
-put out by each task for ranges far above its mean. Sets are told apart by 64-bit hashes of shingles and of whole sets;
+put out by each task for ranges well above its mean. Sets are told apart by 64-bit hashes of shingles and of whole sets;
 n different sets have a chance of n * n / 2^65 that two are taken for equal.
 
 Null texts and texts without words have the empty set: n_shingles 0, component_id = doc_id. With fewer words than a shingle the whole
@@ -44,7 +44,7 @@ from .common import MULTIPLIER, SECOND, Scratch, components, hashes, likely, sig
 SHINGLE, PERCENT = 4, 85
 BLOCK = 256
 SMALL = 64
-BUCKETS_LOG = 16
+BUCKETS_LOG = 20
 LIST_WEIGHT = 4
 #: Sizes among which the boundary is looked for.
 MOST_LIGHT = 24
@@ -133,11 +133,11 @@ def _sets(batches, shingle: int):
     for batch, found in texts(batches):
         s = [shingles(t, shingle) for t in found]
         if any(map(len, s)):
-            counts += np.bincount((np.concatenate(s) >> U(64 - BUCKETS_LOG)).astype(np.int64), minlength=len(counts))
+            np.add.at(counts, (np.concatenate(s) >> U(64 - BUCKETS_LOG)).astype(np.int64), 1)
         fp = [int(fingerprint(x).view(np.int64)) if len(x) else None for x in s]
         none = [None] * len(s)
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array([len(x) for x in s], pa.int64()), pa.array(fp, pa.int64()), pa.array([sketch(x) if len(x) else None for x in s], pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.int64())], names=["doc_id", "n", "fp", "sketch", "bucket", "often"])
-    many = np.flatnonzero(counts > 2 * counts.mean() + 16)
+    many = np.flatnonzero(counts > 2 * (counts.mean() + np.sqrt(counts.mean()) + 1))
     none = pa.nulls(len(many), pa.int64())
     yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(many), pa.binary()), pa.array(many, pa.int32()), pa.array(counts[many])], names=["doc_id", "n", "fp", "sketch", "bucket", "often"])
 
@@ -348,7 +348,7 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: in
     every = scratch.keep(docs.mapInArrow(lambda batches: _sets(batches, shingle), SETS))
     sets = every.where("n is not null").select("doc_id", "n", "fp", "sketch")
     shares = every.agg(F.sum("n")).first()[0] or 0
-    often = every.where("bucket is not null").groupBy("bucket").agg(F.sum("often").alias("often")).where(F.col("often") > 4 * shares / (1 << BUCKETS_LOG))
+    often = every.where("bucket is not null").groupBy("bucket").agg(F.sum("often").alias("often")).where(F.col("often") > 4 * shares / (1 << BUCKETS_LOG) + 16)
     common = np.zeros(1 << BUCKETS_LOG, bool)
     common[[r[0] for r in often.select("bucket").collect()]] = True  # at most a quarter of the ranges
     owners = scratch.keep(sets.where("doc_id is not null and fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("c")))

@@ -116,16 +116,15 @@ def within_edits(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFr
 
 def near_lines(lines: DataFrame, copies: DataFrame, scratch: Scratch, edits: int = EDITS) -> DataFrame:
     """(id, id2) of the texts within `edits` edits of one that is first met earlier; copies: id, id2, n, first of each text."""
-    copied = copies.where("n > 1").select("id", "first.doc_id", "first.pos")
-    single = likely(lines, copied, "id", False).select("id", "line")
-    first = likely(lines, copied, "id").join(copied.distinct(), ["id", "doc_id", "pos"], "left_semi").select("id", "line")
-    unsure = likely(lines, copied, "id").join(copied.select("id").distinct(), "id", "left_anti").select("id", "line")  # those that the bitmap let through
+    copied = scratch.keep(copies.where("n > 1").select("id", "id2", "first"))
+    unsure = likely(lines, copied, "id").join(copied, ["id", "id2"], "left").where("first is null or first = struct(doc_id, pos)")
+    once = likely(lines, copied, "id", False).select("id", "line").union(unsure.select("id", "line"))
     of_key = Window.partitionBy("key")
-    shared = _keyed(single.union(first).union(unsure), edits).select("key", "id", "own", F.min("id").over(of_key).alias("lo"), F.max("id").over(of_key).alias("hi")).where("lo < hi")
+    shared = _keyed(once, edits).select("key", "id", "own", F.min("id").over(of_key).alias("lo"), F.max("id").over(of_key).alias("hi")).where("lo < hi")
     shared = scratch.keep(shared.select("key", "id", "own").distinct())
 
-    met = likely(lines, shared, "id").join(shared.select("id").distinct(), "id").groupBy("id", "id2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.min("line").alias("line"))
-    met = scratch.keep(met.select("id", "id2", "first", "line", F.char_length("line").alias("n"), _letters(F.col("line")).alias("letters")))
+    met = likely(lines, shared, "id").groupBy("id", "id2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.min("line").alias("line"))
+    met = scratch.keep(met.join(shared.select("id").distinct(), "id").select("id", "id2", "first", "line", F.char_length("line").alias("n"), _letters(F.col("line")).alias("letters")))
     rows = shared.join(met.select("id", F.struct("first", "id2", "n", "letters").alias("x")), "id").select("key", "own", "x")
     rows = scratch.keep(rows.withColumns({"lead": F.min("x").over(of_key), "own_lead": F.min(F.when(F.col("own"), F.col("x"))).over(of_key)}))
 
