@@ -478,10 +478,53 @@ def test_token_rollups(spark, docs, none, tmp_path):
         ledger.commit("3", put(("upsert", "a", "en", "v1", 1, None)))
     assert ledger.batches() == ["1", "2"]
     assert ledger.commit("4", put(("delete", "a", "en", "v2", 9, None))) and ledger.totals().where("tokenizer = 'v2'").count() == 0
+    with pytest.raises(ValueError):
+        ledger.commit("base-1", first)
+    before = sorted(map(tuple, ledger.totals().collect()), key=str)
+    assert ledger.compact() and not ledger.compact() and ledger._folders() == ["base-000000000000"]
+    assert ledger.batches() == ["1", "2", "4"] and not ledger.commit("2", first)
+    assert sorted(map(tuple, ledger.totals().collect()), key=str) == before
+    assert ledger.commit("5", put(("insert", "a", "en", "v1", 1, None))) and ledger.compact() and ledger.batches() == ["1", "2", "4", "5"]
+    assert ("a", "en", "v1", 2, 13) in {tuple(r) for r in ledger.totals().collect()}
+
+
+def test_two_writers_of_one_batch(spark, tmp_path, monkeypatch):
+    """A second writer that has seen no batch when it began is refused when it publishes."""
+    at = f"file://{tmp_path}/ledger"
+    rows = spark.createDataFrame([("insert", "a", "en", "v1", 3)], "op string, source string, lang string, tokenizer string, n_tokens long")
+    late = token_counts.Ledger(spark, at)
+    monkeypatch.setattr(late, "batches", lambda: [])
+    assert token_counts.Ledger(spark, at).commit("1", rows) and not late.commit("1", rows)
+    assert [tuple(r) for r in token_counts.Ledger(spark, at).totals().collect()] == [("a", "en", "v1", 1, 3)]
+
+
+def test_left_over_batches_of_a_compaction(spark, tmp_path, monkeypatch):
+    """A failure after the base is published and before its batches are removed."""
+    ledger = token_counts.Ledger(spark, f"file://{tmp_path}/ledger")
+    rows = spark.createDataFrame([("insert", "a", "en", "v1", 3)], "op string, source string, lang string, tokenizer string, n_tokens long")
+    ledger.commit("1", rows)
+    monkeypatch.setattr(token_counts, "remove", lambda *a: None)
+    assert ledger.compact() and ledger._folders() == ["1", "base-000000000000"]
+    assert [r.n_tokens for r in ledger.totals().collect()] == [3] and not ledger.commit("1", rows) and ledger.batches() == ["1"]
+
+
+def test_token_count_query(spark, docs, none, corpus, tmp_path):
+    """The query's batches against a sum over the documents that are left."""
     enc = token_counts._encoding(open(token_counts.RANKS, "rb").read())
-    got = token_counts.counted(docs).agg(F.sum("n_tokens"), F.count("*")).first()
-    assert tuple(got) == (sum(len(enc.encode_ordinary(r.text)) for r in docs.select("text").collect() if r.text), docs.count())
-    assert token_counts.counted(none).count() == 0
+    size = lambda t: len(enc.encode_ordinary(t)) if t else 0
+    got = {r.doc_id: (r.n_tokens, r.n_clean) for r in token_counts.counted(docs).collect()}
+    assert got == {d: (size(t), size(re.sub(r"\s+", " ", t or ""))) for d, t, *_ in corpus} and any(a != b for a, b in got.values())
+    marks = [(corpus[0][0], 0, 1), (corpus[1][0], 1, 1), (corpus[2][0], 1, 0), (corpus[3][0], None, 1), (corpus[3][0], 0, 1), (None, 1, 1), (99999, 0, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    total = collections.defaultdict(lambda: [0, 0])
+    for i, (d, t, lang, source, _) in enumerate(corpus):
+        if i not in (0, 3):
+            total[source, lang, "byte_bpe_50k"][0] += 1
+            total[source, lang, "byte_bpe_50k"][1] += got[d][1]
+    ledger = token_counts.Ledger(spark, f"file://{tmp_path}/ledger")
+    rows = token_counts.apply_batches(ledger, docs, labels).collect()
+    assert {tuple(r)[:3]: list(r)[3:] for r in rows} == total and ledger.batches() == ["appeal", "clean", "load", "toxic"]
+    assert token_counts.apply_batches(token_counts.Ledger(spark, f"file://{tmp_path}/none"), none, labels.limit(0)).count() == 0
 
 
 def test_lm_scores(spark, docs, none, corpus):
