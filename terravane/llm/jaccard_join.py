@@ -143,7 +143,7 @@ def _sets(batches, shingle: int):
 
 
 def _lists(batches, shingle: int, percent: int, light: int, common: np.ndarray, most: int = 1_000_000):
-    """(key, fp, info) of every set, equal sets of a task once; info packs size, place, and of a subset's sizes the smaller (0 for the list of a shingle)."""
+    """(key, fp, info) of every set, those that are equal after all once in a task; info packs size, place, and of a subset's sizes the smaller (0 for the list of a shingle)."""
     seen: set[int] = set()
     for _, found in texts(batches):
         rows = []
@@ -315,13 +315,18 @@ def _survivors(batches, every: bool, percent: int):
     yield packed(pairs())
 
 
-def _rest(long: DataFrame, sets: DataFrame, labels: DataFrame, every: bool, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets that share a long list, have different labels and may link."""
-    rows = long.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+def _open(long: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows (key, fp, info) of lists with several labels, with their label and the length c of their list."""
+    rows = scratch.keep(long.select("key", "fp", "info").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
     lists = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    return scratch.keep(rows.join(lists.select("key", "c"), "key"))
+
+
+def _rest(rows: DataFrame, sets: DataFrame, every: bool, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets that share an open list, have different labels and may link."""
     # a link's sizes are less than one class apart
     width = math.log(100 / percent) * 1.01
-    of = rows.join(lists.select("key", "c"), "key").withColumn("class", F.when(F.col("c") <= BLOCK, 0).otherwise(F.floor(F.log(F.shiftright("info", 32)) / width)).cast("int"))
+    of = rows.withColumn("class", F.when(F.col("c") <= BLOCK, 0).otherwise(F.floor(F.log(F.shiftright("info", 32)) / width)).cast("int"))
     blocks = of.groupBy("key", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = blocks.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("class", "blocks"))).alias("blocks"))  # an entry for each class, so a few dozen
     of = of.join(blocks, "key").withColumn("block", F.expr("cast(pmod(xxhash64(fp), blocks[class]) as int)"))
@@ -354,7 +359,12 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: in
     owners = scratch.keep(sets.where("doc_id is not null and fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("c")))
     light = boundary(dict(owners.where(F.col("n") <= 100 * MOST_LIGHT // percent).groupBy("n").count().collect()), percent)
 
-    lists = docs.where("doc_id is not null").select("text").mapInArrow(lambda batches: _lists(batches, shingle, percent, light, common), "key long, fp long, info long")
+    # equal sets give lists once; a doc_id that has another set too stays, as it owns that one
+    copies = sets.join(owners.where("c > 1").select("fp", F.col("doc_id").alias("own")), "fp").where("doc_id <> own").select("doc_id").distinct()
+    copies = scratch.keep(copies.join(owners.select("doc_id"), "doc_id", "left_anti"))
+    unsure = likely(docs, copies, "doc_id").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left").where("copy is null")
+    once = likely(docs, copies, "doc_id", False).where("doc_id is not null").select("text").union(unsure.select("text"))
+    lists = once.mapInArrow(lambda batches: _lists(batches, shingle, percent, light, common), "key long, fp long, info long")
     by_key, small = Window.partitionBy("key"), SMALL
     lead = F.min(F.struct(F.expr("if(info & 31 > 0, info, 0)"), "fp", "info")).over(by_key)
     met = lists.select("*", lead.alias("lead"), F.max("fp").over(by_key).alias("x"), F.min("fp").over(by_key).alias("m"), F.count("*").over(by_key).alias("c")).where("m < x")
@@ -383,7 +393,8 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: in
     long = met.where(F.col("kind") == LONG).select("key", F.col("a").alias("fp"), "info").distinct()
     for all_of_them in (None, False, True):
         if all_of_them is not None:
-            more = scratch.keep(_rest(long, sets, labels, all_of_them, percent).join(tested, ["a", "b"], "left_anti"))
+            long = _open(long, labels, scratch)
+            more = scratch.keep(_rest(long, sets, all_of_them, percent).join(tested, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
         tested = tested.union(more)
