@@ -317,16 +317,18 @@ def _survivors(batches, every: bool, percent: int):
 
 def _open(long: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows (key, fp, info) of lists with several labels, with their label and the length c of their list."""
-    rows = scratch.keep(long.select("key", "fp", "info").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
-    lists = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    return scratch.keep(rows.join(lists.select("key", "c"), "key"))
+    by_key = Window.partitionBy("key")
+    rows = long.select("key", "fp", "info").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    rows = rows.withColumns({"c": F.count("*").over(by_key), "lo": F.min("label").over(by_key), "hi": F.max("label").over(by_key)})
+    return scratch.keep(rows.where("lo < hi").drop("lo", "hi"))
 
 
 def _rest(rows: DataFrame, sets: DataFrame, every: bool, percent: int) -> DataFrame:
     """Pairs (a, b) of sets that share an open list, have different labels and may link."""
+    one = rows.where(F.col("c") <= BLOCK).selectExpr("key", "0 as lc", "0 as bi", "0 as hc", "0 as bj", "0 as side", "info", "fp", "label")
     # a link's sizes are less than one class apart
     width = math.log(100 / percent) * 1.01
-    of = rows.withColumn("class", F.when(F.col("c") <= BLOCK, 0).otherwise(F.floor(F.log(F.shiftright("info", 32)) / width)).cast("int"))
+    of = rows.where(F.col("c") > BLOCK).withColumn("class", F.floor(F.log(F.shiftright("info", 32)) / width).cast("int"))
     blocks = of.groupBy("key", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = blocks.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("class", "blocks"))).alias("blocks"))  # an entry for each class, so a few dozen
     of = of.join(blocks, "key").withColumn("block", F.expr("cast(pmod(xxhash64(fp), blocks[class]) as int)"))
@@ -336,7 +338,8 @@ def _rest(rows: DataFrame, sets: DataFrame, every: bool, percent: int) -> DataFr
           if(try_element_at(blocks, class + 1) is null, array(), transform(sequence(0, try_element_at(blocks, class + 1) - 1), j -> struct(class as lc, block as bi, class + 1 as hc, j as bj, 0 as side))),
           if(try_element_at(blocks, class - 1) is null, array(), transform(sequence(0, try_element_at(blocks, class - 1) - 1), j -> struct(class - 1 as lc, j as bi, class as hc, block as bj, 1 as side))))"""
     )
-    work = of.join(_sketches(sets, of.select("fp")), "fp").select("key", F.explode(units).alias("u"), "fp", "info", "label", "sketch").select("key", "u.lc", "u.bi", "u.hc", "u.bj", "u.side", "info", "fp", "label", "sketch")
+    many = of.select("key", F.explode(units).alias("u"), "info", "fp", "label").select("key", "u.lc", "u.bi", "u.hc", "u.bj", "u.side", "info", "fp", "label")
+    work = one.union(many).join(_sketches(sets, rows.select("fp")), "fp").select("key", "lc", "bi", "hc", "bj", "side", "info", "fp", "label", "sketch")
     unit = ["key", "lc", "bi", "hc", "bj"]
     return work.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(lambda batches: _survivors(batches, every, percent), "a long, b long").distinct()
 
