@@ -42,6 +42,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components have not settled in {rounds} rounds")
     found = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return found.union(found.select("component", "component")).union(loops).groupBy("node").agg(F.min("component").alias("component"))
 

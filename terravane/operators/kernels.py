@@ -271,32 +271,43 @@ def outline(mask: np.ndarray) -> list[list[tuple[int, int]]]:
 def orientation(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Angle in degrees and strength of the structure tensor."""
     gy, gx = np.gradient(z)
-    box = lambda a: sum(np.roll(np.roll(a, i, 0), j, 1) for i in (-1, 0, 1) for j in (-1, 0, 1)) / 9
+
+    def box(a):
+        p = np.pad(a, 1, mode="edge")
+        return sum(p[1 + i : p.shape[0] - 1 + i, 1 + j : p.shape[1] - 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1)) / 9
+
     xx, yy, xy = box(gx * gx), box(gy * gy), box(gx * gy)
     return np.degrees(0.5 * np.arctan2(2 * xy, xx - yy)) % 180, np.hypot(xx - yy, 2 * xy)
 
 
-def harmonic_fill(z: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Unknown cells as the mean of their neighbours, known ones fixed, by one solve."""
-    h, w = z.shape
-    todo = np.flatnonzero(~known.ravel())
-    if not len(todo) or not known.any():
+def harmonic_fill(z: np.ndarray, known: np.ndarray, close: float = 1e-9) -> np.ndarray:
+    """Unknown cells as the mean of their neighbours, known ones fixed, by conjugate gradients in arrays of the raster's size.
+
+    Without a known cell the raster stays as it is, as do unknown cells that reach none.
+    """
+    free = ~known
+    if not free.any() or not known.any():
         return z
-    place = np.full(h * w, -1)
-    place[todo] = np.arange(len(todo))
-    a, b = np.zeros((len(todo), len(todo))), np.zeros(len(todo))
-    for r, c in enumerate(todo):
-        y, x = divmod(int(c), w)
-        for yy, xx in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-            if 0 <= yy < h and 0 <= xx < w:
-                a[r, r] += 1
-                if known[yy, xx]:
-                    b[r] += z[yy, xx]
-                else:
-                    a[r, place[yy * w + xx]] -= 1
-    out = z.astype(float).ravel().copy()
-    out[todo] = np.linalg.solve(a, b)
-    return out.reshape(h, w)
+
+    def around(a):
+        p = np.pad(a, 1)
+        return p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:]
+
+    degree = around(np.ones(z.shape))
+    applied = lambda u: np.where(free, degree * u - around(u), 0.0)
+    u = np.where(free, z[known].mean(), 0.0)
+    rest = np.where(free, around(np.where(known, z, 0.0)), 0.0) - applied(u)
+    way, size = rest.copy(), float((rest * rest).sum())
+    first = size
+    for _ in range(20 * max(z.shape) + 1000):
+        if size <= close**2 * max(first, 1e-300):
+            break
+        pushed = applied(way)
+        step = size / float((way * pushed).sum())
+        u, rest = u + step * way, rest - step * pushed
+        last, size = size, float((rest * rest).sum())
+        way = rest + size / last * way
+    return np.where(known, z, u)
 
 
 def pull_push(z: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -311,8 +322,43 @@ def pull_push(z: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known, z, np.kron(coarse, np.ones((2, 2)))[: z.shape[0], : z.shape[1]])
 
 
+def flood(z: np.ndarray, outlet: np.ndarray, step: float) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """Levels to which cells fill so that each drains over a neighbour at least `step` lower, from the outlets upward; the cells in the order
+    they are reached; and the cell that each drains to (-1 at outlets)."""
+    h, w = z.shape
+    level, to, order = z.astype(float).ravel().copy(), np.full(z.size, -1), []
+    known = outlet.ravel().copy()
+    heap = [(level[c], c) for c in np.flatnonzero(known).tolist()]
+    heapq.heapify(heap)
+    while heap:
+        low, c = heapq.heappop(heap)
+        order.append(c)
+        y, x = divmod(c, w)
+        for yy in range(max(0, y - 1), min(h, y + 2)):
+            for xx in range(max(0, x - 1), min(w, x + 2)):
+                if not known[n := yy * w + xx]:
+                    known[n], to[n] = True, c
+                    level[n] = max(level[n], low + step)
+                    heapq.heappush(heap, (level[n], n))
+    return level.reshape(h, w), order, to
+
+
+def breach(z: np.ndarray, most: float, step: float) -> np.ndarray:
+    """Terrain on which every cell drains to the rim: rims of shallow pits are cut along the way the water takes, by up to `most`, and what
+    is still a pit is filled with a gentle fall (G28)."""
+    rim = np.ones(z.shape, bool)
+    rim[1:-1, 1:-1] = False
+    _, order, to = flood(z, rim, step)
+    cut = z.astype(float).ravel().copy()
+    for c in reversed(order):
+        if to[c] >= 0:
+            cut[to[c]] = min(cut[to[c]], cut[c] - step)
+    cut = cut.reshape(z.shape)
+    return flood(np.where(z - cut <= most, cut, z), rim, step)[0]
+
+
 def erode(z: np.ndarray, steps: int, rate: float, talus: float) -> np.ndarray:
-    """Stream-power cutting along steepest falls, then slopes over the talus settled, for a fixed number of steps."""
+    """Stream-power cutting along steepest falls, then slopes over the talus settled, for a fixed number of steps."""
     z = z.astype(float).copy()
     for _ in range(steps):
         order = np.argsort(-z, axis=None)

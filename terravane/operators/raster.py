@@ -145,6 +145,8 @@ def accumulate(flow: DataFrame, rounds: int = 10_000) -> DataFrame:
         if front.isEmpty():
             break
         total = cut(total.union(front).groupBy("ix", "iy").agg(F.sum("area").alias("area")))
+    else:
+        raise RuntimeError(f"water still flows after {rounds} steps")
     return total
 
 
@@ -153,12 +155,14 @@ def fill_pits(cells: DataFrame, value: str, nx: int, ny: int, rounds: int = 10_0
     rim = (F.col("ix") == 0) | (F.col("iy") == 0) | (F.col("ix") == nx - 1) | (F.col("iy") == ny - 1)
     base = cut(cells.select("ix", "iy", F.col(value).alias("z"), F.when(rim, F.col(value)).otherwise(F.lit(1 << 60)).alias("f")))
     for _ in range(rounds):
-        # along rows and columns both ways at once: the lowest of each neighbour and all cells already passed
+        # one step from each cell to its eight neighbours
         low = shifted(base, "f", EIGHT).groupBy("ix", "iy").agg(F.min("v").alias("low"))
         after = cut(base.join(low, ["ix", "iy"]).select("ix", "iy", "z", F.least("f", F.greatest("z", "low")).alias("f"), F.col("f").alias("was")))
         if after.where("f <> was").isEmpty():
             break
         base = after.drop("was")
+    else:
+        raise RuntimeError(f"levels have not settled in {rounds} steps")
     return base.select("ix", "iy", F.col("z").alias(value), F.col("f").alias("filled"))
 
 

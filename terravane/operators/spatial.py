@@ -4,6 +4,8 @@ would be a nested loop.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,22 +27,29 @@ def within(a: DataFrame, b: DataFrame, d: float, ax: str = "x", ay: str = "y", b
     return left.join(right, ["_cx", "_cy"]).withColumn("dist", dist).where(F.col("dist") <= d).drop("_cx", "_cy")
 
 
-def nearest(a: DataFrame, b: DataFrame, key: str, other: str, radius: float, k: int = 1, extent: float = 4096.0) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, key: str, other: str, radius: float, k: int = 1) -> DataFrame:
     """The k nearest b rows of each a row, ties to the smaller `other`; (key, other, dist, rank).
 
-    A row whose k-th neighbour lies within the radius is done; the others are tried again with the doubled radius, so the search is exact
-    and each round has fewer rows. Rows are left with fewer than k only if b has fewer.
+    A row whose k-th neighbour lies within the radius is done; the others are tried again with four times the radius, until it spans both
+    sides, so the search is exact and each round has fewer rows, which are written before the next. Rows are left with fewer than k
+    only if b has fewer. Rows without a place have no neighbours.
     """
-    rest, out, r = a.select(key, "x", "y"), None, radius
+    from .graph import cut
+
     targets = b.select(other, F.col("x").alias("bx"), F.col("y").alias("by"))
+    box = a.select("x", "y").union(targets.select("bx", "by")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    extent = math.hypot(box[0] or 0, box[1] or 0) + 1.0
+    rest, out, r = a.select(key, "x", "y"), None, min(radius, extent)
+    near = F.struct("dist", other)
+    near = F.array(F.min(near)) if k == 1 else F.slice(F.array_sort(F.collect_list(near)), 1, k)
     while True:
-        met = within(rest, targets, r, bx="bx", by="by").groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", other))), 1, k).alias("near"))
+        met = cut(within(rest, targets, r, bx="bx", by="by").groupBy(key).agg(near.alias("near")))
         last = r >= extent
         found = met if last else met.where(F.size("near") >= k)
         out = found if out is None else out.union(found)
         if last:
             break
-        rest, r = rest.join(found, key, "left_anti"), r * 4
+        rest, r = cut(rest.join(found, key, "left_anti")), min(r * 4, extent)
         if rest.isEmpty():
             break
     return out.select(key, F.posexplode("near").alias("rank", "n")).select(key, F.col(f"n.{other}").alias(other), F.col("n.dist").alias("dist"), (F.col("rank") + 1).cast("long").alias("rank"))

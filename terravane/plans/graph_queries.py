@@ -7,7 +7,7 @@ from ..functions import scalar as S
 from ..operators import graph as G
 from ..operators import spatial as P
 from .registry import query
-from .spatial_queries import _SEG, _X, _segments
+from .spatial_queries import _PROJ, _SEG, _X, _segments
 
 R = F.round
 _REACH = "und(a, b) AS (SELECT src, dst FROM gedge UNION SELECT dst, src FROM gedge), reach(a, b) AS (SELECT a, a FROM und UNION SELECT r.a, u.b FROM reach r JOIN und u ON u.a = r.b), comp AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a)"
@@ -109,20 +109,23 @@ def _(w):
     return m.select("component", "m.a", "m.b")
 
 
-@query("g14_split_at_station", f", {_SEG}, q AS (SELECT g.node, s.sid, sqrt(power(s.x1 - s.x0, 2) + power(s.y1 - s.y0, 2)) AS len, least(1.0, greatest(0.0, ((g.x - s.x0) * (s.x1 - s.x0) + (g.y - s.y0) * (s.y1 - s.y0)) / greatest(1e-9, power(s.x1 - s.x0, 2) + power(s.y1 - s.y0, 2)))) AS t FROM gnode g JOIN seg s ON s.sid % 500 = g.node % 500) SELECT node, sid, CASE WHEN t * len < 0.3 THEN 'start' WHEN t * len > len - 0.3 THEN 'end' ELSE 'split' END AS place, round(t * len, 3) AS station FROM q")
+@query("g14_split_at_station", f", {_SEG}, q AS (SELECT g.node, s.sid, sqrt(power(s.x1 - s.x0, 2) + power(s.y1 - s.y0, 2)) AS len, {_PROJ} AS t, sqrt(power(g.x - (s.x0 + {_PROJ} * (s.x1 - s.x0)), 2) + power(g.y - (s.y0 + {_PROJ} * (s.y1 - s.y0)), 2)) AS d FROM gnode g JOIN seg s ON g.x BETWEEN least(s.x0, s.x1) - 6 AND greatest(s.x0, s.x1) + 6 AND g.y BETWEEN least(s.y0, s.y1) - 6 AND greatest(s.y0, s.y1) + 6) SELECT node, sid, CASE WHEN t * len < 0.3 THEN 'start' WHEN t * len > len - 0.3 THEN 'end' ELSE 'split' END AS place, round(t * len, 3) AS station FROM q WHERE d <= 6")
 def _(w):
-    t, _ = P.project("x", "y", "x0", "y0", "x1", "y1")
-    j = w.gnode.withColumn("k", F.col("node") % 500).join(_segments(w).withColumn("k", F.col("sid") % 500), "k").withColumns({"s": t * F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), "len": F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))})
-    return j.select("node", "sid", F.when(F.col("s") < 0.3, "start").when(F.col("s") > F.col("len") - 0.3, "end").otherwise("split").alias("place"), R("s", 3).alias("station"))
+    """Where each node splits the segments it lies within 6 of."""
+    near = P.points_near_segments(w.gnode.select(F.col("node").alias("id"), "x", "y"), _segments(w), 6.0, 40.0)
+    j = near.withColumn("len", F.hypot(F.col("b_x1") - F.col("b_x0"), F.col("b_y1") - F.col("b_y0"))).withColumn("s", F.col("t") * F.col("len"))
+    return j.select(F.col("a_id").alias("node"), F.col("b_sid").alias("sid"), F.when(F.col("s") < 0.3, "start").when(F.col("s") > F.col("len") - 0.3, "end").otherwise("split").alias("place"), R("s", 3).alias("station"))
 
 
 def _legs(w):
-    """Legs at odd nodes, up to seven for each, with bearings, types and ranks."""
-    both = w.gedge.select(F.col("dst").alias("node"), F.col("eid").alias("leg"), ((F.col("src") * 37 + F.col("dst") * 53) % 360).alias("bearing"), "kind", (F.col("dst") % 3 == 0).alias("urban"))
+    """Legs at both ends of each edge, up to eight at a node, with bearings, types and ranks."""
+    there = (F.col("src") * 37 + F.col("dst") * 53) % 360
+    ends = F.explode(F.array(F.struct(F.col("dst").alias("node"), there.alias("bearing")), F.struct(F.col("src").alias("node"), ((there + 180) % 360).alias("bearing"))))
+    both = w.gedge.select(F.col("eid").alias("leg"), "kind", ends.alias("e")).select("e.node", "leg", "e.bearing", "kind", (F.col("e.node") % 3 == 0).alias("urban"))
     return both.join(F.broadcast(w.dim.select("kind", "type", "rank")), "kind")
 
 
-_LEGS = "legs AS (SELECT dst AS node, eid AS leg, (src * 37 + dst * 53) % 360 AS bearing, type, rank, dst % 3 = 0 AS urban FROM gedge JOIN dim USING (kind))"
+_LEGS = "legs AS (SELECT node, leg, bearing, type, rank, node % 3 = 0 AS urban FROM (SELECT dst AS node, eid AS leg, (src * 37 + dst * 53) % 360 AS bearing, kind FROM gedge UNION ALL SELECT src, eid, (src * 37 + dst * 53 + 180) % 360, kind FROM gedge) JOIN dim USING (kind))"
 _GAPS = f"{_LEGS}, gaps AS (SELECT *, (coalesce(lead(bearing) OVER (PARTITION BY node ORDER BY bearing, leg), first_value(bearing) OVER (PARTITION BY node ORDER BY bearing, leg)) - bearing + 360) % 360 AS gap FROM legs)"
 
 

@@ -99,15 +99,22 @@ def _(w):
     return _component_edges(w).groupBy("component").applyInPandas(run, "component long, k long, eid long, turned boolean")
 
 
+def _with_ends(w, edges, *columns):
+    """The edges with columns of the nodes at both ends; every 17th node is pinned."""
+    nodes = w.gnode.withColumn("pinned", F.col("node") % 17 == 0)
+    for end in ("src", "dst"):
+        edges = edges.join(nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns)), end)
+    return edges
+
+
 @query("g15_faces")
 def _(w):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted({*pdf.src, *pdf.dst})
-        x, y = {n: n * 37 % 2000 for n in nodes}, {n: n * 91 % 667 for n in nodes}
+        x, y = ({**dict(zip(pdf.src, pdf[f"src_{c}"])), **dict(zip(pdf.dst, pdf[f"dst_{c}"]))} for c in "xy")
         faces = K.rings_of_graph(pdf.src.to_numpy(), pdf.dst.to_numpy(), x, y)
         return pd.DataFrame({"component": pdf.component.iloc[0], "face": np.arange(len(faces)), "sides": [len(f) for f in faces]})
 
-    return _component_edges(w).groupBy("component").applyInPandas(run, "component long, face long, sides long")
+    return _with_ends(w, _component_edges(w), "x", "y").groupBy("component").applyInPandas(run, "component long, face long, sides long")
 
 
 @query("g20_height_relaxation")
@@ -115,10 +122,13 @@ def _(w):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = np.array(sorted({*pdf.src, *pdf.dst}))
         a, b = np.searchsorted(nodes, pdf.src), np.searchsorted(nodes, pdf.dst)
-        z = K.relax_heights((nodes * 91 % 667).astype(float), nodes % 17 == 0, a, b, pdf.len.to_numpy(float))
+        start, pinned = np.zeros(len(nodes)), np.zeros(len(nodes), bool)
+        for at, end in ((a, "src"), (b, "dst")):
+            start[at], pinned[at] = pdf[f"{end}_y"], pdf[f"{end}_pinned"]
+        z = K.relax_heights(start, pinned, a, b, pdf.len.to_numpy(float))
         return pd.DataFrame({"component": pdf.component.iloc[0], "node": nodes, "z": z})
 
-    return _component_edges(w).groupBy("component").applyInPandas(run, "component long, node long, z double")
+    return _with_ends(w, _component_edges(w), "y", "pinned").groupBy("component").applyInPandas(run, "component long, node long, z double")
 
 
 @query("g08_near_miss_repair")
@@ -166,17 +176,15 @@ def _(w):
     return near.groupBy("a_id").agg(F.min_by("b_sid", F.struct("dist", "b_sid")).alias("sid")).select(F.col("a_id").alias("node"), "sid")
 
 
-def patches(w, kernel, schema, size=25, value="v"):
-    """Runs kernel(array) -> frame on square patches of the raster."""
+#: Cells of a raster that one task may hold; three times those of the largest raster known.
+MOST_CELLS = 4_000_000
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = pdf.pivot(index="iy", columns="ix", values=value).to_numpy(float)
-        out = kernel(z)
-        out.insert(0, "patch", pdf.patch.iloc[0])
-        return out
 
-    tiles = w.ras.withColumn("patch", F.expr(f"(iy div {size}) * 100 + ix div {size}"))
-    return tiles.groupBy("patch").applyInPandas(run, "patch long, " + schema)
+def whole(w, kernel, schema, value="v"):
+    """Runs kernel(array) -> frame on the whole raster in one task, as paths, rings and fills may cross all of it; refuses more than MOST_CELLS."""
+    if w.ras.count() > MOST_CELLS:
+        raise ValueError(f"a raster of more than {MOST_CELLS} cells")
+    return w.ras.select("ix", "iy", value).groupBy().applyInPandas(lambda pdf: kernel(pdf.pivot(index="iy", columns="ix", values=value).to_numpy(float)), schema)
 
 
 def _cells(z):
@@ -193,7 +201,7 @@ def _(w):
         path, cost = K.cheapest_path(1 / (0.03 + z / 900) ** 1.6, (0, 0), (z.shape[0] - 1, z.shape[1] - 1))
         return pd.DataFrame({"k": np.arange(len(path)), "iy": [p[0] for p in path], "ix": [p[1] for p in path], "cost": cost})
 
-    return patches(w, kernel, "k long, iy long, ix long, cost double")
+    return whole(w, kernel, "k long, iy long, ix long, cost double")
 
 
 @query("g19_skeleton_graph")
@@ -205,12 +213,12 @@ def _(w):
         iy, ix = np.nonzero(s)
         return pd.DataFrame({"iy": iy, "ix": ix, "degree": n[iy, ix]})
 
-    return patches(w, kernel, "iy long, ix long, degree long")
+    return whole(w, kernel, "iy long, ix long, degree long")
 
 
 @query("g28_breached_terrain")
 def _(w):
-    return patches(w, lambda z: _cells(K.erode(z, 3, 0.05, 1e9)), CELLS)
+    return whole(w, lambda z: _cells(K.breach(z, 3.0, 2e-3)), CELLS)
 
 
 @query("r09_vectorise")
@@ -219,12 +227,12 @@ def _(w):
         rings = K.outline(z > 320)
         return pd.DataFrame([(i, k, x, y) for i, r in enumerate(rings) for k, (x, y) in enumerate(r)], columns=["ring", "k", "x", "y"])
 
-    return patches(w, kernel, "ring long, k long, x long, y long")
+    return whole(w, kernel, "ring long, k long, x long, y long")
 
 
 @query("r11_skeleton")
 def _(w):
-    return patches(w, lambda z: _cells(K.thin(z > 300)).query("z > 0"), CELLS)
+    return whole(w, lambda z: _cells(K.thin(z > 300)).query("z > 0"), CELLS)
 
 
 @query("r12_orientation")
@@ -233,22 +241,22 @@ def _(w):
         a, s = K.orientation(z)
         return _cells(a).assign(strength=s.ravel())
 
-    return patches(w, kernel, CELLS + ", strength double")
+    return whole(w, kernel, CELLS + ", strength double")
 
 
 @query("r15_harmonic_fill")
 def _(w):
-    return patches(w, lambda z: _cells(K.harmonic_fill(z, z < 320)), CELLS)
+    return whole(w, lambda z: _cells(K.harmonic_fill(z, z < 320)), CELLS)
 
 
 @query("r16_pull_push")
 def _(w):
-    return patches(w, lambda z: _cells(K.pull_push(z, z < 320)), CELLS)
+    return whole(w, lambda z: _cells(K.pull_push(z, z < 320)), CELLS)
 
 
 @query("r17_erosion")
 def _(w):
-    return patches(w, lambda z: _cells(K.erode(z, 5, 0.02, 40.0)), CELLS)
+    return whole(w, lambda z: _cells(K.erode(z, 5, 0.02, 40.0)), CELLS)
 
 
 @query("r28_river_channels")

@@ -47,7 +47,7 @@ def _(w):
     return A.spikes(w.ras, "v", 60.0).select("ix", "iy", F.col("median").alias("m"))
 
 
-_LAB = "m AS (SELECT ix, iy, iy * 100 + ix AS n FROM ras WHERE {}), r(a, b) AS (SELECT n, n FROM m UNION SELECT r.a, c.n FROM r JOIN m p ON p.n = r.b JOIN m c ON abs(c.ix - p.ix) + abs(c.iy - p.iy) = 1), lab AS (SELECT m.ix, m.iy, min(r.b) AS label FROM r JOIN m ON m.n = r.a GROUP BY 1, 2)"
+_LAB = "m AS MATERIALIZED (SELECT CAST(iy * 100 + ix AS BIGINT) AS n, CAST(ix AS BIGINT) AS ix, CAST(iy AS BIGINT) AS iy FROM ras WHERE {}), e AS MATERIALIZED (SELECT p.n AS a, c.n AS b FROM m p JOIN m c ON c.n = p.n + 1 WHERE p.ix < 99 UNION ALL SELECT c.n, p.n FROM m p JOIN m c ON c.n = p.n + 1 WHERE p.ix < 99 UNION ALL SELECT p.n, c.n FROM m p JOIN m c ON c.n = p.n + 100 UNION ALL SELECT c.n, p.n FROM m p JOIN m c ON c.n = p.n + 100), r(a, b) AS (SELECT n, n FROM m UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), l AS MATERIALIZED (SELECT a, min(b) AS label FROM r GROUP BY a), lab AS (SELECT m.ix, m.iy, l.label FROM m JOIN l ON l.a = m.n)"
 
 
 @query("r05_label_regions", ", " + _LAB.format("v > 320") + " SELECT ix, iy, label FROM lab")
@@ -114,7 +114,7 @@ def _(w):
 def _(w):
     s = w.ras.where("ix % 10 = 5 and iy % 10 = 5").selectExpr("iy * 100 + ix as seed", "ix + (ix * 7 + iy * 3) % 5 - 2 as x", "iy + (ix * 5 + iy) % 5 - 2 as y")
     cells = w.ras.selectExpr("iy * 100 + ix as id", "ix as x", "iy as y")
-    return P.nearest(cells, s, "id", "seed", 8.0, extent=256.0).selectExpr("id % 100 as ix", "id div 100 as iy", "seed")
+    return P.nearest(cells, s, "id", "seed", 8.0).selectExpr("id % 100 as ix", "id div 100 as iy", "seed")
 
 
 @query("r21_feathered_blend", ", z AS (SELECT ix, iy, zid, greatest(0.0, 1 - greatest(abs(ix * 20 + 10 - (x0 + x1) / 2.0) / 260.0, abs(iy * 13 + 6 - (y0 + y1) / 2.0) / 120.0)) AS w FROM ras, zone) SELECT ix, iy, round(sum(w * zid) / sum(w), 4) AS blend FROM z WHERE w > 0 GROUP BY 1, 2")

@@ -182,3 +182,59 @@ def test_search_and_fill_kernels():
     assert list(order) == [1, 2, 0]
     w, h, _ = kernels.least_rectangle(np.array([[0, 0], [4, 0], [4, 2], [0, 2], [1, 1.0]]))
     assert sorted((round(w, 6), round(h, 6))) == [2.0, 4.0]
+
+
+def test_nearest_reaches_any_distance(spark):
+    a = spark.createDataFrame([(1, 0.0, 0.0), (2, 50_000.0, 10.0), (3, -3e6, 4e6)], "id long, x double, y double")
+    b = spark.createDataFrame([(7, 0.0, 1.0), (8, 0.0, 1.0)], "oid long, x double, y double")
+    assert values(spatial.nearest(a, b, "id", "oid", 5.0), "id", "oid", "rank") == [(1, 7, 1), (2, 7, 1), (3, 7, 1)]
+    assert values(spatial.nearest(a, b, "id", "oid", 5.0, 3), "id", "oid", "rank") == [(i, 6 + k, k) for i in (1, 2, 3) for k in (1, 2)]
+    assert spatial.nearest(a, b.limit(0), "id", "oid", 5.0).count() == 0
+
+
+def test_unfinished_loops_fail(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        graph.components(e, rounds=1)
+    flow = spark.createDataFrame([(0, 0, 1, 0), (1, 0, 2, 0), (2, 0, None, None)], "ix long, iy long, rx long, ry long")
+    with pytest.raises(RuntimeError):
+        raster.accumulate(flow, 1)
+    cells = spark.createDataFrame([(x, y, 9 - abs(x - 4)) for x in range(9) for y in range(9)], "ix long, iy long, z long")
+    with pytest.raises(RuntimeError):
+        raster.fill_pits(cells, "z", 9, 9, 1)
+    line = spark.createDataFrame([(i, float(i), float(i), 0.0) for i in range(9)], "id long, s double, x double, y double")
+    with pytest.raises(RuntimeError):
+        placement.spaced(line, "id", "s", 1.5, 1)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(3, 9), st.integers(3, 9), st.integers(0, 10**6), st.floats(0, 5))
+def test_breached_terrain_drains(h, w, seed, most):
+    z = np.random.default_rng(seed).integers(0, 12, (h, w)).astype(float)
+    out = kernels.breach(z, most, 0.01)
+    for y in range(1, h - 1):
+        for x in range(1, w - 1):
+            near = out[y - 1 : y + 2, x - 1 : x + 2]
+            assert near.min() <= out[y, x] - 0.01 + 1e-9  # a way down
+    assert (z - out).max() <= most + 1e-9
+    assert np.allclose(kernels.breach(z, 0.0, 0.01), kernels.flood(z, np.pad(np.zeros((h - 2, w - 2), bool), 1, constant_values=True), 0.01)[0])
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(2, 9), st.integers(2, 9), st.integers(0, 10**6))
+def test_harmonic_fill_is_the_mean_of_neighbours(h, w, seed):
+    rng = np.random.default_rng(seed)
+    z, known = rng.random((h, w)) * 100, rng.random((h, w)) < 0.3
+    known[0, 0] = True
+    out = kernels.harmonic_fill(z, known)
+    assert (out[known] == z[known]).all()
+    for y, x in zip(*np.nonzero(~known)):
+        near = [out[b, a] for b, a in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)) if 0 <= b < h and 0 <= a < w]
+        assert abs(out[y, x] - np.mean(near)) < 1e-5
+
+
+def test_orientation_has_no_wrapped_rim():
+    z = np.zeros((12, 12))
+    z[:, 9:] = np.arange(12)[:, None] * 5.0
+    angle, strength = kernels.orientation(z)
+    assert (strength[:, :6] == 0).all()
