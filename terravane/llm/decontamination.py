@@ -73,7 +73,7 @@ def _hashed(word: bytes) -> int:
 class Vocabulary(dict):
     """Word -> place in the lists of template and verbatim hashes; kept for later texts, and emptied when it has grown to `most` words."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most, self.hashes = most, (array("Q"), array("Q"))
 

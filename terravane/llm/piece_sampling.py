@@ -238,7 +238,7 @@ def sample_pieces(documents: DataFrame, key: str = "doc_id", alpha: float = 1.0,
 
     def run(batches):
         p = _loaded(pieces, alpha)
-        for batch, found in texts(batches, 1 << 19):
+        for batch, found in texts(batches, 1 << 18):
             keys = batch.column(batch.schema.get_field_index("k")).to_numpy(zero_copy_only=False)
             ids = encode(found, keys, p, seed)
             at = np.cumsum([0, *(0 if x is None else len(x) for x in ids)]).astype(np.int32)
@@ -269,7 +269,7 @@ def piece_digests(documents: DataFrame, alpha: float = 1.0, seed: int = 1, model
 
     def run(batches):
         p = _loaded(pieces, alpha)
-        for batch, found in texts(batches, 1 << 19):
+        for batch, found in texts(batches, 1 << 18):
             ids = encode(found, batch.column(batch.schema.get_field_index("k")).to_numpy(zero_copy_only=False), p, seed)
             n = [0 if x is None else len(x) for x in ids]
             digest = [None if x is None else hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]
