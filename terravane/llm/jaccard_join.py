@@ -315,12 +315,22 @@ def _survivors(batches, every: bool, percent: int):
     yield packed(pairs())
 
 
-def _open(long: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows (key, fp, info) of lists with several labels, with their label and the length c of their list."""
+def _open(long: DataFrame, labels: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """The rows (key, fp, info) of lists with several labels, with their label and the length c of their list.
+
+    Of a list's first and last label (one is that of its largest family as a rule) a row stays only if by sizes and places it may link with a
+    row of another label: a link's larger set has no more than 100 / percent of the shingles that either has from the shared one on.
+    """
     by_key = Window.partitionBy("key")
     rows = long.select("key", "fp", "info").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    rows = rows.withColumns({"c": F.count("*").over(by_key), "lo": F.min("label").over(by_key), "hi": F.max("label").over(by_key)})
-    return scratch.keep(rows.where("lo < hi").drop("lo", "hi"))
+    rows = rows.withColumns({"c": F.count("*").over(by_key), "lo": F.min("label").over(by_key), "hi": F.max("label").over(by_key)}).where("lo < hi")
+    rows = rows.withColumns({"n": F.expr("info >> 32"), "left": F.expr(f"(info >> 32) - (info >> 5 & {(1 << 27) - 1})")})
+    other = {}
+    for x, of in (("lo", F.when(F.col("label") != F.col("lo"), True)), ("hi", F.when(F.col("label") != F.col("hi"), True)), ("any", F.lit(True))):
+        other |= {f"n_{x}": F.min(F.when(of, F.col("n"))).over(by_key), f"left_{x}": F.max(F.when(of, F.col("left"))).over(by_key)}
+    pick = lambda c: F.when(F.col("label") == F.col("lo"), F.col(f"{c}_lo")).when(F.col("label") == F.col("hi"), F.col(f"{c}_hi")).otherwise(F.col(f"{c}_any"))
+    may = (100 * pick("left") >= percent * F.col("n")) & (100 * F.col("left") >= percent * pick("n"))
+    return scratch.keep(rows.withColumns(other).where(may).select("key", "fp", "info", "label", "c"))
 
 
 def _rest(rows: DataFrame, sets: DataFrame, every: bool, percent: int) -> DataFrame:
@@ -396,7 +406,7 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: in
     long = met.where(F.col("kind") == LONG).select("key", F.col("a").alias("fp"), "info").distinct()
     for all_of_them in (None, False, True):
         if all_of_them is not None:
-            long = _open(long, labels, scratch)
+            long = _open(long, labels, scratch, percent)
             more = scratch.keep(_rest(long, sets, all_of_them, percent).join(tested, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
