@@ -14,7 +14,7 @@ of sets of each small size in the corpus, where a row of a list counts as LIST_W
    sketches (parities of shingle counts by hash, a lower bound on the difference) rule a link out go. Of the others one for each set
    is verified, then those whose sets aren't in one component by then.
 2. Long lists whose sets are in several components yet are scanned for more: sets of different components whose sizes, places and
-   sketches allow a link. They are cut into blocks of about BLOCK sets of a size class, a pair of blocks is one unit of work,
+   sketches allow a link. They are cut into blocks of about LIST_BLOCK sets of a size class, a pair of blocks is one unit of work,
    and only sketches are sent. First one partner for each set is verified, then all.
 3. Pairs are verified exactly with the shingles of the whole texts; a set that is compared with many is dealt out with BLOCK of them at a time.
 
@@ -44,6 +44,8 @@ from .common import MULTIPLIER, SECOND, Scratch, components, hashes, likely, sig
 SHINGLE, PERCENT = 4, 85
 BLOCK = 256
 SMALL = 64
+#: Sets of a long list that are compared in one unit of work; a unit holds two times as many sketches at most.
+LIST_BLOCK = 2048
 BUCKETS_LOG = 20
 LIST_WEIGHT = 4
 #: Sizes among which the boundary is looked for.
@@ -237,12 +239,12 @@ def _linked(batches, shingle: int, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) of sets that link; members: fp and a doc_id of each."""
     counts = pairs.groupBy("a").agg(F.count("*").alias("c"))
     of = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / BLOCK)).cast("int").alias("chunk"), F.col("b").alias("fp"))
     needs = of.withColumn("member", F.lit(True)).union(of.select("a", "chunk", F.col("a").alias("fp")).distinct().withColumn("member", F.lit(False)))
-    needs = needs.join(members.select("fp", "doc_id"), "fp")
+    needs = scratch.keep(needs.join(members.select("fp", "doc_id"), "fp"))
     held = likely(docs, needs, "doc_id").join(needs, "doc_id").select("a", "chunk", "member", "fp", "text")
     return held.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "member").mapInArrow(lambda batches: _linked(batches, shingle, percent), "a long, b long")
 
@@ -335,11 +337,11 @@ def _open(long: DataFrame, labels: DataFrame, scratch: Scratch, percent: int) ->
 
 def _rest(rows: DataFrame, sets: DataFrame, every: bool, percent: int) -> DataFrame:
     """Pairs (a, b) of sets that share an open list, have different labels and may link."""
-    one = rows.where(F.col("c") <= BLOCK).selectExpr("key", "0 as lc", "0 as bi", "0 as hc", "0 as bj", "0 as side", "info", "fp", "label")
+    one = rows.where(F.col("c") <= LIST_BLOCK).selectExpr("key", "0 as lc", "0 as bi", "0 as hc", "0 as bj", "0 as side", "info", "fp", "label")
     # a link's sizes are less than one class apart
     width = math.log(100 / percent) * 1.01
-    of = rows.where(F.col("c") > BLOCK).withColumn("class", F.floor(F.log(F.shiftright("info", 32)) / width).cast("int"))
-    blocks = of.groupBy("key", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    of = rows.where(F.col("c") > LIST_BLOCK).withColumn("class", F.floor(F.log(F.shiftright("info", 32)) / width).cast("int"))
+    blocks = of.groupBy("key", "class").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"))
     blocks = blocks.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("class", "blocks"))).alias("blocks"))  # an entry for each class, so a few dozen
     of = of.join(blocks, "key").withColumn("block", F.expr("cast(pmod(xxhash64(fp), blocks[class]) as int)"))
     units = F.expr(
@@ -384,7 +386,7 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: in
     met = scratch.keep(met.select("key", "fp", "info", "lead.fp", "lead.info", "c").toDF("key", "fp", "info", "a", "ainfo", "c").mapInArrow(lambda batches: _scan(batches, percent, small), "kind int, a long, b long, info long, key long"))
 
     def verified(pairs):
-        return scratch.keep(_verified(pairs, owners, docs, shingle, percent))
+        return scratch.keep(_verified(pairs, owners, docs, scratch, shingle, percent))
 
     def joined(labels, links):
         return scratch.keep(components(labels.toDF("a", "b").union(links), scratch).toDF("fp", "label"))

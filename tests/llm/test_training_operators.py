@@ -124,6 +124,7 @@ def test_boundary_is_the_cheapest():
 def test_large_families_in_blocks(spark, monkeypatch, small):
     """Near copies of one text, and texts with a long shared passage that aren't linked; leaders alone can't find all links."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 4)
     monkeypatch.setattr(jaccard_join, "SMALL", small)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(60)]
