@@ -135,18 +135,22 @@ def receivers(cells: DataFrame, value: str) -> DataFrame:
     return best.select("ix", "iy", F.when(down, F.col("ix") - F.col("m.b")).alias("rx"), F.when(down, F.col("iy") - F.col("m.a")).alias("ry"), F.when(down, F.col("m.drop")).alias("drop"))
 
 
-def accumulate(flow: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """ix, iy, area: cells that drain through each cell, itself included, pushed down the receivers step by step."""
-    front = cut(flow.select("ix", "iy", F.lit(1).cast("long").alias("area")))
-    total = front
+def accumulate(flow: DataFrame, rounds: int = 40) -> DataFrame:
+    """ix, iy, area: cells that drain through each cell, itself included.
+
+    By doubling: after k rounds area counts the cells fewer than 2^k steps upstream, and to leads 2^k steps down, so rounds grow with the
+    logarithm of the longest way. Receivers are cells of flow and form no circle.
+    """
+    total = cut(flow.select("ix", "iy", F.lit(1).cast("long").alias("area")))
     to = cut(flow.where("rx is not null").select("ix", "iy", "rx", "ry"))
     for _ in range(rounds):
-        front = cut(front.join(to, ["ix", "iy"]).groupBy(F.col("rx").alias("ix"), F.col("ry").alias("iy")).agg(F.sum("area").alias("area")))
-        if front.isEmpty():
+        if to.isEmpty():
             break
-        total = cut(total.union(front).groupBy("ix", "iy").agg(F.sum("area").alias("area")))
+        more = total.join(to, ["ix", "iy"]).select(F.col("rx").alias("ix"), F.col("ry").alias("iy"), "area")
+        total = cut(total.union(more).groupBy("ix", "iy").agg(F.sum("area").alias("area")))
+        to = cut(to.join(to.toDF("rx", "ry", "jx", "jy"), ["rx", "ry"]).select("ix", "iy", F.col("jx").alias("rx"), F.col("jy").alias("ry")))
     else:
-        raise RuntimeError(f"water still flows after {rounds} steps")
+        raise RuntimeError(f"water still flows after 2^{rounds} steps")
     return total
 
 

@@ -123,12 +123,13 @@ def _(w):
     return U.issues(m, "river_uphill", "error", "user_id", F.concat(L("rises "), F.col("m.d").cast("string"), L(" after "), (-F.col("m.s")).cast("string")))
 
 
-@query("q11_confluence", f", mouth AS (SELECT user_id, x, y FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rn FROM track) WHERE rn = 1), n AS (SELECT m.user_id, m.y, arg_min(t.y, (abs(t.x - m.x), t.seq)) AS py FROM mouth m JOIN track t ON t.user_id = (m.user_id // 2) WHERE m.user_id > 1 GROUP BY 1, 2) {_out('confluence', 'error', None, None, chr(39) + 'differs ' + chr(39) + ' || CAST(abs(y - py) AS VARCHAR)', 'user_id')} FROM n WHERE abs(y - py) > 300")
+@query("q11_confluence", f", mouth AS (SELECT user_id, x, y FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rn FROM track) WHERE rn = 1), n AS (SELECT m.user_id, m.y, arg_min(t.y, ((t.x - m.x) * (t.x - m.x) + (t.y - m.y) * (t.y - m.y), t.seq)) AS py FROM mouth m JOIN track t ON t.user_id = (m.user_id // 2) WHERE m.user_id > 1 GROUP BY 1, 2) {_out('confluence', 'error', None, None, chr(39) + 'differs ' + chr(39) + ' || CAST(abs(y - py) AS VARCHAR)', 'user_id')} FROM n WHERE abs(y - py) > 300")
 def _(w):
     """A line's last point against the nearest sample of its parent line."""
     mouth = w.track.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("seq")))).where("rn = 1 and user_id > 1").select("user_id", "x", "y", F.expr("user_id div 2").alias("parent"))
     p = w.track.select(F.col("user_id").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py"), "seq")
-    n = mouth.join(p, "parent").groupBy("user_id", "y").agg(F.min_by("py", F.struct(F.abs(F.col("px") - F.col("x")), "seq")).alias("py"))
+    far = F.expr("(px - x) * (px - x) + (py - y) * (py - y)")
+    n = mouth.join(p, "parent").groupBy("user_id", "y").agg(F.min_by("py", F.struct(far, "seq")).alias("py"))
     return U.issues(n, "confluence", "error", "user_id", F.concat(L("differs "), F.abs(F.col("y") - F.col("py")).cast("string")), where="abs(y - py) > 300")
 
 
@@ -226,11 +227,17 @@ def _(w):
     return U.strict(U.issues(twice, "duplicate_id", "error", "p_partkey", _s("count")))
 
 
-@query("q25_placement", "SELECT id, least(r.v, p.y) AS base FROM pts p JOIN ras r ON r.ix = p.x // 20 AND r.iy = p.y // 14 WHERE r.cls <> 4 AND p.y > r.v - 100")
+#: Where a footprint is sampled: its middle, the middles of its sides and points near its corners.
+_FOOT = ((0, 0), (20, 0), (-20, 0), (0, 14), (0, -14), (14, 10), (-14, 10), (14, -10), (-14, -10))
+
+
+@query("q25_placement", f", foot(ax, ay) AS (VALUES {', '.join(map(str, _FOOT))}), low AS (SELECT p.id, min(r.v) AS lo FROM pts p CROSS JOIN foot JOIN ras r ON r.ix = least(1999, greatest(0, p.x + ax)) // 20 AND r.iy = least(666, greatest(0, p.y + ay)) // 14 GROUP BY 1) SELECT id, least(lo, p.y) AS base FROM pts p JOIN low USING (id) JOIN ras r ON r.ix = p.x // 20 AND r.iy = p.y // 14 WHERE r.cls <> 4 AND p.y > r.v - 100")
 def _(w):
-    """Bases are lowered to the ground below them; those on pavement (class 4) are dropped."""
-    p = w.pts.withColumns({"ix": F.expr("x div 20"), "iy": F.expr("y div 14")}).join(w.ras.where("cls <> 4").select("ix", "iy", "v"), ["ix", "iy"])
-    return p.where("y > v - 100").select("id", F.least("v", "y").alias("base"))
+    """Bases are lowered to the lowest ground under their footprint; those on pavement (class 4) are dropped."""
+    p = w.pts.withColumns({"ix": F.expr("x div 20"), "iy": F.expr("y div 14")}).join(w.ras.select("ix", "iy", "v", "cls"), ["ix", "iy"]).where("cls <> 4 and y > v - 100")
+    foot = p.select("id", "x", "y", F.explode(F.array(*[F.struct(L(a).alias("ax"), L(b).alias("ay")) for a, b in _FOOT])).alias("f"))
+    foot = foot.selectExpr("id", "y", "least(1999, greatest(0, x + f.ax)) div 20 as ix", "least(666, greatest(0, y + f.ay)) div 14 as iy")
+    return foot.join(w.ras.select("ix", "iy", "v"), ["ix", "iy"]).groupBy("id", "y").agg(F.min("v").alias("lo")).select("id", F.least("lo", "y").alias("base"))
 
 
 @query("q26_ramp_radius", f", {_RAD}, m AS (SELECT user_id, min(radius) AS r FROM rad WHERE seq > 3 AND seq < n - 2 GROUP BY 1) {_out('ramp_radius', 'warn', None, None, chr(39) + 'tight ramp' + chr(39), 'user_id')} FROM m WHERE r < 45")
