@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only if that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/terravane-shared").rstrip("/")
+    """The folder in spark.checkpoint.dir; one of our own only if that is unset in local mode, as executors elsewhere wouldn't see it."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = f"file://{tempfile.gettempdir()}/terravane-shared"
+    return at.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:

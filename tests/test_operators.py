@@ -103,6 +103,12 @@ def test_pit_filling_and_flow(spark):
     assert sum(area.values()) >= 25 and area[2, 2] > 1
 
 
+def test_flow_along_a_long_way_in_few_rounds(spark):
+    flow = spark.createDataFrame([(i, 0, i + 1 if i < 99 else None, 0 if i < 99 else None) for i in range(100)] + [(5, 1, 5, 0), (6, 1, 5, 0), (50, 1, None, None)], "ix long, iy long, rx long, ry long")
+    area = {(r.ix, r.iy): r.area for r in raster.accumulate(flow, 8).collect()}
+    assert area == {(i, 0): i + 1 + 2 * (i >= 5) for i in range(100)} | {(5, 1): 1, (6, 1): 1, (50, 1): 1}
+
+
 def test_rules_report_planted_violations_only(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 50.0)], "id long, grade double")
     found = rules.issues(df, "grade", "error", "id", F.lit("too steep"), where="grade > 10")
