@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_id, line_dedup, lm_scoring, piece_sampling, quality_classifier, quality_rules, substring_dedup, token_counts
+from . import decontamination, jaccard_join, language_id, line_dedup, lm_scoring, periodic_runs, piece_sampling, quality_classifier, quality_rules, substring_dedup, token_counts
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_lm_scoring": lm_scoring.op8_lm_scoring,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 ORACLES = {
     "op2_substring_dedup": substring_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op9_jaccard_join": jaccard_join.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op13_periodic_runs": periodic_runs.ORACLE,
 }
