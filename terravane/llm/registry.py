@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_id, line_dedup, lm_scoring, periodic_runs, piece_sampling, quality_classifier, quality_rules, substring_dedup, token_counts
+from . import chat_tree, decontamination, jaccard_join, language_id, lexical_search, line_dedup, lm_scoring, periodic_runs, piece_sampling, quality_classifier, quality_rules, substring_dedup, token_counts
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_lm_scoring": lm_scoring.op8_lm_scoring,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_chat_tree": chat_tree.op11_chat_tree,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 ORACLES = {
@@ -22,5 +24,7 @@ ORACLES = {
     "op7_line_dedup": line_dedup.ORACLE,
     "op9_jaccard_join": jaccard_join.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op11_chat_tree": chat_tree.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
     "op13_periodic_runs": periodic_runs.ORACLE,
 }

@@ -61,8 +61,8 @@ def expected(rows):
 def hard():
     rng = random.Random(3)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 200))) for _ in range(150)]
-    texts += [None, "", " \n\t", "x", "x " * 23, "x " * 24, "x\x0bx\x1cx x " * 30, "a b c\n" * 8, "é ü " * 40, "same " * 5000, " ".join(f"w{i % 400}" for i in range(3000))]
-    rows = [(2 * i - 20, t) for i, t in enumerate(texts)]
+    texts += [None, "", " \n\t", "x", "x " * 23, "x " * 24, "x\x0bx\x1cx x " * 30, "a b c\n" * 8, "é ü " * 40, "p q " * 20 + "r s t u v " + "w " * 30 + "p q " * 15, "same " * 5000, " ".join(f"w{i % 400}" for i in range(3000))]
+    rows = [(3 * i - 20, t) for i, t in enumerate(texts)]
     return rows + [(None, "y " * 50), (None, None), (4, texts[3]), (4, texts[3]), (4, "z " * 30)]
 
 
