@@ -6,7 +6,6 @@ a line or a tile and fits a task; groups are never made of unrelated rows.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -162,52 +161,6 @@ def cut_returns(x: np.ndarray, y: np.ndarray, tolerance: float, gap: int) -> np.
     return np.array(keep)
 
 
-def walk_chain(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order of edges, and whether each is turned, in which each goes on from the last where it can, from a dead end if there is one."""
-    at: dict[float, list[int]] = {}
-    for i, (a, b) in enumerate(zip(src, dst)):
-        at.setdefault(a, []).append(i)
-        at.setdefault(b, []).append(i)
-    left, order, turned = set(range(len(src))), [], []
-    while left:
-        ends = [n for n in at if sum(i in left for i in at[n]) == 1]
-        node = min(ends) if ends else min(src[min(left)], dst[min(left)])
-        while True:
-            go = [i for i in at[node] if i in left]
-            if not go:
-                break
-            i = min(go)
-            left.discard(i)
-            order.append(i)
-            turned.append(bool(src[i] != node))
-            node = src[i] if turned[-1] else dst[i]
-    return np.array(order), np.array(turned)
-
-
-def cheapest_path(cost: np.ndarray, a: tuple[int, int], b: tuple[int, int]) -> tuple[list[tuple[int, int]], float]:
-    """Least-cost path over eight neighbours of a patch, a step costing its length times the mean of its cells."""
-    h, w = cost.shape
-    best, came, heap = {a: 0.0}, {}, [(0.0, a)]
-    while heap:
-        d, p = heapq.heappop(heap)
-        if p == b:
-            break
-        if d > best[p]:
-            continue
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                q = (p[0] + dy, p[1] + dx)
-                if (dy or dx) and 0 <= q[0] < h and 0 <= q[1] < w:
-                    e = d + np.hypot(dx, dy) * (cost[p] + cost[q]) / 2
-                    if e < best.get(q, np.inf):
-                        best[q], came[q] = e, p
-                        heapq.heappush(heap, (e, q))
-    path = [b]
-    while path[-1] != a:
-        path.append(came[path[-1]])
-    return path[::-1], float(best[b])
-
-
 def relax_heights(z: np.ndarray, pinned: np.ndarray, a: np.ndarray, b: np.ndarray, reach: np.ndarray, sweeps: int = 200) -> np.ndarray:
     """Moves nodes until no edge climbs more than its reach, all edges of a sweep at once, each node by its mean correction."""
     z = z.copy()
@@ -322,41 +275,6 @@ def pull_push(z: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known, z, np.kron(coarse, np.ones((2, 2)))[: z.shape[0], : z.shape[1]])
 
 
-def flood(z: np.ndarray, outlet: np.ndarray, step: float) -> tuple[np.ndarray, list[int], np.ndarray]:
-    """Levels to which cells fill so that each drains over a neighbour at least `step` lower, from the outlets upward; the cells in the order
-    they are reached; and the cell that each drains to (-1 at outlets)."""
-    h, w = z.shape
-    level, to, order = z.astype(float).ravel().copy(), np.full(z.size, -1), []
-    known = outlet.ravel().copy()
-    heap = [(level[c], c) for c in np.flatnonzero(known).tolist()]
-    heapq.heapify(heap)
-    while heap:
-        low, c = heapq.heappop(heap)
-        order.append(c)
-        y, x = divmod(c, w)
-        for yy in range(max(0, y - 1), min(h, y + 2)):
-            for xx in range(max(0, x - 1), min(w, x + 2)):
-                if not known[n := yy * w + xx]:
-                    known[n], to[n] = True, c
-                    level[n] = max(level[n], low + step)
-                    heapq.heappush(heap, (level[n], n))
-    return level.reshape(h, w), order, to
-
-
-def breach(z: np.ndarray, most: float, step: float) -> np.ndarray:
-    """Terrain on which every cell drains to the rim: rims of shallow pits are cut along the way the water takes, by up to `most`, and what
-    is still a pit is filled with a gentle fall (G28)."""
-    rim = np.ones(z.shape, bool)
-    rim[1:-1, 1:-1] = False
-    _, order, to = flood(z, rim, step)
-    cut = z.astype(float).ravel().copy()
-    for c in reversed(order):
-        if to[c] >= 0:
-            cut[to[c]] = min(cut[to[c]], cut[c] - step)
-    cut = cut.reshape(z.shape)
-    return flood(np.where(z - cut <= most, cut, z), rim, step)[0]
-
-
 def erode(z: np.ndarray, steps: int, rate: float, talus: float) -> np.ndarray:
     """Stream-power cutting along steepest falls, then slopes over the talus settled, for a fixed number of steps."""
     z = z.astype(float).copy()
@@ -386,29 +304,6 @@ def erode(z: np.ndarray, steps: int, rate: float, talus: float) -> np.ndarray:
     return z
 
 
-def rings_of_graph(src: np.ndarray, dst: np.ndarray, x: dict, y: dict) -> list[list[float]]:
-    """Faces of a plane graph: each directed edge goes on with the next one around its end."""
-    around: dict[float, list[float]] = {}
-    for a, b in zip(src, dst):
-        around.setdefault(a, []).append(b)
-        around.setdefault(b, []).append(a)
-    for n in around:
-        around[n] = sorted(set(around[n]), key=lambda m, n=n: np.arctan2(y[m] - y[n], x[m] - x[n]))
-    left, faces = {(a, b) for a in around for b in around[a]}, []
-    while left:
-        a, b = first = min(left)
-        ring = []
-        while True:
-            left.discard((a, b))
-            ring.append(a)
-            ns = around[b]
-            a, b = b, ns[ns.index(a) - 1]
-            if (a, b) == first:
-                break
-        faces.append(ring)
-    return faces
-
-
 def hull(points: np.ndarray) -> np.ndarray:
     """Convex hull, against the clock, of points (n, 2)."""
     p = np.unique(points, axis=0)

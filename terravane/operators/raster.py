@@ -154,22 +154,6 @@ def accumulate(flow: DataFrame, rounds: int = 40) -> DataFrame:
     return total
 
 
-def fill_pits(cells: DataFrame, value: str, nx: int, ny: int, rounds: int = 10_000) -> DataFrame:
-    """Adds filled, the lowest level from which water runs to the rim: the least fixpoint of max(own, lowest neighbour)."""
-    rim = (F.col("ix") == 0) | (F.col("iy") == 0) | (F.col("ix") == nx - 1) | (F.col("iy") == ny - 1)
-    base = cut(cells.select("ix", "iy", F.col(value).alias("z"), F.when(rim, F.col(value)).otherwise(F.lit(1 << 60)).alias("f")))
-    for _ in range(rounds):
-        # one step from each cell to its eight neighbours
-        low = shifted(base, "f", EIGHT).groupBy("ix", "iy").agg(F.min("v").alias("low"))
-        after = cut(base.join(low, ["ix", "iy"]).select("ix", "iy", "z", F.least("f", F.greatest("z", "low")).alias("f"), F.col("f").alias("was")))
-        if after.where("f <> was").isEmpty():
-            break
-        base = after.drop("was")
-    else:
-        raise RuntimeError(f"levels have not settled in {rounds} steps")
-    return base.select("ix", "iy", F.col("z").alias(value), F.col("f").alias("filled"))
-
-
 def lit_height(cells: DataFrame, value: str, out: str, fall: float, steps: int) -> DataFrame:
     """Height below which a cell lies in the shadow of cells to its left, by doubling: M(p) = max(M(p), M(p + L) - L * fall)."""
     now = cells.withColumn(out, F.col(value).cast("double"))

@@ -31,6 +31,12 @@ def strict(found: DataFrame) -> DataFrame:
     return total.select(F.when(F.coalesce("errors", F.lit(0)) > 0, F.raise_error(F.concat(F.lit("errors: "), F.col("errors").cast("string"))).cast("long")).otherwise(F.lit(0).cast("long")).alias("errors"))
 
 
+def gate(found: DataFrame) -> DataFrame:
+    """errors and the exit code that a strict run ends with: 1 if any issue is an error, else 0 (Q24)."""
+    errors = F.count_if(F.col("severity") == "error")
+    return found.agg(errors.alias("errors")).withColumn("exit_code", (F.col("errors") > 0).cast("long"))
+
+
 def unique(df: DataFrame, key: str) -> DataFrame:
     """df itself; a query on it fails if a key occurs twice."""
     twice = df.groupBy(key).count().where("count > 1").agg(F.min(key).alias("k"))

@@ -89,16 +89,6 @@ def _component_edges(w):
     return w.gedge.join(G.components(w.gedge), F.col("src") == F.col("node")).select("component", "eid", "src", "dst", "len")
 
 
-@query("w31_chain_order")
-def _(w):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("eid").reset_index(drop=True)
-        order, turned = K.walk_chain(pdf.src.to_numpy(), pdf.dst.to_numpy())
-        return pd.DataFrame({"component": pdf.component.iloc[0], "k": np.arange(len(order)), "eid": pdf.eid.to_numpy()[order], "turned": turned})
-
-    return _component_edges(w).groupBy("component").applyInPandas(run, "component long, k long, eid long, turned boolean")
-
-
 def _with_ends(w, edges, *columns):
     """The edges with columns of the nodes at both ends; every 17th node is pinned."""
     nodes = w.gnode.withColumn("pinned", F.col("node") % 17 == 0)
@@ -107,16 +97,6 @@ def _with_ends(w, edges, *columns):
     return edges
 
 
-@query("g15_faces")
-def _(w):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = ({**dict(zip(pdf.src, pdf[f"src_{c}"])), **dict(zip(pdf.dst, pdf[f"dst_{c}"]))} for c in "xy")
-        faces = K.rings_of_graph(pdf.src.to_numpy(), pdf.dst.to_numpy(), x, y)
-        return pd.DataFrame({"component": pdf.component.iloc[0], "face": np.arange(len(faces)), "sides": [len(f) for f in faces]})
-
-    return _with_ends(w, _component_edges(w), "x", "y").groupBy("component").applyInPandas(run, "component long, face long, sides long")
-
-
 @query("g20_height_relaxation")
 def _(w):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -195,15 +175,6 @@ def _cells(z):
 CELLS = "iy long, ix long, z double"
 
 
-@query("g18_least_cost_path")
-def _(w):
-    def kernel(z):
-        path, cost = K.cheapest_path(1 / (0.03 + z / 900) ** 1.6, (0, 0), (z.shape[0] - 1, z.shape[1] - 1))
-        return pd.DataFrame({"k": np.arange(len(path)), "iy": [p[0] for p in path], "ix": [p[1] for p in path], "cost": cost})
-
-    return whole(w, kernel, "k long, iy long, ix long, cost double")
-
-
 @query("g19_skeleton_graph")
 def _(w):
     def kernel(z):
@@ -216,11 +187,6 @@ def _(w):
     return whole(w, kernel, "iy long, ix long, degree long")
 
 
-@query("g28_breached_terrain")
-def _(w):
-    return whole(w, lambda z: _cells(K.breach(z, 3.0, 2e-3)), CELLS)
-
-
 @query("r09_vectorise")
 def _(w):
     def kernel(z):

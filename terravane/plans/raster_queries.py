@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import raster as A
 from ..operators import spatial as P
+from ..operators import terrain as T
 from ..sources.world import NX, NY
 from .registry import query
 
@@ -195,4 +196,4 @@ def _(w):
 @query("g27_pit_filling", """, q AS (SELECT ix, iy, v // 40 AS z FROM ras), l AS (SELECT DISTINCT z AS lev FROM q), o(lev, ix, iy) AS (SELECT lev, ix, iy FROM q, l WHERE z <= lev AND (ix IN (0, 99) OR iy IN (0, 49)) UNION SELECT o.lev, c.ix, c.iy FROM o JOIN q c ON abs(c.ix - o.ix) <= 1 AND abs(c.iy - o.iy) <= 1 AND c.z <= o.lev)
 SELECT ix, iy, min(lev) AS filled FROM o GROUP BY 1, 2""")
 def _(w):
-    return A.fill_pits(w.ras.selectExpr("ix", "iy", "v div 40 as z"), "z", NX, NY).select("ix", "iy", "filled")
+    return T.flooded(w.ras.selectExpr("ix", "iy", "v div 40 as z"), "z").select("ix", "iy", F.col("filled").cast("long").alias("filled"))

@@ -9,6 +9,7 @@ from ..operators import raster as A
 from ..operators import rules as U
 from ..operators import sequence as Q
 from ..operators import spatial as P
+from ..operators import terrain as T
 from .graph_queries import _GAPS, _REACH, _legs
 from .raster_queries import _GRAD
 from .registry import query
@@ -123,14 +124,15 @@ def _(w):
     return U.issues(m, "river_uphill", "error", "user_id", F.concat(L("rises "), F.col("m.d").cast("string"), L(" after "), (-F.col("m.s")).cast("string")))
 
 
-@query("q11_confluence", f", mouth AS (SELECT user_id, x, y FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rn FROM track) WHERE rn = 1), n AS (SELECT m.user_id, m.y, arg_min(t.y, ((t.x - m.x) * (t.x - m.x) + (t.y - m.y) * (t.y - m.y), t.seq)) AS py FROM mouth m JOIN track t ON t.user_id = (m.user_id // 2) WHERE m.user_id > 1 GROUP BY 1, 2) {_out('confluence', 'error', None, None, chr(39) + 'differs ' + chr(39) + ' || CAST(abs(y - py) AS VARCHAR)', 'user_id')} FROM n WHERE abs(y - py) > 300")
+@query("q11_confluence", f", lev AS (SELECT t.user_id, t.seq, t.x, t.y, r.v FROM track t JOIN ras r ON r.ix = t.x // 20 AND r.iy = t.y // 14), mouth AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rn FROM lev) WHERE rn = 1 AND user_id > 1), n AS (SELECT m.user_id, m.x, m.y, m.v, arg_min(t.v, ((t.x - m.x) * (t.x - m.x) + (t.y - m.y) * (t.y - m.y), t.seq)) AS pv FROM mouth m JOIN lev t ON t.user_id = (m.user_id // 2) GROUP BY 1, 2, 3, 4) {_out('confluence', 'error', 'x', 'y', chr(39) + 'differs ' + chr(39) + ' || CAST(abs(v - pv) AS VARCHAR)', 'user_id')} FROM n WHERE abs(v - pv) > 60")
 def _(w):
-    """A line's last point against the nearest sample of its parent line."""
-    mouth = w.track.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("seq")))).where("rn = 1 and user_id > 1").select("user_id", "x", "y", F.expr("user_id div 2").alias("parent"))
-    p = w.track.select(F.col("user_id").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py"), "seq")
+    """The level at a line's last point against that at the nearest sample of its parent line, levels by the raster."""
+    level = w.track.withColumns({"ix": F.expr("x div 20"), "iy": F.expr("y div 14")}).join(w.ras.select("ix", "iy", "v"), ["ix", "iy"])
+    mouth = level.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("seq")))).where("rn = 1 and user_id > 1").select("user_id", "x", "y", "v", F.expr("user_id div 2").alias("parent"))
+    p = level.select(F.col("user_id").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py"), "seq", F.col("v").alias("pv"))
     far = F.expr("(px - x) * (px - x) + (py - y) * (py - y)")
-    n = mouth.join(p, "parent").groupBy("user_id", "y").agg(F.min_by("py", F.struct(far, "seq")).alias("py"))
-    return U.issues(n, "confluence", "error", "user_id", F.concat(L("differs "), F.abs(F.col("y") - F.col("py")).cast("string")), where="abs(y - py) > 300")
+    n = mouth.join(p, "parent").groupBy("user_id", "x", "y", "v").agg(F.min_by("pv", F.struct(far, "seq")).alias("pv"))
+    return U.issues(n, "confluence", "error", "user_id", F.concat(L("differs "), F.abs(F.col("v") - F.col("pv")).cast("string")), "x", "y", "abs(v - pv) > 60")
 
 
 @query("q12_perched_river", f", o AS (SELECT p.id, p.x, p.y, k, r.v FROM pts p, range(1, 6) t(k) JOIN ras r ON r.ix = p.x // 20 + k AND r.iy = p.y // 14 WHERE r.v < 330), f AS (SELECT id, x, y, arg_min(v, k) AS v FROM o GROUP BY 1, 2, 3) {_out('perched_river', 'warn', 'x', 'y', chr(39) + 'bank at ' + chr(39) + ' || CAST(v AS VARCHAR)', 'id')} FROM f WHERE v < 270")
@@ -155,11 +157,14 @@ def _(w):
     return U.issues(P.keep_out(hit, saddles, 60.0), "ridge_crossing", "error", "id", L("crest on a river"), "x", "y")
 
 
-@query("q15_pits", f", nb AS (SELECT a.ix, a.iy, a.v, min(c.v) AS lo FROM ras a JOIN ras c ON abs(c.ix - a.ix) <= 1 AND abs(c.iy - a.iy) <= 1 AND (a.ix, a.iy) <> (c.ix, c.iy) GROUP BY 1, 2, 3) {_out('pit', 'error', 'ix', 'iy', chr(39) + 'lower by ' + chr(39) + ' || CAST(lo - v AS VARCHAR)', 'iy * 100 + ix')} FROM nb WHERE lo > v AND ix BETWEEN 1 AND 98 AND iy BETWEEN 1 AND 48")
+@query("q15_pits", f""", z AS (SELECT ix, iy, v // 40 AS z FROM ras), l AS (SELECT DISTINCT z AS lev FROM z), o(lev, ix, iy) AS (SELECT lev, ix, iy FROM z, l WHERE z <= lev AND (ix IN (0, 99) OR iy IN (0, 49)) UNION SELECT o.lev, c.ix, c.iy FROM o JOIN z c ON abs(c.ix - o.ix) <= 1 AND abs(c.iy - o.iy) <= 1 AND c.z <= o.lev),
+p AS (SELECT iy * 100 + ix AS n, ix, iy, f - z AS depth FROM (SELECT ix, iy, min(lev) AS f FROM o GROUP BY 1, 2) JOIN z USING (ix, iy) WHERE f > z), e(a, b) AS (SELECT a.n, b.n FROM p a JOIN p b ON abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1), r(a, b) AS (SELECT n, n FROM p UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT k, count(*) AS cells, max(depth) AS deep FROM (SELECT a AS n, min(b) AS k FROM r GROUP BY a) JOIN p USING (n) GROUP BY k HAVING count(*) >= 2) {_out('pit', 'error', 'k % 100', 'k // 100', "CAST(cells AS VARCHAR) || ' cells, ' || CAST(deep AS VARCHAR) || ' deep'", 'k')} FROM c""")
 def _(w):
-    """Cells below all their neighbours; depths of whole basins are those of g27_pit_filling."""
-    low = A.shifted(w.ras, "v", A.EIGHT).groupBy("ix", "iy").agg(F.min("v").alias("lo")).join(w.ras, ["ix", "iy"])
-    return U.issues(low, "pit", "error", F.col("iy") * 100 + F.col("ix"), F.concat(L("lower by "), (F.col("lo") - F.col("v")).cast("string")), "ix", "iy", "lo > v and ix between 1 and 98 and iy between 1 and 48")
+    """Clusters of cells that stand under water when all pits are filled."""
+    wet = T.flooded(w.ras.selectExpr("ix", "iy", "v div 40 as z"), "z").withColumn("depth", (F.col("filled") - F.col("z")).cast("long")).where("depth > 0").select("ix", "iy", "depth")
+    c = A.label(wet, 100).join(wet, ["ix", "iy"]).groupBy("label").agg(F.count("*").alias("cells"), F.max("depth").alias("deep")).where("cells >= 2")
+    return U.issues(c, "pit", "error", "label", F.concat(_s("cells"), L(" cells, "), _s("deep"), L(" deep")), F.col("label") % 100, F.expr("label div 100"))
 
 
 @query("q16_spikes", f", {_GRAD}, b AS (SELECT a.ix, a.iy, median(c.v) AS m FROM ras a JOIN ras c ON abs(c.ix - a.ix) <= 1 AND abs(c.iy - a.iy) <= 1 GROUP BY 1, 2) {_out('spike', 'warn', 'ix', 'iy', chr(39) + 'off the median' + chr(39), 'iy * 100 + ix')} FROM b JOIN g USING (ix, iy) WHERE abs(v - m) > 3 + 2.5 * sqrt(gx * gx + gy * gy)")
@@ -220,11 +225,11 @@ def _(w):
     return U.issues(twice, "duplicate_id", "error", "o_custkey", _s("count"))
 
 
-@query("q24_strict_gate", "SELECT CAST(0 AS BIGINT) AS errors")
+@query("q24_strict_gate", "SELECT count(*) AS errors, CAST(count(*) > 0 AS BIGINT) AS exit_code FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT p_partkey FROM part GROUP BY 1 HAVING count(*) > 1)")
 def _(w):
-    """No part is listed twice, so the gate lets the report pass; with an error it raises."""
-    twice = w.table("part").groupBy("p_partkey").count().where("count > 1")
-    return U.strict(U.issues(twice, "duplicate_id", "error", "p_partkey", _s("count")))
+    """Customers with several orders close the gate; parts, whose keys are unique, don't."""
+    found = [U.issues(w.table(t).groupBy(k).count().where("count > 1"), "duplicate_id", "error", k, _s("count")) for t, k in (("orders", "o_custkey"), ("part", "p_partkey"))]
+    return U.gate(U.report(*found))
 
 
 #: Where a footprint is sampled: its middle, the middles of its sides and points near its corners.

@@ -6,7 +6,7 @@ from conftest import DATA, rows
 from terravane.plans import catalogue
 
 #: Whose SQL takes long, and is compared at the larger size only.
-SLOW = {"g27_pit_filling", "r10_hysteresis", "g03_merge_nodes"}
+SLOW = {"g27_pit_filling", "q15_pits", "r10_hysteresis", "g03_merge_nodes"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.ORACLES) - SLOW))

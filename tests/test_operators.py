@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from terravane.functions import scalar as S
-from terravane.operators import aggregate, graph, kernels, placement, raster, rules, sequence, spatial
+from terravane.operators import aggregate, graph, kernels, placement, pointers, raster, rules, sequence, spatial, terrain
 from terravane.sources import files
 
 
@@ -97,7 +97,7 @@ def test_pit_filling_and_flow(spark):
     z = np.full((5, 5), 9)
     z[2, 2], z[0, 2], z[1, 2] = 1, 3, 5
     cells = spark.createDataFrame([(x, y, int(z[y, x])) for y in range(5) for x in range(5)], "ix long, iy long, v long")
-    filled = {(r.ix, r.iy): r.filled for r in raster.fill_pits(cells, "v", 5, 5).collect()}
+    filled = {(r.ix, r.iy): r.filled for r in terrain.flooded(cells, "v").collect()}
     assert filled[2, 2] == 5 and filled[2, 1] == 5 and filled[1, 1] == 9
     area = {(r.ix, r.iy): r.area for r in raster.accumulate(raster.receivers(cells, "v")).collect()}
     assert sum(area.values()) >= 25 and area[2, 2] > 1
@@ -117,6 +117,7 @@ def test_rules_report_planted_violations_only(spark):
     with pytest.raises(Exception, match="errors: 1"):
         rules.strict(found).collect()
     assert rules.strict(found.limit(0)).first().errors == 0
+    assert rules.gate(found).first().exit_code == 1 and tuple(rules.gate(found.limit(0)).first()) == (0, 0)
 
 
 def test_duplicate_keys_fail(spark):
@@ -173,19 +174,12 @@ def test_allocation_keeps_totals_and_caps(pairs, total):
 
 
 def test_search_and_fill_kernels():
-    cost = np.ones((5, 5))
-    cost[1:, 2] = 100
-    path, total = kernels.cheapest_path(cost, (4, 0), (4, 4))
-    assert path[0] == (4, 0) and path[-1] == (4, 4) and all(cost[p] == 1 for p in path) and total < 20
     known = np.zeros((4, 4), bool)
     known[:, [0, 3]] = True
     z = np.tile([0.0, 0, 0, 3.0], (4, 1))
     assert np.allclose(kernels.harmonic_fill(z, known)[1], [0, 1, 2, 3])
     assert np.allclose(kernels.pull_push(np.full((4, 4), 7.0), known), 7)
     assert len(kernels.outline(np.array([[1, 1], [1, 1]]))[0]) == 8
-    assert sorted(map(len, kernels.rings_of_graph(np.array([1, 2, 3]), np.array([2, 3, 1]), {1: 0, 2: 1, 3: 0}, {1: 0, 2: 0, 3: 1}))) == [3, 3]
-    order, _ = kernels.walk_chain(np.array([3, 1, 2]), np.array([4, 2, 3]))
-    assert list(order) == [1, 2, 0]
     w, h, _ = kernels.least_rectangle(np.array([[0, 0], [4, 0], [4, 2], [0, 2], [1, 1.0]]))
     assert sorted((round(w, 6), round(h, 6))) == [2.0, 4.0]
 
@@ -205,9 +199,8 @@ def test_unfinished_loops_fail(spark):
     flow = spark.createDataFrame([(0, 0, 1, 0), (1, 0, 2, 0), (2, 0, None, None)], "ix long, iy long, rx long, ry long")
     with pytest.raises(RuntimeError):
         raster.accumulate(flow, 1)
-    cells = spark.createDataFrame([(x, y, 9 - abs(x - 4)) for x in range(9) for y in range(9)], "ix long, iy long, z long")
     with pytest.raises(RuntimeError):
-        raster.fill_pits(cells, "z", 9, 9, 1)
+        pointers.follow(spark.createDataFrame([(i, i + 1 if i < 39 else None) for i in range(40)], "node long, next long"), 3)
     line = spark.createDataFrame([(i, float(i), float(i), 0.0) for i in range(9)], "id long, s double, x double, y double")
     with pytest.raises(RuntimeError):
         placement.spaced(line, "id", "s", 1.5, 1)
