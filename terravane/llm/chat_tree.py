@@ -143,9 +143,12 @@ class ChatTree:
         self.ranks_path = ranks_path
         turns = scratch.keep(self._turns(encoded(conversations, ranks_path)))
         light = turns.select("conv", "seq", "a", "b", "pa", "pb", "ra", "rb", "n", "parent_n", "position")
-        owners = light.groupBy("a", "b").agg(F.min("conv").alias("owner"), F.count("*").alias("n_conversations"))
+        # written, so that the joins by node shuffle both sides and Spark can split a node that very many conversations share
+        owners = scratch.keep(light.groupBy("a", "b").agg(F.min("conv").alias("owner"), F.count("*").alias("n_conversations")))
         owned = scratch.keep(light.join(owners, ["a", "b"]).withColumn("owned", F.col("conv") == F.col("owner")).drop("owner"))
-        placed = scratch.keep(self._placed(owned, self._steps(owned)))
+        placed = scratch.keep(self._placed(owned, scratch.keep(self._steps(owned))))
+        for done in (owners, owned):
+            scratch.drop(done)
         tree = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("ra", "rb")]).alias("tree")
         mine = placed.where("owned").select("conv", "seq", tree, "start", F.col("n").alias("length"), "position", "head", "intervals", "n_conversations")
         self.nodes = scratch.keep(
