@@ -39,7 +39,7 @@ START_SIGN, END_SIGN, ASSISTANT = "<|im_start|>", "<|im_end|>", "assistant"
 #: Characters that are encoded at once.
 PIECE = 1 << 16
 #: High bits of a path by which siblings are summed first.
-RANGE_BITS = 16
+RANGE_BITS = 8
 #: Stands for a null conv_id.
 NO_ID = -(1 << 63)
 
