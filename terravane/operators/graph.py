@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+from .rules import first_of
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of our own only if that is unset in local mode, as executors elsewhere wouldn't see it."""
@@ -87,33 +90,30 @@ def through_chains(edges: DataFrame, attribute: str) -> DataFrame:
 
 
 def junction_kind(legs: DataFrame, separated: tuple[str, ...] = ("freeway",)) -> DataFrame:
-    """node, degree and kind from legs (node, leg, bearing, type, urban)."""
+    """node, degree and kind from legs (node, leg, bearing, type, urban), by the table of kinds."""
     from .sequence import circular_gaps
 
-    g = circular_gaps(legs, "node", "bearing").groupBy("node").agg(
+    seen = circular_gaps(legs, "node", "bearing").groupBy("node").agg(
         F.count("*").alias("degree"), F.min("gap").alias("lo"), F.max("gap").alias("hi"), F.bool_or(F.abs(F.col("gap") - 180) < 25).alias("straight"), F.bool_and(F.abs(F.col("gap") - 90) < 30).alias("square"),
         F.bool_or("urban").alias("urban"), F.bool_or(F.col("type").isin(*separated)).alias("separated"),
     )
-    three = F.when(F.col("lo") < 40, "fork").when((F.abs(F.col("hi") - 180) < 30) | F.col("straight"), F.when(F.col("urban"), "city").otherwise("T")).when(F.col("hi") > 200, "fork").otherwise("angled")
-    four = F.when(F.col("urban"), "city").when(F.col("square"), "cross").otherwise("angled")
-    kind = F.when(F.col("degree") == 1, "end").when(F.col("degree") == 2, "type_change").when(F.col("separated"), "merge").when(F.col("degree") == 3, three).when(F.col("degree") == 4, four).otherwise("multi")
-    return g.select("node", "degree", kind.alias("kind"))
-
-
-def traffic_control(legs: DataFrame) -> DataFrame:
-    """Adds control to legs (node, leg, type, rank, dense) by the ranks of a leg and of the others at its node."""
-    w = Window.partitionBy("node")
-    top = F.row_number().over(w.orderBy(F.desc("rank"), "leg"))
-    ranked = legs.withColumn("_top", top).withColumns({"_first": F.max("rank").over(w), "_n": F.count("*").over(w), "_big": F.sum(F.col("type").isin("arterial", "main_street").cast("int")).over(w), "_dense": F.max("dense").over(w)})
-    ranked = ranked.withColumn("_second", F.max(F.when(F.col("_top") > 1, F.col("rank"))).over(w)).withColumn("major", F.coalesce(F.when(F.col("_top") == 1, F.col("_second")).otherwise(F.col("_first")), F.lit(0.0)))
-    r, m = F.col("rank"), F.col("major")
-    kind = (
-        F.when(F.col("type").isin("driveway", "freeway"), F.lit(None))
-        .when(F.col("_dense") & (F.col("_n") >= 4) & (F.col("_big") >= 3), "all_stop")
-        .when(F.col("type") == "ramp", F.when(m >= 5, "stop"))
-        .when(r >= m, F.lit(None))
-        .when((r <= 4) & (m >= 5), "stop")
-        .when((r == 5) & (m >= 6), "stop")
-        .when((r <= 3) & (m == 4), "yield")
-    )
-    return ranked.withColumn("control", kind).drop(*[c for c in ranked.columns if c.startswith("_")])
+    named = seen.withColumn("kind", first_of(fixed.JUNCTION_KINDS))
+    choice = F.col("kind")
+    for name, (town, square, other) in fixed.KIND_CHOICES.items():
+        choice = F.when(F.col("kind") == name, F.when(F.col("urban"), town).when(F.col("square"), square).otherwise(other)).otherwise(choice)
+    return named.select("node", "degree", choice.alias("kind"))
+
+
+def traffic_control(legs: DataFrame, signals: DataFrame | None = None) -> DataFrame:
+    """Adds rank, major and control to legs (node, leg, type, rank, dense, outbound) by the table of controls.
+
+    dense counts for a junction if it does for one of its legs; outbound legs are one-way away from the node; signals lists nodes.
+    """
+    by = Window.partitionBy("node")
+    known = legs.withColumns({"rank": F.when(F.col("type") == "ramp", fixed.RAMP_RANK).otherwise(F.col("rank")), "legs": F.count("*").over(by), "big": F.count_if(F.col("type").isin(*fixed.BIG_TYPES)).over(by), "dense": F.max("dense").over(by)})
+    # the highest rank of the other legs is the node's highest, or its second for the leg that has it
+    place = F.row_number().over(by.orderBy(F.desc("rank"), "leg"))
+    known = known.withColumn("_place", place).withColumn("_top", F.max("rank").over(by)).withColumn("_next", F.max(F.when(F.col("_place") > 1, F.col("rank"))).over(by))
+    known = known.withColumn("major", F.coalesce(F.when(F.col("_place") == 1, F.col("_next")).otherwise(F.col("_top")), F.lit(0.0)))
+    lit = known.withColumn("signals", F.lit(False)) if signals is None else known.join(signals.select("node", F.lit(True).alias("signals")).distinct(), "node", "left").withColumn("signals", F.coalesce("signals", F.lit(False)))
+    return lit.withColumn("control", first_of(fixed.CONTROLS)).drop("_place", "_top", "_next", "legs", "big", "signals")

@@ -1,4 +1,4 @@
-"""Numeric kernels for one group (a line, a patch or a component), run side by side by applyInPandas.
+"""Numeric kernels for one group (a line or a tile), run side by side by applyInPandas.
 
 They are for what column expressions can't state: recurrences that look both ways, searches with a queue, small solves. A group is
 a line or a tile and fits a task; groups are never made of unrelated rows.
@@ -161,78 +161,6 @@ def cut_returns(x: np.ndarray, y: np.ndarray, tolerance: float, gap: int) -> np.
     return np.array(keep)
 
 
-def relax_heights(z: np.ndarray, pinned: np.ndarray, a: np.ndarray, b: np.ndarray, reach: np.ndarray, sweeps: int = 200) -> np.ndarray:
-    """Moves nodes until no edge climbs more than its reach, all edges of a sweep at once, each node by its mean correction."""
-    z = z.copy()
-    for _ in range(sweeps):
-        d = z[b] - z[a]
-        over = np.sign(d) * np.maximum(np.abs(d) - reach, 0)
-        if np.abs(over).max(initial=0) < 1e-6:
-            break
-        move, n = np.zeros(len(z)), np.zeros(len(z))
-        share = np.where(pinned[a] | pinned[b], 1.0, 0.5)
-        np.add.at(move, a, np.where(pinned[a], 0, over * share))
-        np.add.at(move, b, np.where(pinned[b], 0, -over * share))
-        np.add.at(n, a, over != 0)
-        np.add.at(n, b, over != 0)
-        z += move / np.maximum(n, 1)
-    return z
-
-
-def thin(mask: np.ndarray) -> np.ndarray:
-    """Skeleton of a mask by the two-pass rule on eight neighbours."""
-    m = np.pad(mask.astype(np.uint8), 1)
-    while True:
-        gone = False
-        for odd in (0, 1):
-            p = [m[:-2, 1:-1], m[:-2, 2:], m[1:-1, 2:], m[2:, 2:], m[2:, 1:-1], m[2:, :-2], m[1:-1, :-2], m[:-2, :-2]]
-            n = sum(x.astype(int) for x in p)
-            rises = sum(((p[i] == 0) & (p[(i + 1) % 8] == 1)).astype(int) for i in range(8))
-            c = (p[0] & p[2] & p[4], p[2] & p[4] & p[6]) if not odd else (p[0] & p[2] & p[6], p[0] & p[4] & p[6])
-            cut = (m[1:-1, 1:-1] == 1) & (n >= 2) & (n <= 6) & (rises == 1) & (c[0] == 0) & (c[1] == 0)
-            if cut.any():
-                m[1:-1, 1:-1][cut] = 0
-                gone = True
-        if not gone:
-            return m[1:-1, 1:-1].astype(bool)
-
-
-def outline(mask: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Closed rings of cell corners around the set cells, holes included."""
-    m = np.pad(mask.astype(bool), 1)
-    follow: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for y, x in zip(*np.nonzero(m)):
-        for dy, dx, a, b in ((-1, 0, (x, y), (x + 1, y)), (0, 1, (x + 1, y), (x + 1, y + 1)), (1, 0, (x + 1, y + 1), (x, y + 1)), (0, -1, (x, y + 1), (x, y))):
-            if not m[y + dy, x + dx]:
-                follow.setdefault(tuple(int(v) - 1 for v in a), []).append(tuple(int(v) - 1 for v in b))
-    rings = []
-    while follow:
-        start = min(follow)
-        ring, p = [start], start
-        while True:
-            q = follow[p].pop()
-            if not follow[p]:
-                del follow[p]
-            if q == start:
-                break
-            ring.append(q)
-            p = q
-        rings.append(ring)
-    return rings
-
-
-def orientation(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Angle in degrees and strength of the structure tensor."""
-    gy, gx = np.gradient(z)
-
-    def box(a):
-        p = np.pad(a, 1, mode="edge")
-        return sum(p[1 + i : p.shape[0] - 1 + i, 1 + j : p.shape[1] - 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1)) / 9
-
-    xx, yy, xy = box(gx * gx), box(gy * gy), box(gx * gy)
-    return np.degrees(0.5 * np.arctan2(2 * xy, xx - yy)) % 180, np.hypot(xx - yy, 2 * xy)
-
-
 def harmonic_fill(z: np.ndarray, known: np.ndarray, close: float = 1e-9) -> np.ndarray:
     """Unknown cells as the mean of their neighbours, known ones fixed, by conjugate gradients in arrays of the raster's size.
 
@@ -263,18 +191,6 @@ def harmonic_fill(z: np.ndarray, known: np.ndarray, close: float = 1e-9) -> np.n
     return np.where(known, z, u)
 
 
-def pull_push(z: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Unknown cells from ever coarser means of known ones."""
-    if known.all() or not known.any() or min(z.shape) < 2:
-        return np.where(known, z, z[known].mean() if known.any() else 0.0)
-    h, w = (n + n % 2 for n in z.shape)
-    p, k = np.zeros((h, w)), np.zeros((h, w))
-    p[: z.shape[0], : z.shape[1]], k[: z.shape[0], : z.shape[1]] = np.where(known, z, 0), known
-    s, n = (v.reshape(h // 2, 2, w // 2, 2).sum((1, 3)) for v in (p, k))
-    coarse = pull_push(s / np.maximum(n, 1), n > 0)
-    return np.where(known, z, np.kron(coarse, np.ones((2, 2)))[: z.shape[0], : z.shape[1]])
-
-
 def erode(z: np.ndarray, steps: int, rate: float, talus: float) -> np.ndarray:
     """Stream-power cutting along steepest falls, then slopes over the talus settled, for a fixed number of steps."""
     z = z.astype(float).copy()

@@ -161,3 +161,22 @@ def lit_height(cells: DataFrame, value: str, out: str, fall: float, steps: int)
         length = 1 << k
         now = now.withColumn(out, F.greatest(F.col(out), F.lag(out, length).over(rows()) - length * fall))
     return now
+
+
+def pull_push(cells: DataFrame, value: str, known: str, out: str) -> DataFrame:
+    """Adds out: the value where it is known, else the mean of the known cells of the smallest block of 2, 4, 8 ... cells a side that has one, each
+    block's mean being that of its four parts' means (R16).
+
+    Levels are sums by block, a quarter of the cells each; blocks of all levels together are a third of the raster.
+    """
+    number = lambda c, k: F.shiftright(c, k)
+    level = cells.select("ix", "iy", F.when(F.col(known), F.col(value).cast("double")).alias("_v"))
+    top = level.agg(F.greatest(F.max("ix"), F.max("iy"))).first()[0] or 0
+    filled, blocks, k = cells.withColumn(out, F.when(F.col(known), F.col(value).cast("double"))), level, 0
+    while top >> k:
+        k += 1
+        # a block without known cells is null, and isn't counted in the mean of the next
+        blocks = cut(blocks.groupBy(number("ix", 1).alias("ix"), number("iy", 1).alias("iy")).agg(F.avg("_v").alias("_v")))
+        here = blocks.where("_v is not null").select(F.col("ix").alias("_bx"), F.col("iy").alias("_by"), F.col("_v").alias("_m"))
+        filled = filled.join(here, (number("ix", k) == F.col("_bx")) & (number("iy", k) == F.col("_by")), "left").withColumn(out, F.coalesce(out, "_m")).drop("_bx", "_by", "_m")
+    return filled

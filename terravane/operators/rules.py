@@ -17,6 +17,12 @@ def issues(df: DataFrame, kind: str, severity: str, ref, msg: Column, x=None, y=
     return bad.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), at[0].alias("x"), at[1].alias("y"), msg.alias("msg"), (F.col(ref) if isinstance(ref, str) else ref).cast("string").alias("ref"))
 
 
+def first_of(table: list[tuple[str, str | None]]) -> Column:
+    """What stands beside the first condition of a table that holds; null if none does, or if null stands there."""
+    found = F.array(*[F.struct(F.expr(condition).alias("holds"), F.lit(value).cast("string").alias("value")) for condition, value in table])
+    return F.get(F.filter(found, lambda r: r["holds"]), 0)["value"]
+
+
 def report(*rules: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), rules)
 

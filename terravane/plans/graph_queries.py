@@ -154,13 +154,25 @@ def _(w):
     return m.select("node", (-F.col("m.x")).alias("a"), (-F.col("m.y")).alias("b"))
 
 
-@query("g23_traffic_control", f""", {_LEGS}, o AS (SELECT a.*, coalesce((SELECT max(b.rank) FROM legs b WHERE b.node = a.node AND b.leg <> a.leg), 0) AS major, count(*) OVER (PARTITION BY node) AS n, sum(CASE WHEN type IN ('arterial', 'main_street') THEN 1 ELSE 0 END) OVER (PARTITION BY node) AS big FROM legs a)
-SELECT leg, node, CASE WHEN type = 'freeway' THEN NULL WHEN urban AND n >= 4 AND big >= 3 THEN 'all_stop' WHEN rank >= major THEN NULL WHEN rank <= 4 AND major >= 5 THEN 'stop' WHEN rank = 5 AND major >= 6 THEN 'stop' WHEN rank <= 3 AND major = 4 THEN 'yield' END AS control FROM o""")
+def _warranted(w):
+    """Junctions of three legs or more without a freeway, where big roads meet each other or a collector, with a score."""
+    s = _legs(w).groupBy("node").agg(F.count("*").alias("n"), F.bool_or(F.col("type") == "freeway").alias("f"), F.count_if(F.col("type").isin("arterial", "highway")).alias("big"), F.count_if(F.col("type") == "collector").alias("mid"))
+    return s.where("n >= 3 and not f and big >= 1 and big + mid >= 2").select("node", (F.col("big") + 3).alias("score"))
+
+
+_WARRANT = "sig AS (SELECT node, 3 + big AS score FROM (SELECT node, count(*) AS n, bool_or(type = 'freeway') AS f, count(*) FILTER (WHERE type IN ('arterial', 'highway')) AS big, count(*) FILTER (WHERE type = 'collector') AS mid FROM legs GROUP BY 1) WHERE n >= 3 AND NOT f AND big >= 1 AND big + mid >= 2)"
+
+
+@query("g23_traffic_control", f""", {_LEGS}, {_WARRANT}, k AS (SELECT leg, node, urban, leg % 5 = 0 AND leg // 10000000 = node AS outbound, CASE WHEN leg % 7 = 3 THEN 'ramp' WHEN leg % 11 = 0 THEN 'main_street' ELSE type END AS type, CASE WHEN leg % 7 = 3 THEN 0.5 ELSE rank END AS rank FROM legs),
+o AS (SELECT a.*, coalesce((SELECT max(b.rank) FROM k b WHERE b.node = a.node AND b.leg <> a.leg), 0) AS major, count(*) OVER (PARTITION BY node) AS n, sum(CASE WHEN type IN ('arterial', 'main_street') THEN 1 ELSE 0 END) OVER (PARTITION BY node) AS big FROM k a)
+SELECT leg, node, CASE WHEN type IN ('driveway', 'freeway') OR outbound THEN NULL WHEN node IN (SELECT node FROM sig WHERE score >= 5) THEN 'signal' WHEN urban AND n >= 4 AND big >= 3 THEN 'all_stop' WHEN type = 'ramp' THEN CASE WHEN major >= 5 THEN 'stop' END WHEN rank >= major THEN NULL WHEN rank <= 4 AND major >= 5 THEN 'stop' WHEN rank = 5 AND major >= 6 THEN 'stop' WHEN rank <= 3 AND major = 4 THEN 'yield' END AS control FROM o""")
 def _(w):
-    return G.traffic_control(_legs(w).withColumn("dense", F.col("urban"))).select("leg", "node", "control")
+    """Some legs are ramps, some main streets, some one-way away from their source; junctions with a warrant of 5 have signals."""
+    known = F.when(F.col("leg") % 7 == 3, "ramp").when(F.col("leg") % 11 == 0, "main_street").otherwise(F.col("type"))
+    legs = _legs(w).withColumns({"type": known, "dense": F.col("urban"), "outbound": (F.col("leg") % 5 == 0) & (F.expr("leg div 10000000") == F.col("node"))})
+    return G.traffic_control(legs, _warranted(w).where("score >= 5")).select("leg", "node", "control")
 
 
-@query("g24_signal_candidates", f", {_LEGS}, s AS (SELECT node, count(*) AS n, bool_or(type = 'freeway') AS f, count(*) FILTER (WHERE type IN ('arterial', 'highway')) AS big, count(*) FILTER (WHERE type = 'collector') AS mid FROM legs GROUP BY 1) SELECT node, 3 + big AS score FROM s WHERE n >= 3 AND NOT f AND big >= 1 AND big + mid >= 2")
+@query("g24_signal_candidates", f", {_LEGS}, {_WARRANT} SELECT node, score FROM sig")
 def _(w):
-    s = _legs(w).groupBy("node").agg(F.count("*").alias("n"), F.bool_or(F.col("type") == "freeway").alias("f"), F.count_if(F.col("type").isin("arterial", "highway")).alias("big"), F.count_if(F.col("type") == "collector").alias("mid"))
-    return s.where("n >= 3 and not f and big >= 1 and big + mid >= 2").select("node", (F.col("big") + 3).alias("score"))
+    return _warranted(w)

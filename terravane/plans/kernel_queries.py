@@ -83,70 +83,6 @@ def _(w):
     return _line(w, kernel)
 
 
-def _component_edges(w):
-    from ..operators import graph as G
-
-    return w.gedge.join(G.components(w.gedge), F.col("src") == F.col("node")).select("component", "eid", "src", "dst", "len")
-
-
-def _with_ends(w, edges, *columns):
-    """The edges with columns of the nodes at both ends; every 17th node is pinned."""
-    nodes = w.gnode.withColumn("pinned", F.col("node") % 17 == 0)
-    for end in ("src", "dst"):
-        edges = edges.join(nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns)), end)
-    return edges
-
-
-@query("g20_height_relaxation")
-def _(w):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = np.array(sorted({*pdf.src, *pdf.dst}))
-        a, b = np.searchsorted(nodes, pdf.src), np.searchsorted(nodes, pdf.dst)
-        start, pinned = np.zeros(len(nodes)), np.zeros(len(nodes), bool)
-        for at, end in ((a, "src"), (b, "dst")):
-            start[at], pinned[at] = pdf[f"{end}_y"], pdf[f"{end}_pinned"]
-        z = K.relax_heights(start, pinned, a, b, pdf.len.to_numpy(float))
-        return pd.DataFrame({"component": pdf.component.iloc[0], "node": nodes, "z": z})
-
-    return _with_ends(w, _component_edges(w), "y", "pinned").groupBy("component").applyInPandas(run, "component long, node long, z double")
-
-
-@query("g08_near_miss_repair")
-def _(w):
-    """Dead ends within 40 of each other, in different components, joined pairwise: mutual best by distance."""
-    from ..operators import graph as G
-    from ..operators import spatial as P
-
-    ends = w.gnode.join(G.degrees(w.gedge).where("degree = 1"), "node").join(G.components(w.gedge), "node")
-    a, b = ends.select(F.col("node").alias("a"), F.col("component").alias("ca"), "x", "y"), ends.select(F.col("node").alias("b"), F.col("component").alias("cb"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    near = P.within(a, b, 40.0, bx="bx", by="by").where("ca <> cb")
-    best = near.groupBy("a").agg(F.min(F.struct("dist", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    return best.alias("p").join(best.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).where("a < b")
-
-
-@query("g09_contract_short_edges")
-def _(w):
-    """Short edges between junctions shrink to their component's smallest node."""
-    from ..operators import graph as G
-
-    d = G.degrees(w.gedge).where("degree >= 2").select("node")
-    short = w.gedge.where("len < 20").join(d.withColumnRenamed("node", "src"), "src").join(d.withColumnRenamed("node", "dst"), "dst").select("src", "dst")
-    return w.gnode.join(G.components(short), "node", "left").select("node", F.coalesce("component", "node").alias("merged"))
-
-
-@query("g10_sharp_angle_repair")
-def _(w):
-    """Of two legs that meet under 25 degrees the lower in rank is marked to go."""
-    from pyspark.sql import Window
-
-    from ..operators import sequence as Q
-    from .graph_queries import _legs
-
-    by = Window.partitionBy("node").orderBy("bearing", "leg")
-    l = Q.circular_gaps(_legs(w), "node", "bearing").withColumns({"next": F.lead("leg").over(by), "next_rank": F.lead("rank").over(by)})
-    return l.where("gap < 25 and next is not null").select("node", F.when(F.col("rank") < F.col("next_rank"), F.col("leg")).otherwise(F.col("next")).alias("leg")).distinct()
-
-
 @query("g21_virtual_links")
 def _(w):
     from ..operators import spatial as P
@@ -175,51 +111,6 @@ def _cells(z):
 CELLS = "iy long, ix long, z double"
 
 
-@query("g19_skeleton_graph")
-def _(w):
-    def kernel(z):
-        s = K.thin(z > 300)
-        p = np.pad(s, 1)
-        n = sum(np.roll(np.roll(p, i, 0), j, 1) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)[1:-1, 1:-1]
-        iy, ix = np.nonzero(s)
-        return pd.DataFrame({"iy": iy, "ix": ix, "degree": n[iy, ix]})
-
-    return whole(w, kernel, "iy long, ix long, degree long")
-
-
-@query("r09_vectorise")
-def _(w):
-    def kernel(z):
-        rings = K.outline(z > 320)
-        return pd.DataFrame([(i, k, x, y) for i, r in enumerate(rings) for k, (x, y) in enumerate(r)], columns=["ring", "k", "x", "y"])
-
-    return whole(w, kernel, "ring long, k long, x long, y long")
-
-
-@query("r11_skeleton")
-def _(w):
-    return whole(w, lambda z: _cells(K.thin(z > 300)).query("z > 0"), CELLS)
-
-
-@query("r12_orientation")
-def _(w):
-    def kernel(z):
-        a, s = K.orientation(z)
-        return _cells(a).assign(strength=s.ravel())
-
-    return whole(w, kernel, CELLS + ", strength double")
-
-
-@query("r15_harmonic_fill")
-def _(w):
-    return whole(w, lambda z: _cells(K.harmonic_fill(z, z < 320)), CELLS)
-
-
-@query("r16_pull_push")
-def _(w):
-    return whole(w, lambda z: _cells(K.pull_push(z, z < 320)), CELLS)
-
-
 @query("r17_erosion")
 def _(w):
     return whole(w, lambda z: _cells(K.erode(z, 5, 0.02, 40.0)), CELLS)

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import paths, terrain
+from ..operators import contours, fill, heights, paths, raster, terrain
+from ..operators.repair import Repair
 from .registry import query
 
 R = F.round
@@ -36,3 +37,140 @@ def _(w):
 def _(w):
     """Every cell drains to the rim or to water (class 4), whose cells stay as they are."""
     return terrain.breached(w.ras.select("ix", "iy", "v", (F.col("cls") == 4).alias("wet")), "v", 3.0, 2e-3, F.col("wet"))
+
+
+#: Means by blocks of 2, 4 ... 128 cells, each of the means of its parts.
+_BLOCKS = ", ".join(["k0 AS (SELECT ix, iy, CASE WHEN v < 320 THEN CAST(v AS DOUBLE) END AS v FROM ras)"] + [f"k{i} AS (SELECT ix // 2 AS ix, iy // 2 AS iy, avg(v) AS v FROM k{i - 1} GROUP BY 1, 2)" for i in range(1, 8)])
+
+
+@query("r16_pull_push", f", {_BLOCKS} SELECT k0.ix, k0.iy, round(coalesce({', '.join(f'k{i}.v' for i in range(8))}), 6) AS z FROM k0 {' '.join(f'JOIN k{i} ON k{i}.ix = k0.ix // {1 << i} AND k{i}.iy = k0.iy // {1 << i}' for i in range(1, 8))}")
+def _(w):
+    """Cells from 320 on are unknown and take the means of ever larger blocks."""
+    known = w.ras.select("ix", "iy", "v", (F.col("v") < 320).alias("known"))
+    return raster.pull_push(known, "v", "known", "z").select("ix", "iy", R("z", 6).alias("z"))
+
+
+def _street_graph(w) -> Repair:
+    """Streets ranked 1 to 3 by their kind; kind 0 is closed to repairs."""
+    return Repair(w.snode, w.street.select("eid", "src", "dst", (F.col("kind") % 3 + 1).alias("rank"), F.col("kind").cast("string").alias("kind")))
+
+
+def _repaired(g: Repair):
+    """The edges of the last version, with the version that made them (null for those of the first)."""
+    return g.edges.select("eid", "src", "dst", "rank", (F.col("eid") < 0).alias("new"))
+
+
+@query("g08_near_miss_repair")
+def _(w):
+    """Streets with dead ends linked to what lies ahead, within 60, 50 or 40 by rank."""
+    g = _street_graph(w)
+    g.connect_near_misses({3: 60.0, 2: 50.0, 1: 40.0}, closed=("0",), box=(50.0, 50.0, 1e9, 1e9))
+    return _repaired(g)
+
+
+@query("g09_contract_short_edges")
+def _(w):
+    """Streets with those shorter than 50 between junctions contracted."""
+    g = _street_graph(w)
+    g.contract_short(50.0, closed=("0",))
+    return _repaired(g)
+
+
+@query("g10_sharp_angle_repair")
+def _(w):
+    """Streets with legs that enclose less than 50 degrees parted where they are 30 apart."""
+    g = _street_graph(w)
+    g.part_sharp_legs(50.0, 30.0, 60.0, 90.0, closed=("0",))
+    return _repaired(g)
+
+
+@query("g08_edit_log")
+def _(w):
+    """What all three repairs do to the streets, one after the other."""
+    g = _street_graph(w)
+    g.connect_near_misses({3: 60.0, 2: 50.0, 1: 40.0}, closed=("0",), box=(50.0, 50.0, 1e9, 1e9))
+    g.contract_short(50.0, closed=("0",))
+    g.part_sharp_legs(50.0, 30.0, 60.0, 90.0, closed=("0",))
+    return g.log
+
+
+@query("g20_height_relaxation")
+def _(w):
+    """Corners near heights that vary a lot, at most 12 in 100 along streets; every 17th is pinned to a plain that falls by 4 in 100."""
+    plain, pinned = F.col("x") * 0.02 + F.col("y") * 0.02, F.col("node") % 17 == 0
+    nodes = w.snode.select("node", F.when(pinned, plain).otherwise(plain + F.col("node") * 7919 % 41 - 20).alias("z"), pinned.alias("pinned"))
+    length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    return heights.relaxed(nodes, w.street.select("src", "dst", (length * 0.12).alias("limit"))).withColumn("z", R("z", 6))
+
+
+#: Sides of set cells without a set cell across; each goes on with its own cell's next side, or the only one that starts where it ends.
+_OUTLINE = """c AS (SELECT ix, iy, iy * 100 + ix AS n FROM ras WHERE v > 320), u(a, b) AS (SELECT p.n, q.n FROM c p JOIN c q ON abs(p.ix - q.ix) + abs(p.iy - q.iy) = 1), r(a, b) AS (SELECT n, n FROM c UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b), lab AS (SELECT a AS n, min(b) AS region FROM r GROUP BY a),
+s AS (SELECT n, ix, iy, side, nx, ny, x, y, tx, ty FROM c, LATERAL (VALUES (0, ix, iy - 1, ix, iy, ix + 1, iy), (1, ix + 1, iy, ix + 1, iy, ix + 1, iy + 1), (2, ix, iy + 1, ix + 1, iy + 1, ix, iy + 1), (3, ix - 1, iy, ix, iy + 1, ix, iy)) t(side, nx, ny, x, y, tx, ty)),
+e AS (SELECT ((iy::BIGINT << 31) | ix) * 4 + side AS h, n, side, x, y, tx, ty FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.ix = nx AND c.iy = ny)),
+turn AS (SELECT a.h, arg_min(b.h, (CASE WHEN b.n = a.n THEN 0 ELSE 1 END, b.h)) AS nxt FROM e a JOIN e b ON b.x = a.tx AND b.y = a.ty GROUP BY a.h),
+walk(ring, cur) AS (SELECT h, nxt FROM turn UNION ALL SELECT ring, nxt FROM walk JOIN turn ON turn.h = cur WHERE cur > ring),
+k(ring, place, h) AS (SELECT ring, 0, ring FROM walk WHERE cur = ring UNION ALL SELECT ring, place + 1, nxt FROM k JOIN turn USING (h) WHERE nxt <> ring),
+o AS (SELECT ring, place, region, x, y, side, h % 4 <> (SELECT t.h % 4 FROM turn t WHERE t.nxt = k.h) AS corner FROM k JOIN e USING (h) JOIN lab USING (n)),
+ar AS (SELECT ring, min(region) AS region, sum(x * (CASE side WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END) - y * (CASE side WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END)) / 2 AS area FROM o GROUP BY ring)"""
+
+
+@query("r09_vectorise", f", {_OUTLINE}, big AS (SELECT * FROM ar WHERE abs(area) >= 2) SELECT region, ring, area < 0 AS hole, CAST(place AS BIGINT) AS place, x, y FROM o JOIN (SELECT ring, area FROM big WHERE region IN (SELECT region FROM big WHERE area > 0)) b USING (ring) WHERE corner")
+def _(w):
+    """Shells and holes of the regions above 320, from two cells on, as corners in order."""
+    return contours.polygons(w.ras.where("v > 320").select("ix", "iy"), 100, 2.0)
+
+
+@query("r09_simplified_polygons")
+def _(w):
+    """The same, simplified to two cells."""
+    return contours.polygons(w.ras.where("v > 320").select("ix", "iy"), 100, 2.0, 2.0)
+
+
+@query("r11_skeleton")
+def _(w):
+    return contours.skeleton(w.ras.where("v > 300"), 32, 8)
+
+
+@query("g19_skeleton_graph")
+def _(w):
+    """The edges of the skeleton's graph."""
+    return contours.skeleton_graph(contours.skeleton(w.ras.where("v > 300"), 32, 8))[1].withColumn("length", R("length", 4))
+
+
+def _blur_sql(name: str, source: str, sigma: float) -> str:
+    """The weighted means of contours.blurred as two relations."""
+    out, weights = [], contours.gaussian_weights(sigma)
+    for k, (a, b) in enumerate((("iy", "ix"), ("ix", "iy"))):
+        at = [(weights[abs(i)], f"lag(v, {-i}) OVER w" if i < 0 else f"lead(v, {i}) OVER w".replace("lead(v, 0) OVER w", "v")) for i in range(1 - len(weights), len(weights))]
+        total = " + ".join(f"coalesce({v} * CAST({x!r} AS DOUBLE), 0)" for x, v in at)
+        share = " + ".join(f"CASE WHEN {v} IS NULL THEN 0 ELSE CAST({x!r} AS DOUBLE) END" for x, v in at)
+        out.append(f"{name}{k} AS (SELECT ix, iy, ({total}) / ({share}) AS v FROM {source if not k else name + '0'} WINDOW w AS (PARTITION BY {a} ORDER BY {b}))".replace("lag(v, -", "lag(v, "))
+    return ", ".join(out)
+
+
+def _ridge_sql(name: str, blurred: str, sigma: float) -> str:
+    return f"""{name}d AS (SELECT ix, iy, coalesce(lag(v) OVER r - 2 * v + lead(v) OVER r, 0) AS xx, coalesce(lag(v) OVER c - 2 * v + lead(v) OVER c, 0) AS yy, lead(v) OVER r - lag(v) OVER r AS dx FROM {blurred} WINDOW r AS (PARTITION BY iy ORDER BY ix), c AS (PARTITION BY ix ORDER BY iy)),
+{name} AS (SELECT ix, iy, {sigma**2} * greatest(0, sqrt(power((xx - yy) / 2, 2) + power(xy, 2)) - (xx + yy) / 2) AS s FROM (SELECT *, coalesce((lead(dx) OVER c - lag(dx) OVER c) / 4, 0) AS xy FROM {name}d WINDOW c AS (PARTITION BY ix ORDER BY iy)))"""
+
+
+@query("r12_ridges", f", {_blur_sql('ba', '(SELECT ix, iy, CAST(v AS DOUBLE) AS v FROM ras)', 1.0)}, {_ridge_sql('ra', 'ba1', 1.0)}, {_blur_sql('bb', '(SELECT ix, iy, CAST(v AS DOUBLE) AS v FROM ras)', 2.0)}, {_ridge_sql('rb', 'bb1', 2.0)} SELECT ix, iy, round(greatest(ra.s, rb.s), 5) AS ridge FROM ra JOIN rb USING (ix, iy)")
+def _(w):
+    """How much each cell is on a crest, at two widths."""
+    return contours.ridges(w.ras.select("ix", "iy", F.col("v").cast("double").alias("v")), "v", "ridge").select("ix", "iy", R("ridge", 5).alias("ridge"))
+
+
+@query("r12_orientation", """, g AS (SELECT ix, iy, CASE WHEN lag(v) OVER r IS NULL THEN lead(v) OVER r - v WHEN lead(v) OVER r IS NULL THEN v - lag(v) OVER r ELSE (lead(v) OVER r - lag(v) OVER r) / 2.0 END AS gx, CASE WHEN lag(v) OVER c IS NULL THEN lead(v) OVER c - v WHEN lead(v) OVER c IS NULL THEN v - lag(v) OVER c ELSE (lead(v) OVER c - lag(v) OVER c) / 2.0 END AS gy FROM ras WINDOW r AS (PARTITION BY iy ORDER BY ix), c AS (PARTITION BY ix ORDER BY iy)),
+t AS (SELECT a.ix, a.iy, avg(b.gx * b.gx) AS xx, avg(b.gy * b.gy) AS yy, avg(b.gx * b.gy) AS xy FROM g a JOIN g b ON abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 GROUP BY 1, 2)
+SELECT ix, iy, round(degrees(0.5 * atan2(2 * xy, xx - yy)), 4) AS angle, round(sqrt(power(xx - yy, 2) + power(2 * xy, 2)), 4) AS strength FROM t""")
+def _(w):
+    """Direction in degrees (-90 to 90) and strength of the structure tensor, from gradients averaged over 3 by 3 cells."""
+    g = raster.gradient(w.ras.select("ix", "iy", F.col("v").cast("double").alias("v")), "v").withColumns({"xx": F.col("gx") * F.col("gx"), "yy": F.col("gy") * F.col("gy"), "xy": F.col("gx") * F.col("gy")})
+    for c in ("xx", "yy", "xy"):
+        g = raster.blur(g, c, c, 1)
+    return g.select("ix", "iy", R(F.degrees(0.5 * F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy"))), 4).alias("angle"), R(F.hypot(F.col("xx") - F.col("yy"), 2 * F.col("xy")), 4).alias("strength"))
+
+
+@query("r15_harmonic_fill")
+def _(w):
+    """Cells from 320 on are unknown; tiles of 32 cells, so that borders are crossed."""
+    return fill.harmonic(w.ras.withColumn("known", F.col("v") < 320), "v", "known", "z", 1e-6, 32).withColumn("z", R("z", 4))

@@ -178,8 +178,6 @@ def test_search_and_fill_kernels():
     known[:, [0, 3]] = True
     z = np.tile([0.0, 0, 0, 3.0], (4, 1))
     assert np.allclose(kernels.harmonic_fill(z, known)[1], [0, 1, 2, 3])
-    assert np.allclose(kernels.pull_push(np.full((4, 4), 7.0), known), 7)
-    assert len(kernels.outline(np.array([[1, 1], [1, 1]]))[0]) == 8
     w, h, _ = kernels.least_rectangle(np.array([[0, 0], [4, 0], [4, 2], [0, 2], [1, 1.0]]))
     assert sorted((round(w, 6), round(h, 6))) == [2.0, 4.0]
 
@@ -206,19 +204,6 @@ def test_unfinished_loops_fail(spark):
         placement.spaced(line, "id", "s", 1.5, 1)
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.integers(3, 9), st.integers(3, 9), st.integers(0, 10**6), st.floats(0, 5))
-def test_breached_terrain_drains(h, w, seed, most):
-    z = np.random.default_rng(seed).integers(0, 12, (h, w)).astype(float)
-    out = kernels.breach(z, most, 0.01)
-    for y in range(1, h - 1):
-        for x in range(1, w - 1):
-            near = out[y - 1 : y + 2, x - 1 : x + 2]
-            assert near.min() <= out[y, x] - 0.01 + 1e-9  # a way down
-    assert (z - out).max() <= most + 1e-9
-    assert np.allclose(kernels.breach(z, 0.0, 0.01), kernels.flood(z, np.pad(np.zeros((h - 2, w - 2), bool), 1, constant_values=True), 0.01)[0])
-
-
 @settings(max_examples=30, deadline=None)
 @given(st.integers(2, 9), st.integers(2, 9), st.integers(0, 10**6))
 def test_harmonic_fill_is_the_mean_of_neighbours(h, w, seed):
@@ -230,10 +215,3 @@ def test_harmonic_fill_is_the_mean_of_neighbours(h, w, seed):
     for y, x in zip(*np.nonzero(~known)):
         near = [out[b, a] for b, a in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)) if 0 <= b < h and 0 <= a < w]
         assert abs(out[y, x] - np.mean(near)) < 1e-5
-
-
-def test_orientation_has_no_wrapped_rim():
-    z = np.zeros((12, 12))
-    z[:, 9:] = np.arange(12)[:, None] * 5.0
-    angle, strength = kernels.orientation(z)
-    assert (strength[:, :6] == 0).all()

@@ -219,3 +219,102 @@ def test_least_cost_paths(spark):
     assert path[0] == (0.0, *a) and path[-1][1:] == b and math.isclose(path[-1][0], want[b], rel_tol=1e-12)
     assert all(max(abs(p[1] - q[1]), abs(p[2] - q[2])) == 1 for p, q in zip(path, path[1:])) and len(path) > 80
     assert all(math.isclose(q[0] - p[0], math.hypot(p[1] - q[1], p[2] - q[2]) * (cost[p[1:]] + cost[q[1:]]) / 2, rel_tol=1e-6, abs_tol=1e-9) for p, q in zip(path, path[1:]))
+
+
+def test_heights_keep_limits_and_pins(spark):
+    from terravane.operators import heights
+
+    rng = random.Random(12)
+    edges = [(a, b, rng.uniform(0.5, 4.0)) for _, a, b in lattice(9, 9, 8, 0.8)[0]]
+    z = {n: rng.uniform(0, 30) for n in range(80)}
+    way = {(a, b): min(w for p, q, w in edges if {p, q} == {a, b}) for a, b, _ in edges}
+    d = np.full((80, 80), np.inf)
+    np.fill_diagonal(d, 0)
+    for (a, b), w in way.items():
+        d[a, b] = d[b, a] = min(w, d[a, b])
+    for k in range(80):
+        d = np.minimum(d, d[:, [k]] + d[[k]])
+    pins = {}
+    for n in rng.sample(range(72), 30):  # heights that don't contradict those before
+        lo = max((v - d[n, p] for p, v in pins.items()), default=-np.inf)
+        hi = min((v + d[n, p] for p, v in pins.items()), default=np.inf)
+        pins[n] = float(min(max(z[n], lo), hi))
+    z |= pins
+    nodes = spark.createDataFrame([(n, v, n in pins) for n, v in z.items()], "node long, z double, pinned boolean")
+    got = {r.node: r.z for r in heights.relaxed(nodes, spark.createDataFrame(edges, "src long, dst long, limit double")).collect()}
+    assert set(got) == set(z) and all(math.isclose(got[n], v, abs_tol=1e-9) for n, v in pins.items())
+    assert all(abs(got[a] - got[b]) <= w + 1e-9 for a, b, w in edges) and sum(abs(got[n] - z[n]) > 0.1 for n in z) > 10
+    hi = np.array([min([z[n]] + [v + d[n, p] for p, v in pins.items()]) for n in range(80)])
+    c = np.maximum(hi, [max([-np.inf] + [v - d[n, p] for p, v in pins.items()]) for n in range(80)])
+    want = ((c[:, None] + d).min(0) + (c[:, None] - d).max(0)) / 2
+    assert all(math.isclose(got[n], want[n], abs_tol=1e-9) for n in got)
+    bad = spark.createDataFrame([(1, 0.0, True), (2, 9.0, True)], "node long, z double, pinned boolean")
+    with pytest.raises(ValueError):
+        heights.relaxed(bad, spark.createDataFrame([(1, 2, 1.0)], "src long, dst long, limit double"))
+
+
+@pytest.mark.parametrize("share, side", [(0.05, 16), (0.002, 20)])
+def test_harmonic_fill_over_tiles(spark, share, side):
+    from terravane.operators import fill, kernels
+
+    rng, shape = np.random.default_rng(5), (44, 50)
+    z, known = rng.random(shape) * 100, rng.random(shape) < share
+    known[0, 0] = known[-1, -1] = True
+    got = array_of(fill.harmonic(raster(spark, v=z, known=known), "v", "known", "z", 1e-7, side), shape, "z")
+    assert np.array_equal(got[known], z[known]) and np.abs(got - kernels.harmonic_fill(z, known)).max() < 1e-3
+    p, n = np.pad(got, 1), np.pad(np.ones(shape), 1)
+    around = lambda a: a[:-2, 1:-1] + a[2:, 1:-1] + a[1:-1, :-2] + a[1:-1, 2:]
+    assert np.abs(around(p) - around(n) * got)[~known].max() <= 1e-7 + 1e-12
+
+
+def test_skeletons_over_tiles(spark):
+    from terravane.operators import contours
+
+    rng = np.random.default_rng(6)
+    mask = np.kron(rng.random((9, 8)) < 0.6, np.ones((5, 6))) > 0
+    whole = mask
+    while True:
+        after = contours._thinned(whole, 2).astype(bool)
+        if np.array_equal(after, whole):
+            break
+        whole = after
+    got = np.zeros(mask.shape, bool)
+    found = contours.skeleton(raster(spark, m=mask).where("m"), 9, 4)
+    for r in found.collect():
+        got[r.iy, r.ix] = True
+    assert np.array_equal(got, whole) and 0 < got.sum() < mask.sum()
+    nodes, edges = contours.skeleton_graph(found)
+    n, e = nodes.collect(), edges.collect()
+    assert sum(r.cells for r in n) + sum(r.cells for r in e) == got.sum()
+    ids = {r.node for r in n}
+    assert all(r.a in ids and r.b in ids for r in e if r.a is not None) and len(e) > 5
+
+
+def test_outlines_and_simplification(spark):
+    from terravane.operators import contours
+
+    mask = np.zeros((30, 40), bool)
+    mask[3:27, 3:37] = True
+    mask[8:20, 8:30] = False  # a hole with an island, and cells that touch at a corner
+    mask[12:15, 12:16] = True
+    mask[27, 37] = True
+    rows = contours.polygons(raster(spark, m=mask).where("m"), 40).collect()
+    rings = {}
+    for r in rows:
+        rings.setdefault((r.ring, r.region, r.hole), []).append((r.place, r.x, r.y))
+    areas = {}
+    for k, v in rings.items():
+        p = [x[1:] for x in sorted(v)]
+        areas[k] = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1])) / 2
+    big = 3 * 40 + 3
+    assert sorted(areas.values()) == [-264.0, 1.0, 12.0, 816.0]
+    assert {k[1] for k, a in areas.items() if a in (-264.0, 816.0)} == {big} and all(k[2] == (a < 0) for k, a in areas.items())
+    assert all(len(v) == 4 for v in rings.values())
+    assert {r.region for r in contours.polygons(raster(spark, m=mask).where("m"), 40, 15.0).collect()} == {big}
+    iy, ix = np.indices((60, 60))
+    disc = np.hypot(ix - 30, iy - 30) < 25
+    full = contours.polygons(raster(spark, m=disc).where("m"), 60)
+    few = [(r.place, r.x, r.y) for r in contours.simplified(full, 1.5).collect()]
+    p = [x[1:] for x in sorted(few)]
+    area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1])) / 2
+    assert 4 <= len(few) < full.count() / 3 and abs(area - disc.sum()) < 0.05 * disc.sum()
