@@ -25,36 +25,21 @@ def per_line(df: DataFrame, line: str, order: str, columns: list[str], kernel: C
 
 
 def robust_smooth(x: np.ndarray, y: np.ndarray, sigma: float, scale: float, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted Gaussian means whose weights fall with the distance from the last result; ends stay."""
-    n = len(x)
+    """Weighted Gaussian means over five sigmas whose weights fall with the distance from the last result; ends stay."""
+    n, reach = len(x), int(np.ceil(5 * sigma))
     if n < 5:
         return x, y
-    near = np.exp(-0.5 * ((np.arange(n)[:, None] - np.arange(n)[None, :]) / sigma) ** 2)
+    near = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    mean = lambda v: np.convolve(v, near)[reach : reach + n]
     w, px, py = np.ones(n), x, y
     for _ in range(rounds):
-        k = near * w
-        total = k.sum(1)
-        px, py = k @ x / total, k @ y / total
+        total = mean(w)
+        px, py = mean(w * x) / total, mean(w * y) / total
         px[[0, -1]], py[[0, -1]] = x[[0, -1]], y[[0, -1]]
         w = 1 / (1 + (np.hypot(x - px, y - py) / scale) ** 2)
     return px, py
 
 
-def pinned_profile(z: np.ndarray, floor: np.ndarray, pinned: np.ndarray, grade: float, rounds: int = 40) -> np.ndarray:
-    """Smooths toward a profile within the grade and above the floor, pinned samples fixed; then one strict pass each way."""
-    out = np.where(pinned, z, np.maximum(z, floor))
-    for _ in range(rounds):
-        mid = out.copy()
-        mid[1:-1] = 0.5 * out[1:-1] + 0.25 * (out[:-2] + out[2:])
-        out = np.where(pinned, z, np.maximum(mid, floor))
-    for order in (range(1, len(out)), range(len(out) - 2, -1, -1)):
-        step = -1 if order.step == 1 else 1
-        for i in order:
-            if not pinned[i]:
-                out[i] = min(max(out[i], out[i + step] - grade), out[i + step] + grade)
-    return out
-
-
 def ease_turns(x: np.ndarray, y: np.ndarray, most: float, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Shares turns over `most` radians at a vertex with its neighbours until none is left; the ends and the length of steps stay."""
     if len(x) < 4:
@@ -76,12 +61,31 @@ def ease_turns(x: np.ndarray, y: np.ndarray, most: float, rounds: int = 4000) ->
 
 
 def whittaker(z: np.ndarray, penalty: np.ndarray) -> np.ndarray:
-    """Minimises sum (z - v)^2 + sum penalty * (second difference of v)^2."""
+    """Minimises sum (z - v)^2 + sum penalty * (second difference of v)^2 by a solve within five bands."""
     n = len(z)
     if n < 3:
         return z
-    d = np.diff(np.eye(n), 2, axis=0)
-    return np.linalg.solve(np.eye(n) + d.T @ (penalty[1:-1, None] * d), z)
+    p = penalty[1:-1].astype(float)
+    bands = np.zeros((3, n))  # of the symmetric matrix: the diagonal and those one and two above it
+    bands[0] = 1
+    for k, c in enumerate((1.0, -2.0, 1.0)):
+        bands[0, k : n - 2 + k] += c * c * p
+    bands[1, : n - 2] -= 2 * p
+    bands[1, 1 : n - 1] -= 2 * p
+    bands[2, : n - 2] += p
+    d, one, two = bands[0].tolist(), bands[1].tolist(), bands[2].tolist()
+    v = z.astype(float).tolist()
+    for i in range(n):  # down
+        for k, row in ((1, one), (2, two)):
+            if i + k < n:
+                share = row[i] / d[i]
+                d[i + k] -= share * row[i]
+                if k == 1 and i + 2 < n:
+                    one[i + 1] -= share * two[i]
+                v[i + k] -= share * v[i]
+    for i in range(n - 1, -1, -1):  # and up
+        v[i] = (v[i] - (one[i] * v[i + 1] if i + 1 < n else 0.0) - (two[i] * v[i + 2] if i + 2 < n else 0.0)) / d[i]
+    return np.array(v)
 
 
 def simplify(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
@@ -191,35 +195,6 @@ def harmonic_fill(z: np.ndarray, known: np.ndarray, close: float = 1e-9) -> np.n
     return np.where(known, z, u)
 
 
-def erode(z: np.ndarray, steps: int, rate: float, talus: float) -> np.ndarray:
-    """Stream-power cutting along steepest falls, then slopes over the talus settled, for a fixed number of steps."""
-    z = z.astype(float).copy()
-    for _ in range(steps):
-        order = np.argsort(-z, axis=None)
-        area = np.ones(z.size)
-        h, w = z.shape
-        to = np.full(z.size, -1)
-        for c in order:
-            y, x = divmod(int(c), w)
-            best, drop = -1, 0.0
-            for yy, xx in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-                if 0 <= yy < h and 0 <= xx < w and z[y, x] - z[yy, xx] > drop:
-                    best, drop = yy * w + xx, z[y, x] - z[yy, xx]
-            to[c] = best
-            if best >= 0:
-                area[best] += area[c]
-        fall = np.where(to >= 0, z.ravel() - z.ravel()[to], 0)
-        z = z - np.minimum(rate * np.sqrt(area) * fall, 0.5 * fall).reshape(h, w)
-        for axis in (0, 1):
-            d = np.diff(z, axis=axis)
-            over = np.sign(d) * np.maximum(np.abs(d) - talus, 0) / 4
-            lo, hi = [slice(None)] * 2, [slice(None)] * 2
-            lo[axis], hi[axis] = slice(None, -1), slice(1, None)
-            z[tuple(lo)] += over
-            z[tuple(hi)] -= over
-    return z
-
-
 def hull(points: np.ndarray) -> np.ndarray:
     """Convex hull, against the clock, of points (n, 2)."""
     p = np.unique(points, axis=0)

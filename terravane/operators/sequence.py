@@ -40,6 +40,24 @@ def cut_only(df: DataFrame, value: str, station: str, grade: float, out: str, li
     return df.withColumn(out, F.least(F.min(F.col(value) - s).over(fore) + s, F.min(F.col(value) + s).over(back) - s))
 
 
+def pinned_profile(df: DataFrame, value: str, floor: str, pinned: str, station: str, grade: float, out: str, line: str = "user_id", order: str = "seq") -> DataFrame:
+    """Adds a profile near the values that nowhere climbs or falls by more than grade for each unit of station, lies above the floor, and keeps pinned values.
+
+    It is the middle between the lowest such profile above the values and the highest below them, raised to the lowest one above the floor and held
+    within the cones of the pinned values. Where pins and floor can't both be met pins win; pins that contradict each other aren't met.
+    """
+    ahead = along(line, order).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(line).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    s = F.col(station) * grade
+    above = lambda v: F.greatest(F.max(v + s).over(ahead) - s, F.max(v - s).over(back) + s)
+    below = lambda v: F.least(F.min(v - s).over(ahead) + s, F.min(v + s).over(back) - s)
+    z, f = F.col(value).cast("double"), F.col(floor).cast("double")
+    held = F.when(F.col(pinned), z)
+    parts = df.withColumns({"_up": above(z), "_down": below(z), "_floor": above(f), "_most": below(held), "_least": above(held)})
+    raised = F.greatest((F.col("_up") + F.col("_down")) / 2, F.col("_floor"))
+    return parts.withColumn(out, F.greatest(F.least(raised, F.coalesce("_most", raised)), F.coalesce("_least", raised - 1e300))).drop("_up", "_down", "_floor", "_most", "_least")
+
+
 def two_sided_clamp(values: Column, grade: float) -> Column:
     """Forward pass z(i) = clip(z(i), z(i-1) - g, z(i-1) + g) over an array, as a fold."""
     return F.aggregate(values, F.array().cast("array<double>"), lambda a, z: F.concat(a, F.array(F.when(F.size(a) == 0, z.cast("double")).otherwise(F.least(F.greatest(z.cast("double"), F.try_element_at(a, F.lit(-1)) - grade), F.try_element_at(a, F.lit(-1)) + grade)))))

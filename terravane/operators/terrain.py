@@ -276,3 +276,30 @@ def breached(cells: DataFrame, value: str, most: float, step: float, outlet: Col
     shallow = ~F.col("wet") & (F.col("z") - F.col("_low") <= most)
     trimmed = z.join(carved, "cell").select("cell", F.when(shallow, F.col("_low")).otherwise(F.col("z")).alias("z"))
     return downstream_most(trimmed, to, step).select(*cell_place("cell"), "z")
+
+
+def eroded(cells: DataFrame, value: str, steps: int, rate: float, talus: float) -> DataFrame:
+    """ix, iy, z after so many steps in which streams cut and slopes settle.
+
+    A cell is cut by rate times the root of the area that drains through it times its fall to the lowest of its four neighbours, by half the fall at most; then
+    a quarter of what neighbours along rows, then along columns, differ by beyond the talus moves from the higher to the lower. Areas come by doubling.
+    """
+    from .raster import accumulate, columns, rows
+
+    z = cut(cells.select("ix", "iy", F.col(value).cast("double").alias("z")))
+    for _ in range(steps):
+        near = [(F.lag("z").over(columns()), 0, -1), (F.lead("z").over(columns()), 0, 1), (F.lag("z").over(rows()), -1, 0), (F.lead("z").over(rows()), 1, 0)]
+        # the first of those that tie
+        falls = [F.when(v.isNotNull(), F.struct((F.col("z") - v).alias("fall"), F.lit(-k).alias("k"), (F.col("ix") + dx).alias("rx"), (F.col("iy") + dy).alias("ry"))) for k, (v, dx, dy) in enumerate(near)]
+        best = z.withColumns({f"_f{k}": f for k, f in enumerate(falls)}).withColumn("_best", F.greatest(*[f"_f{k}" for k in range(4)]))
+        down = F.col("_best.fall") > 0
+        flow = cut(best.select("ix", "iy", "z", F.when(down, F.col("_best.rx")).alias("rx"), F.when(down, F.col("_best.ry")).alias("ry"), F.when(down, F.col("_best.fall")).otherwise(0.0).alias("fall")))
+        cutting = flow.join(accumulate(flow.select("ix", "iy", "rx", "ry")), ["ix", "iy"])
+        z = cutting.select("ix", "iy", (F.col("z") - F.least(rate * F.sqrt(F.col("area").cast("double")) * F.col("fall"), 0.5 * F.col("fall"))).alias("z"))
+        for w in (rows(), columns()):
+            ahead = F.lead("z").over(w) - F.col("z")
+            over = F.signum(ahead) * F.greatest(F.abs(ahead) - talus, F.lit(0.0)) / 4
+            moved = z.withColumn("_o", F.coalesce(over, F.lit(0.0)))
+            z = moved.select("ix", "iy", (F.col("z") + F.col("_o") - F.coalesce(F.lag("_o").over(w), F.lit(0.0))).alias("z"))
+        z = cut(z)
+    return z

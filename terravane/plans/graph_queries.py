@@ -75,9 +75,9 @@ def _(w):
 _PRUNE = "SELECT * FROM {0} WHERE NOT (len < 60 AND (src IN (SELECT node FROM (SELECT src AS node FROM {0} UNION ALL SELECT dst FROM {0}) GROUP BY 1 HAVING count(*) = 1) OR dst IN (SELECT node FROM (SELECT src AS node FROM {0} UNION ALL SELECT dst FROM {0}) GROUP BY 1 HAVING count(*) = 1)))"
 
 
-@query("g07_prune_spurs", f", p1 AS ({_PRUNE.format('gedge')}), p2 AS ({_PRUNE.format('p1')}) SELECT eid FROM p2")
+@query("g07_prune_spurs", f", p1 AS ({_PRUNE.format('gedge')}), p2 AS ({_PRUNE.format('p1')}), p3 AS ({_PRUNE.format('p2')}), p4 AS ({_PRUNE.format('p3')}) SELECT eid FROM p4")
 def _(w):
-    return G.prune_spurs(w.gedge, "len", 60, 2).select("eid")
+    return G.prune_spurs(w.gedge, "len", 60, 4).select("eid")
 
 
 @query("g11_drop_duplicates", ", e AS (SELECT g.*, d.rank FROM gedge g JOIN dim d USING (kind)) SELECT eid FROM e a WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.src = a.src AND b.eid <> a.eid AND abs(b.len - a.len) <= 6 AND (b.rank, b.len, b.eid) > (a.rank, a.len, a.eid))")

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import kernels as K
 from ..operators import raster as A
+from ..operators import spatial as P
 from .graph_queries import _REACH
 from .registry import query
+from .spatial_queries import _SEG, _segments
 
 PTS = "user_id long, k long, x double, y double"
 
@@ -25,16 +27,6 @@ def _(w):
     return _line(w, lambda x, y: _numbered(*K.robust_smooth(x, y, 2.0, 200.0)))
 
 
-@query("w09_pinned_profile")
-def _(w):
-    def kernel(z, x):
-        pinned = np.zeros(len(z), bool)
-        pinned[[0, -1]] = True
-        return {"k": np.arange(len(z)), "z": K.pinned_profile(z, x / 10, pinned, 40.0)}
-
-    return _line(w, kernel, "user_id long, k long, z double", ("y", "x"))
-
-
 @query("w18_turn_easing")
 def _(w):
     return _line(w, lambda x, y: _numbered(*K.ease_turns(x, y, 1.2)))
@@ -83,37 +75,12 @@ def _(w):
     return _line(w, kernel)
 
 
-@query("g21_virtual_links")
-def _(w):
-    from ..operators import spatial as P
-    from .spatial_queries import _segments
-
-    near = P.points_near_segments(w.gnode.select(F.col("node").alias("id"), "x", "y"), _segments(w).where("sid % 3 = 0"), 8.0, 40.0)
-    return near.groupBy("a_id").agg(F.min_by("b_sid", F.struct("dist", "b_sid")).alias("sid")).select(F.col("a_id").alias("node"), "sid")
-
-
-#: Cells of a raster that one task may hold; three times those of the largest raster known.
-MOST_CELLS = 4_000_000
-
-
-def whole(w, kernel, schema, value="v"):
-    """Runs kernel(array) -> frame on the whole raster in one task, as paths, rings and fills may cross all of it; refuses more than MOST_CELLS."""
-    if w.ras.count() > MOST_CELLS:
-        raise ValueError(f"a raster of more than {MOST_CELLS} cells")
-    return w.ras.select("ix", "iy", value).groupBy().applyInPandas(lambda pdf: kernel(pdf.pivot(index="iy", columns="ix", values=value).to_numpy(float)), schema)
-
-
-def _cells(z):
-    iy, ix = np.indices(z.shape)
-    return pd.DataFrame({"iy": iy.ravel(), "ix": ix.ravel(), "z": z.ravel().astype(float)})
-
-
-CELLS = "iy long, ix long, z double"
-
-
-@query("r17_erosion")
+@query("g21_virtual_links", f", {_SEG}, m AS (SELECT g.node, s.sid, power(g.x - (s.x0 + t * (s.x1 - s.x0)), 2) + power(g.y - (s.y0 + t * (s.y1 - s.y0)), 2) AS d FROM (SELECT g.node, g.x, g.y, s.*, CASE WHEN s.x0 = s.x1 AND s.y0 = s.y1 THEN 0 ELSE least(1.0, greatest(0.0, ((g.x - s.x0) * (s.x1 - s.x0) + (g.y - s.y0) * (s.y1 - s.y0)) / (power(s.x1 - s.x0, 2) + power(s.y1 - s.y0, 2)))) END AS t FROM gnode g JOIN seg s ON abs(g.x - s.x0) <= 27 AND abs(g.y - s.y0) <= 29 JOIN pts p ON p.id = s.sid AND p.event_type = 'view') s JOIN gnode g ON g.node = s.node) SELECT node, arg_min(sid, (round(sqrt(d), 9), sid)) AS sid FROM m WHERE d <= 64 GROUP BY node")
 def _(w):
-    return whole(w, lambda z: _cells(K.erode(z, 5, 0.02, 40.0)), CELLS)
+    """Each node is linked to the nearest freeway (lines of kind view) within 8."""
+    freeways = _segments(w).join(w.pts.where("event_type = 'view'").select(F.col("id").alias("sid")), "sid", "left_semi")
+    near = P.points_near_segments(w.gnode.select(F.col("node").alias("id"), "x", "y"), freeways, 8.0, 40.0)
+    return near.groupBy("a_id").agg(F.min_by("b_sid", F.struct(F.round("dist", 9), "b_sid")).alias("sid")).select(F.col("a_id").alias("node"), "sid")
 
 
 @query("r28_river_channels")
@@ -170,15 +137,18 @@ def _(w):
     return w.zone.groupBy("zid").applyInPandas(run, "zid long, ramp string, k long, x double, y double")
 
 
-@query("k09_alignment_order")
+@query("k09_alignment_order", """, e AS (SELECT user_id, seq, id, x, y FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM track) WHERE seq = 1 OR seq = n),
+b AS (SELECT e.id, arg_min(h.id, (sqrt((h.x - e.x) * (h.x - e.x) + (h.y - e.y) * (h.y - e.y)), h.id)) AS host FROM e JOIN track h ON h.user_id < e.user_id AND abs(h.x - e.x) <= 40 AND abs(h.y - e.y) <= 40 AND (h.x - e.x) * (h.x - e.x) + (h.y - e.y) * (h.y - e.y) <= 1600 GROUP BY e.id) SELECT e.user_id, e.seq, host, coalesce(h.x, e.x) AS x, coalesce(h.y, e.y) AS y FROM e LEFT JOIN b USING (id) LEFT JOIN pts h ON h.id = b.host""")
 def _(w):
-    """Lines in order of importance; the ends of the less important ones are put onto a host's nearest sample."""
-    from ..operators import spatial as P
+    """Lines in order of importance (their number): both ends of each are put onto the nearest sample of a more important line within 40."""
+    from pyspark.sql import Window
 
-    host = w.track.where("user_id % 10 = 0").select(F.col("id").alias("host"), F.col("x"), F.col("y"))
-    ends = w.track.where("user_id % 10 <> 0 and seq = 1").select("id", "x", "y")
-    near = P.nearest(ends, host, "id", "host", 60.0)
-    return near.join(host.select("host", "x", "y"), "host").select("id", F.when(F.col("dist") < 40, F.col("x")).alias("x"), F.when(F.col("dist") < 40, F.col("y")).alias("y"))
+    n = F.count("*").over(Window.partitionBy("user_id"))
+    ends = w.track.withColumn("n", n).where("seq = 1 or seq = n").select("user_id", "seq", "id", "x", "y")
+    host = w.track.select(F.col("id").alias("host"), F.col("user_id").alias("host_line"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    met = P.within(ends, host, 40.0, bx="bx", by="by").where("host_line < user_id")
+    best = met.groupBy("id").agg(F.min(F.struct("dist", "host", "bx", "by")).alias("m")).select("id", "m.host", "m.bx", "m.by")
+    return ends.join(best, "id", "left").select("user_id", "seq", "host", F.coalesce("bx", "x").alias("x"), F.coalesce("by", "y").alias("y"))
 
 
 @query("k10_centre_trace")

@@ -89,9 +89,9 @@ def _(w):
     return stamp(c, 20, F.count("*").alias("n"), F.max(F.col("id") % 17).alias("wake"))
 
 
-@query("n10_poles_and_wires", ", p AS (SELECT user_id, seq FROM track WHERE seq % 3 = 1 AND x > 300) SELECT user_id, f AS \"from\", seq AS \"to\", seq - f AS span FROM (SELECT user_id, seq, lag(seq) OVER (PARTITION BY user_id ORDER BY seq) AS f FROM p) WHERE seq - f <= 4")
+@query("n10_poles_and_wires", ", p AS (SELECT user_id, seq FROM track WHERE seq % 3 = 1) SELECT user_id, f AS \"from\", seq AS \"to\", seq - f AS span FROM (SELECT user_id, seq, lag(seq) OVER (PARTITION BY user_id ORDER BY seq) AS f FROM p) WHERE seq - f <= 4")
 def _(w):
-    return N.wires(w.track.where("seq % 3 = 1 and x > 300"), "user_id", "seq", 4)
+    return N.wires(w.track.where("seq % 3 = 1"), "user_id", "seq", 4)
 
 
 @query("n11_guardrails", """, r AS (SELECT user_id, seq, seq - row_number() OVER (PARTITION BY user_id ORDER BY seq) AS g FROM track WHERE y > 250), u AS (SELECT user_id, min(seq) AS first, max(seq) AS last FROM r GROUP BY user_id, g),

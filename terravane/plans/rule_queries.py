@@ -90,11 +90,12 @@ def _(w):
     return U.issues(near.groupBy("a", "b", "ax", "ay").count().where("count > 3"), "duplicate", "error", "a", F.concat(L("runs on top of "), _s("b")), "ax", "ay")
 
 
-@query("q07_ramp_conflict", f", {_SEG}, {_X}, c AS (SELECT a, b, ax0 + d3 / CAST(d3 - d4 AS DOUBLE) * (ax1 - ax0) AS px, ay0 + d3 / CAST(d3 - d4 AS DOUBLE) * (ay1 - ay0) AS py, d1 / CAST(d1 - d2 AS DOUBLE) AS tb FROM q WHERE sign(d1) * sign(d2) < 0 AND sign(d3) * sign(d4) < 0) {_out('ramp_conflict', 'error', 'px', 'py', chr(39) + 'crosses ramp ' + chr(39) + ' || CAST(b AS VARCHAR)', 'a')} FROM c WHERE b % 3 = 0 AND abs(a % 20 - b % 20) < 4.9 AND tb > 0.1 AND tb < 0.9")
+@query("q07_ramp_conflict", f", {_SEG}, {_X}, c AS (SELECT a, b, ax0 + d3 / CAST(d3 - d4 AS DOUBLE) * (ax1 - ax0) AS px, ay0 + d3 / CAST(d3 - d4 AS DOUBLE) * (ay1 - ay0) AS py, d1 / CAST(d1 - d2 AS DOUBLE) AS tb FROM q WHERE sign(d1) * sign(d2) < 0 AND sign(d3) * sign(d4) < 0) {_out('ramp_conflict', 'error', 'px', 'py', chr(39) + 'crosses ramp ' + chr(39) + ' || CAST(b AS VARCHAR)', 'a')} FROM c JOIN pts ON pts.id = b AND event_type = 'click' WHERE abs(a % 20 - b % 20) < 4.9 AND tb > 0.1 AND tb < 0.9")
 def _(w):
-    """Crossings of ramps (each third line) at nearly the same height (line number modulo 20), away from the ramp's ends."""
+    """Crossings of ramps (lines of kind click) at nearly the same height (line number modulo 20), away from the ramp's ends."""
     s = _segments(w)
-    x = P.crossings(s, s, 40.0).where("a_sid < b_sid and b_sid % 3 = 0 and abs(a_sid % 20 - b_sid % 20) < 4.9")
+    ramps = s.join(w.pts.where("event_type = 'click'").select(F.col("id").alias("sid")), "sid", "left_semi")
+    x = P.crossings(s, ramps, 40.0).where("a_sid < b_sid and abs(a_sid % 20 - b_sid % 20) < 4.9")
     d = lambda px, py: P.cross(F.col("a_x0"), F.col("a_y0"), F.col("a_x1"), F.col("a_y1"), F.col(px), F.col(py)).cast("double")
     tb = d("b_x0", "b_y0") / (d("b_x0", "b_y0") - d("b_x1", "b_y1"))
     return U.issues(x.withColumn("tb", tb), "ramp_conflict", "error", "a_sid", F.concat(L("crosses ramp "), _s("b_sid")), "px", "py", "tb > 0.1 and tb < 0.9")

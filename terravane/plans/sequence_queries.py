@@ -55,6 +55,20 @@ def _(w):
     return a.select("user_id", F.posexplode(Q.two_sided_clamp(F.col("a"), 40.0)).alias("seq", "z")).select("user_id", (F.col("seq") + 1).cast("long").alias("seq"), "z")
 
 
+_LIMITED = lambda v: f"(greatest(max({v} + s) OVER a - s, max({v} - s) OVER b + s) + least(min({v} - s) OVER a + s, min({v} + s) OVER b - s)) / 2"
+_ABOVE = lambda v: f"greatest(max({v} + s) OVER a - s, max({v} - s) OVER b + s)"
+_BELOW = lambda v: f"least(min({v} - s) OVER a + s, min({v} + s) OVER b - s)"
+
+
+@query("w09_pinned_profile", f""", t AS (SELECT user_id, seq, CAST(y AS DOUBLE) AS z, x / 4.0 AS f, seq * CAST(40 AS DOUBLE) AS s, CASE WHEN seq = 1 THEN CAST(y AS DOUBLE) END AS p FROM track),
+o AS (SELECT user_id, seq, greatest({_LIMITED('z')}, {_ABOVE('f')}) AS r, {_BELOW('p')} AS most, {_ABOVE('p')} AS lo FROM t WINDOW a AS (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY user_id ORDER BY seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT user_id, seq, round(greatest(least(r, coalesce(most, r)), coalesce(lo, r - 1e300)), 6) AS z FROM o""")
+def _(w):
+    """The first sample of a line is pinned; the floor is a quarter of x; at most 40 a sample."""
+    t = w.track.select("user_id", "seq", "y", (F.col("x") / 4.0).alias("floor"), (F.col("seq") == 1).alias("pinned"))
+    return Q.pinned_profile(t, "y", "floor", "pinned", "seq", 40.0, "z").select("user_id", "seq", F.round("z", 6).alias("z"))
+
+
 @query("w10_cut_only_envelope", f", {_S} SELECT user_id, seq, round(least(min(y - 0.02 * s) OVER w + 0.02 * s, min(y + 0.02 * s) OVER (PARTITION BY user_id ORDER BY seq DESC) - 0.02 * s), 3) AS z FROM st {_W}")
 def _(w):
     return Q.cut_only(Q.arclength(w.track), "y", "s", 0.02, "z").select("user_id", "seq", R("z", 3).alias("z"))

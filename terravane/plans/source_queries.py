@@ -39,10 +39,12 @@ def _(w):
     return w.zone.select("zid", I.feature("Point", F.array(R(F.col("x0").cast("double"), 2), R(F.col("y0").cast("double"), 2)), F.struct(F.col("zid").alias("id"))).alias("f"))
 
 
-@query("s05_feature_collection")
+@query("s05_feature_collection", """SELECT 0 AS part, '{"type":"FeatureCollection","name":"points","features":[' AS line, 0 AS place UNION ALL SELECT 2, ']}', 0
+UNION ALL SELECT 1, CASE WHEN id = (SELECT min(id) FROM pts) THEN '' ELSE ',' END || '{"type":"Feature","properties":{"id":' || id || ',"kind":"' || event_type || '"},"geometry":{"type":"Point","coordinates":[' || CAST(x AS DOUBLE) || ',' || CAST(y AS DOUBLE) || ']}}', id FROM pts""")
 def _(w):
-    f = w.zone.select(I.feature("Point", F.array(F.col("x0").cast("double"), F.col("y0").cast("double")), F.struct("zid")).alias("f"))
-    return I.collection(f, "f", "zones")
+    """All points as the lines of one collection; the sink's files are these lines in order."""
+    f = w.pts.select("id", I.feature("Point", F.array(F.col("x").cast("double"), F.col("y").cast("double")), F.struct("id", F.col("event_type").alias("kind"))).alias("f"))
+    return I.collection_lines(f, "f", "id", "points")
 
 
 @query("s06_glob_scan", "SELECT CAST(r_regionkey AS BIGINT) AS k, r_name AS name FROM region")
@@ -78,9 +80,14 @@ def _(w):
     return w.spark.read.parquet(path).select("iy", F.length("data").cast("long").alias("bytes"))
 
 
-@query("s17_manifest", "SELECT 'events' AS name, count(*) AS n FROM events UNION ALL SELECT 'nation', count(*) FROM nation")
+#: Tables by name, with their keys.
+_TABLES = dict(t.split(":") for t in "region:r_regionkey nation:n_nationkey customer:c_custkey supplier:s_suppkey part:p_partkey orders:o_orderkey lineitem:l_orderkey events:event_id documents:doc_id embeddings:vec_id pages:page_id benchmark:item_id labels:doc_id conversations:conv_id".split())
+
+
+@query("s17_manifest", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, (SELECT count(*) FROM (SELECT unnest(x) FROM (SELECT json_keys(to_json(q)) AS x FROM (SELECT * FROM {t} LIMIT 1) q))) AS columns, CAST(min({k}) AS DOUBLE) AS lo, CAST(max({k}) AS DOUBLE) AS hi FROM {t}" for t, k in _TABLES.items()))
 def _(w):
-    return I.manifest(events=w.table("events"), nation=w.table("nation"))
+    """All tables with their rows, columns and the extent of their keys."""
+    return I.manifest(**{t: w.table(t) for t in _TABLES})
 
 
 @query("v07_tile_table", "SELECT ix // 25 AS tx, iy // 25 AS ty, CAST(sum(v) AS BIGINT) AS s FROM ras GROUP BY 1, 2")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import contours, fill, heights, paths, raster, terrain
+from ..operators import contours, fill, heights, overlay, paths, raster, terrain
 from ..operators.repair import Repair
 from .registry import query
 
@@ -174,3 +174,65 @@ def _(w):
 def _(w):
     """Cells from 320 on are unknown; tiles of 32 cells, so that borders are crossed."""
     return fill.harmonic(w.ras.withColumn("known", F.col("v") < 320), "v", "known", "z", 1e-6, 32).withColumn("z", R("z", 4))
+
+
+@query("r17_erosion")
+def _(w):
+    return terrain.eroded(w.ras, "v", 5, 0.02, 40.0).withColumn("z", R("z", 6))
+
+
+def _boxes(w):
+    """A box of 12 by 8 at every point, as layer 0; the zones, as layer 1."""
+    x, y = F.col("x"), F.col("y")
+    points = overlay.edges_of(w.pts.select(F.col("id").alias("shape"), overlay.box_ring(x, y, x + 12, y + 8).alias("ring")), "ring")
+    zones = w.zone.select(F.col("zid").alias("shape"), overlay.box_ring(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("ring")).where("shape % 2 = 0")
+    return points, overlay.edges_of(zones, "ring", layer=1)
+
+
+def _total(found):
+    return overlay.measured(found).agg(F.sum("area").alias("area"), F.sum("perimeter").alias("perimeter"))
+
+
+#: Cells of one unit that boxes cover, and the sides of those that have none beyond.
+_UNITS = "u AS (SELECT DISTINCT x + i AS x, y + j AS y FROM pts, range(12) a(i), range(8) b(j)), zu AS (SELECT DISTINCT x0 + i AS x, y0 + j AS y FROM zone, range(420) a(i), range(140) b(j) WHERE zid % 2 = 0)"
+_RIM = "SELECT CAST((SELECT count(*) FROM s) AS DOUBLE) AS area, CAST(count(*) AS DOUBLE) AS perimeter FROM (SELECT x + dx AS x, y + dy AS y FROM s, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy)) n LEFT JOIN (SELECT x AS sx, y AS sy FROM s) ON sx = x AND sy = y WHERE sx IS NULL"
+
+
+@query("u04_union", f", {_UNITS}, s AS (SELECT * FROM u) {_RIM}")
+def _(w):
+    """Area and perimeter of the union of all boxes."""
+    return _total(overlay.union(_boxes(w)[0], 20.0))
+
+
+@query("u04_difference", f", {_UNITS}, s AS (SELECT * FROM u EXCEPT SELECT * FROM zu) {_RIM}")
+def _(w):
+    """The boxes without every other zone."""
+    a, b = _boxes(w)
+    return _total(overlay.difference(a.union(b), 20.0))
+
+
+@query("u04_intersection", f", {_UNITS}, s AS (SELECT * FROM u INTERSECT SELECT * FROM zu) {_RIM}")
+def _(w):
+    a, b = _boxes(w)
+    return _total(overlay.intersection(a.union(b), 20.0))
+
+
+@query("k04_street_buffers")
+def _(w):
+    """Rings of the union of all streets, widened by 6 on either side with round ends."""
+    ring = overlay.capsule_ring(*[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")], 6.0, sides=8)
+    found = overlay.union(overlay.edges_of(w.street.select(F.col("eid").alias("shape"), ring.alias("ring")), "ring"), 60.0)
+    return overlay.measured(found).select("ring", R("area", 3).alias("area"), R("perimeter", 3).alias("perimeter"), "sides")
+
+
+@query("j11_difference_parts", """, seg AS (SELECT id AS sid, CAST(x AS DOUBLE) AS x0, CAST(y AS DOUBLE) AS y0, CAST(x + id % 37 - 18 AS DOUBLE) AS x1, CAST(y + (id * 7) % 41 - 20 AS DOUBLE) AS y1 FROM pts),
+z AS (SELECT * FROM zone WHERE zid % 2 = 0), c AS (SELECT sid, unnest(CASE WHEN s.x1 <> s.x0 THEN [(z.x0 - s.x0) / (s.x1 - s.x0), (z.x1 - s.x0) / (s.x1 - s.x0)] ELSE [] END || CASE WHEN s.y1 <> s.y0 THEN [(z.y0 - s.y0) / (s.y1 - s.y0), (z.y1 - s.y0) / (s.y1 - s.y0)] ELSE [] END || [0.0, 1.0]) AS t FROM (SELECT sid, x0, y0, x1, y1 FROM seg) s, (SELECT x0, x1, y0, y1 FROM z) z),
+p AS (SELECT sid, t, lead(t) OVER (PARTITION BY sid ORDER BY t) AS t1 FROM (SELECT DISTINCT sid, t FROM c WHERE t BETWEEN 0 AND 1)),
+m AS (SELECT p.sid, p.t1 - p.t AS share, x0 + (p.t + p.t1) / 2 * (x1 - x0) AS x, y0 + (p.t + p.t1) / 2 * (y1 - y0) AS y, sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) AS len FROM p JOIN seg USING (sid) WHERE p.t1 > p.t)
+SELECT sid, round(sum(share * len), 4) AS outside FROM m WHERE NOT EXISTS (SELECT 1 FROM z WHERE m.x > z.x0 AND m.x < z.x1 AND m.y > z.y0 AND m.y < z.y1) GROUP BY sid HAVING sum(share * len) > 0.001""")
+def _(w):
+    """Length of each segment outside of every other zone."""
+    s = w.pts.selectExpr("id as sid", "cast(x as double) as x0", "cast(y as double) as y0", "cast(x + id % 37 - 18 as double) as x1", "cast(y + (id * 7) % 41 - 20 as double) as y1")
+    parts = overlay.line_parts(s, _boxes(w)[1], 100.0).where("not covered").groupBy("sid").agg(F.sum(F.col("t1") - F.col("t0")).alias("share"))
+    out = parts.join(s, "sid").select("sid", (F.col("share") * F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("outside"))
+    return out.where("outside > 0.001").select("sid", R("outside", 4).alias("outside"))

@@ -41,10 +41,18 @@ def feature(geometry: str, coordinates: Column, properties: Column) -> Column:
     return F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), F.struct(F.lit(geometry).alias("type"), coordinates.alias("coordinates")).alias("geometry")))
 
 
-def collection(features: DataFrame, text: str, name: str) -> DataFrame:
-    """One FeatureCollection text for small results (S05); larger ones are written as lines of features."""
-    body = F.array_join(F.array_sort(F.collect_list(text)), ",")
-    return features.agg(F.concat(F.lit('{"type":"FeatureCollection","name":"' + name + '","features":['), body, F.lit("]}")).alias("json"))
+def collection_lines(features: DataFrame, text: str, key: str, name: str) -> DataFrame:
+    """part, place, line: the lines of a FeatureCollection, its head (part 0), a feature each in order of the key, its end."""
+    first = features.agg(F.min(key).alias("_first"))
+    comma = F.when(F.col(key) == F.col("_first"), "").otherwise(",")
+    body = features.crossJoin(F.broadcast(first)).select(F.lit(1).alias("part"), F.col(key).cast("long").alias("place"), F.concat(comma, F.col(text)).alias("line"))  # one row
+    ends = features.sparkSession.createDataFrame([(0, 0, '{"type":"FeatureCollection","name":"' + name + '","features":['), (2, 0, "]}")], "part int, place long, line string")
+    return body.union(ends)
+
+
+def write_collection(features: DataFrame, text: str, key: str, name: str, path: str) -> None:
+    """Writes a FeatureCollection as text files that are one JSON text when put together in order of their names; keys are unique."""
+    collection_lines(features, text, key, name).repartitionByRange("part", "place").sortWithinPartitions("part", "place").select("line").write.mode("overwrite").text(path)
 
 
 def read_many(spark: SparkSession, glob: str, schema: str, key: str) -> DataFrame:
@@ -129,8 +137,11 @@ def memo(df: DataFrame, path: str) -> DataFrame:
 
 
 def manifest(**tables: DataFrame) -> DataFrame:
-    """name and rows of each table."""
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()]
+    """name, rows, columns and the extent of the first column of each table."""
+    parts = []
+    for name, df in tables.items():
+        key = F.col(df.columns[0])
+        parts.append(df.agg(F.count("*").alias("n"), F.min(key).cast("double").alias("lo"), F.max(key).cast("double").alias("hi")).select(F.lit(name).alias("name"), "n", F.lit(len(df.columns)).cast("long").alias("columns"), "lo", "hi"))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

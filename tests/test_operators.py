@@ -155,10 +155,8 @@ def test_stream_drops_what_is_too_late(spark, tmp_path):
 @given(st.lists(st.floats(-100, 100), min_size=4, max_size=30), st.floats(0.5, 5))
 def test_profile_kernels(z, g):
     z = np.array(z)
-    pinned = np.zeros(len(z), bool)
-    out = kernels.pinned_profile(z, np.full(len(z), -1e9), pinned, g)
-    assert np.abs(np.diff(out)).max() <= g + 1e-6
-    assert len(kernels.whittaker(z, np.full(len(z), 3.0))) == len(z)
+    d, p = np.diff(np.eye(len(z)), 2, axis=0), 3.0 + np.arange(len(z)) % 4
+    assert np.allclose(kernels.whittaker(z, p), np.linalg.solve(np.eye(len(z)) + d.T @ (p[1:-1, None] * d), z))
     x = np.arange(len(z), dtype=float)
     keep = kernels.simplify(x, z, 1.0)
     assert keep[0] == 0 and keep[-1] == len(z) - 1
@@ -215,3 +213,51 @@ def test_harmonic_fill_is_the_mean_of_neighbours(h, w, seed):
     for y, x in zip(*np.nonzero(~known)):
         near = [out[b, a] for b, a in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)) if 0 <= b < h and 0 <= a < w]
         assert abs(out[y, x] - np.mean(near)) < 1e-5
+
+
+def test_pinned_profiles_keep_grade_floor_and_pins(spark):
+    rng = np.random.default_rng(2)
+    z, floor = rng.random(60) * 50, rng.random(60) * 20
+    pins = {0: 10.0, 30: 25.0, 59: 5.0}
+    rows = [(1, i, pins.get(i, float(z[i])), float(floor[i]) if min(abs(i - p) for p in pins) > 8 else -5.0, i in pins) for i in range(60)]
+    df = spark.createDataFrame(rows, "user_id long, seq long, z double, floor double, pinned boolean")
+    got = sorted((r.seq, r.out, r.floor) for r in sequence.pinned_profile(df, "z", "floor", "pinned", "seq", 3.0, "out").collect())
+    out = np.array([g[1] for g in got])
+    assert np.abs(np.diff(out)).max() <= 3 + 1e-9 and all(abs(out[p] - v) < 1e-9 for p, v in pins.items())
+    assert (out >= np.array([g[2] for g in got]) - 1e-9).all()
+
+
+def test_erosion_is_that_of_one_array(spark):
+    z = np.random.default_rng(4).integers(0, 60, (9, 11)).astype(float)
+    cells = spark.createDataFrame([(x, y, float(z[y, x])) for y in range(9) for x in range(11)], "ix long, iy long, v double")
+    want = z.copy()
+    for _ in range(2):
+        to, fall = {}, {}
+        for y in range(9):
+            for x in range(11):
+                near = [(want[y, x] - want[b, a], k, (b, a)) for k, (b, a) in enumerate(((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1))) if 0 <= b < 9 and 0 <= a < 11]
+                drop, k, at = max(near, key=lambda n: (n[0], -n[1]))
+                to[y, x], fall[y, x] = (at, drop) if drop > 0 else (None, 0.0)
+        area = {c: 1 for c in to}
+        for c in sorted(to, key=lambda c: -want[c]):
+            if to[c]:
+                area[to[c]] += area[c]
+        want = np.array([[want[y, x] - min(0.02 * np.sqrt(area[y, x]) * fall[y, x], 0.5 * fall[y, x]) for x in range(11)] for y in range(9)])
+        for axis in (1, 0):
+            d = np.diff(want, axis=axis)
+            over = np.sign(d) * np.maximum(np.abs(d) - 8.0, 0) / 4
+            want = want + np.pad(over, [(0, 1) if k == axis else (0, 0) for k in (0, 1)]) - np.pad(over, [(1, 0) if k == axis else (0, 0) for k in (0, 1)])
+    got = {(r.iy, r.ix): r.z for r in terrain.eroded(cells, "v", 2, 0.02, 8.0).collect()}
+    assert all(abs(got[y, x] - want[y, x]) < 1e-9 for y in range(9) for x in range(11))
+
+
+def test_collections_are_one_text(spark, tmp_path):
+    import glob
+    import json
+
+    df = spark.createDataFrame([(k, json.dumps({"type": "Feature", "k": k})) for k in range(50)], "k long, f string").repartition(5)
+    files.write_collection(df, "f", "k", "all", f"{tmp_path}/c")
+    text = "".join(open(p).read() for p in sorted(glob.glob(f"{tmp_path}/c/part-*")))
+    assert [f["k"] for f in json.loads(text)["features"]] == list(range(50))
+    files.write_collection(df.limit(0), "f", "k", "all", f"{tmp_path}/d")
+    assert json.loads("".join(open(p).read() for p in sorted(glob.glob(f"{tmp_path}/d/part-*"))))["features"] == []
