@@ -39,11 +39,14 @@ def words_of(text) -> "F.Column":
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only if it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only if that is unset in local mode, as executors elsewhere
+    wouldn't see it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.gettempdir()}/terravane-shared"
     return at.rstrip("/")
 

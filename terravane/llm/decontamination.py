@@ -11,7 +11,8 @@ Every item with a word can match. Its windows are:
 * templates of `window` words (of the whole item, if it is shorter) with at least `literal` words that aren't placeholders;
 * where a window has fewer, the same words verbatim (but for case and outer punctuation), and the template of a longer window around them
   with `literal` such words, or of the whole item if that has at least 2 of them and `least` words, so that a changed item is found too.
-Items of fewer than `least` words may be common phrases: they are leaks only where at most `usual` of all documents (or one) hold them.
+Items of fewer than `least` words may be common phrases; they are reported wherever they stand verbatim, as all leaks with the number of documents that
+hold the item, so that the caller can choose. A share of all documents may be given (`usual`) beyond which such items don't count; by default none is.
 
 Documents give only windows whose hash is in a bitmap of the benchmark's, which has a fixed size; these are joined with the
 benchmark's windows, which Spark sends to all tasks if their measured size allows and shuffles otherwise, and judged by document and item. Nothing of either
@@ -223,10 +224,12 @@ def _judged(batches, share: float, run: int):
 
 
 PAIRS = "doc_id long, item_id long, n_covered long, n_item_words long, verbatim boolean"
+#: Words of an item from which on its leaks cost a document its place; shorter phrases are in too many clean texts.
+SHORTEST = 3
 
 
-def contaminated_pairs(documents: DataFrame, benchmark: DataFrame, window: int = 8, literal: int = 5, least: int = 5, share: float = 0.5, run: int = 13, usual: float = 0.001) -> DataFrame:
-    """doc_id, item_id, n_covered, n_item_words and verbatim (no slot was changed, but for case) of each leak."""
+def contaminated_pairs(documents: DataFrame, benchmark: DataFrame, window: int = 8, literal: int = 5, least: int = 5, share: float = 0.5, run: int = 13, usual: float | None = None) -> DataFrame:
+    """doc_id, item_id, n_covered, n_item_words, verbatim (no slot was changed, but for case) of each leak, and n_documents that hold the item."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "leaks")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
@@ -234,7 +237,7 @@ def contaminated_pairs(documents: DataFrame, benchmark: DataFrame, window: int =
     items = scratch.keep(items.mapInArrow(lambda batches: _benchmark(batches, window, literal, least), "h long, exact boolean, k int, item_id long, ih long, q int, size int, own binary"))
     lengths = sorted((r[0], r[1]) for r in items.select("exact", "k").distinct().collect())  # of windows: two dozen at most, and those of items below the longest of STEPS
     if not lengths:
-        return spark.createDataFrame([], PAIRS)
+        return spark.createDataFrame([], PAIRS + ", n_documents long")
     slot = F.shiftrightunsigned("h", 64 - BITS)
     words = items.select(F.shiftright(slot, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int))").alias("bit"))
     bits = np.zeros(1 << (BITS - 6), U)
@@ -246,18 +249,18 @@ def contaminated_pairs(documents: DataFrame, benchmark: DataFrame, window: int =
     hits = met.join(items, "h").select("doc_id", "th", "item_id", "ih", "size", (F.col("place") - F.col("q")).alias("shift"), "q", "own", "met")
     group = ["doc_id", "th", "item_id", "ih"]
     pairs = hits.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda batches: _judged(batches, share, run), PAIRS).distinct()
-    if any(k < least for _, k in lengths):
-        pairs = scratch.keep(pairs)
-        short = pairs.where(F.col("n_item_words") < least).groupBy("item_id").agg(F.count("*").alias("c"))
-        rare = short.where(F.col("c") <= max(1, int(usual * documents.count()))).select("item_id")
-        pairs = pairs.where(F.col("n_item_words") >= least).union(pairs.where(F.col("n_item_words") < least).join(rare, "item_id").select(*pairs.columns))
-    return pairs
+    pairs = scratch.keep(pairs)
+    held = pairs.groupBy(F.col("item_id").alias("_item")).agg(F.count("*").alias("n_documents"))
+    counted = pairs.join(held, F.col("item_id") == F.col("_item")).drop("_item")
+    if usual is None:
+        return counted
+    return counted.where((F.col("n_item_words") >= least) | (F.col("n_documents") <= max(1, int(usual * documents.count()))))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 8, literal: int = 5, least: int = 5, share: float = 0.5, run: int = 13, usual: float = 0.001) -> DataFrame:
-    """The documents, with all their columns, whose doc_id has no leak (a null doc_id stands for all documents without one)."""
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 8, literal: int = 5, least: int = 5, share: float = 0.5, run: int = 13, usual: float | None = None, shortest: int = SHORTEST) -> DataFrame:
+    """The documents, with all their columns, whose doc_id has no leak of an item of `shortest` words or more (a null doc_id stands for all documents without one)."""
     leaked = fresh(documents, "leaked")
-    found = contaminated_pairs(documents, benchmark, window, literal, least, share, run, usual)
+    found = contaminated_pairs(documents, benchmark, window, literal, least, share, run, usual).where(F.col("n_item_words") >= shortest)
     # written first, so that Spark knows its size and needn't shuffle the documents if it is small
     found = Scratch(documents.sparkSession, "leaked").keep(found.select(F.col("doc_id").alias(leaked)).distinct())
     return documents.join(found, F.col("doc_id").eqNullSafe(F.col(leaked)), "left_anti")

@@ -448,6 +448,26 @@ def test_every_item_can_match(spark):
     assert all((10 * i, item) in got for i, (item, t) in enumerate(items) if len(t.split()) >= 5) and (1, 0) in got and (9002, 0) in got
 
 
+@pytest.mark.parametrize("holders", [3, 300])
+def test_short_items_are_reported_at_any_frequency(spark, holders):
+    docs = [(i, f"so {'what is Blue ?' if i < holders else 'why not red'} they said {i}") for i in range(holders + 200)]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, "What is blue ?"), (8, "said")], "item_id long, text string")
+    got = decontamination.contaminated_pairs(*tables).where("item_id = 7").collect()
+    assert sorted(r.doc_id for r in got) == list(range(holders)) and {r.n_documents for r in got} == {holders}
+    assert decontamination.decontaminate(*tables).count() == 200  # the one-word item is reported only
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Conf:
+        get = staticmethod(lambda key, default: default)
+
+    class Spark:
+        conf, sparkContext = Conf, type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Spark)
+
+
 def test_slots_must_be_consistent():
     item = "move 5 crates then add 7 crates then take 5 crates and leave 7 crates for later use today".encode()
     covered = lambda text: decontamination.leak([(0, 0, item, text)], len(item.split()), 0.0, 99)[0]
