@@ -144,6 +144,19 @@ def points_near_segments(points: DataFrame, segments: DataFrame, d: float, cell:
     return segment_pairs(p, segments, cell, d).withColumns({"t": t, "dist": dist}).where(F.col("dist") <= d)
 
 
+def running_on(a: DataFrame, b: DataFrame, d: float, samples: int, cell: float) -> DataFrame:
+    """Pairs of segments whose boxes come within d, with near, how many of so many even samples of a lie within d of b.
+
+    Boxes are joined once; the samples' distances are one expression on a pair.
+    """
+    met = segment_pairs(a, b, cell, d)
+    at = [k / (samples - 1) for k in range(samples)]
+    x = [F.col("a_x0") + (F.col("a_x1") - F.col("a_x0")) * t for t in at]
+    y = [F.col("a_y0") + (F.col("a_y1") - F.col("a_y0")) * t for t in at]
+    near = [(project(px, py, "b_x0", "b_y0", "b_x1", "b_y1")[1] <= d).cast("long") for px, py in zip(x, y)]
+    return met.withColumn("near", sum(near[1:], near[0]))
+
+
 def box_share(x0, y0, x1, y1, bx0, by0, bx1, by1) -> Column:
     """Share of a segment inside a box, by the slab method."""
     x0, y0, x1, y1 = (F.col(v).cast("double") for v in (x0, y0, x1, y1))

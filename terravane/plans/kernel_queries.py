@@ -83,22 +83,20 @@ def _(w):
     return near.groupBy("a_id").agg(F.min_by("b_sid", F.struct(F.round("dist", 9), "b_sid")).alias("sid")).select(F.col("a_id").alias("node"), "sid")
 
 
-@query("r28_river_channels")
+@query("r29_ridge_field", """, c AS (SELECT ix, iy, ix * 20 + 10 AS cx, iy * 13 + 6 AS cy FROM ras), n AS (SELECT ix, iy, user_id, min((sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y)), seq)) AS m FROM c JOIN track ON abs(cx - x) <= 60 AND abs(cy - y) <= 60 AND (cx - x) * (cx - x) + (cy - y) * (cy - y) <= 3600 GROUP BY ix, iy, user_id),
+h AS (SELECT ix, iy, user_id, power(1 - power(m[1] / 60.0, 2.0), 2.1) * (m[2] % 7 + 10.0) AS h FROM n), l AS (SELECT ix, iy, list_prepend(0.0::DOUBLE, list(h ORDER BY user_id)) AS hs FROM h GROUP BY ix, iy)
+SELECT c.ix, c.iy, round(coalesce(list_reduce(hs, lambda a, b: greatest(a, b) + power(greatest(5.0 * greatest(0, least(1, least(a, b) / 10.0)) - abs(a - b), 0) / greatest(5.0 * greatest(0, least(1, least(a, b) / 10.0)), 1e-6), 2) * 5.0 * greatest(0, least(1, least(a, b) / 10.0)) * 0.25), 0), 4) AS h FROM c LEFT JOIN l USING (ix, iy)""")
 def _(w):
-    d = A.distance_transform(w.ras.withColumn("m", F.col("v") < 270), "m", 6)
-    t = F.least(F.lit(1.0), F.sqrt("d2") / 4.0)
-    return d.select("ix", "iy", (F.col("v") - F.when(F.col("d2").isNotNull(), (F.lit(1.0) - t * t) * 12.0).otherwise(0.0)).alias("z"))
-
-
-@query("r29_ridge_field")
-def _(w):
-    """Heights of crests, falling off by the ridge profile, as a smooth union in order of the crests."""
+    """Heights by the nearest crest sample of every line within 60, falling off by the ridge profile, as a smooth union in order of the lines."""
     from ..functions import scalar as S
 
-    d = F.hypot(F.col("ix") * 20 + 10 - (F.col("x0") + F.col("x1")) / 2, F.col("iy") * 13 + 6 - (F.col("y0") + F.col("y1")) / 2)
-    h = w.ras.select("ix", "iy").crossJoin(F.broadcast(w.zone)).withColumn("h", S.ridge_profile(d / 300.0) * (F.col("zid") + 10.0))
-    a = h.groupBy("ix", "iy").agg(F.transform(F.array_sort(F.collect_list(F.struct("zid", "h"))), lambda s: s["h"]).alias("a"))
-    return a.select("ix", "iy", F.aggregate("a", F.lit(0.0), lambda m, v: S.smax(m, v, 5.0)).alias("h"))
+    cells = w.ras.select("ix", "iy", (F.col("ix") * 20 + 10).alias("x"), (F.col("iy") * 13 + 6).alias("y"))
+    crest = w.track.select("user_id", "seq", F.col("x").alias("bx"), F.col("y").alias("by"))
+    best = P.within(cells, crest, 60.0, bx="bx", by="by").groupBy("ix", "iy", "user_id").agg(F.min(F.struct("dist", "seq")).alias("m"))
+    h = best.select("ix", "iy", "user_id", (S.ridge_profile(F.col("m.dist") / 60.0) * (F.col("m.seq") % 7 + 10.0)).alias("h"))
+    a = h.groupBy("ix", "iy").agg(F.transform(F.array_sort(F.collect_list(F.struct("user_id", "h"))), lambda s: s["h"]).alias("a"))  # a height a line
+    joined = a.select("ix", "iy", F.aggregate("a", F.lit(0.0), lambda m, v: S.smax(m, v, 5.0)).alias("h"))
+    return cells.select("ix", "iy").join(joined, ["ix", "iy"], "left").select("ix", "iy", F.round(F.coalesce("h", F.lit(0.0)), 4).alias("h"))
 
 
 @query("k04_buffer_dissolve", ", h AS (SELECT DISTINCT r.ix, r.iy FROM ras r JOIN gnode g ON power(r.ix * 20 + 10 - g.x, 2) + power(r.iy * 13 + 6 - g.y, 2) <= 900) SELECT ix, iy FROM h")

@@ -84,10 +84,9 @@ def _(w):
 
 @query("q06_duplicate", f", {_SEG}, s AS (SELECT sid, x0, y0, k, x0 + (x1 - x0) * k / 4.0 AS px, y0 + (y1 - y0) * k / 4.0 AS py FROM seg, range(5) r(k)), t AS (SELECT s.sid AS a, s.x0 AS ax, s.y0 AS ay, b.*, px, py, least(1.0, greatest(0.0, ((px - b.x0) * (b.x1 - b.x0) + (py - b.y0) * (b.y1 - b.y0)) / greatest(1e-9, power(b.x1 - b.x0, 2) + power(b.y1 - b.y0, 2)))) AS t FROM s JOIN seg b ON s.sid < b.sid AND abs(px - b.x0) <= 30 AND abs(py - b.y0) <= 32), m AS (SELECT a, sid, ax, ay, count(*) AS n FROM t WHERE sqrt(power(px - (x0 + t * (x1 - x0)), 2) + power(py - (y0 + t * (y1 - y0)), 2)) <= 3.5 GROUP BY 1, 2, 3, 4) {_out('duplicate', 'error', 'ax', 'ay', chr(39) + 'runs on top of ' + chr(39) + ' || CAST(sid AS VARCHAR)', 'a')} FROM m WHERE n > 3")
 def _(w):
-    k = _segments(w).withColumn("k", F.explode(F.sequence(L(0), L(4))))
-    samples = k.select(F.struct("sid", "k", "x0", "y0").alias("id"), (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("k") / 4.0).alias("x"), (F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("k") / 4.0).alias("y"))
-    near = P.points_near_segments(samples, _segments(w), 3.5, 12.0).select(F.col("a_id.sid").alias("a"), F.col("a_id.x0").alias("ax"), F.col("a_id.y0").alias("ay"), F.col("b_sid").alias("b")).where("a < b")
-    return U.issues(near.groupBy("a", "b", "ax", "ay").count().where("count > 3"), "duplicate", "error", "a", F.concat(L("runs on top of "), _s("b")), "ax", "ay")
+    s = _segments(w)
+    on = P.running_on(s, s, 3.5, 5, 40.0).where("a_sid < b_sid and near > 3")
+    return U.issues(on, "duplicate", "error", "a_sid", F.concat(L("runs on top of "), _s("b_sid")), "a_x0", "a_y0")
 
 
 @query("q07_ramp_conflict", f", {_SEG}, {_X}, c AS (SELECT a, b, ax0 + d3 / CAST(d3 - d4 AS DOUBLE) * (ax1 - ax0) AS px, ay0 + d3 / CAST(d3 - d4 AS DOUBLE) * (ay1 - ay0) AS py, d1 / CAST(d1 - d2 AS DOUBLE) AS tb FROM q WHERE sign(d1) * sign(d2) < 0 AND sign(d3) * sign(d4) < 0) {_out('ramp_conflict', 'error', 'px', 'py', chr(39) + 'crosses ramp ' + chr(39) + ' || CAST(b AS VARCHAR)', 'a')} FROM c JOIN pts ON pts.id = b AND event_type = 'click' WHERE abs(a % 20 - b % 20) < 4.9 AND tb > 0.1 AND tb < 0.9")

@@ -134,10 +134,8 @@ m AS (SELECT s.sid AS a, b.sid AS b, count(*) AS n FROM s JOIN seg b ON s.sid <
  + power(s.py - (b.y0 + least(1.0, greatest(0.0, ((s.px - b.x0) * (b.x1 - b.x0) + (s.py - b.y0) * (b.y1 - b.y0)) / greatest(1e-9, power(b.x1 - b.x0, 2) + power(b.y1 - b.y0, 2)))) * (b.y1 - b.y0)), 2) <= 12.25 GROUP BY 1, 2) SELECT a, b, n FROM m WHERE n > 3""")
 def _(w):
     """Of five samples of a segment more than 60 % lie within 3.5 of another."""
-    k = _segments(w).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    samples = k.select(F.struct("sid", "k").alias("id"), (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("k") / 4.0).alias("x"), (F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("k") / 4.0).alias("y"))
-    near = P.points_near_segments(samples, _segments(w), 3.5, 12.0).select(F.col("a_id.sid").alias("a"), F.col("b_sid").alias("b")).where("a < b")
-    return near.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 3")
+    s = _segments(w)
+    return P.running_on(s, s, 3.5, 5, 40.0).where("a_sid < b_sid and near > 3").select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"), F.col("near").alias("n"))
 
 
 @query("j19_hierarchy", ", h AS (SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey AS BIGINT) AS root, 0 AS depth FROM nation WHERE n_nationkey < 2 UNION ALL SELECT n.n_nationkey, h.root, h.depth + 1 FROM h JOIN nation n ON n.n_nationkey >= 2 AND n.n_nationkey // 2 = h.id) SELECT id, root, CAST(depth AS BIGINT) AS depth FROM h")

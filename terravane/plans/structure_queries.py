@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import contours, fill, heights, overlay, paths, raster, terrain
+from ..operators import contours, fill, heights, overlay, paths, raster, rivers, terrain
 from ..operators.repair import Repair
 from .registry import query
 
@@ -236,3 +236,15 @@ def _(w):
     parts = overlay.line_parts(s, _boxes(w)[1], 100.0).where("not covered").groupBy("sid").agg(F.sum(F.col("t1") - F.col("t0")).alias("share"))
     out = parts.join(s, "sid").select("sid", (F.col("share") * F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("outside"))
     return out.where("outside > 0.001").select("sid", R("outside", 4).alias("outside"))
+
+
+@query("r28_river_channels", """, s0 AS (SELECT user_id, seq, x, y, min(y) OVER w AS z, x - coalesce(lag(x) OVER w, x) AS ax, y - coalesce(lag(y) OVER w, y) AS ay, coalesce(lead(x) OVER w, x) - x AS bx, coalesce(lead(y) OVER w, y) - y AS by_ FROM track WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+st AS (SELECT user_id, seq, x, y, CAST(z AS DOUBLE) AS z, ax + bx AS tx, ay + by_ AS ty, CASE WHEN (ax * ax + ay * ay) * (bx * bx + by_ * by_) > 0 THEN (ax * by_ - ay * bx) / (sqrt(ax * ax + ay * ay) * sqrt(bx * bx + by_ * by_)) ELSE 0 END AS turn, coalesce(lag(z) OVER (PARTITION BY user_id ORDER BY seq) - z, 0) AS fell, 12.0 + user_id % 3 * 4 AS half FROM s0),
+c AS (SELECT ix, iy, ix * 20 + 10 AS cx, iy * 13 + 6 AS cy FROM ras), n AS (SELECT ix, iy, cx, cy, st.*, sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y)) AS d FROM c JOIN st ON abs(cx - x) <= 20 AND abs(cy - y) <= 20),
+b AS (SELECT *, row_number() OVER (PARTITION BY ix, iy ORDER BY d, z, user_id, seq) AS rn FROM n WHERE d <= 20), q AS (SELECT *, d / half AS t, -sign(tx * (cy - y) - ty * (cx - x)) * turn AS o FROM b WHERE rn = 1 AND d < half)
+SELECT ix, iy, round(CASE WHEN o < -0.4 AND t > 0.5 AND NOT (fell > 60 AND t < 0.8) THEN z - 0.3 * o * (1 - t) ELSE z - (3 * (1 - t * t) * (1 + 0.6 * o) + CASE WHEN fell > 60 AND t < 0.8 THEN 2 ELSE 0 END) END, 5) AS bed, CASE WHEN fell > 60 AND t < 0.8 THEN 'fall' WHEN o < -0.4 AND t > 0.5 THEN 'bar' WHEN o > 0.4 THEN 'pool' ELSE 'run' END AS part FROM q""")
+def _(w):
+    """Lines as rivers that run down their running minimum; half widths of 12 to 20, falls from 60 on."""
+    centre = rivers.stations(w.track, "y").withColumn("half", 12.0 + F.col("user_id") % 3 * 4)
+    cells = w.ras.select("ix", "iy", (F.col("ix") * 20 + 10).alias("x"), (F.col("iy") * 13 + 6).alias("y"))
+    return rivers.channels(cells, centre, 20.0, 60.0).withColumn("bed", R("bed", 5))
