@@ -56,10 +56,9 @@ def _(w):
 
 @query("n05_lot_frontage")
 def _(w):
-    """Lots on both sides of lines every 400, the highest priority first, none within 25 of another."""
-    s = Q.resample(Q.arclength(w.track), 400.0)
-    lots = s.select("user_id", "k", F.explode(F.array(F.lit(-12.0), F.lit(12.0))).alias("side"), "x", "y").select(F.xxhash64("user_id", "k", "side").alias("id"), F.col("x"), (F.col("y") + F.col("side")).alias("y"), (-F.col("k")).alias("score"))
-    return N.spaced(lots, "id", "score", 25.0).select("id", R("x", 3).alias("x"), R("y", 3).alias("y"))
+    """Footprints along both sides of streets, earlier stations first, off the lanes of other streets and of one another."""
+    lots = N.frontage(w.street.select("eid", "x0", "y0", "x1", "y1"), 16.0, 4.0, 3.0)
+    return lots.select("eid", "side", "k", R("x", 3).alias("x"), R("y", 3).alias("y"), R("w", 3).alias("w"), R("d", 3).alias("d"), R("angle", 4).alias("angle"))
 
 
 @query("n06_roof_candidates", ", b AS (SELECT x // 40 AS bx, y // 40 AS by_, count(*) AS n, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM pts GROUP BY 1, 2) SELECT bx, by_, n, w * h AS area FROM b WHERE w * h BETWEEN 200 AND 1400 AND n * 1.0 / (w * h) > 0.005 AND greatest(w, h) * 1.0 / least(w, h) < 3")

@@ -318,3 +318,39 @@ def test_outlines_and_simplification(spark):
     p = [x[1:] for x in sorted(few)]
     area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1])) / 2
     assert 4 <= len(few) < full.count() / 3 and abs(area - disc.sum()) < 0.05 * disc.sum()
+
+
+def test_lots_keep_off_streets_and_each_other(spark):
+    from terravane.operators import placement
+
+    edges, at = lattice(3, 5, 5, 0.9)
+    df = frame(spark, edges, at)
+    got = placement.frontage(df.select("eid", "x0", "y0", "x1", "y1"), 16.0, 4.0, 3.0).collect()
+    every = placement.lots(df, 16.0, 4.0, 3.0).collect()
+
+    def corners(r):
+        u, v = (math.cos(r.angle), math.sin(r.angle)), (-math.sin(r.angle), math.cos(r.angle))
+        return [(r.x + a * r.w / 2 * u[0] + b * r.d / 2 * v[0], r.y + a * r.w / 2 * u[1] + b * r.d / 2 * v[1]) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+
+    def apart(p, q):
+        for ring in (p, q):
+            for k in range(4):
+                n = (ring[k][1] - ring[k - 1][1], ring[k - 1][0] - ring[k][0])
+                a, b = ([x * n[0] + y * n[1] for x, y in s] for s in (p, q))
+                if max(a) <= min(b) + 1e-9 or max(b) <= min(a) + 1e-9:
+                    return True
+        return False
+
+    def off(r):
+        def dist(a, b):
+            dx, dy = b[0] - a[0], b[1] - a[1]
+            t = min(1, max(0, ((r.x - a[0]) * dx + (r.y - a[1]) * dy) / (dx * dx + dy * dy)))
+            return math.hypot(r.x - a[0] - t * dx, r.y - a[1] - t * dy)
+
+        return all(e == r.eid or dist(at[a], at[b]) >= 4 + math.hypot(r.w, r.d) / 2 for e, a, b in edges)
+
+    want = []
+    for r in sorted((r for r in every if off(r)), key=lambda r: (r.k, r.id)):
+        if all(apart(corners(r), corners(q)) for q in want):
+            want.append(r)
+    assert sorted(r.id for r in got) == sorted(r.id for r in want) and 20 < len(got) < len(every)
