@@ -59,7 +59,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def component_lengths(edges: DataFrame, length: str) -> DataFrame:
     """component, total length, edges and rank by length, longest first."""
     c = edges.join(components(edges), F.col("src") == F.col("node")).groupBy("component").agg(F.sum(length).alias("total"), F.count("*").alias("edges"))
-    return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "component")).cast("long"))
+    from .relational import running_total
+
+    return running_total(c, [F.desc("total"), F.asc("component")], "rank").withColumn("rank", (F.col("rank") + 1).cast("long"))
 
 
 def prune_spurs(edges: DataFrame, length: str, shorter: float, rounds: int) -> DataFrame:

@@ -226,15 +226,3 @@ def least_rectangle(points: np.ndarray) -> tuple[float, float, float]:
         if best is None or s[0] * s[1] < best[0]:
             best = (s[0] * s[1], float(s[0]), float(s[1]), float(np.degrees(t) % 180))
     return best[1:]
-
-
-def diamond_ramps(cx: float, cy: float, angle: float, offset: float, length: float) -> list[tuple[str, np.ndarray]]:
-    """The four ramps of a diamond interchange as curves between the freeway and the crossroad."""
-    f, c = np.array([np.cos(angle), np.sin(angle)]), np.array([-np.sin(angle), np.cos(angle)])
-    t, out = np.linspace(0, 1, 9)[:, None], []
-    for along, kind in ((-1, "exit"), (1, "entrance")):
-        for across in (-1, 1):
-            a, b = np.array([cx, cy]) + along * length * f, np.array([cx, cy]) + across * offset * c
-            m = np.array([cx, cy]) + along * length * 0.4 * f + across * offset * c
-            out.append((f"{kind}{across:+d}", (1 - t) ** 2 * a + 2 * t * (1 - t) * m + t * t * b))
-    return out

@@ -124,17 +124,6 @@ def _(w):
     return _line(w, kernel, "user_id long, width double, height double, angle double")
 
 
-@query("k08_interchange_ramps")
-def _(w):
-    """Generated from a few records, one set of ramps for each zone."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(z.zid, name, k, *p) for z in pdf.itertuples() for name, pts in K.diamond_ramps((z.x0 + z.x1) / 2, (z.y0 + z.y1) / 2, z.zid * 0.3, 20.0, 80.0) for k, p in enumerate(pts)]
-        return pd.DataFrame(rows, columns=["zid", "ramp", "k", "x", "y"])
-
-    return w.zone.groupBy("zid").applyInPandas(run, "zid long, ramp string, k long, x double, y double")
-
-
 @query("k09_alignment_order", """, e AS (SELECT user_id, seq, id, x, y FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM track) WHERE seq = 1 OR seq = n),
 b AS (SELECT e.id, arg_min(h.id, (sqrt((h.x - e.x) * (h.x - e.x) + (h.y - e.y) * (h.y - e.y)), h.id)) AS host FROM e JOIN track h ON h.user_id < e.user_id AND abs(h.x - e.x) <= 40 AND abs(h.y - e.y) <= 40 AND (h.x - e.x) * (h.x - e.x) + (h.y - e.y) * (h.y - e.y) <= 1600 GROUP BY e.id) SELECT e.user_id, e.seq, host, coalesce(h.x, e.x) AS x, coalesce(h.y, e.y) AS y FROM e LEFT JOIN b USING (id) LEFT JOIN pts h ON h.id = b.host""")
 def _(w):

@@ -205,6 +205,8 @@ def _(w):
 
 @query("v04_prefix_sums", "SELECT cell, n, CAST(coalesce(sum(n) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM (SELECT (x // 100) * 100 + y // 100 AS cell, count(*) AS n FROM pts GROUP BY 1)")
 def _(w):
-    """Starts of cells in a sorted table; the window runs over cells, not rows."""
+    """Starts of cells in a sorted table."""
+    from ..operators.relational import running_total
+
     c = w.pts.groupBy(F.expr("(x div 100) * 100 + y div 100").alias("cell")).agg(F.count("*").alias("n"))
-    return c.select("cell", "n", F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    return running_total(c, [F.col("cell")], "start", F.col("n")).select("cell", "n", "start")

@@ -117,8 +117,7 @@ def _(w):
 
 @query("s14_catalogue", "SELECT 'pts' AS name, count(*) AS n FROM pts UNION ALL SELECT 'zone', count(*) FROM zone UNION ALL SELECT 'ras', count(*) FROM ras UNION ALL SELECT 'gedge', count(*) FROM gedge")
 def _(w):
-    """Also s17, the manifest."""
-    return I.manifest(pts=w.pts, zone=w.zone, ras=w.ras, gedge=w.gedge)
+    return I.manifest(pts=w.pts, zone=w.zone, ras=w.ras, gedge=w.gedge).select("name", "n")
 
 
 @query("s15_flatten_points", "SELECT user_id, string_agg(CAST(x AS VARCHAR) || ',' || CAST(y AS VARCHAR), ',' ORDER BY seq) AS flat, count(*) AS n FROM track GROUP BY user_id")

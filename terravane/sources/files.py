@@ -41,6 +41,12 @@ def feature(geometry: str, coordinates: Column, properties: Column) -> Column:
     return F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), F.struct(F.lit(geometry).alias("type"), coordinates.alias("coordinates")).alias("geometry")))
 
 
+def collection(features: DataFrame, text: str, name: str) -> DataFrame:
+    """One FeatureCollection text, for a catalogue of a few features; others are written as lines (write_collection)."""
+    body = F.array_join(F.array_sort(F.collect_list(text)), ",")
+    return features.agg(F.concat(F.lit('{"type":"FeatureCollection","name":"' + name + '","features":['), body, F.lit("]}")).alias("json"))
+
+
 def collection_lines(features: DataFrame, text: str, key: str, name: str) -> DataFrame:
     """part, place, line: the lines of a FeatureCollection, its head (part 0), a feature each in order of the key, its end."""
     first = features.agg(F.min(key).alias("_first"))

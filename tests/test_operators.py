@@ -261,3 +261,16 @@ def test_collections_are_one_text(spark, tmp_path):
     assert [f["k"] for f in json.loads(text)["features"]] == list(range(50))
     files.write_collection(df.limit(0), "f", "k", "all", f"{tmp_path}/d")
     assert json.loads("".join(open(p).read() for p in sorted(glob.glob(f"{tmp_path}/d/part-*"))))["features"] == []
+
+
+def test_running_totals_over_ranges(spark):
+    from terravane.operators.relational import running_total
+
+    rng = np.random.default_rng(8)
+    rows = [(int(k), int(v)) for k, v in zip(rng.permutation(3000), rng.integers(0, 9, 3000))]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(7)
+    total, want = 0, {}
+    for k, v in sorted(rows, reverse=True):
+        want[k], total = total, total + v
+    assert {r.k: r.before for r in running_total(df, [F.desc("k")], "before", F.col("v")).collect()} == want
+    assert running_total(df.limit(0), [F.asc("k")], "n").count() == 0
