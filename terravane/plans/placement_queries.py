@@ -150,11 +150,11 @@ x AS (SELECT a * 100000 + b AS id, CASE WHEN fb THEN 'wye' ELSE 'diamond' END AS
 u AS (SELECT x.*, (f.x1 - f.x0) / sqrt(power(f.x1 - f.x0, 2) + power(f.y1 - f.y0, 2)) AS fx, (f.y1 - f.y0) / sqrt(power(f.x1 - f.x0, 2) + power(f.y1 - f.y0, 2)) AS fy, (r.x1 - r.x0) / sqrt(power(r.x1 - r.x0, 2) + power(r.y1 - r.y0, 2)) AS rx, (r.y1 - r.y0) / sqrt(power(r.x1 - r.x0, 2) + power(r.y1 - r.y0, 2)) AS ry FROM x JOIN seg f ON f.sid = a JOIN seg r ON r.sid = b),
 c(kind, ramp, af, ar, mf, mr, bf, br) AS (VALUES ('diamond', 'exit-1', -80.0, 0.0, -32.0, -20.0, 0.0, -20.0), ('diamond', 'exit+1', -80.0, 0.0, -32.0, 20.0, 0.0, 20.0), ('diamond', 'entrance-1', 80.0, 0.0, 32.0, -20.0, 0.0, -20.0), ('diamond', 'entrance+1', 80.0, 0.0, 32.0, 20.0, 0.0, 20.0), ('wye', 'back', 0.0, 80.0, 0.0, 0.0, -80.0, 0.0), ('wye', 'ahead', 0.0, 80.0, 0.0, 0.0, 80.0, 0.0)),
 p AS (SELECT u.*, ramp, k, k / 8.0 AS t, af, ar, mf, mr, bf, br FROM u JOIN c USING (kind), range(9) r(k))
-SELECT id, ramp, k, round(px + power(1 - t, 2) * (af * fx + ar * rx) + 2 * t * (1 - t) * (mf * fx + mr * rx) + t * t * (bf * fx + br * rx), 3) AS x, round(py + power(1 - t, 2) * (af * fy + ar * ry) + 2 * t * (1 - t) * (mf * fy + mr * ry) + t * t * (bf * fy + br * ry), 3) AS y FROM p""")
+SELECT id, ramp, k, round(px + power(1 - t, 2) * (af * fx + ar * rx) + 2 * t * (1 - t) * (mf * fx + mr * rx) + t * t * (bf * fx + br * rx), 5) AS x, round(py + power(1 - t, 2) * (af * fy + ar * ry) + 2 * t * (1 - t) * (mf * fy + mr * ry) + t * t * (bf * fy + br * ry), 5) AS y FROM p""")
 def _(w):
     """Ramps wherever lines of kind view (freeways) cross others: wyes with other freeways, diamonds else."""
     freeway = w.pts.where("event_type = 'view'").select(F.col("id").alias("sid"))
     s = _segments(w)
     both = P.crossings(s.join(freeway, "sid", "left_semi"), s.join(freeway.withColumn("freeway", F.lit(True)), "sid", "left").select("sid", "x0", "y0", "x1", "y1", F.coalesce("freeway", F.lit(False)).alias("freeway")), 40.0)
     met = both.where("not b_freeway or a_sid < b_sid").select((F.col("a_sid") * 100000 + F.col("b_sid")).alias("id"), F.when(F.col("b_freeway"), "wye").otherwise("diamond").alias("kind"), "px", "py", *[(F.col(f"{p}_{c}1") - F.col(f"{p}_{c}0")).cast("double").alias(f"{n}{c}") for n, p in (("f", "a"), ("r", "b")) for c in "xy"])
-    return N.ramps(met, 80.0, 20.0).select("id", "ramp", "k", R("x", 3).alias("x"), R("y", 3).alias("y"))
+    return N.ramps(met, 80.0, 20.0).select("id", "ramp", "k", R("x", 5).alias("x"), R("y", 5).alias("y"))
