@@ -63,9 +63,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, per_file: int = 0) -> DataFrame:
+        """per_file bounds the rows of a file: large rows are held by writer and reader a file at a time, whatever their bytes come to."""
         self.n += 1
-        df.write.parquet(path := f"{self.at}/{self.n}")
+        df.write.option("maxRecordsPerFile", per_file).parquet(path := f"{self.at}/{self.n}")
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

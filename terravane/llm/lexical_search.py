@@ -1,7 +1,8 @@
 """Operator 12: ranked lexical search by MaxScore in every shard of an inverted index.
 
 1. index(): each task cuts its documents into shards of about SHARD_BYTES of text and writes one row for a shard: its documents
-   with their lengths, its terms, and for each term its postings (place of the document, occurrences). Texts aren't shuffled; they are read once.
+   with their lengths, its terms, and for each term its postings (place of the document, occurrences). Texts aren't shuffled; they are read once. A file
+   holds one shard, as Parquet's writer and reader would hold up to a hundred such rows at once.
 2. Totals over all shards: documents, terms, and the documents of each term that is asked for, summed in Spark.
 3. Items are asked in blocks of a bounded number of bytes, each block against every shard. In a shard a term's upper bound is its weight times its highest
    impact. An item's terms are split by these bounds: those of lowest bound whose sum can't reach the score of the TOP-th best document so far are
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, numbers, release, table, texts
 
 TOP = 10
-#: Bytes of text of a shard, bytes of the items of a block, and bytes of an index file's part that one task reads.
+#: Bytes of text of a shard, and bytes of the items of a block.
 SHARD_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20
 #: The weights' unit, the saturation of repeated terms, and the share of the length in it.
 UNIT, SCALE, FLAT, SLOPE = 1000, 1_000_000_000, 10, 90
@@ -216,7 +217,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, top: int = TOP, shard_bytes
     """item_id, rank, doc_id and score of the top documents of each item with a score above 0."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "search")
-    shards = scratch.keep(index(docs, shard_bytes))
+    shards = scratch.keep(index(docs, shard_bytes), per_file=1)
     held = shards.agg(F.sum(F.size("doc_ids")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x))).first()
     hits = None
     for block in blocks(_items(items), block_bytes) if held[0] else ():

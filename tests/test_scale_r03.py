@@ -45,3 +45,18 @@ def test_parts_along_a_border_are_outside(spark):
     lines = spark.createDataFrame([(1, 2.0, 0.0, 8.0, 0.0), (2, 0.0, -2.0, 0.0, 4.0), (3, 2.0, 10.0, 8.0, 10.0), (4, 10.0, 1.0, 10.0, 2.0), (5, 1.0, 1.0, 5.0, 5.0), (6, -5.0, 0.0, 5.0, 5.0)], "sid long, x0 double, y0 double, x1 double, y1 double")
     inside = {r.sid for r in overlay.line_parts(lines, edges, 20.0).where("covered").collect()}
     assert inside == {5, 6}
+
+
+def test_an_index_file_holds_one_shard(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+    from terravane.llm import lexical_search as L
+
+    docs = spark.createDataFrame([(i, f"word{i} and some others") for i in range(40)], "doc_id long, text string").coalesce(1)
+    at = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    seen = set(glob.glob(f"{at}/search-*"))
+    L.ranked_search(docs, spark.createDataFrame([(1, "word3 others")], "item_id long, text string"), shard_bytes=100)
+    (new,) = set(glob.glob(f"{at}/search-*")) - seen
+    counts = [pq.read_metadata(f).num_rows for f in glob.glob(f"{new}/*/*.parquet")]
+    assert sum(counts) > 5 and max(counts) == 1
