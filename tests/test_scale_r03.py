@@ -60,3 +60,34 @@ def test_an_index_file_holds_one_shard(spark):
     (new,) = set(glob.glob(f"{at}/search-*")) - seen
     counts = [pq.read_metadata(f).num_rows for f in glob.glob(f"{new}/*/*.parquet")]
     assert sum(counts) > 5 and max(counts) == 1
+
+
+def test_places_that_many_share_are_searched_once(spark):
+    """500 rows at one place against 500 at another, and others: of a place's rows only the k smallest meet the other side."""
+    from terravane.operators import spatial
+
+    a = spark.range(500).selectExpr("id", "3 as x", "3 as y")
+    b = spark.range(500).selectExpr("id + 7 as t", "3 as x", "4 as y").union(spark.createDataFrame([(1, 8, 3), (2, 3, 3), (3, 300, 300)], "t long, x int, y int"))
+    near = spatial.nearest(a, b, "id", "t", 400.0, k=3)
+    assert {(r.t, r.rank, r.dist) for r in near.drop("id").distinct().collect()} == {(2, 1, 0.0), (7, 2, 1.0), (8, 3, 1.0)} and near.count() == 1500
+    grid = spark.range(10000).selectExpr("id % 100 as x", "id div 100 as y")
+    assert spatial.start_radius(grid, 2.0) < 1 and spatial.start_radius(b.limit(0), 2.0) == float("inf")
+    far = spark.createDataFrame([(1, 0, 0), (2, 30, 0)], "id long, x int, y int")
+    assert [tuple(r) for r in spatial.nearest(far, spark.createDataFrame([(5, 15, 20), (6, 0, 2000)], "t long, x int, y int"), "id", "t", 2.0, most=25.0).select("id", "t").orderBy("id").collect()] == [(1, 5), (2, 5)]
+
+
+def test_equal_squares_are_ties(spark):
+    """(1, 8) and (4, 7) are equally far; the smaller id is nearest, whatever the roots' last bits."""
+    from terravane.operators import spatial
+
+    a = spark.createDataFrame([(1, 0, 0)], "id long, x int, y int")
+    for p, q in (((1, 8), (4, 7)), ((4, 7), (1, 8))):
+        b = spark.createDataFrame([(5, *p), (6, *q)], "t long, x int, y int")
+        assert [r.t for r in spatial.nearest(a, b, "id", "t", 100.0).collect()] == [5]
+
+
+def test_catch_point_explodes_cells_not_points(spark):
+    """Its plan has no generator above the events, whose rows a broadcast would send twentyfold."""
+    df = entry.queries()["k12_catch_point"](spark, DATA)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "event_id" not in plan[plan.index("Generate") :]
