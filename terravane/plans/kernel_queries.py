@@ -130,11 +130,19 @@ def _(w):
     """Lines in order of importance (their number): both ends of each are put onto the nearest sample of a more important line within 40."""
     from pyspark.sql import Window
 
+    from ..operators.graph import cut
+
     n = F.count("*").over(Window.partitionBy("user_id"))
-    ends = w.track.withColumn("n", n).where("seq = 1 or seq = n").select("user_id", "seq", "id", "x", "y")
-    host = w.track.select(F.col("id").alias("host"), F.col("user_id").alias("host_line"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    met = P.within(ends, host, 40.0, bx="bx", by="by").where("host_line < user_id")
-    best = met.groupBy("id").agg(F.min(F.struct("dist", "host", "bx", "by")).alias("m")).select("id", "m.host", "m.bx", "m.by")
+    ends = cut(w.track.withColumn("n", n).where("seq = 1 or seq = n").select("user_id", "seq", "id", "x", "y"))
+    host = w.pts.select(F.col("id").alias("host"), F.col("user_id").alias("host_line"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    sq = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
+
+    def search(rest, r, last):
+        met = P.within(rest, host, r, bx="bx", by="by").where("host_line < user_id")
+        return met.groupBy("id").agg(F.min(F.struct(sq.alias("sq"), "host", "bx", "by")).alias("m"))
+
+    # a sample within a radius is nearer than all beyond it
+    best = P.by_rounds(ends, "id", search, P.start_radius(host, 8.0, "bx", "by"), 40.0).select("id", "m.host", "m.bx", "m.by")
     return ends.join(best, "id", "left").select("user_id", "seq", "host", F.coalesce("bx", "x").alias("x"), F.coalesce("by", "y").alias("y"))
 
 

@@ -91,3 +91,19 @@ def test_catch_point_explodes_cells_not_points(spark):
     df = entry.queries()["k12_catch_point"](spark, DATA)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" in plan and "event_id" not in plan[plan.index("Generate") :]
+
+
+def test_rounds_search_near_places_first(spark):
+    """Rows found within a small radius aren't searched again within a large one."""
+    from terravane.operators import spatial
+
+    a = spark.createDataFrame([(1, 0, 0), (2, 100, 0)], "id long, x int, y int")
+    b = spark.createDataFrame([(7, 1, 0), (8, 100, 30)], "t long, bx int, by int")
+    asked = []
+
+    def search(rest, r, last):
+        asked.append((r, sorted(x.id for x in rest.collect())))
+        return spatial.within(rest, b, r, bx="bx", by="by").groupBy("id").agg(F.min("t").alias("t"))
+
+    assert sorted(map(tuple, spatial.by_rounds(a, "id", search, 2.0, 40.0).collect())) == [(1, 7), (2, 8)]
+    assert asked == [(2.0, [1, 2]), (8.0, [2]), (32.0, [2])]
