@@ -15,7 +15,7 @@ of sets of each small size in the corpus, where a row of a list counts as LIST_W
    is verified, then those whose sets aren't in one component by then.
 2. Long lists whose sets are in several components yet are scanned for more: sets of different components whose sizes, places and
    sketches allow a link. They are cut into blocks of about LIST_BLOCK sets of a size class, a pair of blocks is one unit of work,
-   and only sketches are sent. First one partner for each set is verified, then all.
+   and only sketches are sent. First a few drawn partners for each set are verified, in turns, then all that are in several components yet.
 3. Pairs are verified exactly with the shingles of the whole texts; a set that is compared with many is dealt out with BLOCK of them at a time.
 
 So no pairs within a long list are put out but those that can't be told apart by size, place, component and sketch, and every link between
@@ -46,6 +46,8 @@ BLOCK = 256
 SMALL = 64
 #: Sets of a long list that are compared in one unit of work; a unit holds two times as many sketches at most.
 LIST_BLOCK = 2048
+#: A set is tried with so many others of a list in a turn, and turns end when they join nothing or after so many; then all that are apart yet are compared.
+FEW, TURNS = 2, 2
 BUCKETS_LOG = 20
 LIST_WEIGHT = 4
 #: Sizes among which the boundary is looked for.
@@ -267,15 +269,16 @@ def _close(batches, percent: int):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
-def possible(n: np.ndarray, place: np.ndarray, label: np.ndarray, sketches: list[bytes], side: np.ndarray | None, every: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Of sets of one list, pairs that may link, of different labels and, if given, sides; without every, one at most for each set as the larger."""
+def possible(n: np.ndarray, place: np.ndarray, label: np.ndarray, sketches: list[bytes], side: np.ndarray | None, every: bool, percent: int = PERCENT, turn: int = 0) -> list[tuple[int, int]]:
+    """Of sets of one list, pairs that may link, of different labels and, if given, sides; without every, up to FEW for each set as the larger and as the
+    smaller one, drawn by `turn` among all that may, so that a set that links with few doesn't take the others' only try."""
     order = np.argsort(n, kind="stable")
     n, place, label, raw = n[order], place[order], label[order], [sketches[i] for i in order]
     side = None if side is None else side[order]
-    free, folded, out = np.ones(len(n), bool), {}, []
+    tries, folded, out, drawn = np.zeros(len(n), np.int64), {}, [], np.random.default_rng(turn)
     for i in range(len(n) - 1):
         j = np.arange(i + 1, np.searchsorted(n, 100 * n[i] // percent, "right"))
-        j = j[(label[j] != label[i]) & free[j] & (np.minimum(n[i] - place[i], n[j] - place[j]) >= overlap(n[i], n[j], percent))]
+        j = j[(label[j] != label[i]) & (every | (tries[j] < FEW)) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= overlap(n[i], n[j], percent))]
         if side is not None:
             j = j[side[j] != side[i]]
         if not len(j):
@@ -286,12 +289,13 @@ def possible(n: np.ndarray, place: np.ndarray, label: np.ndarray, sketches: list
         start, bits = folded[w]
         j = j[np.bitwise_count(bits[j - start] ^ bits[i - start]).sum(1) <= apart(n[i], n[j], percent)]
         if not every:
-            free[j] = False
+            j = drawn.permutation(j)[:FEW]
+            tries[j] += 1
         out += [(int(order[i]), int(order[x])) for x in j]
     return out
 
 
-def _survivors(batches, every: bool, percent: int):
+def _survivors(batches, every: bool, percent: int, turn: int = 0):
     """Rows sorted by unit -> (a, b) of the pairs of a unit that may link."""
     held, unit = [], None
 
@@ -301,7 +305,7 @@ def _survivors(batches, every: bool, percent: int):
         side, info, fp, label, bits = zip(*held)
         n, place, _ = parts(np.array(info))
         two = unit[1:3] != unit[3:5]
-        return [tuple(sorted((fp[i], fp[j]))) for i, j in possible(n, place, np.array(label), bits, np.array(side) if two else None, every, percent)]
+        return [tuple(sorted((fp[i], fp[j]))) for i, j in possible(n, place, np.array(label), bits, np.array(side) if two else None, every, percent, turn)]
 
     def packed(out):
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
@@ -335,7 +339,7 @@ def _open(long: DataFrame, labels: DataFrame, scratch: Scratch, percent: int) ->
     return scratch.keep(rows.withColumns(other).where(may).select("key", "fp", "info", "label", "c"))
 
 
-def _rest(rows: DataFrame, sets: DataFrame, every: bool, percent: int) -> DataFrame:
+def _rest(rows: DataFrame, sets: DataFrame, every: bool, percent: int, turn: int = 0) -> DataFrame:
     """Pairs (a, b) of sets that share an open list, have different labels and may link."""
     one = rows.where(F.col("c") <= LIST_BLOCK).selectExpr("key", "0 as lc", "0 as bi", "0 as hc", "0 as bj", "0 as side", "info", "fp", "label")
     # a link's sizes are less than one class apart
@@ -353,7 +357,7 @@ def _rest(rows: DataFrame, sets: DataFrame, every: bool, percent: int) -> DataFr
     many = of.select("key", F.explode(units).alias("u"), "info", "fp", "label").select("key", "u.lc", "u.bi", "u.hc", "u.bj", "u.side", "info", "fp", "label")
     work = one.union(many).join(_sketches(sets, rows.select("fp")), "fp").select("key", "lc", "bi", "hc", "bj", "side", "info", "fp", "label", "sketch")
     unit = ["key", "lc", "bi", "hc", "bj"]
-    return work.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(lambda batches: _survivors(batches, every, percent), "a long, b long").distinct()
+    return work.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(lambda batches: _survivors(batches, every, percent, turn), "a long, b long").distinct()
 
 
 def _sketches(sets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -406,14 +410,19 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: in
 
     tested, more = first, scratch.keep(apart_yet(close).join(first, ["a", "b"], "left_anti"))
     long = met.where(F.col("kind") == LONG).select("key", F.col("a").alias("fp"), "info").distinct()
-    for all_of_them in (None, False, True):
-        if all_of_them is not None:
-            long = _open(long, labels, scratch, percent)
-            more = scratch.keep(_rest(long, sets, all_of_them, percent).join(tested, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        tested = tested.union(more)
-        labels = joined(labels, verified(more))
+    turn, last = 0, False
+    while True:
+        if not more.isEmpty():
+            tested, found = tested.union(more), verified(more)
+            last = last or found.isEmpty()
+            labels = joined(labels, found)
+        elif turn:
+            last = True
+        if turn > TURNS:
+            break
+        turn = TURNS + 1 if last else turn + 1
+        long = _open(long, labels, scratch, percent)
+        more = scratch.keep(_rest(long, sets, turn > TURNS, percent, turn).join(tested, ["a", "b"], "left_anti"))
 
     # only sets with copies or links can have a component other than their doc_id
     linked = labels.union(labels.select("label", "label")).distinct()

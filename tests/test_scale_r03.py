@@ -107,3 +107,17 @@ def test_rounds_search_near_places_first(spark):
 
     assert sorted(map(tuple, spatial.by_rounds(a, "id", search, 2.0, 40.0).collect())) == [(1, 7), (2, 8)]
     assert asked == [(2.0, [1, 2]), (8.0, [2]), (32.0, [2])]
+
+
+def test_an_outlier_does_not_take_the_only_try_of_all_sets():
+    import numpy as np
+    from terravane.llm import jaccard_join as J
+
+    n = 40  # sets that sketches can't tell apart; the first one links with none, so that pairs with it join nothing
+    tried = J.possible(np.full(n, 100), np.zeros(n, int), np.arange(n), [bytes(16)] * n, None, False)
+    assert all(max(sum(x == i for x, _ in tried), sum(y == i for _, y in tried)) <= J.FEW for i in range(n))
+    root = list(range(n))
+    for x, y in tried:
+        if 0 not in (x, y):
+            root = [root[x] if r == root[y] else r for r in root]
+    assert len(set(root)) < n / 4
