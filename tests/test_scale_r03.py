@@ -121,3 +121,104 @@ def test_an_outlier_does_not_take_the_only_try_of_all_sets():
         if 0 not in (x, y):
             root = [root[x] if r == root[y] else r for r in root]
     assert len(set(root)) < n / 4
+
+
+def _seconds_apart(spark, points, segments, d):
+    """All points and segments with their distances, for comparison."""
+    import math
+
+    out = {}
+    for i, x, y in points:
+        for s, x0, y0, x1, y1 in segments:
+            dx, dy = x1 - x0, y1 - y0
+            t = max(0.0, min(1.0, ((x - x0) * dx + (y - y0) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+            h = math.hypot(x - (x0 + t * dx), y - (y0 + t * dy))
+            if h <= d:
+                out[i, s] = h
+    return out
+
+
+@pytest.fixture(scope="module")
+def crowd():
+    """Points of which several share a place, and segments of all lengths, some of length 0."""
+    import random
+
+    r = random.Random(3)
+    points = [(i, r.randrange(30), r.randrange(30)) for i in range(300)]
+    segments = [(100 + s, x := r.randrange(30), y := r.randrange(30), x + r.randrange(-9, 10) * (s % 7 > 0), y + r.randrange(-9, 10) * (s % 7 > 0)) for s in range(150)]
+    return points, segments
+
+
+def test_nearest_and_first_segments(spark, crowd):
+    from terravane.operators import spatial as P
+
+    points, segments = crowd
+    p, s = spark.createDataFrame(points, "id long, x long, y long"), spark.createDataFrame(segments, "sid long, x0 long, y0 long, x1 long, y1 long")
+    all_of = _seconds_apart(spark, points, segments, 3.1)
+    near = {(r.a_id, r.b_sid): r.dist for r in P.points_near_segments(p, s, 3.1, 40.0).collect()}
+    assert near.keys() == all_of.keys() and all(abs(near[k] - h) < 1e-9 for k, h in all_of.items())
+    by = {}
+    for (i, sid), h in all_of.items():
+        by.setdefault(i, []).append((round(h, 9), sid))
+    assert {r.id: r.sid for r in P.nearest_segment(p, s, 3.1, 40.0).collect()} == {i: min(v)[1] for i, v in by.items()}
+    strict = {i: [sid for h, sid in v if h < 3.1] for i, v in by.items()}
+    assert {r.id: r.sid for r in P.first_segment(p, s, 3.1, 40.0).collect()} == {i: min(v) for i, v in strict.items() if v}
+
+
+def test_joins_are_not_of_all_that_is_near(spark, crowd):
+    """Rows that the join gives: places by segments around them, not all within a cell of 40."""
+    from terravane.operators import spatial as P
+
+    points, segments = crowd
+    p, s = spark.createDataFrame(points, "id long, x long, y long"), spark.createDataFrame(segments, "sid long, x0 long, y0 long, x1 long, y1 long")
+    wide = s.select("sid", *[(F.col(c) * 20).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    held = p.select("id", (F.col("x") * 20.0).alias("px"), (F.col("y") * 20.0).alias("py"))
+    met = P.points_by_cells(held, wide, 3.0, 40.0, ["id", "px", "py"])
+    assert met.count() < 1.2 * len(_seconds_apart(spark, [(i, x * 20, y * 20) for i, x, y in points], [(n, *(20 * v for v in v4)) for n, *v4 in segments], 3.0)) + 10
+
+
+def test_parallels_by_their_middle(spark, crowd):
+    from terravane.operators import spatial as P
+
+    _, segments = crowd
+    s = spark.createDataFrame(segments, "sid long, x0 long, y0 long, x1 long, y1 long")
+    want = {}
+    for sid, x0, y0, x1, y1 in segments:
+        for k in range(5):
+            for (_, b), _h in _seconds_apart(spark, [(0, x0 + (x1 - x0) * k / 4, y0 + (y1 - y0) * k / 4)], segments, 3.45).items():
+                if sid < b:
+                    want[sid, b] = want.get((sid, b), 0) + 1
+    got = {(r.a_sid, r.b_sid): r.near for r in P.running_on(s, s, 3.45, 5, 40.0, 3, F.col("a_sid") < F.col("b_sid")).collect()}
+    assert got == {k: n for k, n in want.items() if n > 3}
+
+
+def test_merged_spaced_and_bridged(spark, crowd):
+    import math
+
+    from terravane.operators import graph as G
+    from terravane.operators import placement as N
+    from terravane.operators import spatial as P
+
+    points, _ = crowd
+    p = spark.createDataFrame([(i, x * 2, y * 2) for i, x, y in points], "id long, x long, y long")
+    at = {i: (x * 2, y * 2) for i, x, y in points}
+    root = {i: i for i in at}
+    for i in at:
+        for j in at:
+            if math.dist(at[i], at[j]) <= 2 and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if v == b else v for k, v in root.items()}
+    assert {r.id: r.node for r in G.merge_nodes(p, 2.0).collect()} == root
+    left, taken = sorted(at, key=lambda i: (-(i % 9), i)), set()
+    for i in left:
+        if all(math.dist(at[i], at[j]) > 5 for j in taken):
+            taken.add(i)
+    assert {r.id for r in N.spaced(p.withColumn("score", F.col("id") % 9), "id", "score", 5.0).collect()} == taken
+    best = {}
+    for i in at:
+        for j in at:
+            d = (at[i][0] - at[j][0]) ** 2 + (at[i][1] - at[j][1]) ** 2
+            if i % 20 != j % 20 and d <= 100:
+                best[i % 20] = min(best.get(i % 20, (d, i, j)), (d, i, j))
+    nodes = p.select(F.col("id").alias("node"), (F.col("id") % 20).alias("component"), "x", "y")
+    assert {r.component: (r.sq, r.a, r.b) for r in P.shortest_links(nodes, 10.0).collect()} == best
