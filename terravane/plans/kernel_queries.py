@@ -79,8 +79,7 @@ def _(w):
 def _(w):
     """Each node is linked to the nearest freeway (lines of kind view) within 8."""
     freeways = _segments(w).join(w.pts.where("event_type = 'view'").select(F.col("id").alias("sid")), "sid", "left_semi")
-    near = P.points_near_segments(w.gnode.select(F.col("node").alias("id"), "x", "y"), freeways, 8.0, 40.0)
-    return near.groupBy("a_id").agg(F.min_by("b_sid", F.struct(F.round("dist", 9), "b_sid")).alias("sid")).select(F.col("a_id").alias("node"), "sid")
+    return P.nearest_segment(w.gnode.select(F.col("node").alias("id"), "x", "y"), freeways, 8.0, 40.0).select(F.col("id").alias("node"), "sid")
 
 
 @query("r29_ridge_field", """, c AS (SELECT ix, iy, ix * 20 + 10 AS cx, iy * 13 + 6 AS cy FROM ras), n AS (SELECT ix, iy, user_id, min((sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y)), seq)) AS m FROM c JOIN track ON abs(cx - x) <= 60 AND abs(cy - y) <= 60 AND (cx - x) * (cx - x) + (cy - y) * (cy - y) <= 3600 GROUP BY ix, iy, user_id),
