@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import cut
-from .pointers import follow
+from .pointers import places
 from .terrain import AROUND, _ends, _leads
 from .tiles import SIDE, Tile, cell_number, cell_place
 
@@ -159,7 +159,7 @@ def routes(edges: DataFrame) -> DataFrame:
     odd = F.row_number().over(by) % 2 == 1
     # the half-edge that comes to an end goes on with the one that leaves by its partner
     links = ends.select((F.col("eid") * 2 + 1 - F.col("k")).alias("node"), F.when(odd, F.lead(out).over(by)).otherwise(F.lag(out).over(by))["h"].alias("next"))
-    f = cut(follow(links))
+    f = cut(places(links))
     twin = f.select(F.col("node").bitwiseXOR(F.lit(1)).alias("node"), F.col("low").alias("t_low"), F.col("last").alias("t_last"), F.col("steps").alias("t_steps"))
     both = cut(f.join(twin, "node"))
     eid, turned = F.shiftright("node", 1).alias("eid"), (F.col("node").bitwiseAND(F.lit(1)) == 1).alias("turned")
@@ -167,5 +167,4 @@ def routes(edges: DataFrame) -> DataFrame:
     started = F.col("t_last").bitwiseXOR(F.lit(1)) < F.col("last").bitwiseXOR(F.lit(1))
     opened = both.where(F.col("last").isNotNull() & started).select(name, F.col("t_steps").alias("place"), eid, turned)
     closed = both.where(F.col("last").isNull() & (F.col("low") < F.col("t_low")))
-    sizes = closed.groupBy("low").agg(F.count("*").alias("size"))
-    return opened.union(closed.join(sizes, "low").select(name, ((F.col("size") - F.col("low_at")) % F.col("size")).alias("place"), eid, turned))
+    return opened.union(closed.select(name, ((F.col("size") - F.col("low_at")) % F.col("size")).alias("place"), eid, turned))

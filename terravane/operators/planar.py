@@ -44,11 +44,10 @@ def sides(edges: DataFrame) -> DataFrame:
 
 def faces(sides: DataFrame) -> DataFrame:
     """face, sides, border (sides with another face beyond), area and perimeter; the area is negative around a component."""
-    shared = sides.groupBy("eid", "face").agg(F.count("*").alias("n"), F.min("half").alias("half"))
-    dangling = shared.where("n = 2").groupBy("face").agg(F.sum("n").alias("dangling"))
-    twice = F.sum(F.col("x") * F.col("ay") - F.col("ax") * F.col("y"))
-    f = sides.groupBy("face").agg(F.count("*").alias("sides"), (twice / 2).alias("area"), F.sum(F.hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y"))).alias("perimeter"))
-    return f.join(dangling, "face", "left").select("face", "sides", (F.col("sides") - F.coalesce("dangling", F.lit(0))).alias("border"), "area", "perimeter")
+    cross, length = F.col("x") * F.col("ay") - F.col("ax") * F.col("y"), F.hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y"))
+    shared = sides.groupBy("eid", "face").agg(F.count("*").alias("n"), F.sum(cross).alias("twice"), F.sum(length).alias("length"))
+    border = F.sum("n") - F.sum(F.when(F.col("n") == 2, F.col("n")).otherwise(0))
+    return shared.groupBy("face").agg(F.sum("n").alias("sides"), border.alias("border"), (F.sum("twice") / 2).alias("area"), F.sum("length").alias("perimeter"))
 
 
 def borders(sides: DataFrame) -> DataFrame:
