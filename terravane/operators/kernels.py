@@ -11,6 +11,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def per_line(df: DataFrame, line: str, order: str, columns: list[str], kernel: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
@@ -24,6 +25,19 @@ def per_line(df: DataFrame, line: str, order: str, columns: list[str], kernel: C
     return df.select(line, order, *columns).groupBy(line).applyInPandas(run, schema)
 
 
+def per_lines(df: DataFrame, line: str, order: str, columns: list[str], kernel: Callable[..., list[dict[str, np.ndarray]]], schema: str, most: int = 64) -> DataFrame:
+    """per_line for kernels that take a list of lines, `most` at once at most: those whose numbers have the same quotient."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([line, order])
+        at = np.nonzero(np.diff(pdf[line].to_numpy()))[0] + 1
+        parts = zip(*[np.split(pdf[c].to_numpy(float), at) for c in columns])
+        names = pdf[line].to_numpy()[np.concatenate([[0], at])]
+        return pd.concat([pd.DataFrame({line: name, **out}) for name, out in zip(names, kernel(list(parts)))])
+
+    return df.select(line, order, *columns).groupBy(F.floor(F.col(line) / most).alias("_lines")).applyInPandas(run, schema)
+
+
 def robust_smooth(x: np.ndarray, y: np.ndarray, sigma: float, scale: float, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Weighted Gaussian means over five sigmas whose weights fall with the distance from the last result; ends stay."""
     n, reach = len(x), int(np.ceil(5 * sigma))
@@ -42,22 +56,41 @@ def robust_smooth(x: np.ndarray, y: np.ndarray, sigma: float, scale: float, roun
 
 def ease_turns(x: np.ndarray, y: np.ndarray, most: float, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Shares turns over `most` radians at a vertex with its neighbours until none is left; the ends and the length of steps stay."""
-    if len(x) < 4:
-        return x, y
-    d = np.hypot(np.diff(x), np.diff(y))
-    a = np.unwrap(np.arctan2(np.diff(y), np.diff(x)))
-    turn = np.diff(a)
-    for _ in range(rounds):
-        over = np.sign(turn) * np.maximum(np.abs(turn) - most, 0)
-        if np.abs(over).max(initial=0) < 1e-9:
-            break
-        turn = turn - over
-        turn[1:] += over[:-1] / 2
-        turn[:-1] += over[1:] / 2
-    b = a[0] + np.concatenate([[0.0], np.cumsum(turn)])
-    px, py = x[0] + np.concatenate([[0.0], np.cumsum(d * np.cos(b))]), y[0] + np.concatenate([[0.0], np.cumsum(d * np.sin(b))])
-    t = np.linspace(0, 1, len(px))
-    return px + t * (x[-1] - px[-1]), py + t * (y[-1] - py[-1])
+    return ease_lines([(x, y)], most, rounds)[0]
+
+
+def ease_lines(lines: list[tuple[np.ndarray, np.ndarray]], most: float, rounds: int = 4000) -> list[tuple[np.ndarray, np.ndarray]]:
+    """ease_turns of many lines, whose turns stand one after the other in one array, so that a round costs few calls; a line that has none left rests."""
+    long = [k for k, (x, _) in enumerate(lines) if len(x) >= 4]
+    bearings = [np.unwrap(np.arctan2(np.diff(lines[k][1]), np.diff(lines[k][0]))) for k in long]
+    turns = [np.diff(a) for a in bearings]
+    going = list(range(len(long)))
+    while going and rounds > 0:
+        turn, starts = np.concatenate([turns[k] for k in going]), np.concatenate([[0], np.cumsum([len(turns[k]) for k in going])])
+        first, last, of = starts[:-1], starts[1:] - 1, np.repeat(np.arange(len(going)), np.diff(starts))
+        done = np.zeros(len(going), bool)
+        while rounds > 0 and 2 * done.sum() < len(going):  # those that rest are left out once they are half
+            rounds -= 1
+            over = np.sign(turn) * np.maximum(np.abs(turn) - most, 0)
+            done |= np.maximum.reduceat(np.abs(over), first) < 1e-9
+            over[done[of]] = 0
+            turn = turn - over
+            ahead, back = over / 2, over / 2
+            ahead[last], back[first] = 0, 0  # nothing goes from line to line
+            turn[1:] += ahead[:-1]
+            turn[:-1] += back[1:]
+        for k, part in zip(going, np.split(turn, starts[1:-1])):
+            turns[k] = part
+        going = [k for k, d in zip(going, done) if not d]
+    out = list(lines)
+    for k, a, turn in zip(long, bearings, turns):
+        x, y = lines[k]
+        d = np.hypot(np.diff(x), np.diff(y))
+        b = a[0] + np.concatenate([[0.0], np.cumsum(turn)])
+        px, py = x[0] + np.concatenate([[0.0], np.cumsum(d * np.cos(b))]), y[0] + np.concatenate([[0.0], np.cumsum(d * np.sin(b))])
+        t = np.linspace(0, 1, len(px))
+        out[k] = px + t * (x[-1] - px[-1]), py + t * (y[-1] - py[-1])
+    return out
 
 
 def whittaker(z: np.ndarray, penalty: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ def _(w):
 
 @query("w18_turn_easing")
 def _(w):
-    return _line(w, lambda x, y: _numbered(*K.ease_turns(x, y, 1.2)))
+    return K.per_lines(w.track, "user_id", "seq", ["x", "y"], lambda lines: [_numbered(*eased) for eased in K.ease_lines(lines, 1.2)], PTS)
 
 
 @query("w19_whittaker")
