@@ -67,3 +67,28 @@ def test_tasks_join_edges_of_near_nodes_first(spark, monkeypatch):
         assert dict(got) == want(edges) and len(got) == len(dict(got)) and sum(settled) <= most
     monkeypatch.setattr(graph, "CHUNK", 5)
     assert {r.node: r.component for r in graph.components(spark.createDataFrame(near + far, "src long, dst long").repartition(3)).collect()} == want(near + far)
+
+
+def test_heights_settle_by_blocks(spark, monkeypatch):
+    """F32: rounds grow with the blocks on a way, not with its edges; values are those of one block and of a walk."""
+    import numpy as np
+
+    from terravane.operators import heights
+
+    rng = np.random.default_rng(6)
+    edges = [(n, n + 1, float(w)) for n, w in enumerate(rng.integers(1, 9, 120))] + [(int(a), int(b), 30.0) for a, b in rng.integers(0, 120, (10, 2))]
+    start = {0: 5.0, 60: 200.0, 500: 1.0, 119: None}
+    want = {n: (np.inf if v is None else v) for n, v in start.items()}
+    for _ in range(130):
+        for a, b, w in edges + [(b, a, w) for a, b, w in edges]:
+            if want.get(a, np.inf) + w < min(want.get(b, np.inf), 150.0):
+                want[b] = want.get(a) + w
+    df, values = spark.createDataFrame(edges, "src long, dst long, limit double"), spark.createDataFrame(list(start.items()), "node long, c double")
+    written = []
+    real = heights.cut
+    monkeypatch.setattr(heights, "cut", lambda df: written.append(1) or real(df))
+    for block in (heights.BLOCK, 3):
+        monkeypatch.setattr(heights, "BLOCK", block)
+        written.clear()
+        assert {r.node: (np.inf if r.c is None else r.c) for r in heights.envelope(values, df, 150.0).collect()} == want
+        assert len(written) <= (3 if block > 3 else 30)
